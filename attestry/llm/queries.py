@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, langid, linedup, packing, quality, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -14,23 +15,82 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(4, 2)
+    model = langid.fit(docs.filter(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~out))
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(5, 0)
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~out))
+    return toxicity.score(docs, scorer).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("clauses").cast("long").alias("n_clauses"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("copy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_topk": op3_topk,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
+    "op6_linededup": op6_linededup,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op3_topk": """
+        WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, min(list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT))) AS v FROM ok GROUP BY vec_id),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_linededup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+        l AS (SELECT doc_id, ls[k] AS line, k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)),
+        u AS (SELECT line, length(line) AS n, min((doc_id, k)) AS first FROM l WHERE length(line) >= 24 GROUP BY line),
+        near AS (SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first
+                 WHERE levenshtein(a.line, b.line) <= 2),
+        kept AS (SELECT l.doc_id, l.k, l.line, u.line IS NOT NULL AND (u.first <> (l.doc_id, l.k) OR near.line IS NOT NULL) AS gone
+                 FROM l LEFT JOIN u ON l.line = u.line LEFT JOIN near ON l.line = near.line),
+        g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
     "op7_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
