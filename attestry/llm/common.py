@@ -6,6 +6,8 @@ Every operator takes a DataFrame, names the columns it needs and selects them fi
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,19 +59,30 @@ def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callab
     return df.mapInArrow(run, kind)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one where none is set, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="attestry-checkpoint-")  # only without a cluster, as in tests
+            where = tempfile.mkdtemp(prefix="attestry-checkpoint-")
         context.setCheckpointDir(where)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder, for rows that hold texts."""
+    path = f"{shared_folder(df.sparkSession)}/attestry-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes in a whole column."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"])
