@@ -47,9 +47,9 @@ def _distinct(names: Sequence[str], check: str) -> None:
         raise CheckError(check, f"{list(names)} names a field twice")
 
 
-def literal_condition(column, cmp: str, value) -> Column:
-    """``column cmp value`` by exact value; NULL cells drop under every comparison."""
-    c, wrong = F.col(column.name), lambda m: CheckError("filter.value_type", m)
+def checked_literal(column, cmp: str, value) -> bool | str:
+    """A literal's canonical text, or the known answer on non-null cells where no cell could hold the value."""
+    wrong = lambda m: CheckError("filter.value_type", m)
     if cmp not in COMPARISONS:
         raise CheckError("transform.ops_allowed", f"unknown comparison {cmp!r}")
     if isinstance(value, bool) or not isinstance(value, int | str):
@@ -65,27 +65,32 @@ def literal_condition(column, cmp: str, value) -> Column:
             raise wrong(f"{value!r} is not finite")
         sign, digits, exponent = number.as_tuple()
         figures = "".join(map(str, digits)).lstrip("0")
-        if figures and len(figures.rstrip("0")) and -(exponent + len(figures) - len(figures.rstrip("0"))) > column.scale:
+        if not figures:
+            return "0"
+        if -(exponent + len(figures) - len(figures.rstrip("0"))) > column.scale:
             raise wrong(f"{value!r} has more than {column.scale} decimal places")
-        if figures and number.adjusted() > 37 - column.scale:  # beyond what a cell can hold: the answer is known
+        if number.adjusted() > 37 - column.scale:
             above = sign == 0
-            known = {"eq": False, "ne": True, "lt": above, "le": above, "gt": not above, "ge": not above}[cmp]
-            return c.isNotNull() & F.lit(known)
-        plain = format(number if figures else abs(number), "f") if number.adjusted() > -60 else "0"
-        other = F.lit(plain).cast(f"decimal(38,{column.scale})")
-    elif not isinstance(value, str):
+            return {"eq": False, "ne": True, "lt": above, "le": above, "gt": not above, "ge": not above}[cmp]
+        return format(number, "f")
+    if not isinstance(value, str):
         raise wrong(f"{column.name} needs a text")
-    elif isinstance(column, Temporal):
+    if isinstance(column, Temporal):
         try:
             parsed = date.fromisoformat(value) if column.granularity == "date" else datetime.fromisoformat(value)
         except ValueError as e:
             raise wrong(f"{value!r} is not an ISO {column.granularity}") from e
         if parsed.isoformat() != value or getattr(parsed, "tzinfo", None) is not None:
             raise wrong(f"{value!r} is not canonical")
-        other = F.lit(value).cast("date" if column.granularity == "date" else "timestamp_ntz")
-    else:
-        other = F.lit(value)
-    return getattr(c, COMPARISONS[cmp])(other)
+    return value
+
+
+def literal_condition(column, cmp: str, value) -> Column:
+    """``column cmp value`` by exact value; NULL cells drop under every comparison."""
+    c, known = F.col(column.name), checked_literal(column, cmp, value)
+    if isinstance(known, bool):
+        return c.isNotNull() & F.lit(known)
+    return getattr(c, COMPARISONS[cmp])(F.lit(known).cast(column.spark))
 
 
 @dataclass(frozen=True)
@@ -122,8 +127,9 @@ class Pipeline:
 
     def filter(self, field: str, cmp: str, value) -> Pipeline:
         self._free()
-        condition = literal_condition(self.schema.column(field), cmp, value)
-        return replace(self, steps=(*self.steps, ("filter", (field, cmp, value), condition)))
+        column = self.schema.column(field)
+        checked_literal(column, cmp, value)
+        return replace(self, steps=(*self.steps, ("filter", (field, cmp, value), column)))
 
     def group_by(self, *keys: str) -> Pipeline:
         self._free()
@@ -183,7 +189,7 @@ class Pipeline:
             if step[0] == "select":
                 df = df.select(*step[1])
             elif step[0] == "filter":
-                df = df.filter(step[2])
+                df = df.filter(literal_condition(step[2], *step[1][1:]))
             elif step[0] == "aggregate":
                 _, keys, measures = step
                 scale = {m.output: schema.column(m.field).scale for m in measures if isinstance(schema.column(m.field), Numeric)}
