@@ -63,7 +63,8 @@ def table_digest(lines: DataFrame, schema: TableSchema, *, rows_at_most: int = 1
     """
     block = F.floor((F.col("pos") - 1) / rows_at_most)
     head = F.lit(header_line(schema) + "\n")
-    blocks = lines.groupBy(block.alias("block")).agg(F.listagg(F.concat("line", F.lit("\n"))).within_group("pos").alias("body") if hasattr(F.listagg("line"), "within_group") else F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("body"), F.count("*").alias("n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    blocks = lines.groupBy(block.alias("block")).agg(body.alias("body"), F.count("*").alias("n"))
     hashed = blocks.select("block", "n", "body", F.sha2("body", 256).alias("h"))
     got = hashed.agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), F.max(F.when(F.col("block") == 0, F.col("body"))).alias("body"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n").alias("hs"))
     whole = F.col("k") <= 1

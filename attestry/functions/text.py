@@ -45,7 +45,7 @@ def fences(c: Column) -> Column:
     """``array<struct<info, body>>`` of a text's fenced blocks."""
     pattern = F.lit(OPEN_FENCE)
     infos, bodies = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    return F.transform(F.arrays_zip(infos.alias("info"), bodies.alias("body")), lambda x: F.struct(F.lower(F.trim(x["0"])).alias("info"), x["1"].alias("body")))
+    return F.transform(F.arrays_zip(infos.alias("info"), bodies.alias("body")), lambda x: F.struct(F.lower(F.trim(x["info"])).alias("info"), x["body"].alias("body")))
 
 
 def _is_chart_json(c: Column) -> Column:
@@ -58,7 +58,8 @@ def chart_signals(c: Column) -> Column:
     """Names of the direct-chart forms that a text holds, in fixed order."""
     blocks = fences(c)
     joined = F.transform(blocks, lambda x: F.concat_ws("\n", x["info"], x["body"]))
-    code = [F.when(F.exists(joined, lambda x, p=p: x.rlike(p)), name) for name, p in CODE.items()]
+    holds = lambda pattern: F.exists(joined, lambda x: x.rlike(pattern))
+    code = [F.when(holds(p), name) for name, p in CODE.items()]
     first = lambda x: F.split(x["info"], r"\s+")[0]
     labelled = F.filter(blocks, lambda x: (x["info"] == "") | first(x).isin("json", "vega", "vega-lite", "vegalite"))
     candidates = F.concat(F.array(F.trim(c)), F.transform(labelled, lambda x: F.trim(x["body"])))

@@ -1,10 +1,731 @@
-"""The registered queries of the verified-aggregation core and the DuckDB SQL for the same rows."""
+"""The registered queries of the verified-aggregation core and the DuckDB SQL for the same rows.
+
+Every query reads the given tables, whole; NULLs, bad cells, specs, attempts and the like are derived from their rows
+by the same expressions on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import digests, exact
+from ..operators import checks, corpus, formula, ledger, order, replies
+from ..operators.pipeline import Channel, Pipeline
+from ..sources import canonical, scan
+from ..sources.store import fresh_path
+from ..streaming import streams
+from ..types import Numeric, TableSchema, Temporal, Text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+LINEITEM = TableSchema((Numeric("l_orderkey"), Numeric("l_quantity", 2, "units"), Numeric("l_extendedprice", 2, "USD", "Extended price"), Numeric("l_discount", 2), Numeric("l_tax", 2), Text("l_returnflag"), Text("l_linestatus"), Temporal("l_shipdate", "datetime")))
+ORDERS = TableSchema((Numeric("o_orderkey"), Numeric("o_custkey"), Text("o_orderstatus"), Numeric("o_totalprice", 2, "USD", "Total price"), Temporal("o_orderdate", "datetime"), Text("o_orderpriority")))
+EVENTS = TableSchema((Numeric("event_id"), Temporal("ts", "datetime"), Numeric("user_id"), Text("event_type"), Numeric("value", 4)))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LINEITEM.typed(t(spark, sf_dir, "lineitem"))
+
+
+def lineitem_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero discounts, and every seventh order's flag, are NULL."""
+    df = lineitem(spark, sf_dir)
+    flag = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_returnflag"))
+    return df.withColumn("l_discount", F.nullif("l_discount", F.lit(0).cast("decimal(38,2)"))).withColumn("l_returnflag", flag)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ORDERS.typed(t(spark, sf_dir, "orders"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EVENTS.typed(t(spark, sf_dir, "events"))
+
+
+_L = "SELECT l_orderkey, CAST(l_quantity AS DECIMAL(38,2)) AS l_quantity, CAST(l_extendedprice AS DECIMAL(38,2)) AS l_extendedprice, CAST(l_discount AS DECIMAL(38,2)) AS l_discount, CAST(l_tax AS DECIMAL(38,2)) AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem"
+_LN = "SELECT l_orderkey, CAST(l_quantity AS DECIMAL(38,2)) AS l_quantity, CAST(l_extendedprice AS DECIMAL(38,2)) AS l_extendedprice, nullif(CAST(l_discount AS DECIMAL(38,2)), 0) AS l_discount, CASE WHEN l_orderkey % 7 <> 0 THEN l_returnflag END AS l_returnflag, l_linestatus, l_shipdate FROM lineitem"
+_O = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(38,2)) AS o_totalprice, o_orderdate, o_orderpriority FROM orders"
+
+
+def _mean(total: str, n: str) -> str:
+    """SQL for an exact mean at scale 2, ties to even, of a sum at scale 2."""
+    u, k = f"CAST(({total}) * 100 AS HUGEINT)", f"CAST({n} AS HUGEINT)"
+    q, r = f"({u} // {k})", f"({u} % {k})"
+    return f"CAST(CAST({q} + CASE WHEN 2 * abs({r}) > {k} OR (2 * abs({r}) = {k} AND {q} % 2 <> 0) THEN sign({u}) ELSE 0 END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(38,2))"
+
+
+# --- flagship ----------------------------------------------------------------------------------------------------
+FLAGSHIP = Pipeline(ORDERS).filter("o_orderstatus", "eq", "F").group_by("o_orderpriority").aggregate(("o_totalprice", "sum", "total"), ("o_totalprice", "mean", "mean_price"), ("o_totalprice", "count", "n")).sort(("total", "descending"))
+_FLAG = f"""SELECT o_orderpriority, sum(o_totalprice) AS total, {_mean("sum(o_totalprice)", "count(o_totalprice)")} AS mean_price, count(o_totalprice) AS n
+    FROM ({_O}) WHERE o_orderstatus = 'F' GROUP BY o_orderpriority"""
+_LINE = """'["' || o_orderpriority || '",' || CAST(total AS VARCHAR) || ',' || CAST(mean_price AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']'"""
+
+
+@query("flagship", f"""WITH a AS ({_FLAG}), p AS (SELECT *, row_number() OVER (ORDER BY total DESC NULLS FIRST, o_orderpriority NULLS LAST, mean_price NULLS LAST, n NULLS LAST) AS pos FROM a)
+    SELECT pos, {_LINE} AS line, sha256({_LINE}) AS row_digest FROM p""")
+def flagship(spark, sf_dir):
+    got = canonical.lines(FLAGSHIP.positioned(orders(spark, sf_dir), rows_at_most=100), FLAGSHIP.schema)
+    return got.withColumn("row_digest", F.sha2("line", 256))
+
+
+# --- projections and filters ---------------------------------------------------------------------------------------
+@query("select_projection", f"SELECT o_orderpriority, o_totalprice FROM ({_O})")
+def select_projection(spark, sf_dir):
+    return Pipeline(ORDERS).select("o_orderpriority", "o_totalprice").to_df(orders(spark, sf_dir))
+
+
+def _filter(name: str, schema: TableSchema, source, field: str, cmp: str, value, keep: tuple[str, ...], sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: Pipeline(schema).filter(field, cmp, value).select(*keep).to_df(source(spark, sf_dir)))
+
+
+_filter("filter_eq", ORDERS, orders, "o_orderstatus", "eq", "F", ("o_orderkey", "o_orderstatus"), "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+_filter("filter_ne", ORDERS, orders, "o_orderpriority", "ne", "1-URGENT", ("o_orderkey", "o_orderpriority"), "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'")
+_filter("filter_lt", LINEITEM, lineitem, "l_quantity", "lt", "1e1", ("l_orderkey", "l_quantity"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_quantity FROM ({_L}) WHERE l_quantity < 10")
+_filter("filter_le", LINEITEM, lineitem, "l_discount", "le", "0.03", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_L}) WHERE l_discount <= 0.03")
+_filter("filter_gt", LINEITEM, lineitem, "l_extendedprice", "gt", 50000, ("l_orderkey", "l_extendedprice"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_extendedprice FROM ({_L}) WHERE l_extendedprice > 50000")
+_filter("filter_ge", EVENTS, events, "ts", "ge", "2024-01-15T00:00:00", ("event_id", "ts"), "SELECT CAST(event_id AS DECIMAL(38,0)) AS event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
+_filter("filter_null_drop", LINEITEM, lineitem_nulls, "l_discount", "ne", "0.05", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount <> 0.05")
+_filter("filter_literal_out_of_domain", LINEITEM, lineitem_nulls, "l_discount", "lt", "1e37", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount IS NOT NULL")
+
+
+@query("filter_conjunction", f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_returnflag, l_quantity FROM ({_L}) WHERE l_returnflag = 'R' AND l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02")
+def filter_conjunction(spark, sf_dir):
+    return Pipeline(LINEITEM).filter("l_returnflag", "eq", "R").filter("l_quantity", "ge", 10).filter("l_quantity", "lt", 20).filter("l_discount", "gt", "0.02").select("l_orderkey", "l_returnflag", "l_quantity").to_df(lineitem(spark, sf_dir))
+
+
+# --- aggregation ---------------------------------------------------------------------------------------------------
+def _grouped(name: str, schema, source, keys: tuple[str, ...], measures: tuple, sql: str) -> None:
+    p = Pipeline(schema)
+    p = (p.group_by(*keys) if keys else p).aggregate(*measures)
+    query(name, sql)(lambda spark, sf_dir: p.to_df(source(spark, sf_dir)))
+
+
+_grouped("agg_sum", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "sum", "total"),), f"SELECT l_returnflag, sum(l_extendedprice) AS total FROM ({_L}) GROUP BY 1")
+_grouped("agg_count", LINEITEM, lineitem_nulls, ("l_linestatus",), (("l_discount", "count", "n"),), f"SELECT l_linestatus, CAST(count(l_discount) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1")
+_grouped("agg_min", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "min", "lowest"),), f"SELECT l_returnflag, min(l_extendedprice) AS lowest FROM ({_L}) GROUP BY 1")
+_grouped("agg_max", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "max", "highest"),), f"SELECT l_returnflag, max(l_extendedprice) AS highest FROM ({_L}) GROUP BY 1")
+_grouped("agg_mean_half_even", LINEITEM, lineitem_nulls, ("l_linestatus",), (("l_extendedprice", "mean", "mean_price"), ("l_discount", "mean", "mean_discount")), f"SELECT l_linestatus, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS mean_price, {_mean('sum(l_discount)', 'count(l_discount)')} AS mean_discount FROM ({_LN}) GROUP BY 1")
+_grouped("agg_minmax_temporal", EVENTS, events, ("event_type",), (("ts", "min", "first_ts"), ("ts", "max", "last_ts")), "SELECT event_type, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+_grouped("agg_null_group", LINEITEM, lineitem_nulls, ("l_returnflag",), (("l_quantity", "sum", "total"), ("l_quantity", "count", "n")), f"SELECT l_returnflag, sum(l_quantity) AS total, CAST(count(l_quantity) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1")
+_grouped("agg_whole_table", ORDERS, orders, (), (("o_totalprice", "sum", "total"), ("o_orderkey", "count", "n"), ("o_totalprice", "min", "lowest")), f"SELECT sum(o_totalprice) AS total, CAST(count(o_orderkey) AS DECIMAL(38,0)) AS n, min(o_totalprice) AS lowest FROM ({_O})")
+_grouped("agg_multi", LINEITEM, lineitem_nulls, ("l_returnflag", "l_linestatus"), (("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"), ("l_discount", "count", "discounted"), ("l_shipdate", "max", "last_ship")), f"SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS price, CAST(count(l_discount) AS DECIMAL(38,0)) AS discounted, max(l_shipdate) AS last_ship FROM ({_LN}) GROUP BY 1, 2")
+
+CUSTOMER = TableSchema((Numeric("c_custkey"), Text("c_name"), Numeric("c_nationkey"), Numeric("c_acctbal", 2, "USD"), Text("c_mktsegment")))
+
+
+@query("agg_minmax_string", "SELECT c_mktsegment, min(c_name) AS first_name, max(c_name) AS last_name FROM customer GROUP BY 1")
+def agg_minmax_string(spark, sf_dir):
+    return Pipeline(CUSTOMER).group_by("c_mktsegment").aggregate(("c_name", "min", "first_name"), ("c_name", "max", "last_name")).to_df(CUSTOMER.typed(t(spark, sf_dir, "customer")))
+
+
+@query("agg_all_null_group", f"SELECT l_linestatus, l_discount AS d, sum(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS total, CAST(count(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1, 2")
+def agg_all_null_group(spark, sf_dir):
+    df = lineitem_nulls(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_discount").isNotNull(), F.col("l_quantity"))).withColumn("d", F.col("l_discount"))
+    schema = TableSchema((*LINEITEM.columns, Numeric("d", 2)))
+    return Pipeline(schema).group_by("l_linestatus", "d").aggregate(("l_quantity", "sum", "total"), ("l_quantity", "count", "n")).to_df(df)
+
+
+@query("agg_empty_input", f"SELECT sum(o_totalprice) AS total, CAST(count(o_totalprice) AS DECIMAL(38,0)) AS n FROM ({_O}) WHERE o_totalprice < 0")
+def agg_empty_input(spark, sf_dir):
+    return Pipeline(ORDERS).filter("o_totalprice", "lt", 0).aggregate(("o_totalprice", "sum", "total"), ("o_totalprice", "count", "n")).to_df(orders(spark, sf_dir))
+
+
+@query("agg_chained", f"WITH a AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS qty FROM ({_L}) GROUP BY 1, 2) SELECT l_returnflag, max(qty) AS qty, CAST(count(l_orderkey) AS DECIMAL(38,0)) AS n_orders FROM a GROUP BY 1")
+def agg_chained(spark, sf_dir):
+    return Pipeline(LINEITEM).group_by("l_orderkey", "l_returnflag").aggregate(("l_quantity", "sum", "qty")).group_by("l_returnflag").aggregate(("qty", "max", "qty"), ("l_orderkey", "count", "n_orders")).to_df(lineitem(spark, sf_dir))
+
+
+# --- canonical order, text and digests -----------------------------------------------------------------------------
+BY_STATUS = Pipeline(ORDERS).group_by("o_orderstatus", "o_orderpriority").aggregate(("o_totalprice", "sum", "total"), ("o_orderkey", "count", "n"))
+_BY_STATUS = f"SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS total, count(o_orderkey) AS n FROM ({_O}) GROUP BY 1, 2"
+_STATUS_LINE = """'["' || o_orderstatus || '","' || o_orderpriority || '",' || CAST(total AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']'"""
+
+
+@query("canonical_position", f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount, row_number() OVER (ORDER BY l_discount DESC NULLS FIRST, l_orderkey NULLS LAST, l_returnflag NULLS LAST, l_shipdate NULLS LAST) AS pos, l_returnflag, l_shipdate FROM ({_LN})")
+def canonical_position(spark, sf_dir):
+    p = Pipeline(LINEITEM).select("l_orderkey", "l_discount", "l_returnflag", "l_shipdate").sort(("l_discount", "descending"))
+    return p.positioned(lineitem_nulls(spark, sf_dir))
+
+
+def _status_lines(spark, sf_dir):
+    return canonical.lines(BY_STATUS.positioned(orders(spark, sf_dir), rows_at_most=1000), BY_STATUS.schema)
+
+
+@query("canonical_lines", f"WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, {_STATUS_LINE} AS line FROM a")
+def canonical_lines(spark, sf_dir):
+    return _status_lines(spark, sf_dir)
+
+
+@query("row_digests", f"WITH a AS ({_BY_STATUS}) SELECT o_orderstatus, o_orderpriority, sha256({_STATUS_LINE}) AS digest FROM a")
+def row_digests(spark, sf_dir):
+    return BY_STATUS.to_df(orders(spark, sf_dir)).select("o_orderstatus", "o_orderpriority", F.sha2(digests.row_line(BY_STATUS.schema), 256).alias("digest"))
+
+
+@query("multiset_digest", f"""WITH a AS ({_BY_STATUS}), h AS (SELECT sha256({_STATUS_LINE}) AS h FROM a)
+    SELECT count(*) AS n_rows, {", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR) AS lane{k}" for k in range(4))} FROM h""")
+def multiset_digest(spark, sf_dir):
+    return digests.multiset_digest(BY_STATUS.to_df(orders(spark, sf_dir)), BY_STATUS.schema)
+
+
+@query("table_digest", f"""WITH a AS ({_BY_STATUS}), l AS (SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, {_STATUS_LINE} AS line FROM a)
+    SELECT count(*) AS n_rows, 'whole' AS mode, 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderstatus:string","o_orderpriority:string","total:numeric:2","n:numeric:0"]' || chr(10) || string_agg(line || chr(10), '' ORDER BY pos)) AS digest FROM l""")
+def table_digest(spark, sf_dir):
+    return digests.table_digest(_status_lines(spark, sf_dir), BY_STATUS.schema)
+
+
+@query("canonical_round_trip", f"WITH a AS ({_BY_STATUS}) SELECT o_orderstatus, o_orderpriority, total, CAST(n AS DECIMAL(38,0)) AS n, true AS faithful FROM a")
+def canonical_round_trip(spark, sf_dir):
+    return canonical.parse(_status_lines(spark, sf_dir), BY_STATUS.schema).drop("pos", "line")
+
+
+@query("result_parity", "SELECT 'nothing' AS side, 0 AS n WHERE false")
+def result_parity(spark, sf_dir):
+    p = Pipeline(LINEITEM).group_by("l_orderkey").aggregate(("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"))
+    a = p.to_df(lineitem(spark, sf_dir))
+    b = p.to_df(lineitem(spark, sf_dir).repartition("l_shipdate"))
+    side = lambda df, name: df.select(F.lit(name).alias("side")).groupBy("side").agg(F.count("*").cast("int").alias("n"))
+    return side(a.exceptAll(b), "left").unionByName(side(b.exceptAll(a), "right"))
+
+
+# --- order and domain checks ---------------------------------------------------------------------------------------
+@query("order_inversions", """WITH p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos, CAST(value AS DECIMAL(38,4)) AS value FROM events),
+    w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY pos) AS before FROM p) SELECT event_type, count(*) AS n, min(pos) AS first_pos FROM w WHERE pos > 1 AND before > value GROUP BY 1""")
+def order_inversions(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long"))
+    bad = order.inversions(df, "pos", [("value", False)], within=["event_type"])
+    return bad.groupBy("event_type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+_FIRST = "SELECT event_type AS value, min(event_id) AS first FROM events GROUP BY 1"
+
+
+@query("legend_domain", f"SELECT value, row_number() OVER (ORDER BY first) AS rank FROM ({_FIRST})")
+def legend_domain(spark, sf_dir):
+    return order.category_domain(t(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("legend_symmetric_difference", """WITH s AS (SELECT DISTINCT event_type AS value FROM events), d AS (SELECT DISTINCT o_orderpriority AS value FROM orders UNION SELECT min(event_type) FROM events)
+    SELECT coalesce(s.value, d.value) AS value, CASE WHEN s.value IS NULL THEN 'extra' ELSE 'missing' END AS side FROM s FULL JOIN d ON s.value = d.value WHERE s.value IS NULL OR d.value IS NULL""")
+def legend_symmetric_difference(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("value"))
+    declared = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value")).distinct().union(e.agg(F.min("value").alias("value")))
+    return order.domain_difference(e, declared)
+
+
+@query("category_ranks", "SELECT DISTINCT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS rank FROM part")
+def category_ranks(spark, sf_dir):
+    brands = t(spark, sf_dir, "part").select("p_brand").distinct()
+    return brands.select("p_brand", F.dense_rank().over(Window.orderBy("p_brand")).alias("rank"))
+
+
+# --- cell coercion -------------------------------------------------------------------------------------------------
+@query("numeric_coercion", """WITH c AS (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 6 WHEN 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) WHEN 1 THEN ' ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' '
+        WHEN 2 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || '5' WHEN 3 THEN 'n/a' WHEN 4 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || 'e40' ELSE '' END AS cell FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE l_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'precision' WHEN 3 THEN 'syntax' WHEN 4 THEN 'magnitude' END AS status,
+        CASE WHEN l_orderkey % 6 < 2 THEN TRY_CAST(trim(cell) AS DECIMAL(38,2)) END AS value FROM c""")
+def numeric_coercion(spark, sf_dir):
+    df = t(spark, sf_dir, "lineitem")
+    price, qty, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 6
+    cell = F.when(k == 0, price).when(k == 1, F.concat(F.lit(" "), qty, F.lit(" "))).when(k == 2, F.concat(price, F.lit("5"))).when(k == 3, "n/a").when(k == 4, F.concat(qty, F.lit("e40"))).otherwise("")
+    return df.select("l_orderkey", "l_linenumber", exact.numeric_status(cell, 2).alias("status"), exact.numeric_value(cell, 2).alias("value"))
+
+
+@query("temporal_coercion", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderkey % 5 = 0 END AS ok, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END AS value FROM orders""")
+def temporal_coercion(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    cell = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyyMMdd")).when(k == 2, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00"))).when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit("-02-30"))).otherwise("")
+    return t(spark, sf_dir, "orders").select("o_orderkey", exact.temporal_ok(cell, "date").alias("ok"), exact.temporal_value(cell, "date").alias("value"))
+
+
+@query("float64_fidelity", f"SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS lost FROM ({_L}) GROUP BY 1")
+def float64_fidelity(spark, sf_dir):
+    return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(F.col("l_extendedprice"), 2)).alias("lost"))
+
+
+# --- reply evaluation ----------------------------------------------------------------------------------------------
+def _details(spark, sf_dir):
+    """Events as evaluated replies: the value's size gives the outcome, the user the reply."""
+    e = t(spark, sf_dir, "events")
+    k = F.col("event_id") % 11
+    reply = F.when(k == 0, '{"a": 1}').when(k == 1, F.concat(F.lit("Here:\n```json\n{\"id\": "), F.col("event_id").cast("string"), F.lit("}\n```"))).when(k == 2, "").when(k == 3, "[1, 2]").when(k == 4, "{broken").otherwise(F.concat(F.lit("no chart for "), F.col("event_type")))
+    ok = F.col("event_id") % 7 != 0
+    bucket = F.when(~ok, F.when(F.col("event_id") % 2 == 0, "upstream_fault").otherwise("off_request")).when(k == 0, "verified").when(k < 5, "schema").when(k < 8, "semantic").otherwise("policy")
+    return replies.with_reply_facts(e.select("event_id", F.col("event_type").alias("category"), ok.alias("ok"), bucket.alias("bucket"), reply.alias("reply")), "reply")
+
+
+_DETAILS = """SELECT event_id, event_type AS category, event_id % 7 <> 0 AS ok, event_id % 11 AS k,
+    CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'upstream_fault' ELSE 'off_request' END WHEN event_id % 11 = 0 THEN 'verified' WHEN event_id % 11 < 5 THEN 'schema' WHEN event_id % 11 < 8 THEN 'semantic' ELSE 'policy' END AS bucket,
+    CASE event_id % 11 WHEN 0 THEN 'bare_object' WHEN 1 THEN 'fenced' WHEN 2 THEN 'empty' WHEN 4 THEN 'bare_object' ELSE 'other' END AS shape,
+    event_id % 11 IN (0, 3) AS json_valid, event_id % 11 = 0 AS json_object, event_id % 11 IN (0, 1, 3) AS defenced_valid FROM events"""
+_COUNTERS = ", ".join([f"count(*) FILTER (WHERE ok AND bucket = '{b}') AS {b}" for b in replies.BUCKETS] + [f"count(*) FILTER (WHERE NOT ok AND bucket = '{b}') AS {b}" for b in replies.FAULTS] + [f"count(*) FILTER (WHERE ok AND shape = '{s}') AS {s}" for s in replies.SHAPES] + [f"count(*) FILTER (WHERE ok AND {k}) AS {k}" for k in ("json_object", "json_valid", "defenced_valid")])
+_RATES = ", ".join(f"CAST(round_even(CAST({c} AS DOUBLE) / n, 4) AS DOUBLE) AS {r}" for r, c in {"json_object_rate": "json_object", "json_validity_rate": "json_valid", "schema_failure_rate": "schema", "semantic_failure_rate": "semantic", "policy_failure_rate": "policy", "verified_rate": "verified"}.items())
+
+
+@query("failure_rollup", f"""WITH d AS ({_DETAILS}), a AS (SELECT 'category' AS scope, category, count(*) FILTER (WHERE ok) AS n, {_COUNTERS} FROM d GROUP BY category
+    UNION ALL SELECT 'all', NULL, count(*) FILTER (WHERE ok) AS n, {_COUNTERS} FROM d) SELECT *, {_RATES} FROM a""")
+def failure_rollup(spark, sf_dir):
+    return replies.tallies(_details(spark, sf_dir))
+
+
+@query("reply_shape", f"WITH d AS ({_DETAILS}) SELECT shape, count(*) AS n, count(*) FILTER (WHERE defenced_valid) AS defenced FROM d GROUP BY 1")
+def reply_shape(spark, sf_dir):
+    return _details(spark, sf_dir).groupBy("shape").agg(F.count("*").alias("n"), F.count_if("defenced_valid").alias("defenced"))
+
+
+@query("top_failing_checks", """WITH r AS (SELECT event_id AS position, 'check_' || CAST((event_id * event_id + user_id) % 13 AS VARCHAR) AS "check" FROM events WHERE event_id % 3 <> 0),
+    a AS (SELECT "check", count(*) AS failures, min(position) AS first FROM r GROUP BY 1), k AS (SELECT "check", failures, CAST(row_number() OVER (ORDER BY failures DESC, first) AS INTEGER) AS rank FROM a) SELECT * FROM k WHERE rank <= 5""")
+def top_failing_checks(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    name = F.concat(F.lit("check_"), ((F.col("event_id") * F.col("event_id") + F.col("user_id")) % 13).cast("string"))
+    return replies.top_failing(e.select(F.col("event_id").alias("position"), name.alias("check"), F.when(F.col("event_id") % 3 != 0, "fail").otherwise("pass").alias("status")))
+
+
+_PIN = "the proposed data set is not the pinned one"
+
+
+@query("fault_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN s = 502 AND event_type = (SELECT min(event_type) FROM events) THEN 'off_request' WHEN s = 422 THEN 'prompt_policy' WHEN s >= 500 THEN 'upstream_fault' ELSE 'harness_error' END AS bucket
+    FROM (SELECT event_type, CASE event_id % 5 WHEN 0 THEN 502 WHEN 1 THEN 422 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 500 END AS s FROM events)) GROUP BY 1""")
+def fault_buckets(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type").alias("first"))
+    k = F.col("event_id") % 5
+    status = F.when(k == 0, 502).when(k == 1, 422).when(k == 2, 503).when(k == 3, 404).otherwise(500)
+    detail = F.when(F.col("event_type") == F.col("first"), _PIN).otherwise("other")
+    return e.join(F.broadcast(first)).select(replies.fault_bucket(status, detail, _PIN).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("verdict_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'verified' WHEN event_id % 9 = 0 THEN 'schema' WHEN event_id % 3 = 0 THEN 'policy' ELSE 'semantic' END AS bucket FROM events) GROUP BY 1""")
+def verdict_buckets(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    one = lambda check, method, status: F.struct(F.lit(check).alias("check"), F.lit(method).alias("method"), status.alias("status"))
+    k = F.col("event_id")
+    results = F.array(one("label.quantitative_units_present", "deterministic_recompute", F.when(k % 3 == 0, "fail").otherwise("pass")), one("schema.fields_exist", "deterministic_recompute", F.when(k % 3 == 1, "fail").otherwise("pass")))
+    return e.select(replies.verdict_bucket(k % 4 == 0, F.when(k % 9 == 0, "decode").otherwise("verify"), results).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def _messages(spark, sf_dir):
+    """Conversations in which assistants' messages of some conversations carry chart code."""
+    c = t(spark, sf_dir, "conversations")
+    k = F.col("conv_id") % 8
+    tail = F.when(k == 0, "\n```python\nimport matplotlib.pyplot as plt\n```").when(k == 1, "\n```\nsns.barplot(x)\n```\n").when(k == 2, "\nplt.plot outside a fence").when(k == 3, "\n```mermaid\npie\n```\n<svg >").when(k == 4, " data:image/png;base64,AAAA").otherwise("")
+    return c.select("conv_id", "turn", "role", F.concat("text", F.when(F.col("role") == "assistant", tail).otherwise("")).alias("text"))
+
+
+_SIGNALS = "CASE WHEN role = 'assistant' THEN CASE conv_id % 8 WHEN 0 THEN 'matplotlib' WHEN 1 THEN 'seaborn' WHEN 3 THEN 'mermaid,svg' WHEN 4 THEN 'data-image' ELSE '' END ELSE '' END"
+
+
+@query("chart_signals", f"SELECT conv_id, turn, {_SIGNALS} AS signals FROM conversations")
+def chart_signals(spark, sf_dir):
+    return replies.with_chart_signals(_messages(spark, sf_dir), "text").select("conv_id", "turn", F.concat_ws(",", "signals").alias("signals"))
+
+
+@query("guard_last_message", f"SELECT conv_id, turn, role, role = 'assistant' AND turn = max(turn) OVER (PARTITION BY conv_id) AND {_SIGNALS} <> '' AS blocked FROM conversations")
+def guard_last_message(spark, sf_dir):
+    return replies.guard_last(_messages(spark, sf_dir)).select("conv_id", "turn", "role", "blocked")
+
+
+# --- ledger --------------------------------------------------------------------------------------------------------
+def _digest(c):
+    return F.concat(F.lit("sha256:"), F.sha2(c, 256))
+
+
+def _blobs(spark, sf_dir):
+    return ledger.blobs_of(t(spark, sf_dir, "documents"), F.col("text"), F.col("lang"))
+
+
+def _references(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"), F.col("source").alias("role"), _digest(F.col("text")).alias("blob_digest"), F.col("lang").alias("blob_kind"))
+
+
+_BLOBS = "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents"
+_REFS = "SELECT 'a' || CAST(doc_id AS VARCHAR) AS attempt_id, source AS role, 'sha256:' || sha256(text) AS blob_digest, lang AS blob_kind FROM documents"
+
+
+@query("blob_dedupe", f"SELECT digest, kind, size FROM ({_BLOBS})")
+def blob_dedupe(spark, sf_dir):
+    return _blobs(spark, sf_dir).select("digest", "kind", "size")
+
+
+@query("ledger_blob_join", f"SELECT r.attempt_id, r.role, b.size FROM ({_REFS}) r JOIN ({_BLOBS}) b ON r.blob_digest = b.digest AND r.blob_kind = b.kind")
+def ledger_blob_join(spark, sf_dir):
+    return ledger.with_blobs(_references(spark, sf_dir), _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
+
+
+@query("ledger_new_blobs", "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def ledger_new_blobs(spark, sf_dir):
+    stored = ledger.blobs_of(t(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), F.col("text"), F.col("lang"))
+    return ledger.new_blobs(_blobs(spark, sf_dir), stored).select("digest", "kind")
+
+
+def _tables(spark, sf_dir):
+    """Orders as attempts (every ninth with a plot that is not stored), customers as keys, fulfilled orders as plots."""
+    o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
+    plot = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
+    keyid = F.concat(F.lit("k"), F.col("o_custkey").cast("string"))
+    attempts = o.select(F.col("o_orderkey").cast("string").alias("attempt_id"), keyid.alias("keyid"), F.when((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 9 == 0), plot).alias("plot_id"))
+    plots = o.filter("o_orderstatus = 'F'").select(plot.alias("plot_id"), keyid.alias("keyid"))
+    keys = c.filter("c_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("keyid"))
+    return {"attempts": attempts, "plots": plots, "keys": keys}
+
+
+_ATT = "SELECT CAST(o_orderkey AS VARCHAR) AS attempt_id, 'k' || CAST(o_custkey AS VARCHAR) AS keyid, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 9 = 0 THEN 'p' || CAST(o_orderkey AS VARCHAR) END AS plot_id, o_orderstatus FROM orders"
+_KEYS = "SELECT 'k' || CAST(c_custkey AS VARCHAR) AS keyid FROM customer WHERE c_custkey % 10 <> 0"
+
+
+@query("ledger_orphans", f"""WITH a AS ({_ATT}), p AS (SELECT plot_id, keyid FROM a WHERE o_orderstatus = 'F'), k AS ({_KEYS})
+    SELECT 'plots.keyid' AS source, 'keys' AS target, keyid AS reference FROM p WHERE keyid NOT IN (SELECT keyid FROM k)
+    UNION ALL SELECT 'attempts.keyid', 'keys', keyid FROM a WHERE keyid NOT IN (SELECT keyid FROM k)
+    UNION ALL SELECT 'attempts.plot_id', 'plots', plot_id FROM a WHERE plot_id IS NOT NULL AND plot_id NOT IN (SELECT plot_id FROM p)""")
+def ledger_orphans(spark, sf_dir):
+    return ledger.orphans(_tables(spark, sf_dir))
+
+
+@query("ledger_key_join", f"WITH a AS ({_ATT}), k AS ({_KEYS}) SELECT a.attempt_id, a.keyid FROM a JOIN k USING (keyid)")
+def ledger_key_join(spark, sf_dir):
+    tables = _tables(spark, sf_dir)
+    return tables["attempts"].join(tables["keys"], "keyid").select("attempt_id", "keyid")
+
+
+@query("ledger_lowest_attempt", "SELECT 'c' || CAST(o_custkey AS VARCHAR) AS plot_id, min(CAST(o_orderkey AS VARCHAR)) AS attempt_id FROM orders GROUP BY 1")
+def ledger_lowest_attempt(spark, sf_dir):
+    return ledger.lowest_attempt(t(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("plot_id"), F.col("o_orderkey").cast("string").alias("attempt_id")))
+
+
+@query("ledger_plot_bundle", f"""SELECT r.attempt_id, r.role, b.size FROM ({_REFS}) r JOIN (SELECT 'a' || CAST(doc_id AS VARCHAR) AS plot_id FROM labels WHERE quality = 1) p ON r.attempt_id = p.plot_id
+    JOIN ({_BLOBS}) b ON r.blob_digest = b.digest AND r.blob_kind = b.kind WHERE r.role <> 'src0'""")
+def ledger_plot_bundle(spark, sf_dir):
+    plots = t(spark, sf_dir, "labels").filter("quality = 1").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"))
+    refs = _references(spark, sf_dir).filter("role <> 'src0'").join(plots, "attempt_id")
+    return ledger.with_blobs(refs, _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
+
+
+@query("ledger_envelopes", f"""SELECT attempt_id, role, CAST(row_number() OVER (PARTITION BY blob_digest ORDER BY role, attempt_id) AS INTEGER) AS place FROM ({_REFS})""")
+def ledger_envelopes(spark, sf_dir):
+    joined = ledger.with_blobs(_references(spark, sf_dir), _blobs(spark, sf_dir).drop("content").withColumn("content", F.lit(None).cast("binary")))
+    return joined.select("attempt_id", "role", F.row_number().over(Window.partitionBy("blob_digest").orderBy("role", "attempt_id")).alias("place"))
+
+
+@query("ledger_stats", f"SELECT 'blobs' AS \"table\", count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS logical_bytes FROM ({_BLOBS}) UNION ALL SELECT 'attempts', count(*), 0 FROM orders")
+def ledger_stats(spark, sf_dir):
+    return ledger.stats({"blobs": _blobs(spark, sf_dir), "attempts": _tables(spark, sf_dir)["attempts"]})
+
+
+@query("ledger_collisions", "SELECT CAST(o_custkey AS VARCHAR) AS keyid FROM (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)) a WHERE o_orderstatus <> 'O'")
+def ledger_collisions(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    first = o.groupBy("o_custkey").agg(F.min_by("o_orderstatus", "o_orderkey").alias("state"))
+    batch = first.select(F.col("o_custkey").cast("string").alias("keyid"), "state")
+    return ledger.collisions(batch, batch.withColumn("state", F.lit("O")), ["keyid"])
+
+
+@query("hash_drift", """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'only_left' ELSE 'differs' END AS state FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3""")
+def hash_drift(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.sha2(F.concat("text", F.lit("!")), 256).alias("h2"))
+    other = d.filter("doc_id % 10 <> 0").select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.col("h2")).otherwise(F.col("h")).alias("h"))
+    return ledger.hash_drift(d.select("doc_id", "h"), other, "doc_id", "h")
+
+
+@query("running_quota", "SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 50000 AS within FROM documents")
+def running_quota(spark, sf_dir):
+    return ledger.running_quota(t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], "doc_id", "n_chars", 50_000).select("doc_id", "source", "total", "within")
+
+
+def _attempts(spark, sf_dir):
+    """Events as attempts: mostly in order, some with each kind of fault."""
+    k = F.col("event_id")
+    names = F.array(*[F.lit(o) for o in ledger.OUTCOME_STATUS])
+    outcome = F.element_at(names, (k % 13 + 1).cast("int"))
+    rules = F.create_map(*[x for o, s in ledger.OUTCOME_STATUS.items() for x in (F.lit(o), F.lit(s))])
+    roles = F.create_map(*[x for o, r in ledger.OUTCOME_ROLES.items() for x in (F.lit(o), F.array(*[F.lit(y) for y in r]).cast("array<string>"))])
+    status = F.when(k % 17 == 0, 418).otherwise(F.element_at(rules, outcome))
+    have = F.when(k % 19 == 0, F.array(F.lit("model_reply"))).otherwise(F.element_at(roles, outcome))
+    plot = F.when((outcome == "verified") != (k % 23 == 0), F.concat(F.lit("p"), k.cast("string")))
+    nonce = F.when(k % 29 == 0, "xyz").otherwise(F.md5(k.cast("string")))
+    time = F.when(k % 31 == 0, "2024-02-30T00:00:00.000000Z").otherwise("2024-02-03T04:05:06.000007Z")
+    return t(spark, sf_dir, "events").select(k.cast("string").alias("attempt_id"), nonce.alias("nonce"), time.alias("occurred_at"), F.lit("propose_spec").alias("route"), status.cast("int").alias("http_status"), outcome.alias("outcome"), plot.alias("plot_id"), have.alias("roles"))
+
+
+@query("attempt_shape_violations", """SELECT CAST(event_id AS VARCHAR) AS attempt_id, 'status_matches_outcome' AS rule FROM events WHERE event_id % 17 = 0
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'roles_match_outcome' FROM events WHERE event_id % 19 = 0
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'plot_iff_verified' FROM events WHERE event_id % 23 = 0
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'nonce_format' FROM events WHERE event_id % 29 = 0
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'time_format' FROM events WHERE event_id % 31 = 0""")
+def attempt_shape_violations(spark, sf_dir):
+    return ledger.attempt_violations(_attempts(spark, sf_dir))
+
+
+@query("ledger_certificate_audit", """WITH c AS (SELECT doc_id, sha256('record ' || CAST(doc_id AS VARCHAR)) AS id, sha256(text) AS d FROM documents)
+    SELECT 'sha256:' || CASE WHEN doc_id % 20 = 0 THEN repeat('0', 64) ELSE id END AS certificate_id, field, problem FROM (SELECT doc_id, id, 'certificate_id' AS field, 'address' AS problem FROM c WHERE doc_id % 20 = 0
+    UNION ALL SELECT doc_id, id, 'data' AS field, CASE WHEN stored IS NULL THEN 'missing' ELSE 'content' END FROM (SELECT c.*, (SELECT count(*) FROM documents x WHERE sha256(x.text) = c.d AND x.doc_id % 3 <> 0) AS whole, (SELECT max(1) FROM documents x WHERE sha256(x.text) = c.d) AS stored FROM c) WHERE whole = 0)""")
+def ledger_certificate_audit(spark, sf_dir):
+    """Every third document's stored bytes are damaged (unless an undamaged copy is stored), every twentieth id is wrong."""
+    d = t(spark, sf_dir, "documents")
+    record = F.concat(F.lit("record "), F.col("doc_id").cast("string"))
+    own = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("sha256:"), F.lit("0" * 64))).otherwise(_digest(record))
+    certificates = d.select(own.alias("certificate_id"), record.alias("record"), F.array(F.struct(F.lit("data").alias("field"), _digest(F.col("text")).alias("digest"))).alias("digests"))
+    damaged = F.min(F.col("doc_id") % 3 == 0)
+    blobs = d.groupBy(_digest(F.col("text")).alias("digest")).agg(damaged.alias("damaged"), F.first("text").alias("text")).select("digest", F.concat("text", F.when(F.col("damaged"), "!").otherwise("")).cast("binary").alias("content"))
+    return ledger.certificate_audit(certificates, blobs)
+
+
+@query("replay_status", """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 10 = 0 THEN 'untrusted_key' WHEN o_orderkey % 12 = 5 THEN 'integrity_failed' WHEN o_orderkey % 14 = 3 THEN 'recomputation_failed' WHEN o_orderkey % 16 = 7 THEN 'drift' ELSE 'exact' END AS status,
+    CASE WHEN o_custkey % 10 <> 0 AND o_orderkey % 12 <> 5 AND o_orderkey % 14 <> 3 AND o_orderkey % 16 = 7 THEN 'table_hash' ELSE '' END AS drifted FROM orders""")
+def replay_status(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    base = o.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("keyid"), F.sha2(F.col("o_orderstatus"), 256).alias("spec_hash"), F.sha2(F.col("o_totalprice").cast("decimal(38,2)").cast("string"), 256).alias("table_hash"), (F.col("o_orderkey") % 12 != 5).alias("intact"))
+    fresh = base.filter("o_orderkey % 14 <> 3").select("id", "spec_hash", F.when(F.col("o_orderkey") % 16 == 7, F.sha2("table_hash", 256)).otherwise(F.col("table_hash")).alias("table_hash"))
+    trusted = t(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("keyid")).unionByName(o.filter("o_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("keyid")))
+    return ledger.replay_status(base.drop("o_orderkey"), fresh, trusted, ["spec_hash", "table_hash"])
+
+
+@query("version_drift", "SELECT n_nationkey AS id, 'engine' AS field, CAST(n_regionkey AS VARCHAR) AS archived, '2' AS current FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT n_nationkey, 'form', NULL, '1' FROM nation")
+def version_drift(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("engine"), F.col("n_regionkey").cast("string")).alias("versions"))
+    return ledger.version_drift(n, {"engine": "2", "form": "1"}, "id")
+
+
+@query("audit_documents")
+def audit_documents(spark, sf_dir):
+    attempts = t(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"), F.col("lang").alias("outcome"))
+    return ledger.audit_documents(attempts, _references(spark, sf_dir), _blobs(spark, sf_dir))
+
+
+@query("corpus_digest", """SELECT source, count(*) AS n_files, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text) || chr(10), '' ORDER BY CAST(doc_id AS VARCHAR))) AS sha256 FROM documents GROUP BY 1""")
+def corpus_digest(spark, sf_dir):
+    """One digest per source over its sorted (name, content digest) pairs; pairs are hashed by block first where a source is large."""
+    pairs = t(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))), "")
+    return pairs.groupBy("source").agg(F.count("*").alias("n_files"), F.sha2(joined, 256).alias("sha256"))
+
+
+# --- formulas ------------------------------------------------------------------------------------------------------
+def _formulas(spark, sf_dir):
+    """A polynomial over a grid for every part: coefficients from its key and size."""
+    p = t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    text = F.concat((k % 7).cast("string"), F.lit("*x**2 - "), (k % 11).cast("string"), F.lit("*x + "), (k % 5).cast("string"))
+    return p.select(k.alias("formula_id"), text.alias("formula"), (k % 4 - 2).cast("decimal(18,6)").alias("start"), (k % 4 + 2).cast("decimal(18,6)").alias("stop"), F.lit(9).alias("samples"), F.lit(2).alias("x_scale"), F.lit(2).alias("y_scale"))
+
+
+_GRID = "SELECT p_partkey AS formula_id, p_partkey AS k, i, CAST(p_partkey % 4 - 2 AS DECIMAL(18,2)) + CAST(i AS DECIMAL(18,2)) * 0.5 AS x FROM part, (SELECT unnest(range(0, 9)) AS i)"
+
+
+@query("formula_samples", f"""WITH g AS ({_GRID}), y AS (SELECT *, CAST((k % 7) * x * x - (k % 11) * x + (k % 5) AS DECIMAL(18,4)) AS y FROM g)
+    SELECT formula_id, CAST(i AS INTEGER) AS i, CAST(x AS DECIMAL(38,12)) AS x, CAST(round_even(y, 2) AS DECIMAL(38,12)) AS y, 'ok' AS status FROM y""")
+def formula_samples(spark, sf_dir):
+    fs = _formulas(spark, sf_dir)
+    return formula.evaluated(formula.grid(fs), fs)
+
+
+@query("sample_monotone", "SELECT p_partkey AS formula_id, CAST(8 AS BIGINT) AS n FROM part WHERE p_partkey % 3 = 0")
+def sample_monotone(spark, sf_dir):
+    """Every third part's grid is too fine for its scale, so that all its points fall together."""
+    fs = _formulas(spark, sf_dir)
+    fine = fs.withColumn("x_scale", F.lit(0)).withColumn("stop", F.when(F.col("formula_id") % 3 == 0, F.col("start") + F.lit("0.1").cast("decimal(18,6)")).otherwise(F.col("start") + 8))
+    return formula.collisions(formula.grid(fine)).groupBy("formula_id").agg(F.count("*").alias("n"))
+
+
+@query("formula_column", "SELECT l_orderkey, l_linenumber, CAST(CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS VARCHAR) AS value, 'ok' AS status FROM lineitem")
+def formula_column(spark, sf_dir):
+    df = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.col("l_discount").cast("decimal(4,2)").alias("d"))
+    return formula.formula_column(df, "price*(1 - discount)", {"price": "p", "discount": "d"}, 4).drop("p", "d")
+
+
+def _odd_formulas(spark, sf_dir):
+    fs = _formulas(spark, sf_dir)
+    k = F.col("formula_id") % 8
+    text = F.when(k == 0, F.concat("formula", F.lit(" + y"))).when(k == 1, F.concat(F.lit("sqrt("), "formula", F.lit(")"))).when(k == 2, "x**2**3").when(k == 3, F.concat("formula", F.lit(" +"))).when(k == 4, "x**999").otherwise(F.col("formula"))
+    return fs.withColumn("formula", text).withColumn("stop", F.when(k == 5, F.col("start")).otherwise(F.col("stop")))
+
+
+@query("formula_admission", """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 0 THEN 'formula.names_allowed' WHEN 1 THEN 'formula.functions_allowed' WHEN 2 THEN 'formula.grammar_allowed' WHEN 3 THEN 'formula.grammar_allowed' WHEN 4 THEN 'formula.exponents_bounded' WHEN 5 THEN 'formula.domain_ordered' END AS "check" FROM part""")
+def formula_admission(spark, sf_dir):
+    return formula.admission(_odd_formulas(spark, sf_dir)).select("formula_id", "check")
+
+
+@query("formula_fingerprint", """SELECT p_partkey AS formula_id, 'sha256:' || sha256('attestry-formula/1' || chr(10) || 'grammar=1' || chr(10) || 'rounding=half_even' || chr(10) || 'x_scale=2' || chr(10) || 'y_scale=2' || chr(10) || 'samples=9' || chr(10)
+    || 'start=' || CAST(CAST(p_partkey % 4 - 2 AS DECIMAL(18,6)) AS VARCHAR) || chr(10) || 'stop=' || CAST(CAST(p_partkey % 4 + 2 AS DECIMAL(18,6)) AS VARCHAR) || chr(10)
+    || 'ast=(+ (- (* ' || CAST(p_partkey % 7 AS VARCHAR) || ' (pow x 2)) (* ' || CAST(p_partkey % 11 AS VARCHAR) || ' x)) ' || CAST(p_partkey % 5 AS VARCHAR) || ')') AS fingerprint FROM part""")
+def formula_fingerprint(spark, sf_dir):
+    fs = _formulas(spark, sf_dir)
+    return formula.fingerprints(fs, formula.admission(fs))
+
+
+# --- spec corpora and check reports --------------------------------------------------------------------------------
+_HASH = "sha256:" + "a" * 64
+
+
+def _specs(spark, sf_dir):
+    """A spec for every customer, over ``orders.csv``, most of them sound."""
+    c = t(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 10
+    field = F.when(k == 2, "o_nothing").otherwise("o_totalprice")
+    value = F.when(k == 3, "1.5").otherwise(F.concat(F.lit('"'), F.lit("F"), F.lit('"')))
+    fn = F.when(k == 4, '"o_orderstatus","fn":"sum"').otherwise(F.concat(F.lit('"'), field, F.lit('","fn":"sum"')))
+    digest = F.when(k == 5, "sha256:" + "b" * 64).otherwise(_HASH)
+    name = F.when(k == 6, "nowhere.csv").otherwise("orders.csv")
+    x = F.when(k == 7, '"o_orderpriority","type":"temporal"').otherwise('"o_orderpriority","type":"nominal"')
+    extra = F.when(k == 8, ',"note":1').otherwise("")
+    raw = F.concat(F.lit('{"version":"1","dataset":{"name":"'), name, F.lit('","hash":"'), digest, F.lit('"},"transform":[{"op":"filter","field":"o_orderstatus","cmp":"eq","value":'), value, F.lit('},{"op":"group_by","keys":["o_orderpriority"]},{"op":"aggregate","measures":[{"field":'), fn, F.lit(',"as":"total"}]}],"mark":"bar","encoding":{"x":{"field":'), x, F.lit('},"y":{"field":"total","type":"quantitative"}}'), extra, F.lit("}"))
+    return c.select(F.col("c_custkey").cast("string").alias("spec_id"), F.col("c_mktsegment").alias("corpus"), raw.alias("raw"), F.when((k >= 2) & (k <= 8), "reject").otherwise("accept").alias("expected"))
+
+
+_SCHEMAS, _HASHES = {"orders.csv": ORDERS}, {"orders.csv": _HASH}
+_SPEC_CHECK = """CASE c_custkey % 10 WHEN 2 THEN 'schema.fields_exist' WHEN 3 THEN 'spec.decode' WHEN 4 THEN 'schema.field_types_match' WHEN 5 THEN 'dataset.hash_matches_source' WHEN 6 THEN 'dataset.manifest_available' WHEN 7 THEN 'encoding.axis_types_match_fields' WHEN 8 THEN 'spec.decode' END"""
+
+
+@query("spec_admission", f"""SELECT CAST(c_custkey AS VARCHAR) AS spec_id, {_SPEC_CHECK} AS "check", CASE WHEN c_custkey % 10 IN (3, 8) THEN 'decode' WHEN c_custkey % 10 IN (5, 6) THEN 'binding' WHEN c_custkey % 10 IN (2, 4) THEN 'plan' WHEN c_custkey % 10 = 7 THEN 'encoding' END AS stage FROM customer""")
+def spec_admission(spark, sf_dir):
+    return corpus.admission(_specs(spark, sf_dir), _SCHEMAS, _HASHES).select("spec_id", "check", "stage")
+
+
+@query("check_report", f"""SELECT coalesce({_SPEC_CHECK}, 'none') AS "check", count(*) AS n FROM customer GROUP BY 1""")
+def check_report(spark, sf_dir):
+    got = corpus.admission(_specs(spark, sf_dir), _SCHEMAS, _HASHES)
+    return got.groupBy(F.coalesce("check", F.lit("none")).alias("check")).agg(F.count("*").alias("n"))
+
+
+@query("spec_guarantee", """SELECT c_mktsegment AS corpus, count(*) AS n, CAST(0 AS BIGINT) AS false_accepts, CAST(0 AS BIGINT) AS false_rejects, CAST(0 AS BIGINT) AS errors FROM customer GROUP BY 1""")
+def spec_guarantee(spark, sf_dir):
+    specs = _specs(spark, sf_dir)
+    got = corpus.admission(specs, _SCHEMAS, _HASHES).select("spec_id", F.when(F.col("check").isNull(), "accept").otherwise("reject").alias("verdict"))
+    return replies.guarantee(specs.join(got, "spec_id"))
+
+
+@query("spec_pairing", """SELECT CAST(c_custkey AS VARCHAR) AS spec_id, c_custkey % 10 <> 6 AS has_manifest, c_custkey % 10 NOT IN (5, 6) AS bound FROM customer""")
+def spec_pairing(spark, sf_dir):
+    specs = _specs(spark, sf_dir).select("spec_id", F.get_json_object("raw", "$.dataset.name").alias("name"), F.get_json_object("raw", "$.dataset.hash").alias("declared"))
+    catalogue = spark.createDataFrame([(n, h) for n, h in _HASHES.items()], "name string, sha256 string")
+    return specs.join(F.broadcast(catalogue), "name", "left").select("spec_id", F.col("sha256").isNotNull().alias("has_manifest"), F.coalesce(F.col("sha256") == F.col("declared"), F.lit(False)).alias("bound"))
+
+
+@query("bulk_verify")
+def bulk_verify(spark, sf_dir):
+    """One spec per order priority, recomputed; each spec's result is identified by its digest lanes."""
+    o = t(spark, sf_dir, "orders").select("o_orderpriority").distinct()
+    raw = F.concat(F.lit('{"version":"1","dataset":{"name":"orders.csv","hash":"' + _HASH + '"},"transform":[{"op":"filter","field":"o_orderpriority","cmp":"eq","value":"'), "o_orderpriority", F.lit('"},{"op":"group_by","keys":["o_orderstatus"]},{"op":"aggregate","measures":[{"field":"o_totalprice","fn":"mean","as":"mean_price"}]}],"mark":"bar","encoding":{"x":{"field":"o_orderstatus","type":"nominal"},"y":{"field":"mean_price","type":"quantitative"}}}'))
+    admitted = corpus.admission(o.select(F.col("o_orderpriority").alias("spec_id"), raw.alias("raw")), _SCHEMAS, _HASHES)
+    return corpus.verified_results(admitted, _SCHEMAS, lambda name: orders(spark, sf_dir))
+
+
+@query("axis_titles", """SELECT n_nationkey, 'Total price (USD)' AS title, 'o_totalprice' AS source FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'Count of records', NULL FROM nation WHERE n_nationkey % 2 = 1""")
+def axis_titles(spark, sf_dir):
+    """Titles of a plotted column per nation: a quantity's for even keys, a count's for odd ones."""
+    p = Pipeline(ORDERS).group_by("o_orderstatus").aggregate(("o_totalprice", "max", "top"), ("o_orderkey", "count", "n")).group_by("o_orderstatus").aggregate(("top", "max", "top"), ("n", "max", "n"))
+    rows = [(f, p.axis_title(f), p.lineage[f]) for f in ("top", "n")]
+    titles = spark.createDataFrame(rows, "field string, title string, source string")
+    n = t(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "top").otherwise("n").alias("field"))
+    return n.join(F.broadcast(titles), "field").select("n_nationkey", "title", "source")
+
+
+# --- scan ----------------------------------------------------------------------------------------------------------
+REGION_CSV = TableSchema((Numeric("key"), Text("name"), Numeric("balance", 2, "USD"), Temporal("day", "date")))
+
+
+def _csv(spark, sf_dir, *, broken: bool) -> str:
+    """Suppliers as CSV files, one folder for each nation; some nations' files have a bad cell."""
+    s = t(spark, sf_dir, "supplier")
+    bal = F.col("s_acctbal").cast("decimal(18,2)").cast("string")
+    bad = (F.col("s_nationkey") % 5 == 0) if broken else F.lit(False)
+    day = F.when((F.col("s_nationkey") % 7 == 0) if broken else F.lit(False), "2024-1-1").otherwise("2024-01-31")
+    rows = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"), F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.when(bad, F.concat(bal, F.lit("7"))).otherwise(bal).alias("balance"), day.alias("day"))
+    path = f"{fresh_path(spark)}"
+    rows.repartition("nation").write.partitionBy("nation").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query("scan_gates", """SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS nation, sum(CASE WHEN s_nationkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_numbers, sum(CASE WHEN s_nationkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_dates, CAST(0 AS BIGINT) AS bad_files FROM supplier GROUP BY 1""")
+def scan_gates(spark, sf_dir):
+    path = _csv(spark, sf_dir, broken=True)
+    nation = lambda c: F.regexp_extract(c, "nation=([^/]+)", 1)
+    raw = scan.raw_csv(spark, f"{path}/*/*.csv", REGION_CSV).withColumn("nation", nation(F.input_file_name()))
+    cells = scan.cell_failures(raw, REGION_CSV, by="nation").groupBy("nation").pivot("check", ["data.numeric_value", "data.temporal_value"]).agg(F.sum("n")).toDF("nation", "bad_numbers", "bad_dates")
+    found = spark.read.format("binaryFile").load(f"{path}/*/*.csv").select(F.col("path").alias("name"), "length", "content")
+    gates = scan.gates(found, REGION_CSV).groupBy(nation(F.col("name")).alias("nation")).agg(F.count_if(F.col("status") == "fail").alias("bad_files"))
+    return cells.join(gates, "nation", "left")
+
+
+@query("typed_scan", "SELECT CAST(s_suppkey AS DECIMAL(38,0)) AS key, s_name AS name, CAST(s_acctbal AS DECIMAL(38,2)) AS balance, DATE '2024-01-31' AS day FROM supplier")
+def typed_scan(spark, sf_dir):
+    path = _csv(spark, sf_dir, broken=False)
+    return scan.typed_csv(scan.raw_csv(spark, f"{path}/*/*.csv", REGION_CSV), REGION_CSV)
+
+
+@query("dataset_profile", "SELECT * FROM (VALUES (1, 'key (numeric:0)'), (2, 'name (string)'), (3, 'balance (numeric:2, unit USD)'), (4, 'day (temporal:date)')) v(position, description), (SELECT count(*) AS n_rows FROM supplier)")
+def dataset_profile(spark, sf_dir):
+    raw = scan.raw_csv(spark, f"{_csv(spark, sf_dir, broken=False)}/*/*.csv", REGION_CSV)
+    return scan.profile(raw, REGION_CSV).join(F.broadcast(raw.agg(F.count("*").alias("n_rows"))))
+
+
+@query("chart_rows", f"""WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, '{{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","total":' || CAST(total AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}}' AS row FROM a""")
+def chart_rows(spark, sf_dir):
+    return canonical.chart_rows(BY_STATUS.positioned(orders(spark, sf_dir), rows_at_most=1000), BY_STATUS.schema)
+
+
+@query("encoding_checks", """SELECT c_mktsegment, 'encoding.axis_types_match_fields' AS "check", CASE WHEN c_mktsegment = (SELECT min(c_mktsegment) FROM customer) THEN 'fail' ELSE 'pass' END AS status FROM (SELECT DISTINCT c_mktsegment FROM customer)
+    UNION ALL SELECT DISTINCT c_mktsegment, 'encoding.fields_exist_in_plotted_table', 'pass' FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'label.quantitative_units_present', 'pass' FROM customer""")
+def encoding_checks(spark, sf_dir):
+    """The three encoding checks of two encodings of one pipeline, dealt over the segments."""
+    p = Pipeline(CUSTOMER).group_by("c_mktsegment").aggregate(("c_acctbal", "mean", "mean_balance")).closed()
+    rows = [(wrong, c, s) for wrong in (True, False) for c, s, _ in p.encoding_results(Channel("c_mktsegment", "temporal" if wrong else "nominal"), Channel("mean_balance", "quantitative"))]
+    results = spark.createDataFrame(rows, "wrong boolean, check string, status string")
+    c = t(spark, sf_dir, "customer")
+    first = c.agg(F.min("c_mktsegment").alias("first"))
+    segments = c.select("c_mktsegment").distinct().join(F.broadcast(first)).select("c_mktsegment", (F.col("c_mktsegment") == F.col("first")).alias("wrong"))
+    return segments.join(F.broadcast(results), "wrong").select("c_mktsegment", "check", "status")
+
+
+@query("verdicts", """SELECT o_orderpriority, sum(CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) = 0 AND sum(CASE WHEN o_orderkey % 2 = 3 THEN 1 ELSE 0 END) = 0 AS verified FROM orders GROUP BY 1""")
+def verdicts(spark, sf_dir):
+    """A report per priority over two checks: no price below 1000, no impossible key."""
+    o = t(spark, sf_dir, "orders")
+    one = lambda i, check, bad: o.groupBy("o_orderpriority").agg(F.count_if(bad).alias("k")).select("o_orderpriority", F.lit(i).alias("stage"), F.lit(check).alias("check"), F.when(F.col("k") > 0, "fail").otherwise("pass").alias("status"))
+    results = one(0, "data.numeric_value", F.col("o_totalprice") < 1000).unionByName(one(1, "data.row_width", F.col("o_orderkey") % 2 == 3))
+    return checks.verdict(results, "o_orderpriority").select("o_orderpriority", "verified")
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+def _stream(spark, sf_dir, name):
+    pattern = f"{sf_dir}/[{name[0]}]{name[1:]}.parquet"  # a pattern: the source takes folders, and these may be files
+    return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(pattern)
+
+
+@query("token_bucket")
+def token_bucket(spark, sf_dir):
+    return streams.token_bucket(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", rate=1, burst=2)
+
+
+@query("stream_guard", "SELECT conv_id, turn, '' AS signals FROM conversations")
+def stream_guard(spark, sf_dir):
+    got = streams.drained(streams.guarded(_stream(spark, sf_dir, "conversations"), "text"))
+    return got.select("conv_id", "turn", F.concat_ws(",", "signals").alias("signals"))
+
+
+@query("stream_rates", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1")
+def stream_rates(spark, sf_dir):
+    return streams.drained(streams.running_counts(_stream(spark, sf_dir, "events"), "event_type", flags={"high": F.col("value") > 50}), "complete")
+
+
+@query("stream_ledger", "SELECT DISTINCT event_id FROM events")
+def stream_ledger(spark, sf_dir):
+    s = _stream(spark, sf_dir, "events")
+    twice = s.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return streams.drained(streams.distinct_attempts(twice, "event_id", "ts")).select("event_id")

@@ -66,7 +66,7 @@ def cell_failures(raw: DataFrame, schema: TableSchema, by: str = "__file") -> Da
         if bad:
             tests.append(sum((F.count_if(b) for b in bad[1:]), F.count_if(bad[0])).alias(name))
     counted = raw.groupBy(by).agg(*tests)
-    return counted.unpivot([by], [c for c in counted.columns if c != by], "check", "n")
+    return counted.unpivot([by], [F.col(f"`{c}`") for c in counted.columns if c != by], "check", "n")
 
 
 def typed_csv(raw: DataFrame, schema: TableSchema) -> DataFrame:
