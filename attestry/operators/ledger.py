@@ -128,11 +128,17 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def running_quota(blobs: DataFrame, by: list[str], order: str, size: str, quota: int) -> DataFrame:
-    """The running total of bytes in publication order, and whether it is still within the quota."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(size).over(w)
-    return blobs.withColumn("total", total).withColumn("within", F.col("total") <= quota)
+def running_quota(blobs: DataFrame, by: list[str], order: str, size: str, quota: int, *, block: int = 10_000) -> DataFrame:
+    """The running total of bytes in publication order (a number), and whether it is still within the quota.
+
+    Totals run inside blocks of ``order``, on top of what the blocks before hold: no task gets a whole partition.
+    """
+    rows = blobs.withColumn("__block", F.floor(F.col(order) / block))
+    sums = rows.groupBy(*by, "__block").agg(F.sum(size).alias("__sum"))
+    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy(*by).orderBy("__block")) - F.col("__sum")).drop("__sum")
+    w = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totalled = rows.join(before, [*by, "__block"]).withColumn("total", (F.col("__before") + F.sum(size).over(w)).cast("long"))
+    return totalled.withColumn("within", F.col("total") <= quota).drop("__block", "__before")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

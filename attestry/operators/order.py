@@ -38,18 +38,31 @@ def positions(df: DataFrame, order: Sequence[Column], *, name: str = "pos", rows
     return ranked.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + row + 1).drop("__part", "__at", "__before")
 
 
-def inversions(df: DataFrame, position: str, sort: Sequence[tuple[str, bool]], within: Sequence[str] = ()) -> DataFrame:
-    """Rows that stand behind a row they should precede: ``within..., position`` of each, NULL greatest."""
-    w = Window.partitionBy(*within).orderBy(position)
-    worse: Column = F.lit(False)
-    for name, descending in reversed(list(sort)):
-        now, prev = F.col(name), F.lag(name).over(w)
-        greater = (prev.isNull() & now.isNotNull()) | (prev > now)
-        less = (now.isNull() & prev.isNotNull()) | (prev < now)
-        wrong = less if descending else greater
-        worse = F.coalesce(wrong, F.lit(False)) | (now.eqNullSafe(prev) & worse)
-    first = F.lag(F.lit(1)).over(w).isNull()
-    return df.withColumn("__bad", ~first & worse).filter("__bad").select(*within, position)
+def inversions(df: DataFrame, position: str, sort: Sequence[tuple[str, bool]], *, block_rows: int = 1_000_000) -> DataFrame:
+    """Rows that stand behind a row they should precede, by neighbours in position order; NULL is the greatest value.
+
+    Positions are dense numbers.  Neighbours are compared inside blocks of positions; of each block, only its first and
+    last row meet the next block's, so that no task holds the whole order.
+    """
+    names = [n for n, _ in sort]
+    block = F.floor(F.col(position) / block_rows)
+
+    def worse(now, prev) -> Column:
+        out: Column = F.lit(False)
+        for name, descending in reversed(list(sort)):
+            a, b = now(name), prev(name)
+            greater = (b.isNull() & a.isNotNull()) | (b > a)
+            less = (a.isNull() & b.isNotNull()) | (b < a)
+            out = F.coalesce(less if descending else greater, F.lit(False)) | (a.eqNullSafe(b) & out)
+        return out
+
+    inner = Window.partitionBy("__block").orderBy(position)
+    rows = df.withColumn("__block", block)
+    inside = rows.withColumn("__bad", F.lag(F.lit(True)).over(inner).isNotNull() & worse(F.col, lambda n: F.lag(F.col(n)).over(inner))).filter("__bad").drop("__bad", "__block")
+    ends = rows.groupBy("__block").agg(F.min_by(F.struct(*df.columns), position).alias("first"), F.max_by(F.struct(*names), position).alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(Window.orderBy("__block"))).filter("before is not null")  # two rows of each block
+    across = between.filter(worse(lambda n: F.col(f"first.{n}"), lambda n: F.col(f"before.{n}"))).select("first.*")
+    return inside.unionByName(across)
 
 
 def category_domain(df: DataFrame, column: str, position: str) -> DataFrame:

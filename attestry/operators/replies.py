@@ -57,9 +57,11 @@ def with_chart_signals(df: DataFrame, column: str) -> DataFrame:
 def guard_last(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The messages with the text of each conversation's last one replaced by a notice, where an assistant's reply holds
     a chart that nobody recomputed; ``blocked`` marks it."""
-    last = F.max(turn).over(Window.partitionBy(conversation)) == F.col(turn)
-    blocked = last & (F.col(role) == "assistant") & (F.size(chart_signals(F.col(text))) > 0)
-    return messages.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn(text, F.when(F.col("blocked"), NOTICE).otherwise(F.col(text)))
+    ends = messages.groupBy(conversation).agg(F.max(turn).alias("__last"))
+    columns = messages.columns
+    messages = messages.join(ends, conversation)
+    blocked = (F.col("__last") == F.col(turn)) & (F.col(role) == "assistant") & (F.size(chart_signals(F.col(text))) > 0)
+    return messages.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn(text, F.when(F.col("blocked"), NOTICE).otherwise(F.col(text))).select(*columns, "blocked")
 
 
 def guarantee(verdicts: DataFrame) -> DataFrame:

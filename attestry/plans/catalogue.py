@@ -206,12 +206,11 @@ def result_parity(spark, sf_dir):
 
 
 # --- order and domain checks ---------------------------------------------------------------------------------------
-@query("order_inversions", """WITH p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos, CAST(value AS DECIMAL(38,4)) AS value FROM events),
-    w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY pos) AS before FROM p) SELECT event_type, count(*) AS n, min(pos) AS first_pos FROM w WHERE pos > 1 AND before > value GROUP BY 1""")
+@query("order_inversions", """WITH p AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS pos, CAST(value AS DECIMAL(38,4)) AS value FROM events),
+    w AS (SELECT *, lag(value) OVER (ORDER BY pos) AS before FROM p) SELECT event_type, count(*) AS n, min(pos) AS first_pos FROM w WHERE before > value GROUP BY 1""")
 def order_inversions(spark, sf_dir):
-    df = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long"))
-    bad = order.inversions(df, "pos", [("value", False)], within=["event_type"])
-    return bad.groupBy("event_type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    df = order.positions(events(spark, sf_dir), [order.order_key("ts"), order.order_key("event_id")])
+    return order.inversions(df, "pos", [("value", False)], block_rows=1000).groupBy("event_type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 _FIRST = "SELECT event_type AS value, min(event_id) AS first FROM events GROUP BY 1"
@@ -417,10 +416,12 @@ def ledger_plot_bundle(spark, sf_dir):
     return ledger.with_blobs(refs, _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
 
 
-@query("ledger_envelopes", f"""SELECT attempt_id, role, CAST(row_number() OVER (PARTITION BY blob_digest ORDER BY role, attempt_id) AS INTEGER) AS place FROM ({_REFS})""")
+@query("ledger_envelopes", "SELECT 'a' || CAST(doc_id // 8 AS VARCHAR) AS attempt_id, 'r' || CAST(doc_id % 8 AS VARCHAR) AS role, CAST(row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id % 8, doc_id) AS INTEGER) AS place, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def ledger_envelopes(spark, sf_dir):
-    joined = ledger.with_blobs(_references(spark, sf_dir), _blobs(spark, sf_dir).drop("content").withColumn("content", F.lit(None).cast("binary")))
-    return joined.select("attempt_id", "role", F.row_number().over(Window.partitionBy("blob_digest").orderBy("role", "attempt_id")).alias("place"))
+    """Eight documents are the references of an attempt; they come in role order."""
+    refs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a"), F.floor(F.col("doc_id") / 8).cast("string")).alias("attempt_id"), F.concat(F.lit("r"), (F.col("doc_id") % 8).cast("string")).alias("role"), _digest(F.col("text")).alias("blob_digest"), F.col("lang").alias("blob_kind"))
+    joined = ledger.with_blobs(refs, _blobs(spark, sf_dir))
+    return joined.select("attempt_id", "role", F.row_number().over(Window.partitionBy("attempt_id").orderBy("role", "doc_id")).alias("place"), "size")
 
 
 @query("ledger_stats", f"SELECT 'blobs' AS \"table\", count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS logical_bytes FROM ({_BLOBS}) UNION ALL SELECT 'attempts', count(*), 0 FROM orders")
@@ -508,12 +509,13 @@ def audit_documents(spark, sf_dir):
     return ledger.audit_documents(attempts, _references(spark, sf_dir), _blobs(spark, sf_dir))
 
 
-@query("corpus_digest", """SELECT source, count(*) AS n_files, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text) || chr(10), '' ORDER BY CAST(doc_id AS VARCHAR))) AS sha256 FROM documents GROUP BY 1""")
+@query("corpus_digest", """WITH p AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h FROM documents),
+    b AS (SELECT source, substr(sha256(name), 1, 3) AS block, count(*) AS n, sha256(string_agg(name || chr(0) || h || chr(10), '' ORDER BY name)) AS h FROM p GROUP BY 1, 2)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(block || h || chr(10), '' ORDER BY block)) AS sha256 FROM b GROUP BY 1""")
 def corpus_digest(spark, sf_dir):
-    """One digest per source over its sorted (name, content digest) pairs; pairs are hashed by block first where a source is large."""
+    """One digest per source over its sorted (name, content digest) pairs, by blocks of names, as a source may be large."""
     pairs = t(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))), "")
-    return pairs.groupBy("source").agg(F.count("*").alias("n_files"), F.sha2(joined, 256).alias("sha256"))
+    return scan.identity_by_blocks(pairs, "source")
 
 
 # --- formulas ------------------------------------------------------------------------------------------------------

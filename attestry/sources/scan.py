@@ -31,6 +31,13 @@ def corpus_identity(found: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_files"), F.sha2(joined, 256).alias("sha256"))
 
 
+def identity_by_blocks(pairs: DataFrame, by: str) -> DataFrame:
+    """``by, n_files, sha256`` of many (name, h) pairs: 4096 blocks by the name's hash are digested first, then their digests."""
+    joined = lambda c, f: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), f), ""), 256)
+    blocks = pairs.groupBy(by, F.substring(F.sha2("name", 256), 1, 3).alias("block")).agg(F.count("*").alias("n"), joined(F.struct("name", "h"), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))).alias("h"))
+    return blocks.groupBy(by).agg(F.sum("n").alias("n_files"), joined(F.struct("block", "h"), lambda x: F.concat(x["block"], x["h"], F.lit("\n"))).alias("sha256"))
+
+
 def gates(found: DataFrame, schema: TableSchema, *, most_bytes: int = LIMITS["file_bytes"]) -> DataFrame:
     """``name, check, status`` of what the bytes alone decide: size, charset, header, blank lines."""
     text = F.col("content").cast("string")

@@ -147,6 +147,7 @@ def test_block_digest_of_larger_tables(spark):
 def test_inversions_and_domains(spark):
     df = spark.createDataFrame([(1, 5), (2, 7), (3, 6), (4, None), (5, 1)], "pos long, v int")
     assert [r.pos for r in order.inversions(df, "pos", [("v", False)]).orderBy("pos").collect()] == [3, 5]
+    assert [r.pos for r in order.inversions(df, "pos", [("v", False)], block_rows=2).orderBy("pos").collect()] == [3, 5]
     assert [r.pos for r in order.inversions(df, "pos", [("v", True)]).orderBy("pos").collect()] == [2, 4]
     shown, declared = spark.createDataFrame([("a",), ("b",)], "value string"), spark.createDataFrame([("b",), ("c",)], "value string")
     assert sorted(map(tuple, order.domain_difference(shown, declared).collect())) == [("a", "missing"), ("c", "extra")]
