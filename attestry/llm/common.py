@@ -44,17 +44,25 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows with texts go to Python in batches of a thousand at most, not ten thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")
+
+
 def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], limit: int = STEP_BYTES) -> DataFrame:
     """``work`` on every slice of ``df`` with bounded text; it returns columns by name (or nothing)."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     shape = to_arrow_schema(kind)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in steps(batches, text, limit):
             out = work(piece)
             if out is None:
                 continue
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in shape)], schema=shape)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in shape)], schema=shape)
 
     return df.mapInArrow(run, kind)
 

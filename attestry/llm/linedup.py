@@ -11,9 +11,10 @@ only starts that leave enough edits for both sides).  Lines that meet under a ke
 parity sketch of their characters first (an edit flips two bits of it at most), then the edit distance by a banded
 bit-parallel recurrence on what is left between their common ends.  A line stops at its first earlier partner.
 
-Keys that hold a large share of a step's lines are found beforehand; their lines are dealt over pairs of blocks, so
-that every two of them still meet but no task gets all of them.  Texts travel only for lines that have a possible
-partner.
+Distinct lines are handled by the chunk that holds their first occurrence (see ``chunks``).  Keys that one line alone
+has drop out in an exchange of packed key names, which also counts how many lines hold a key: lines of a key with
+more than BLOCK are dealt over pairs of blocks, so that every two of them still meet but no task gets all of them.
+Texts travel only for lines that have a possible partner.
 
 Edge cases: null text is kept as it is and has no lines; documents without an id keep all their lines; rows that
 repeat a ``doc_id`` and text are one document (all keep the first occurrence); a document that loses every line
@@ -25,19 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, map_steps
+from .chunks import NO_ID, Names, Rounds, Texts, packed
 
 EDITS, LEAST = 2, 24
-#: A key is dealt over blocks when it holds this share of a step's lines (and at least so many) and BLOCK lines in all.
-HOT_SHARE, HOT_LEAST, BLOCK = 1 / 1024, 16, 4096
-#: So many hot keys are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 200_000
-_STEP = 2 << 20
+#: Lines are spread out as 64-bit codes, so that chunks are smaller here.
+CHUNK_BYTES = 4 << 20
+#: More lines under one key are dealt over pairs of blocks of this size.
+BLOCK = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -86,30 +88,46 @@ def within(a: str, b: str, most: int) -> bool:
 
 def _power(n: int, held: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  (kept between calls)
     """Powers of the hash base and of its inverse, modulo 2**64."""
-    if not held or len(held[0]) < n:
-        held[:] = [np.concatenate([[1], np.full(n, x, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64) for x in (_BASE, _BACK)]
+    if not held or len(held[0]) <= n:
+        held.clear()
+        for x in (_BASE, _BACK):
+            powers = np.full(n + 1, x, np.uint64)
+            powers[0] = 1
+            held.append(powers.cumprod(dtype=np.uint64))
     return held[0][: n + 1], held[1][: n + 1]
 
 
 class Lines:
-    """The distinct lines of some texts that take part, with their keys."""
+    """The distinct lines of a chunk that take part, with their first occurrence in it and their keys."""
 
-    def __init__(self, texts: list[str | None], ids: list[int | None], least: int):
+    def __init__(self, blob: bytes, least: int):
+        self.texts = Texts(blob)
         first: dict[str, tuple[int, int]] = {}
-        for i in sorted((i for i, x in enumerate(texts) if x is not None and ids[i] is not None), key=lambda i: ids[i]):
-            for n, line in enumerate(texts[i].split("\n")):
+        self.documents: list[list[str] | None] = []
+        for i, text in zip(self.texts.ids.tolist(), self.texts.texts(), strict=True):
+            lines = None if text is None else text.decode("utf-8", "replace").split("\n")
+            self.documents.append(lines)
+            for n, line in enumerate(lines or ()) if i != NO_ID else ():
                 if len(line) >= least:
-                    first.setdefault(line, (ids[i], n))
+                    first.setdefault(line, (i, n))
         self.lines = list(first)
+        self.ids, self.numbers = np.array([x[0] for x in first.values()], "<i8"), np.array([x[1] for x in first.values()], "<i4")
         self.size = np.array([len(x) for x in self.lines], np.int64)
-        self.end = np.cumsum(self.size)
-        self.begin = self.end - self.size
-        code = np.frombuffer("".join(self.lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        if self.lines:
-            power, self.back = _power(len(code))
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), self.begin)
-            self.hash = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 42) for x in self.lines], np.uint64)
+        raw = [x.encode() for x in self.lines]
+        self.hash = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64)
+        self.names = lambda buckets: Names(self.hash, np.array([xxhash.xxh64_intdigest(x, 43) for x in raw], np.uint64), buckets)
+
+    def only(self, own: np.ndarray) -> None:
+        """Make ready the keys of some of the lines."""
+        self.own = own
+        lines = [self.lines[i] for i in own.tolist()]
+        self.own_size = self.size[own]
+        self.end = np.cumsum(self.own_size)
+        self.begin = self.end - self.own_size
+        code = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+        power, self.back = _power(len(code))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), self.begin) if len(own) else np.empty(0, np.uint64)
 
     def _key(self, at: np.ndarray, n: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
         value = (self.sums[at + n] - self.sums[at]) * self.back[at]
@@ -117,11 +135,12 @@ class Lines:
         return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
     def keys(self, edits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(key, line number): own segments, and substrings where a segment of a line shorter by 0..edits can stand."""
+        """(key, index in ``own``), each pair once: own segments, and substrings where a segment of a line shorter by 0..edits can stand."""
         keys, which = [], []
         parts = edits + 1
+        size = self.own_size
         for gap in range(parts):
-            length = self.size - gap
+            length = size - gap
             short, extra = length // parts, length % parts
             at = np.zeros_like(length)
             for k in range(parts):
@@ -130,34 +149,16 @@ class Lines:
                 hi = np.minimum(at + k, at + gap + (edits - k))
                 for move in range(2 * edits + 1):
                     start = lo + move
-                    ok = np.flatnonzero((start <= hi) & (start >= 0) & (start + n <= self.size) & (n > 0))
-                    if ok.size:
-                        keys.append(self._key(self.begin[ok] + start[ok], n[ok], length[ok], k))
-                        which.append(ok)
+                    ok = np.flatnonzero((start <= hi) & (start >= 0) & (start + n <= size) & (n > 0))
+                    keys.append(self._key(self.begin[ok] + start[ok], n[ok], length[ok], k))
+                    which.append(ok)
                 at = at + n
-        return np.concatenate(keys), np.concatenate(which)
-
-
-def _lines_of(piece: pa.RecordBatch, least: int) -> Lines:
-    return Lines(piece.column("text").to_pylist(), piece.column("doc_id").to_pylist(), least)
-
-
-def hot_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """``key, blocks`` of keys that hold more than BLOCK distinct lines and a large share somewhere.
-
-    A step reports at most (keys per line) / HOT_SHARE keys.
-    """
-
-    def work(piece: pa.RecordBatch) -> dict | None:
-        own = _lines_of(piece, least)
-        if not own.lines:
-            return None
-        key, n = np.unique(own.keys(edits)[0], return_counts=True)
-        on = n >= max(HOT_LEAST, HOT_SHARE * len(own.lines))
-        return {"key": key[on].view(np.int64), "n": n[on].astype(np.int64)} if on.any() else None
-
-    total = map_steps(docs, "text", "key long, n long", work, limit=_STEP).groupBy("key").agg(F.sum("n").alias("n"))
-    return total.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        key, line = np.concatenate(keys), np.concatenate(which)
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        return key[new], line[new]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
@@ -184,18 +185,73 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: i
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _key_names(keys: np.ndarray, buckets: int) -> Names:
+    return Names(keys, (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), buckets)
+
+
+class Work:
+    """A chunk's lines together with the answers so far."""
+
+    def __init__(self, blob: bytes, answers: dict, edits: int, least: int, buckets: int):
+        self.all, self.answers, self.edits, self.buckets = Lines(blob, least), answers, edits, buckets
+
+    def elsewhere(self) -> np.ndarray:
+        """Lines whose first occurrence is in another chunk."""
+        names = self.all.names(self.buckets)
+        return names.flags(self.answers.get("lines", {}))[names.of]
+
+    def keyed(self) -> tuple[np.ndarray, np.ndarray, Names]:
+        self.all.only(np.flatnonzero(~self.elsewhere()))
+        key, line = self.all.keys(self.edits)
+        return key, line, _key_names(key, self.buckets)
+
+    def meeting(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, block, index in ``own``) of the keys that several lines hold."""
+        key, line, names = self.keyed()
+        held = np.zeros(len(names.first), np.int64)
+        for b, (flags, total) in self.answers.get("keys", {}).items():
+            on = np.flatnonzero(np.unpackbits(flags, count=names.cut[b + 1] - names.cut[b])) + names.cut[b]
+            held[on] = total
+        held = held[names.of]
+        on = held > 1
+        key, line, blocks = key[on], line[on], -(-held[on] // BLOCK)
+        mine = (self.all.hash[self.all.own[line]] % blocks.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(key)), blocks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        block = np.minimum(mine[at], other) * blocks[at] + np.maximum(mine[at], other)
+        return key[at], block, line[at]
+
+    def near(self) -> np.ndarray:
+        out = np.zeros(len(self.all.lines), bool)
+        for (line,) in self.answers.get("near", {}).values():
+            out[line] = True
+        return out
+
+
+def _earlier(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    name, i, n = columns
+    order = np.lexsort((n, i, name))
+    new = np.ones(len(name), bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    first = order[new][np.cumsum(new) - 1]
+    flag = np.empty(len(name), bool)
+    flag[order] = (i[order] != i[first]) | (n[order] != n[first])
+    return flag, []
+
+
+def _held(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    _, group = np.unique(columns[0], return_inverse=True)
+    total = np.bincount(group, columns[1]).astype(np.int64)[group]
+    return total > 1, [total]
+
+
 def _possible(edits: int):
     """Lines that meet another line of like length and sketch under a key."""
-    shape = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())])
+    shape = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("chunk", pa.int64()), ("line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, ("key", "block"), 400_000):
-            key, block, h, size, sketch = (part.column(c).to_numpy() for c in ("key", "block", "hash", "size", "sketch"))
-            order = np.lexsort((size, h, block, key))
-            key, block, h, size, sketch = (x[order] for x in (key, block, h, size, sketch))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (h[1:] != h[:-1]) | (size[1:] != size[:-1])
-            key, block, h, size, sketch = (x[new] for x in (key, block, h, size, sketch))
+            key, block, chunk, line, size, sketch = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line", "size", "sketch"))
             sketch = sketch.view(np.uint64)
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
@@ -207,93 +263,107 @@ def _possible(edits: int):
                 on[at[like]] = on[at[like] + step] = True
                 step += 1
             if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[on], type=f.type) for x, f in zip((key, block, h, size), shape, strict=True)], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(x[on], type=f.type) for x, f in zip((key, block, chunk, line), shape, strict=True)], schema=shape)
 
     return run
 
 
 def _confirmed(edits: int):
     """Lines of a group (sorted by first place) with an earlier line within the edits."""
-    shape = pa.schema([("hash", pa.int64()), ("size", pa.int32())])
+    shape = pa.schema([("chunk", pa.int64()), ("line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, ("key", "block"), 20_000):
-            key, block, h, size = (part.column(c).to_numpy() for c in ("key", "block", "hash", "size"))
-            text = part.column("line")
+            key, block, chunk, line = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line"))
+            text = part.column("text")
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             lo, hi = np.flatnonzero(start), np.append(np.flatnonzero(start)[1:], len(key))
             found = []
             for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                 lines = text.slice(a, b - a).to_pylist()
-                code = [np.bitwise_xor.reduce(np.uint64(1) << (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64(63))) for x in lines]
-                sketch, length = np.array(code, np.uint64), np.array([len(x) for x in lines])
+                sketch = np.array([np.bitwise_xor.reduce(np.uint64(1) << (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.uint64) & np.uint64(63))) for x in lines], np.uint64)
+                length = np.array([len(x) for x in lines])
                 for i in range(1, b - a):
                     like = (np.bitwise_count(sketch[:i] ^ sketch[i]) <= 2 * edits) & (np.abs(length[:i] - length[i]) <= edits)
                     if any(lines[k] != lines[i] and within(lines[k], lines[i], edits) for k in np.flatnonzero(like).tolist()):
                         found.append(a + i)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(h[found], type=pa.int64()), pa.array(size[found], type=pa.int32())], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[found], type=pa.int64()), pa.array(line[found], type=pa.int32())], schema=shape)
 
     return run
 
 
-def removed_lines(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``doc_id, lines``: the numbers (from 0) of each document's removed lines; documents that keep all are left out."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    exploded = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "line")).select("doc_id", "number", "line", F.char_length("line").alias("size")).filter(F.col("size") >= least).withColumn("hash", F.xxhash64("line"))
-    places = exploded.select("hash", "size", "doc_id", "number")
-    first = checkpointed(places.groupBy("hash", "size").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")))
-
-    def keyed(piece: pa.RecordBatch) -> dict | None:
-        own = _lines_of(piece, least)
-        if not own.lines:
-            return None
-        key, which = own.keys(edits)
-        return {"key": key.view(np.int64), "hash": own.hash[which].view(np.int64), "size": own.size[which].astype(np.int32), "sketch": own.sketch[which].view(np.int64)}
-
-    rows = map_steps(texts, "text", "key long, hash long, size int, sketch long", keyed, limit=_STEP)
-    hot = checkpointed(hot_keys(texts, edits, least))
-    n_hot = hot.count()
-    mine = F.pmod("hash", F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    if n_hot:
-        dealt = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left").withColumn("other", other)
-    else:
-        dealt = rows.withColumn("blocks", F.lit(None).cast("int")).withColumn("other", F.lit(0))
-    block = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.least(mine, F.col("other")).cast("long") * F.col("blocks") + F.greatest(mine, F.col("other")))
-    grouped = dealt.select("key", block.alias("block"), "hash", "size", "sketch")
-    possible = grouped.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_possible(edits), "key long, block long, hash long, size int")
-    possible = checkpointed(possible)
-
-    wanted = possible.select("hash", "size").distinct().join(first, ["hash", "size"]).select("hash", "size", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number"))
-    lines = checkpointed(exploded.join(wanted, ["doc_id", "number", "hash", "size"]).select("hash", "size", "doc_id", "number", "line").dropDuplicates(["hash", "size"]))
-    meeting = possible.join(lines, ["hash", "size"]).select("key", "block", "hash", "size", "doc_id", "number", "line")
-    near = meeting.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "number").mapInArrow(_confirmed(edits), "hash long, size int").distinct()
-
-    marked = first.join(near.withColumn("near", F.lit(True)), ["hash", "size"], "left").filter("n > 1 or near")
-    gone = places.join(marked, ["hash", "size"]).filter("near or first.doc_id <> doc_id or first.number <> number")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("lines"))
-
-
-def _with_removed(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    gone = removed_lines(docs, edits=edits, least=least).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-
-
-def _kept_text():
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    return F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)
-
-
-def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def _by_chunk(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """Rows as one answer to each chunk (it has no more of them than keys of its lines)."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(own["chunk"].iloc[0], 0, kind, packed(*[own[c].to_numpy() for c in columns]))], columns=["chunk", "bucket", "kind", "payload"])
+
+    return rows.groupBy("chunk").applyInPandas(run, Rounds._ANSWER)
+
+
+def _deduplicated(docs: DataFrame, edits: int, least: int, chunk_bytes: int, keep: bool) -> DataFrame:
+    """``doc_id, n_lines, removed, text, rest``: removed line numbers (from 0) and the text that is left."""
+    rounds = Rounds(docs, chunk_bytes=chunk_bytes, keep=keep)
+    buckets = rounds.buckets
+
+    def lines(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+        own = Lines(blob, least)
+        names = own.names(buckets)
+        return names.parts(chunk, names.name, own.ids[names.first], own.numbers[names.first])
+
+    def keys(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+        _, _, names = Work(blob, answers, edits, least, buckets).keyed()
+        return names.parts(chunk, (names.name >> np.uint64(32)).astype("<u4"), np.bincount(names.of, minlength=len(names.first)).astype("<u4"))
+
+    def sketches(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+        work = Work(blob, answers, edits, least, buckets)
+        key, block, line = work.meeting()
+        own = work.all
+        return zip(key.view(np.int64).tolist(), block.tolist(), [chunk] * len(key), own.own[line].tolist(), own.own_size[line].tolist(), own.sketch[line].view(np.int64).tolist(), strict=True)
+
+    def texts(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+        if "possible" in answers:
+            own = Lines(blob, least)
+            for key, block, line in zip(*[x.tolist() for x in answers["possible"][0]], strict=True):
+                yield key, block, chunk, line, int(own.ids[line]), int(own.numbers[line]), own.lines[line]
+
+    def report(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+        work = Work(blob, answers, edits, least, buckets)
+        own, elsewhere, near = work.all, work.elsewhere(), work.near()
+        index = {x: k for k, x in enumerate(own.lines)}
+        for i, doc, rest in zip(own.texts.ids.tolist(), own.documents, own.texts.rest(), strict=True):
+            if doc is None:
+                yield i, 0, [], None, rest
+                continue
+            gone = []
+            for n, line in enumerate(doc) if i != NO_ID else ():
+                if (k := index.get(line)) is not None and (elsewhere[k] or near[k] or own.ids[k] != i or own.numbers[k] != n):
+                    gone.append(n)
+            left = set(gone)
+            yield i, len(doc), gone, "\n".join(x for n, x in enumerate(doc) if n not in left), rest
+
+    rounds.ask("lines", lines, _earlier)
+    rounds.ask("keys", keys, _held)
+    met = rounds.rows(sketches, "key long, block long, chunk long, line int, size int, sketch long")
+    possible = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_possible(edits), "key long, block long, chunk long, line int")
+    rounds.add(_by_chunk(possible, "possible", "key", "block", "line"))
+    told = rounds.rows(texts, "key long, block long, chunk long, line int, doc_id long, number int, text string")
+    near = told.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "number").mapInArrow(_confirmed(edits), "chunk long, line int").distinct()
+    rounds.add(_by_chunk(near, "near", "line"))
+    return rounds.close(rounds.rows(report, "doc_id long, n_lines long, removed array<int>, text string, rest string"))
+
+
+def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all columns and rows are kept."""
-    return _with_removed(docs, edits, least).withColumn("text", _kept_text()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = _deduplicated(docs, edits, least, chunk_bytes, keep=True)
+    others = T.StructType([f for f in docs.schema if f.name != "text"])
+    row = done.select("text", F.from_json("rest", others).alias("row"))
+    return row.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def digest(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def digest(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    gone = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    return _with_removed(rows, edits, least).select("doc_id", n.alias("n_lines"), F.greatest(gone, F.lit(0).cast("long")).alias("n_removed"), F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"))
+    done = _deduplicated(docs, edits, least, chunk_bytes, keep=False)
+    return done.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
