@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and a randomness test battery for what no pattern names.
 
-Fixed patterns give kinds ``assign``, ``access`` and ``hex``.  The battery adds kind ``random``: runs of token
-characters that no pattern span touches are read in the narrowest encoding that holds them (hex, base32, base62,
-base64).  Three tests ask whether the symbols look uniformly random in that encoding: chi-squared over eight equal
+Fixed patterns give kinds ``assign``, ``access`` and ``hex``.  The battery adds kind ``random``: runs of 20 or more
+token characters, with letters and others, that no pattern span touches, are read in the narrowest encoding that holds
+them (hex, base32, base36, base62, base64).  Three tests ask whether the symbols look uniformly random in that encoding: chi-squared over eight equal
 parts of the alphabet, runs above and below the alphabet's middle, and lag-one serial correlation (Bonferroni over
 the three).  A token that passes has the likelihood ratio of "uniform in its encoding" against "ordinary text"
-(character classes with the shares of prose) as evidence; it grows with the token's length, and its mean under
+(character classes with the shares of words, paths and hyphenated names) as evidence; it grows with the token's length, and its mean under
 "ordinary text" is at most one.  The e-value Benjamini-Hochberg rule over the tokens of a document keeps the share
 of false discoveries at ``fdr`` or less, whatever the dependence between tokens.
 
@@ -44,7 +44,7 @@ ENCODINGS = (
 )
 _SETS = [(name, frozenset(symbols), {c: i for i, c in enumerate(symbols)}) for name, symbols in ENCODINGS]
 #: log probability of a character of ordinary text: share of its class over the size of the class.
-_PROSE = {c: math.log(0.90 / 26) for c in "abcdefghijklmnopqrstuvwxyz"} | {c: math.log(0.05 / 26) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: math.log(0.03 / 10) for c in "0123456789"} | {c: math.log(0.02 / 5) for c in "+/_=-"}
+_PROSE = {c: math.log(0.80 / 26) for c in "abcdefghijklmnopqrstuvwxyz"} | {c: math.log(0.05 / 26) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: math.log(0.03 / 10) for c in "0123456789"} | {c: math.log(0.12 / 5) for c in "+/_=-"}
 
 
 def chi_squared_p(index: np.ndarray, size: int, parts: int = 8) -> float:
@@ -120,7 +120,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], fdr: float = FDR)
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         word = m[0]
-        if word.isalpha() or any(s < b and a < e for s, _, e in base):
+        if not any(c.isalpha() for c in word) or word.isalpha() or any(s < b and a < e for s, _, e in base):
             continue
         tokens.append((a, 3, b))
         e = log_evidence(word)
