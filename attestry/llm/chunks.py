@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, stored, text_bytes, utf8
+from .common import bounded_batches, checkpointed, stored, text_bytes, utf8
 
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 8 << 20, 128
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 8 << 20, 128
 #: stands for a missing id: before all others
 NO_ID = -(1 << 63)
 
@@ -57,7 +57,8 @@ class Names:
 
     def __init__(self, names: np.ndarray, spread: np.ndarray, buckets: int):
         bucket = ((spread >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-        order = np.lexsort((np.arange(len(names)), names, bucket))
+        order = np.argsort(names, kind="stable")
+        order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
         ordered = names[order]
         new = np.ones(len(names), bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -145,6 +146,7 @@ class Rounds:
     def __init__(self, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, keep: bool = False):
         """``keep`` holds all columns but ``text`` for the report."""
         self.spark = docs.sparkSession
+        bounded_batches(self.spark)
         others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if keep else []
         rest = F.to_json(F.struct(*others)) if others else F.lit("")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
