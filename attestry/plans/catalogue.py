@@ -368,9 +368,9 @@ def ledger_blob_join(spark, sf_dir):
     return ledger.with_blobs(_references(spark, sf_dir), _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
 
 
-@query("ledger_new_blobs", "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("ledger_new_blobs", "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def ledger_new_blobs(spark, sf_dir):
-    stored = ledger.blobs_of(t(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), F.col("text"), F.col("lang"))
+    stored = ledger.blobs_of(t(spark, sf_dir, "documents").filter("lang = 'en'"), F.col("text"), F.col("lang"))
     return ledger.new_blobs(_blobs(spark, sf_dir), stored).select("digest", "kind")
 
 
@@ -503,10 +503,14 @@ def version_drift(spark, sf_dir):
     return ledger.version_drift(n, {"engine": "2", "form": "1"}, "id")
 
 
-@query("audit_documents")
+@query("audit_documents", f"""SELECT r.attempt_id, d.lang AS outcome, r.role || '|' || r.blob_digest || '|' || CAST(b.size AS VARCHAR) || '|' AS artifacts
+    FROM ({_REFS}) r JOIN ({_BLOBS}) b ON r.blob_digest = b.digest AND r.blob_kind = b.kind JOIN documents d ON r.attempt_id = 'a' || CAST(d.doc_id AS VARCHAR)""")
 def audit_documents(spark, sf_dir):
+    """Each attempt's references with their contents left out."""
     attempts = t(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"), F.col("lang").alias("outcome"))
-    return ledger.audit_documents(attempts, _references(spark, sf_dir), _blobs(spark, sf_dir))
+    docs = ledger.audit_documents(attempts, _references(spark, sf_dir), _blobs(spark, sf_dir))
+    entry = lambda x: F.concat(x["role"], F.lit("|"), x["digest"], F.lit("|"), x["size"].cast("string"), F.lit("|"), F.coalesce(x["content"], F.lit("")))
+    return docs.select("attempt_id", "outcome", F.array_join(F.transform("artifacts", entry), ";").alias("artifacts"))
 
 
 @query("corpus_digest", """WITH p AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h FROM documents),
@@ -619,7 +623,9 @@ def spec_pairing(spark, sf_dir):
     return specs.join(F.broadcast(catalogue), "name", "left").select("spec_id", F.col("sha256").isNotNull().alias("has_manifest"), F.coalesce(F.col("sha256") == F.col("declared"), F.lit(False)).alias("bound"))
 
 
-@query("bulk_verify")
+@query("bulk_verify", f"""WITH a AS (SELECT o_orderpriority, o_orderstatus, {_mean("sum(o_totalprice)", "count(o_totalprice)")} AS m FROM ({_O}) GROUP BY 1, 2),
+    h AS (SELECT o_orderpriority, sha256('["' || o_orderstatus || '",' || CAST(m AS VARCHAR) || ']') AS h FROM a)
+    SELECT o_orderpriority AS spec_id, count(*) AS n_rows, {", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR) AS lane{k}" for k in range(4))} FROM h GROUP BY 1""")
 def bulk_verify(spark, sf_dir):
     """One spec per order priority, recomputed; each spec's result is identified by its digest lanes."""
     o = t(spark, sf_dir, "orders").select("o_orderpriority").distinct()
