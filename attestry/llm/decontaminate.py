@@ -172,7 +172,7 @@ def _scan(patterns: Patterns, piece: pa.RecordBatch) -> dict:
         else:
             hits[d].append([a, b])
         items[d].update(patterns.items[which[k]])
-    before_hits, before_items = piece.column("hits").to_pylist(), piece.column("items").to_pylist()
+    before_hits, before_items = piece.column(_HITS).to_pylist(), piece.column(_ITEMS).to_pylist()
     out_hits, out_items = [], []
     for i, (old, names) in enumerate(zip(before_hits, before_items, strict=True)):
         merged: list = []
@@ -183,23 +183,19 @@ def _scan(patterns: Patterns, piece: pa.RecordBatch) -> dict:
                 merged.append({"start": a, "end": b})
         out_hits.append(merged)
         out_items.append(sorted({*names, *items.get(i, ())}))
-    return {"doc_id": piece.column("doc_id"), "text": piece.column("text"), "n_words": np.diff(text.first), "hits": out_hits, "items": out_items} | ({"row": piece.column("row")} if "row" in piece.schema.names else {})
+    return {c: piece.column(c) for c in piece.schema.names} | {_WORDS: np.diff(text.first), _HITS: out_hits, _ITEMS: out_items}
 
 
-_SHAPE = "doc_id long, text string, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
+_WORDS, _HITS, _ITEMS = "__n_words", "__hits", "__items"
+_SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES, keep_row: bool = False) -> DataFrame:
-    """``doc_id, text, n_words, hits, items``: hit word ranges (start, end exclusive) and the ids of items found.
-
-    ``keep_row`` adds the whole input row as a struct ``row``.
-    """
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """All columns of ``docs``, with the number of words, the hit word ranges and the items found."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
     parts = max(1, -(-text_bytes(items, "text") // part_bytes))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    shape = T.StructType.fromDDL(_SHAPE)
-    if keep_row:
-        shape = shape.add("row", docs.schema)
+    out = docs.withColumns({_WORDS: F.lit(0).cast("long"), _HITS: F.expr(f"cast(array() as {_SPANS})"), _ITEMS: F.expr("cast(array() as array<string>)")})
+    shape = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{_WORDS} bigint, {_HITS} {_SPANS}, {_ITEMS} array<string>")])
     for k in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)  # about part_bytes of text each
         held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in own.toLocalIterator()])
@@ -214,11 +210,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     return out
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``doc_id, n_words, hits, items``: hit word ranges (start, end exclusive) and the ids of items found."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _searched(rows, benchmark, window, part_bytes).select("doc_id", F.col(_WORDS).alias("n_words"), F.col(_HITS).alias("hits"), F.col(_ITEMS).alias("items"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     n_hit: Column = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, all columns kept."""
-    return find_contamination(docs, benchmark, window=window, keep_row=True).filter(F.size("hits") == 0).select("row.*")
+    return _searched(docs, benchmark, window, part_bytes).filter(F.size(_HITS) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -187,19 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, *, keep_row: bool = False) -> DataFrame:
-    """``doc_id, score`` for every row (``keep_row`` adds the input row as ``row``); only ``text`` is looked at."""
+def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs`` and the score as column ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(piece: pa.RecordBatch) -> dict:
-        out = {"doc_id": piece.column("doc_id"), "score": held.value.scores([sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()])}
-        return out | ({"row": piece.column("row")} if keep_row else {})
+        made = held.value.scores([sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()])
+        return {c: piece.column(c) for c in piece.schema.names} | {name: made}
 
-    shape = T.StructType.fromDDL("doc_id long, score double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    return map_steps(rows, "text", shape.add("row", docs.schema) if keep_row else shape, work, limit=2 << 20)
+    shape = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
+    return map_steps(docs, "text", shape, work, limit=2 << 20)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` for every row; only ``text`` is looked at."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(rows, model, "score").select("doc_id", "score")
 
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns kept."""
-    return score(docs, model, keep_row=True).filter(F.col("score") >= threshold).select("row.*")
+    return _scored(docs, model, "__score").filter(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
