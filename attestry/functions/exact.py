@@ -6,36 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def half_even_quotient(total: Column, count: Column) -> Column:
     """``total / count`` for integral decimals, rounded once, ties to even; null where the count is 0."""
+
+    def divided(x: Column) -> Column:
+        return F.struct(x["t"].alias("t"), x["n"].alias("n"), (x["t"] % x["n"]).cast("decimal(20,0)").alias("r"))
+
+    def quotient(x: Column) -> Column:
+        return F.struct(x["t"].alias("t"), x["n"].alias("n"), (F.abs(x["r"]) * 2).cast("decimal(21,0)").alias("twice"), ((x["t"] - x["r"]) / x["n"]).cast("decimal(38,0)").alias("q"))
+
+    def rounded(x: Column) -> Column:
+        away = (x["twice"] > x["n"]) | ((x["twice"] == x["n"]) & (F.abs(x["q"] % 2) == 1))
+        return F.when(away, (x["q"] + F.signum(x["t"]).cast("decimal(1,0)")).cast("decimal(38,0)")).otherwise(x["q"])
+
     n = F.nullif(count.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    t = total.cast("decimal(38,0)")
-    r = (t % n).cast("decimal(20,0)")
-    q = ((t - r) / n).cast("decimal(38,0)")
-    twice = (F.abs(r) * 2).cast("decimal(21,0)")
-    odd = F.abs(q % 2) == 1
-    away = (twice > n) | ((twice == n) & odd)
-    return F.when(away, (q + F.signum(t).cast("decimal(1,0)")).cast("decimal(38,0)")).otherwise(q)
+    start = F.struct(total.cast("decimal(38,0)").alias("t"), n.alias("n"))
+    return _let(start, lambda a: _let(divided(a), lambda b: _let(quotient(b), rounded)))
 
 
 def mean_half_even(total: Column, count: Column, scale: int) -> Column:
     """Mean at ``scale`` of values whose exact sum is ``total`` (decimal of that scale)."""
-    units = (total * F.lit(10**scale).cast("decimal(38,0)")).cast("decimal(38,0)") if scale == 0 else _shifted(total, scale)
-    return _unshifted(half_even_quotient(units, count), scale)
+    return _unshifted(half_even_quotient(_shifted(total, scale), count), scale)
 
 
 def _shifted(c: Column, scale: int) -> Column:
     """The unscaled integer of a decimal."""
-    return F.regexp_replace(c.cast(f"decimal(38,{scale})").cast("string"), r"\.", "").cast("decimal(38,0)")
+    if scale == 0:
+        return c.cast("decimal(38,0)")
+    return F.replace(c.cast(f"decimal(38,{scale})").cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)")
 
 
 def _unshifted(units: Column, scale: int) -> Column:
     if scale == 0:
         return units.cast("decimal(38,0)")
-    text = F.abs(units).cast("string")
-    padded = F.lpad(text, F.greatest(F.length(text), F.lit(scale + 1)), F.lit("0"))
-    body = F.concat(padded.substr(F.lit(1), F.length(padded) - scale), F.lit("."), F.right(padded, F.lit(scale)))
-    return F.concat(F.when(units < 0, "-").otherwise(""), body).cast(f"decimal(38,{scale})")
+
+    def placed(x: Column) -> Column:
+        padded = F.lpad(x["text"], F.greatest(F.length(x["text"]), F.lit(scale + 1)), F.lit("0"))
+        return _let(padded, lambda p: F.concat(x["sign"], p.substr(F.lit(1), F.length(p) - scale), F.lit("."), F.right(p, F.lit(scale))))
+
+    start = lambda u: F.struct(F.abs(u).cast("string").alias("text"), F.when(u < 0, "-").otherwise("").alias("sign"))
+    return _let(units, lambda u: _let(start(u), placed)).cast(f"decimal(38,{scale})")
 
 
 def half_even(c: Column, scale: int) -> Column:
@@ -43,41 +58,54 @@ def half_even(c: Column, scale: int) -> Column:
     return F.bround(c, scale).cast(f"decimal(38,{scale})")
 
 
-NUMERIC = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
 _SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _judged(text: Column, scale: int) -> Column:
+    """A cell as a struct: ``status``, and ``body``, its text without outer blanks and inner underscores."""
+
+    def parts(body: Column) -> Column:
+        low = F.lower(body)
+        mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
+        frac = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+        exp = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
+        figures = F.concat(F.substring_index(mantissa, ".", 1), frac)
+        digits = F.when(exp == "", F.lit(0).cast("long")).when(F.length(exp) > 12, F.when(exp.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long")).otherwise(exp.try_cast("long"))
+        return F.struct(figures.alias("figures"), F.length(frac).alias("places"), digits.alias("exp"))
+
+    def judged(body: Column) -> Column:
+        def status(p: Column) -> Column:
+            significant = F.ltrim(p["figures"], F.lit("0"))
+            trailing = F.length(p["figures"]) - F.length(F.rtrim(p["figures"], F.lit("0")))
+            return (
+                F.when(significant == "", "zero")
+                .when(F.length(significant) - 1 - p["places"] + p["exp"] > 37 - scale, "magnitude")
+                .when(p["places"] - p["exp"] - trailing > scale, "precision")
+                .otherwise("ok")
+            )
+
+        shaped = F.when(body.rlike(_SHAPE), _let(parts(body), status)).otherwise("syntax")
+        return F.struct(shaped.alias("status"), body.alias("body"))
+
+    trimmed = F.trim(text)
+    body = F.when(trimmed.contains("_"), F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")).otherwise(trimmed)
+    return F.when(text.isNotNull() & (text != ""), _let(body, judged))
+
+
 def numeric_status(text: Column, scale: int) -> Column:
     """``ok``, ``syntax``, ``magnitude`` or ``precision`` of a cell for DECIMAL(38, scale); null for the empty cell.
 
     Blanks around and underscores between digits are accepted.  Exponents are handled by digit counts, never by
     writing the digits out; magnitude is tested before precision.
     """
-    body = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
-    shape = body.rlike(_SHAPE)
-    whole, frac, exp = (F.regexp_extract(body, NUMERIC, k) for k in (2, 3, 4))
-    digits = F.when(F.length(exp) > 12, F.when(exp.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9))).otherwise(F.coalesce(exp.try_cast("long"), F.lit(0)))
-    figures = F.concat(whole, frac)
-    significant = F.regexp_replace(figures, "^0+", "")
-    trailing = F.length(figures) - F.length(F.regexp_replace(figures, "0+$", ""))
-    places = F.length(frac) - digits - trailing
-    adjusted = F.length(significant) - 1 - F.length(frac) + digits
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("string"))
-        .when(~shape, "syntax")
-        .when(significant == "", "ok")
-        .when(adjusted > 37 - scale, "magnitude")
-        .when(places > scale, "precision")
-        .otherwise("ok")
-    )
+    status = _judged(text, scale)["status"]
+    return _let(status, lambda s: F.when(s == "zero", "ok").otherwise(s))
 
 
 def numeric_value(text: Column, scale: int) -> Column:
     """The cell's decimal where its status is ``ok``; negative zero is zero."""
-    body = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
-    zero = F.regexp_replace(F.concat(F.regexp_extract(body, NUMERIC, 2), F.regexp_extract(body, NUMERIC, 3)), "0", "") == ""
     kind = f"decimal(38,{scale})"
-    return F.when(numeric_status(text, scale) == "ok", F.when(zero, F.lit(0).cast(kind)).otherwise(body.try_cast(kind)))
+    return _let(_judged(text, scale), lambda j: F.when(j["status"] == "zero", F.lit(0).cast(kind)).when(j["status"] == "ok", j["body"].try_cast(kind)))
 
 
 _DATE, _TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?$"
