@@ -1,8 +1,11 @@
 """Secret scan: fixed patterns, and a randomness test battery for what no pattern names.
 
 Fixed patterns give kinds ``assign``, ``access`` and ``hex``.  The battery adds kind ``random``: runs of 20 or more
-token characters, with letters and others, that no pattern span touches, are read in the narrowest encoding that holds
-them (hex, base32, base36, base62, base64).  Three tests ask whether the symbols look uniformly random in that encoding: chi-squared over eight equal
+token characters, with letters and others, are cut at every ``=`` that is not trailing padding (names and parameters before values).
+A part that no pattern span touches is read in the narrowest encoding that holds
+it (hex, base32, base36, base62, base64); where none does, as for a value joined to a path or a name, its longest pieces between ``/``, ``-``,
+``_`` and ``+`` are read: all ways to keep the two of base64 or of base64url together, and each piece on its own, and
+of those that pass the one with most evidence, paid for by their number, stands for the part.  Three tests ask whether the symbols look uniformly random in that encoding: chi-squared over eight equal
 parts of the alphabet, runs above and below the alphabet's middle, and lag-one serial correlation (Bonferroni over
 the three).  A token that passes has the likelihood ratio of "uniform in its encoding" against "ordinary text"
 (character classes with the shares of words, paths and hyphenated names) as evidence; it grows with the token's length, and its mean under
@@ -32,6 +35,9 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more; shorter ones would be dropped
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
+_PART = re.compile(r"[^=]+(?:=+\Z)?")
+#: Separators at which a part that no encoding holds is cut; each leaves pieces that an encoding may hold.
+_CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^/+]+"), re.compile(r"[^/_+-]+"))
 #: Encodings from narrow to wide.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
@@ -95,6 +101,26 @@ def log_evidence(token: str) -> float | None:
     return -len(body) * math.log(len(symbols)) - sum(_PROSE[c] for c in body)
 
 
+def best_piece(part: str) -> tuple[float, int, int]:
+    """(log evidence, start, end) of a part, or of its piece with most evidence where no encoding holds it whole."""
+    body = part.rstrip("=")
+    if len(body) < LEAST_TOKEN:
+        return -math.inf, 0, len(part)
+    if any(set(body) <= x[1] for x in _SETS):
+        e = log_evidence(part)
+        return -math.inf if e is None else e, 0, len(part)
+    spans = sorted({m.span() for cut in _CUTS for m in cut.finditer(body) if m.end() - m.start() >= LEAST_TOKEN})
+    found = [(e, a, len(part) if b == len(body) else b) for a, b in spans if _mixed(body[a:b]) and (e := log_evidence(body[a:b])) is not None]
+    if not found:
+        return -math.inf, 0, len(part)
+    e, a, b = max(found)
+    return e - math.log(len(spans)), a, b  # the mean of the pieces' evidence is at least this: still an e-value
+
+
+def _mixed(word: str) -> bool:
+    return any(c.isalpha() for c in word) and not word.isalpha()
+
+
 def discoveries(evidence: list[float], fdr: float) -> list[int]:
     """The e-value Benjamini-Hochberg rule: the k largest with e >= m / (k * fdr), for the largest such k."""
     m = len(evidence)
@@ -117,14 +143,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], fdr: float = FDR) -> list[tuple[int, int, int]]:
     tokens, evidence = [], []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        word = m[0]
-        if not any(c.isalpha() for c in word) or word.isalpha() or any(s < b and a < e for s, _, e in base):
-            continue
-        tokens.append((a, 3, b))
-        e = log_evidence(word)
-        evidence.append(-math.inf if e is None else e)
+    for run in _TOKEN.finditer(text):
+        for m in _PART.finditer(run[0]):
+            a, b = run.start() + m.start(), run.start() + m.end()
+            if b - a < LEAST_TOKEN or not _mixed(m[0]) or any(s < b and a < e for s, _, e in base):
+                continue
+            e, start, end = best_piece(m[0])
+            tokens.append((a + start, 3, a + end))
+            evidence.append(e)
     return [tokens[i] for i in discoveries(evidence, fdr)] if tokens else []
 
 

@@ -44,6 +44,24 @@ def test_battery_finds_random_tokens_and_leaves_prose():
     assert not any(secrets.random_spans(w, []) for w in words)
 
 
+def test_battery_finds_values_after_names_and_in_paths():
+    rng = random.Random(9)
+    symbols = dict(secrets.ENCODINGS)
+    frames = [("AWS_ACCESS=", "base64", ""), ("https://a.example/x?id=7&sig=", "base64url", "&v=1"), ("SIGNING_KEY=", "base64", "=="), ("export/MY_KEY=", "base62", " tail"), ("some_name/", "base62", ""), ("a+b_", "base62", "-x"), ("path/of-a/", "base64url", ""), ("a-name_", "base64", "")]
+    for before, encoding, after in frames:
+        found = 0
+        for _ in range(100):
+            value = "".join(rng.choice(symbols[encoding]) for _ in range(43))
+            text = f"x {before}{value}{after} y"
+            spans = secrets.random_spans(text, [])
+            at = 2 + len(before)
+            to = at + 43 + (after.count("=") if after == "==" else 0)
+            found += any((a, b) == (at, to) for a, _, b in spans)
+        assert found >= (85 if encoding != "base64url" and before != "a-name_" else 40), (before, found)
+    prose = ["some_name=some/path/to/a/file/name/2024-10-10", "key=internationalisation-of-things_2024", "a=b=c=d=e=f=g=h=i=j=k=l=1", "x=aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "first_name-of/the_thing+and-another/one_2"]
+    assert not any(secrets.random_spans(w, []) for w in prose)
+
+
 def test_test_statistics_have_their_levels():
     rng = np.random.default_rng(1)
     p = np.array([[secrets.chi_squared_p(x, 64), secrets.runs_p(x, 64), secrets.serial_p(x)] for x in rng.integers(0, 64, (3000, 60))])
