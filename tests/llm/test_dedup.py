@@ -6,7 +6,8 @@ import re
 import numpy as np
 import xxhash
 
-from attestry.llm import linedup, simhash, substrings
+import corpus_pipeline
+from attestry.llm import linedup, shingles, simhash, substrings
 from attestry.llm.components import components
 
 from .helpers import NASTY, documents, empty
@@ -132,6 +133,37 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+# --- shingles ------------------------------------------------------------------------------------------------------
+def shingles_brute(x):
+    w = [t for t in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (x or ""))) if t]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = [*NASTY, "A b C d e", "a B c d E", "a b c", "a b  c"]
+    for size in (9, 24, 60, 60, 250, 250, 250, 900):
+        base = rng.choices(words, k=size)
+        for _ in range(25):
+            c = list(base)
+            for _ in range(rng.randint(0, 2 + size // 25)):
+                c[rng.randrange(len(c))] = rng.choice(words)
+            texts.append(" ".join(c + rng.choices(words, k=rng.choice((0, 0, size // 12)))))
+    texts += [" ".join(rng.choices(words[:3], k=30)) for _ in range(60)]  # shingles that many sets share
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = documents(spark, [texts[i] for i in order], ids=order).repartition(4)
+    sets = [shingles_brute(x) for x in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    assert sum(sets[a] != sets[b] for a, b in near) > 100
+    root = union(len(sets), near)
+    assert {r.doc_id: r.component_id for r in shingles.near_copy_classes(docs).collect()} == dict(enumerate(root))
+    monkeypatch.setattr(shingles, "BLOCK", 2)  # more than one block under a shingle
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(root)
+    assert shingles.near_copy_classes(empty(spark)).count() == 0
+
+
 # --- lines ---------------------------------------------------------------------------------------------------------
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
