@@ -1,10 +1,11 @@
 """Documents packed in chunks, and rounds of questions about names that chunks share.
 
 A chunk is a bounded run of documents (one longer document is a chunk of its own), packed into one row.  The rows
-are written once, as a table bucketed by chunk, so that every round reads them in place.  In a round each chunk sends
-the distinct names that it holds, as packed arrays by name bucket; a bucket answers to each chunk what it needs to
-know; answers go back by chunk.  Only names and answers are shuffled, copies inside a chunk are combined before, and
-no task holds more than a chunk or a bucket.
+are written once, in the shared folder, as a table bucketed by chunk, so that every round reads them in place; beyond
+MOST_FILES chunks a bucket holds several.  In a round each chunk sends the distinct names that it holds, as packed
+arrays by name bucket; a bucket answers to each chunk what it needs to know; answers go back by chunk.  What a chunk
+has found so far can be kept as its state, which reaches the next rounds like an answer.  Only names, answers and
+states are shuffled, copies inside a chunk are combined before, and no task holds more than a chunk or a bucket.
 """
 
 from __future__ import annotations
@@ -15,17 +16,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, stored, text_bytes, utf8
+from .common import bounded_batches, removed, shared_folder, stored, text_bytes
 
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 8 << 20, 128
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8 << 20, 128, 1 << 24
+#: Files of the chunk table at most; messages that one task reads, about.
+MOST_FILES, TASK_BYTES = 8192, 64 << 20
 #: stands for a missing id: before all others
 NO_ID = -(1 << 63)
+Answers = dict[str, dict[int, list[np.ndarray]]]
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -50,136 +55,211 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 
 
 class Names:
-    """The distinct names of some places, in the order in which they are sent: by bucket, then name.
-
-    ``spread``, a second hash, deals names over the buckets; equal names have equal spreads.
-    """
-
-    def __init__(self, names: np.ndarray, spread: np.ndarray, buckets: int):
-        bucket = ((spread >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-        order = np.argsort(names, kind="stable")
-        order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
-        ordered = names[order]
+    """Distinct 64-bit names in order; leading bits deal them over the buckets (a power of two)."""
+
+    def __init__(self, names: np.ndarray, buckets: int, *, first: bool = False):
+        """``first`` also finds each name's first index in ``names``, and each index's name."""
+        if first:
+            order = np.argsort(names, kind="stable")
+            ordered = names[order]
+        else:
+            ordered = np.sort(names)
         new = np.ones(len(names), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        self.first = order[new]  # of each distinct name, the first of the places
-        self.name, self.bucket = names[self.first], bucket[self.first]
-        self.of = np.empty(len(names), np.int64)  # of each place, its distinct name
-        self.of[order] = np.cumsum(new) - 1
-        self.many = np.bincount(self.of, minlength=len(self.first)) > 1
-        self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
+        at = np.flatnonzero(new)
+        self.name = ordered[at]
+        self.many = np.diff(at, append=len(names)) > 1
+        if first:
+            self.first = order[at]
+            self.of = np.empty(len(names), np.int64)
+            self.of[order] = np.cumsum(new) - 1
+        self.bits = np.uint64(buckets.bit_length() - 1)
+        bucket = self.bucket()
+        edge = np.flatnonzero(np.diff(bucket)) + 1
+        lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(bucket)]])
+        self.range = {int(bucket[a]): (int(a), int(b)) for a, b in zip(lo, hi, strict=True) if b > a}
+
+    def bucket(self) -> np.ndarray:
+        return (self.name >> (np.uint64(64) - self.bits)).astype(np.int64)
 
     def parts(self, chunk: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        for b in np.flatnonzero(np.diff(self.cut)).tolist():
-            lo, hi = self.cut[b], self.cut[b + 1]
+        for b, (lo, hi) in self.range.items():
             yield b, chunk, packed(*[c[lo:hi] for c in columns])
 
-
-    def flags(self, answers: dict[int, list[np.ndarray]]) -> np.ndarray:
-        """Answers that begin with a bit for each name sent, as one mask."""
-        out = np.zeros(len(self.first), bool)
-        for b, columns in answers.items():
-            lo, hi = self.cut[b], self.cut[b + 1]
-            out[lo:hi] = np.unpackbits(columns[0], count=hi - lo)
+    def short_parts(self, chunk: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Parts that begin with 32 bits of each name behind the bucket's, as differences: enough to see what is unique."""
+        tag = ((self.name << self.bits) >> np.uint64(32)).astype("<u4")
+        for b, (lo, hi) in self.range.items():
+            yield b, chunk, packed(np.diff(tag[lo:hi], prepend=np.uint32(0)), *[c[lo:hi] for c in columns])
+
+    def answered(self, answers: dict[int, list[np.ndarray]], *kinds: str) -> list[np.ndarray]:
+        """Answers that begin with a bit for each name sent: the mask, and the columns, zero where the mask is not set."""
+        out = [np.zeros(len(self.name), bool), *[np.zeros(len(self.name), k) for k in kinds]]
+        for b, (bits, *columns) in answers.items():
+            lo, hi = self.range[b]
+            own = np.unpackbits(bits, count=hi - lo).astype(bool)
+            out[0][lo:hi] = own
+            for to, column in zip(out[1:], columns, strict=False):
+                to[lo:hi][own] = column
         return out
 
 
 class Texts:
-    """A chunk's documents in the order of their ids; ``rest`` has the other columns of each row as JSON."""
+    """A chunk's documents in the order of their ids; ``rest`` has the other columns, as an Arrow batch."""
 
     def __init__(self, blob: bytes):
-        self.ids, self.sizes, null, data, rest_sizes, rest = unpacked(blob)
-        self.null, self.data = null.astype(bool), data.tobytes()
+        self.ids, self.sizes, null, data, rest = unpacked(blob)
+        self.null, self.data, self._rest = null.astype(bool), data.tobytes(), rest
         self.end = np.cumsum(self.sizes)
         self.begin = self.end - self.sizes
-        ends = np.cumsum(rest_sizes)
-        self._rest = (rest.tobytes(), (ends - rest_sizes).tolist(), ends.tolist())
 
     def texts(self) -> list[bytes | None]:
         return [None if n else self.data[b:e] for n, b, e in zip(self.null.tolist(), self.begin.tolist(), self.end.tolist(), strict=True)]
 
-    def rest(self) -> list[str]:
-        data, begin, end = self._rest
-        return [data[b:e].decode() for b, e in zip(begin, end, strict=True)]
+    def rest(self) -> pa.RecordBatch:
+        return from_ipc(self._rest.tobytes())
+
+
+def to_ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _pack(ids: list[int], texts: list[bytes | None], rest: list[bytes]) -> bytes:
-    key = np.array(ids, "<i8")
+def from_ipc(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+def _pack(rows: list[pa.RecordBatch]) -> bytes:
+    """Rows ``id, text, other columns...`` as one blob."""
+    batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    key = np.ascontiguousarray(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), "<i8")
     order = np.argsort(key, kind="stable")
-    own, other = [texts[i] for i in order], [rest[i] for i in order]
-    sizes = np.array([len(x or b"") for x in own], "<i8")
-    return packed(key[order], sizes, np.array([x is None for x in own], np.uint8), np.frombuffer(b"".join(x or b"" for x in own), np.uint8), np.array([len(x) for x in other], "<i8"), np.frombuffer(b"".join(other), np.uint8))
+    batch = batch.take(pa.array(order))
+    texts = batch.column(1).cast(pa.binary()).to_pylist()
+    others = batch.select(batch.schema.names[2:])
+    rest = np.frombuffer(to_ipc(others), np.uint8) if others.num_columns else np.empty(0, np.uint8)
+    return packed(key[order], np.array([len(x or b"") for x in texts], "<i8"), np.array([x is None for x in texts], np.uint8), np.frombuffer(b"".join(x or b"" for x in texts), np.uint8), rest)
 
 
 def _chunked(limit: int):
     shape = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, rest, held = TaskContext.get().partitionId() << 24, [], [], [], 0
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(ids, texts, rest)], type=pa.binary())], schema=shape)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(held)], type=pa.binary())], schema=shape)
 
         for batch in batches:
-            for i, text, more in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), utf8(batch.column("rest")), strict=True):
-                if ids and held + len(text or b"") > limit:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            start = 0
+            for i, n in enumerate(sizes.tolist()):
+                if (held or i > start) and size + n > limit:
+                    held.append(batch.slice(start, i - start))
                     yield out()
-                    number, ids, texts, rest, held = number + 1, [], [], [], 0
-                ids.append(NO_ID if i is None else i)
-                texts.append(text)
-                rest.append(more)
-                held += len(text or b"")
-        if ids:
+                    number, held, size, start = number + 1, [], 0, i
+                size += n
+            held.append(batch.slice(start))
+        if sum(x.num_rows for x in held):
             yield out()
 
     return run
 
 
 class Rounds:
-    """The chunk table of some documents and the answers so far.
+    """The chunk table of some documents and the answers so far; both go when the block is left, however it is left.
 
     ``answers`` reach a chunk's function as ``{kind: {bucket: arrays}}``.
     """
 
-    _SENT, _ANSWER = "bucket long, chunk long, payload binary", "chunk long, bucket long, kind string, payload binary"
+    SENT, ANSWER = "bucket long, chunk long, payload binary", "chunk long, bucket long, kind string, payload binary"
 
     def __init__(self, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, keep: bool = False):
         """``keep`` holds all columns but ``text`` for the report."""
-        self.spark = docs.sparkSession
-        bounded_batches(self.spark)
-        others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if keep else []
-        rest = F.to_json(F.struct(*others)) if others else F.lit("")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+        self.spark = spark = docs.sparkSession
+        bounded_batches(spark)
+        others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"] if keep else []
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *others)
         self.total = text_bytes(docs, "text")
-        self.buckets = max(LEAST_BUCKETS, -(-self.total // BUCKET_BYTES))
+        self.buckets = min(MOST_BUCKETS, 1 << (max(LEAST_BUCKETS, -(-self.total // BUCKET_BYTES)) - 1).bit_length())
+        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.total // TASK_BYTES))
+        files = min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")), MOST_FILES, max(8, -(-self.total // chunk_bytes)))
         self.name = f"attestry_chunks_{uuid.uuid4().hex}"
-        rows.mapInArrow(_chunked(chunk_bytes), "chunk long, blob binary").write.bucketBy(max(8, -(-self.total // chunk_bytes)), "chunk").sortBy("chunk").option("compression", "uncompressed").saveAsTable(self.name)
-        self.chunks = self.spark.table(self.name)
-        self.answers = self.spark.createDataFrame([], self._ANSWER)
-
-    def _cogrouped(self, work: Callable, schema: str | T.StructType, columns: list[str]) -> DataFrame:
-        def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            rows: list = []
-            if len(chunk):
-                got: dict[str, dict[int, list[np.ndarray]]] = {}
-                for kind, bucket, payload in zip(answers["kind"], answers["bucket"], answers["payload"], strict=True):
-                    got.setdefault(kind, {})[int(bucket)] = unpacked(payload)
-                rows = list(work(int(chunk["chunk"].iloc[0]), chunk["blob"].iloc[0], got))
-            return pd.DataFrame(rows, columns=columns)
-
-        return self.chunks.groupBy("chunk").cogroup(self.answers.groupBy("chunk")).applyInPandas(run, schema)
+        self.path = f"{shared_folder(spark)}/{self.name}"
+        self.chunks = self.answers = None
+        self.kept: list[str] = []
+        try:
+            made = rows.mapInArrow(_chunked(chunk_bytes), "chunk long, blob binary").write.bucketBy(files, "chunk").sortBy("chunk")
+            made.option("compression", "uncompressed").option("path", self.path).saveAsTable(self.name)
+            self.chunks = spark.table(self.name)
+            self.answers = spark.createDataFrame([], self.ANSWER)
+        except BaseException:
+            self.__exit__()
+            raise
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for path in (self.path, *self.kept):
+            removed(self.spark, path)
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """A table that lives as long as the rounds."""
+        path = f"{self.path}-{len(self.kept)}"
+        self.kept.append(path)
+        return stored(df, path)
+
+    @staticmethod
+    def _got(answers: pd.DataFrame) -> Answers:
+        got: Answers = {}
+        for kind, bucket, payload in zip(answers["kind"], answers["bucket"], answers["payload"], strict=True):
+            got.setdefault(kind, {})[int(bucket)] = unpacked(payload)
+        return got
+
+    def rows(self, work: Callable, schema: str | T.StructType, *, texts: bool = True, answers: DataFrame | None = None) -> DataFrame:
+        """Rows (tuples as in ``schema``) that ``work(chunk, blob, answers)`` yields; without ``texts`` from the answers
+        alone, and the blob is None.  ``answers`` stand in for those kept."""
+        held = self.answers if answers is None else answers
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        names, got = kind.names, self._got
+
+        def both(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            rows = list(work(int(chunk["chunk"].iloc[0]), chunk["blob"].iloc[0], got(answers))) if len(chunk) else []
+            return pd.DataFrame(rows, columns=names)
+
+        def alone(answers: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(list(work(int(answers["chunk"].iloc[0]), None, got(answers))), columns=names)
+
+        if not texts:
+            return held.groupBy("chunk").applyInPandas(alone, kind)
+        return self.chunks.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(both, kind)
 
     def add(self, answers: DataFrame) -> None:
         """Keep answers (``chunk, bucket, kind, payload``) for the rounds that follow."""
-        self.answers = self.answers.unionByName(checkpointed(answers))
+        self.answers = self.answers.unionByName(self.stored(answers))
+
+    def become(self, work: Callable, *, texts: bool = True) -> None:
+        """Replace all answers by each chunk's state: the arrays that ``work(chunk, blob, answers)`` returns."""
 
-    def ask(self, kind: str, send: Callable, answer: Callable) -> None:
-        """``send(chunk, blob, answers)`` yields (bucket, chunk, payload); ``answer(owner, columns)`` gives, for all names
-        that a bucket got (their columns and the chunks that sent them), a mask and columns for the names in it."""
+        def state(chunk: int, blob: bytes | None, answers: Answers) -> Iterator[tuple]:
+            yield chunk, 0, "state", packed(*work(chunk, blob, answers))
+
+        self.answers = self.stored(self.rows(state, self.ANSWER, texts=texts))
+
+    def ask(self, kind: str, send: Callable, answer: Callable, *, short: bool = False, texts: bool = True) -> None:
+        """``send(chunk, blob, answers)`` yields (bucket, chunk, payload), with ``short`` as from ``Names.short_parts``;
+        ``answer(owner, columns)`` gives, for all names that a bucket got (their columns and the chunks that sent them),
+        a mask and columns for the names in it."""
 
         def run(sent: pd.DataFrame) -> pd.DataFrame:
             bucket, chunks = int(sent["bucket"].iloc[0]), sent["chunk"].to_numpy()
             parts = [unpacked(x) for x in sent["payload"]]
+            if short:
+                parts = [[np.cumsum(x[0], dtype=np.uint32), *x[1:]] for x in parts]
             size = np.array([len(x[0]) for x in parts])
             cut = np.concatenate([[0], np.cumsum(size)])
             columns = [np.concatenate([x[i] for x in parts]) for i in range(len(parts[0]))]
@@ -192,16 +272,12 @@ class Rounds:
                     rows.append((chunk, bucket, kind, packed(np.packbits(own), *[x[cut[i] : cut[i + 1]][own] for x in more])))
             return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "payload"])
 
-        sent = self._cogrouped(send, self._SENT, ["bucket", "chunk", "payload"])
-        self.add(sent.groupBy("bucket").applyInPandas(run, self._ANSWER))
+        sent = self.rows(send, self.SENT, texts=texts)
+        self.add(sent.repartition(self.tasks, "bucket").groupBy("bucket").applyInPandas(run, self.ANSWER))
 
-    def rows(self, work: Callable, schema: str) -> DataFrame:
-        """Rows (tuples as in ``schema``) that ``work(chunk, blob, answers)`` yields."""
-        kind = T.StructType.fromDDL(schema)
-        return self._cogrouped(work, kind, kind.names)
 
-    def close(self, result: DataFrame) -> DataFrame:
-        """The result, written out, after which the chunk table goes."""
-        out = stored(result)
-        self.spark.sql(f"DROP TABLE {self.name}")
-        return out
+def shared_names(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Names that more than one chunk sent, and their ranks among these in the bucket."""
+    _, group, count = np.unique(columns[0], return_inverse=True, return_counts=True)
+    shared = count > 1
+    return shared[group], [(np.cumsum(shared) - 1)[group].astype("<u4")]

@@ -68,11 +68,13 @@ def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callab
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; in local mode, where none is set, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="attestry-checkpoint-")
         context.setCheckpointDir(where)
     return context.getCheckpointDir()
@@ -84,13 +86,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage with a compressed table in the shared folder, for rows that hold texts."""
-    path = f"{shared_folder(df.sparkSession)}/attestry-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(df.sparkSession)}/attestry-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table's files, wherever they are."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, *taken: str) -> str:
+    """A column name that neither ``df`` nor ``taken`` has, whatever the case."""
+    held = {c.lower() for c in (*df.columns, *taken)}
+    return next(name for k in range(len(held) + 1) if (name := f"attestry_{k}") not in held)
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes in a whole column."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"])

@@ -7,18 +7,24 @@ lines are judged on the input, not on what is left.
 Distinct lines are split into ``edits + 1`` segments: a line within ``edits`` edits keeps one segment whole, at a
 place that the edits before and after it can have moved only so far.  Each line therefore goes under a key for
 each own segment, and for each substring where a shorter or equally long line's segment could stand (length-aware,
-only starts that leave enough edits for both sides).  Lines that meet under a key are compared: lengths and a
-parity sketch of their characters first (an edit flips two bits of it at most), then the edit distance by a banded
-bit-parallel recurrence on what is left between their common ends.  A line stops at its first earlier partner.
-
-Distinct lines are handled by the chunk that holds their first occurrence (see ``chunks``).  Keys that one line alone
-has drop out in an exchange of packed key names, which also counts how many lines hold a key: lines of a key with
-more than BLOCK are dealt over pairs of blocks, so that every two of them still meet but no task gets all of them.
-Texts travel only for lines that have a possible partner.
+only starts that leave enough edits for both sides).  Lines that meet under a key, one of them by its own segment, are
+compared: lengths and a parity sketch of their characters first (an edit flips two bits of it at most), then the edit
+distance by a banded bit-parallel recurrence on what is left between their common ends.  A line stops at its first
+earlier partner.
+
+Distinct lines are handled by the chunk that holds their first occurrence (see ``chunks``).  An exchange of packed key
+names counts how many lines own a key and how many hold it; a key that has no owner, or one line alone, drops out.
+Lines that hold a key with more than HOT pairs (a template, or boilerplate) go under rarer segments instead: of a
+line's substrings of q code points, the ``q * edits + 1`` that are rarest among such lines.  The edits can't touch all of
+them, so that two lines within the edits share one, at nearly the same place (GRAMS has q, tried one after another).
+Frequencies come from a table of counts of fixed size; they decide how many candidates there are, never which lines
+go.  What is still hot after that, where lines differ in a few places only, is dealt over pairs of blocks, so that every
+two lines still meet but no task gets all of them.  Texts travel only for lines that have a possible partner.
 
 Edge cases: null text is kept as it is and has no lines; documents without an id keep all their lines; rows that
 repeat a ``doc_id`` and text are one document (all keep the first occurrence); a document that loses every line
-keeps an empty text; an empty table gives no rows.  Lines are told apart by a 64-bit hash and their length.
+keeps an empty text; an empty table gives no rows; columns other than ``text`` are passed on as they are, whatever
+their type.  Equal lines are told by 128 bits of hash; near ones are compared themselves.
 """
 
 from __future__ import annotations
@@ -32,14 +38,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .chunks import NO_ID, Names, Rounds, Texts, packed
+from .chunks import NO_ID, Answers, Names, Rounds, Texts, from_ipc, packed, to_ipc, unpacked
+from .common import stored
 
 EDITS, LEAST = 2, 24
 #: Lines are spread out as 64-bit codes, so that chunks are smaller here.
 CHUNK_BYTES = 4 << 20
-#: More lines under one key are dealt over pairs of blocks of this size.
-BLOCK = 4096
+#: Pairs under one key above which its lines go under rarer segments; lines in a block of what stays hot.
+HOT, BLOCK = 1 << 18, 4096
+#: Lengths of the rarer segments, in the order in which they are tried; bits of a cell in the table of their counts.
+GRAMS, CELL_BITS = (4, 2), 18
+#: Pairs that are compared side by side.
+PAIRS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -113,9 +125,8 @@ class Lines:
         self.lines = list(first)
         self.ids, self.numbers = np.array([x[0] for x in first.values()], "<i8"), np.array([x[1] for x in first.values()], "<i4")
         self.size = np.array([len(x) for x in self.lines], np.int64)
-        raw = [x.encode() for x in self.lines]
-        self.hash = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64)
-        self.names = lambda buckets: Names(self.hash, np.array([xxhash.xxh64_intdigest(x, 43) for x in raw], np.uint64), buckets)
+        raw = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in self.lines]
+        self.hash, self.other = np.array([x >> 64 for x in raw], np.uint64), np.array([x & (1 << 64) - 1 for x in raw], np.uint64)
 
     def only(self, own: np.ndarray) -> None:
         """Make ready the keys of some of the lines."""
@@ -129,14 +140,14 @@ class Lines:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[:-1], dtype=np.uint64)])
         self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), self.begin) if len(own) else np.empty(0, np.uint64)
 
-    def _key(self, at: np.ndarray, n: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
+    def content(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """A hash of the ``n`` code points at each place."""
         value = (self.sums[at + n] - self.sums[at]) * self.back[at]
-        mixed = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + length.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(segment)
-        return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    def keys(self, edits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(key, index in ``own``), each pair once: own segments, and substrings where a segment of a line shorter by 0..edits can stand."""
-        keys, which = [], []
+    def segments(self, edits: int) -> Entries:
+        """Own segments, and substrings where a segment of a line shorter by 0..edits can stand."""
+        out = []
         parts = edits + 1
         size = self.own_size
         for gap in range(parts):
@@ -145,20 +156,57 @@ class Lines:
             at = np.zeros_like(length)
             for k in range(parts):
                 n = short + (k >= parts - extra)
-                lo = np.maximum(at - k, at + gap - (edits - k))
-                hi = np.minimum(at + k, at + gap + (edits - k))
-                for move in range(2 * edits + 1):
-                    start = lo + move
-                    ok = np.flatnonzero((start <= hi) & (start >= 0) & (start + n <= size) & (n > 0))
-                    keys.append(self._key(self.begin[ok] + start[ok], n[ok], length[ok], k))
-                    which.append(ok)
+                for move in range(max(-k, gap - (edits - k)), min(k, gap + (edits - k)) + 1):
+                    start = at + move
+                    ok = np.flatnonzero((start >= 0) & (start + n <= size) & (n > 0))
+                    key = _mixed(self.content(self.begin[ok] + start[ok], n[ok]), length[ok] * parts + k)
+                    out.append((key, ok, np.full(len(ok), not gap and not move)))
                 at = at + n
-        key, line = np.concatenate(keys), np.concatenate(which)
-        order = np.lexsort((line, key))
+        return Entries(out)
+
+    def grams(self, which: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, line, place) of all substrings of ``q`` code points of some lines."""
+        n = self.own_size[which] - q + 1
+        line = np.repeat(which, n)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        return self.content(self.begin[line] + place, q), line, place
+
+    def rarest(self, which: np.ndarray, q: int, edits: int, counts: np.ndarray) -> Entries:
+        """The rarest substrings of some lines, by length and place."""
+        gram, line, place = self.grams(which, q)
+        order = np.lexsort((gram, counts[_cell(gram)], line))
+        gram, line, place = gram[order], line[order], place[order]
+        start = np.searchsorted(line, line, "left")
+        last = gram[np.minimum(start + q * edits, np.searchsorted(line, line, "right") - 1)]
+        on = (np.arange(len(line)) - start <= q * edits) | (gram == last)  # equal ones go together
+        gram, line, place = gram[on], line[on], place[on]
+        width = 4 * edits + 1
+        key = lambda gap, at: _mixed(gram, ((self.own_size[line] - gap) * 31 + q) * (1 << 32) + at // width)
+        out = [(key(0, place), line, np.ones(len(line), bool))]
+        for gap in range(edits + 1):
+            out += [(key(gap, place + move), line, np.zeros(len(line), bool)) for move in (-edits, edits)]
+        return Entries(out)
+
+
+def _mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(_BASE) + more.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    return (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _cell(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+class Entries:
+    """(key, line, whether the line owns the key: its segment stands where it does in the line itself), each line once a key."""
+
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        key, line, own = (np.concatenate(x) for x in zip(*groups, strict=True))
+        order = np.lexsort((~own, line, key))
         key, line = key[order], line[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        return key[new], line[new]
+        self.key, self.line, self.own = key[new], line[new], own[order][new]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
@@ -185,41 +233,40 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: i
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _key_names(keys: np.ndarray, buckets: int) -> Names:
-    return Names(keys, (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), buckets)
-
-
 class Work:
     """A chunk's lines together with the answers so far."""
 
-    def __init__(self, blob: bytes, answers: dict, edits: int, least: int, buckets: int):
+    def __init__(self, blob: bytes, answers: Answers, edits: int, least: int, buckets: int):
         self.all, self.answers, self.edits, self.buckets = Lines(blob, least), answers, edits, buckets
 
     def elsewhere(self) -> np.ndarray:
         """Lines whose first occurrence is in another chunk."""
-        names = self.all.names(self.buckets)
-        return names.flags(self.answers.get("lines", {}))[names.of]
+        names = Names(self.all.hash, self.buckets, first=True)
+        return names.answered(self.answers.get("lines", {}))[0][names.of]
 
-    def keyed(self) -> tuple[np.ndarray, np.ndarray, Names]:
+    def levels(self, tables: list[np.ndarray]) -> Iterator[tuple[Entries, np.ndarray, np.ndarray, np.ndarray]]:
+        """(entries, numbers of hot ones, of rare ones that can meet, lines under each entry's key), level by level."""
         self.all.only(np.flatnonzero(~self.elsewhere()))
-        key, line = self.all.keys(self.edits)
-        return key, line, _key_names(key, self.buckets)
-
-    def meeting(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, block, index in ``own``) of the keys that several lines hold."""
-        key, line, names = self.keyed()
-        held = np.zeros(len(names.first), np.int64)
-        for b, (flags, total) in self.answers.get("keys", {}).items():
-            on = np.flatnonzero(np.unpackbits(flags, count=names.cut[b + 1] - names.cut[b])) + names.cut[b]
-            held[on] = total
-        held = held[names.of]
-        on = held > 1
-        key, line, blocks = key[on], line[on], -(-held[on] // BLOCK)
-        mine = (self.all.hash[self.all.own[line]] % blocks.astype(np.uint64)).astype(np.int64)
-        at = np.repeat(np.arange(len(key)), blocks)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        block = np.minimum(mine[at], other) * blocks[at] + np.maximum(mine[at], other)
-        return key[at], block, line[at]
+        entries = self.all.segments(self.edits)
+        for level in range(len(tables) + 1):
+            if level:
+                entries = self.all.rarest(np.unique(entries.line[hot]), GRAMS[level - 1], self.edits, tables[level - 1])  # noqa: F821
+            names = Names(entries.key, self.buckets, first=True)
+            on, owners, holders = (x[names.of] for x in names.answered(self.answers.get(f"keys{level}", {}), "<i8", "<i8"))
+            many = owners * holders > HOT
+            hot = np.flatnonzero(on & many)
+            yield entries, hot, np.flatnonzero(on & ~many), holders
+
+    def meeting(self, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(key, block, index in ``own``, whether it owns the key) of the entries that can meet others."""
+        for level, (entries, hot, rare, holders) in enumerate(self.levels(tables)):
+            yield entries.key[rare], np.zeros(len(rare), np.int64), entries.line[rare], entries.own[rare]
+        if level == len(GRAMS):
+            key, line, own, blocks = entries.key[hot], entries.line[hot], entries.own[hot], -(-holders[hot] // BLOCK)
+            mine = (self.all.hash[self.all.own[line]] % blocks.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(key)), blocks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            yield key[at], np.minimum(mine[at], other) * blocks[at] + np.maximum(mine[at], other), line[at], own[at]
 
     def near(self) -> np.ndarray:
         out = np.zeros(len(self.all.lines), bool)
@@ -229,10 +276,10 @@ class Work:
 
 
 def _earlier(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    name, i, n = columns
-    order = np.lexsort((n, i, name))
+    name, other, i, n = columns
+    order = np.lexsort((n, i, other, name))
     new = np.ones(len(name), bool)
-    new[1:] = name[order][1:] != name[order][:-1]
+    new[1:] = (name[order][1:] != name[order][:-1]) | (other[order][1:] != other[order][:-1])
     first = order[new][np.cumsum(new) - 1]
     flag = np.empty(len(name), bool)
     flag[order] = (i[order] != i[first]) | (n[order] != n[first])
@@ -240,52 +287,66 @@ def _earlier(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _held(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys under which lines can meet: one owns it and another holds it; how many own and hold it."""
     _, group = np.unique(columns[0], return_inverse=True)
-    total = np.bincount(group, columns[1]).astype(np.int64)[group]
-    return total > 1, [total]
+    owners, holders = (np.bincount(group, x).astype(np.int64)[group] for x in columns[1:])
+    return (owners > 0) & (holders > 1), [owners, holders]
+
+
+def _like(size_a: np.ndarray, sketch_a: np.ndarray, size_b: np.ndarray, sketch_b: np.ndarray, edits: int) -> np.ndarray:
+    return (np.bitwise_count(sketch_a ^ sketch_b) <= 2 * edits) & (np.abs(size_a - size_b) <= edits)
 
 
 def _possible(edits: int):
-    """Lines that meet another line of like length and sketch under a key."""
-    shape = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("chunk", pa.int64()), ("line", pa.int32())])
+    """Lines that meet another line of like length and sketch under a key; groups are sorted owners first."""
+    shape = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("chunk", pa.int64()), ("line", pa.int32()), ("own", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, ("key", "block"), 400_000):
-            key, block, chunk, line, size, sketch = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line", "size", "sketch"))
+            key, block, chunk, line, size, sketch, other = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line", "size", "sketch", "other"))
             sketch = sketch.view(np.uint64)
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             stop = np.append(np.flatnonzero(start)[1:], len(key))[np.cumsum(start) - 1]
+            owner = np.flatnonzero(other == 0)
+            behind = stop[owner] - owner - 1  # an owner meets all rows after it in its group
             on = np.zeros(len(key), bool)
-            at, step = np.arange(len(key)), 1
-            while (at := at[at + step < stop[at]]).size:
-                like = (np.bitwise_count(sketch[at] ^ sketch[at + step]) <= 2 * edits) & (np.abs(size[at] - size[at + step]) <= edits)
-                on[at[like]] = on[at[like] + step] = True
-                step += 1
+            ends = np.cumsum(behind)
+            lo = 0
+            while lo < len(owner):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+                for a in range(0, int(behind[lo]) if hi == lo + 1 else 1, PAIRS):
+                    n = np.minimum(behind[lo:hi] - a, PAIRS if hi == lo + 1 else 1 << 62)
+                    first = np.repeat(owner[lo:hi], n)
+                    second = first + a + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+                    like = _like(size[first], sketch[first], size[second], sketch[second], edits)
+                    like &= (chunk[first] != chunk[second]) | (line[first] != line[second])
+                    on[first[like]] = on[second[like]] = True
+                lo = hi
             if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[on], type=f.type) for x, f in zip((key, block, chunk, line), shape, strict=True)], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(x[on], type=f.type) for x, f in zip((key, block, chunk, line, 1 - other), shape, strict=True)], schema=shape)
 
     return run
 
 
 def _confirmed(edits: int):
-    """Lines of a group (sorted by first place) with an earlier line within the edits."""
+    """Lines of a group (sorted by first place) with an earlier line within the edits; one of the two owns the key."""
     shape = pa.schema([("chunk", pa.int64()), ("line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, ("key", "block"), 20_000):
-            key, block, chunk, line = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line"))
-            text = part.column("text")
+            key, block, chunk, line, size, sketch, owns = (part.column(c).to_numpy() for c in ("key", "block", "chunk", "line", "size", "sketch", "own"))
+            sketch, text = sketch.view(np.uint64), part.column("text").combine_chunks()
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             lo, hi = np.flatnonzero(start), np.append(np.flatnonzero(start)[1:], len(key))
             found = []
             for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                 lines = text.slice(a, b - a).to_pylist()
-                sketch = np.array([np.bitwise_xor.reduce(np.uint64(1) << (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.uint64) & np.uint64(63))) for x in lines], np.uint64)
-                length = np.array([len(x) for x in lines])
                 for i in range(1, b - a):
-                    like = (np.bitwise_count(sketch[:i] ^ sketch[i]) <= 2 * edits) & (np.abs(length[:i] - length[i]) <= edits)
+                    like = _like(size[a : a + i], sketch[a : a + i], size[a + i], sketch[a + i], edits)
+                    if not owns[a + i]:
+                        like &= owns[a : a + i] > 0
                     if any(lines[k] != lines[i] and within(lines[k], lines[i], edits) for k in np.flatnonzero(like).tolist()):
                         found.append(a + i)
             if found:
@@ -300,70 +361,140 @@ def _by_chunk(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
     def run(own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(own["chunk"].iloc[0], 0, kind, packed(*[own[c].to_numpy() for c in columns]))], columns=["chunk", "bucket", "kind", "payload"])
 
-    return rows.groupBy("chunk").applyInPandas(run, Rounds._ANSWER)
+    return rows.groupBy("chunk").applyInPandas(run, Rounds.ANSWER)
 
 
-def _deduplicated(docs: DataFrame, edits: int, least: int, chunk_bytes: int, keep: bool) -> DataFrame:
-    """``doc_id, n_lines, removed, text, rest``: removed line numbers (from 0) and the text that is left."""
-    rounds = Rounds(docs, chunk_bytes=chunk_bytes, keep=keep)
+def _judged(rounds: Rounds, edits: int, least: int):
+    """Ask all rounds; what is left is a function of a chunk, its rows' removed line numbers and the text that stays."""
     buckets = rounds.buckets
 
-    def lines(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+    def lines(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
         own = Lines(blob, least)
-        names = own.names(buckets)
-        return names.parts(chunk, names.name, own.ids[names.first], own.numbers[names.first])
+        names = Names(own.hash, buckets, first=True)
+        return names.parts(chunk, names.name, own.other[names.first], own.ids[names.first], own.numbers[names.first])
 
-    def keys(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
-        _, _, names = Work(blob, answers, edits, least, buckets).keyed()
-        return names.parts(chunk, (names.name >> np.uint64(32)).astype("<u4"), np.bincount(names.of, minlength=len(names.first)).astype("<u4"))
+    def keys(tables: list[np.ndarray]):
+        def send(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
+            *_, (entries, _, _, _) = Work(blob, answers, edits, least, buckets).levels(tables)
+            names = Names(entries.key, buckets, first=True)
+            n = len(names.name)
+            return names.short_parts(chunk, np.bincount(names.of[entries.own], minlength=n).astype("<u4"), np.bincount(names.of, minlength=n).astype("<u4"))
 
-    def sketches(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
-        work = Work(blob, answers, edits, least, buckets)
-        key, block, line = work.meeting()
-        own = work.all
-        return zip(key.view(np.int64).tolist(), block.tolist(), [chunk] * len(key), own.own[line].tolist(), own.own_size[line].tolist(), own.sketch[line].view(np.int64).tolist(), strict=True)
+        return send
+
+    def counts(tables: list[np.ndarray], q: int):
+        def send(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
+            work = Work(blob, answers, edits, least, buckets)
+            *_, (entries, hot, _, _) = work.levels(tables)
+            cell, n = np.unique(_cell(work.all.grams(np.unique(entries.line[hot]), q)[0]), return_counts=True)
+            return zip(cell.tolist(), n.tolist(), strict=True)
+
+        return send
 
-    def texts(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+    def sketches(tables: list[np.ndarray]):
+        def send(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
+            work = Work(blob, answers, edits, least, buckets)
+            for key, block, line, owns in work.meeting(tables):
+                own = work.all
+                yield from zip(key.view(np.int64).tolist(), block.tolist(), [chunk] * len(key), own.own[line].tolist(), own.own_size[line].tolist(), own.sketch[line].view(np.int64).tolist(), (~owns).astype(np.int32).tolist(), strict=True)
+
+        return send
+
+    def texts(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
         if "possible" in answers:
             own = Lines(blob, least)
-            for key, block, line in zip(*[x.tolist() for x in answers["possible"][0]], strict=True):
-                yield key, block, chunk, line, int(own.ids[line]), int(own.numbers[line]), own.lines[line]
+            wanted = answers["possible"][0]
+            mine, at = np.unique(wanted[2], return_inverse=True)
+            own.only(mine)
+            for key, block, owns, k in zip(wanted[0].tolist(), wanted[1].tolist(), wanted[3].tolist(), at.tolist(), strict=True):
+                line = int(mine[k])
+                yield key, block, chunk, line, int(own.ids[line]), int(own.numbers[line]), int(own.own_size[k]), int(own.sketch[k : k + 1].view(np.int64)[0]), owns, own.lines[line]
 
-    def report(chunk: int, blob: bytes, answers: dict) -> Iterator[tuple]:
+    rounds.ask("lines", lines, _earlier)
+    tables: list[np.ndarray] = []
+    rounds.ask("keys0", keys(tables), _held, short=True)
+    for level, q in enumerate(GRAMS):
+        if not rounds.answers.filter(F.col("kind") == f"keys{level}").mapInArrow(_any_hot, "hot boolean").head(1):
+            break
+        counted = rounds.rows(counts(tables, q), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**CELL_BITS rows at most
+        table = np.zeros(1 << CELL_BITS, np.int64)
+        table[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+        tables.append(table)
+        rounds.ask(f"keys{level + 1}", keys(tables), _held, short=True)
+    met = rounds.rows(sketches(tables), "key long, block long, chunk long, line int, size int, sketch long, other int")
+    possible = met.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(_possible(edits), "key long, block long, chunk long, line int, own int")
+    rounds.add(_by_chunk(possible, "possible", "key", "block", "line", "own"))
+    told = rounds.rows(texts, "key long, block long, chunk long, line int, doc_id long, number int, size int, sketch long, own int, text string")
+    near = told.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "number").mapInArrow(_confirmed(edits), "chunk long, line int").distinct()
+    rounds.add(_by_chunk(near, "near", "line"))
+
+    def judge(blob: bytes, answers: Answers) -> tuple[Lines, Iterator[tuple[list[int], str | None]]]:
         work = Work(blob, answers, edits, least, buckets)
         own, elsewhere, near = work.all, work.elsewhere(), work.near()
         index = {x: k for k, x in enumerate(own.lines)}
-        for i, doc, rest in zip(own.texts.ids.tolist(), own.documents, own.texts.rest(), strict=True):
-            if doc is None:
-                yield i, 0, [], None, rest
-                continue
-            gone = []
-            for n, line in enumerate(doc) if i != NO_ID else ():
-                if (k := index.get(line)) is not None and (elsewhere[k] or near[k] or own.ids[k] != i or own.numbers[k] != n):
-                    gone.append(n)
-            left = set(gone)
-            yield i, len(doc), gone, "\n".join(x for n, x in enumerate(doc) if n not in left), rest
 
-    rounds.ask("lines", lines, _earlier)
-    rounds.ask("keys", keys, _held)
-    met = rounds.rows(sketches, "key long, block long, chunk long, line int, size int, sketch long")
-    possible = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_possible(edits), "key long, block long, chunk long, line int")
-    rounds.add(_by_chunk(possible, "possible", "key", "block", "line"))
-    told = rounds.rows(texts, "key long, block long, chunk long, line int, doc_id long, number int, text string")
-    near = told.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "number").mapInArrow(_confirmed(edits), "chunk long, line int").distinct()
-    rounds.add(_by_chunk(near, "near", "line"))
-    return rounds.close(rounds.rows(report, "doc_id long, n_lines long, removed array<int>, text string, rest string"))
+        def rows() -> Iterator[tuple[list[int], str | None]]:
+            for i, doc in zip(own.texts.ids.tolist(), own.documents, strict=True):
+                gone = []
+                for n, line in enumerate(doc or ()) if i != NO_ID else ():
+                    if (k := index.get(line)) is not None and (elsewhere[k] or near[k] or own.ids[k] != i or own.numbers[k] != n):
+                        gone.append(n)
+                left = set(gone)
+                yield gone, None if doc is None else "\n".join(x for n, x in enumerate(doc) if n not in left)
+
+        return own, rows()
+
+    return judge
+
+
+def _any_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each answer that names a hot key."""
+    for batch in batches:
+        hot = [True for x in batch.column("payload").to_pylist() if (lambda c: (c[1] * c[2] > HOT).any())(unpacked(x))]
+        yield pa.RecordBatch.from_arrays([pa.array(hot, type=pa.bool_())], names=["hot"])
+
+
+def _checked(edits: int, least: int) -> None:
+    if edits < 1 or least < max(GRAMS) * (edits + 1):
+        raise ValueError(f"lines of {max(GRAMS) * (edits + 1)} code points or more can be compared within {edits} edits")
 
 
 def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all columns and rows are kept."""
-    done = _deduplicated(docs, edits, least, chunk_bytes, keep=True)
-    others = T.StructType([f for f in docs.schema if f.name != "text"])
-    row = done.select("text", F.from_json("rest", others).alias("row"))
-    return row.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    _checked(edits, least)
+    others = [i for i, c in enumerate(docs.columns) if c != "text"]
+    with Rounds(docs, chunk_bytes=chunk_bytes, keep=True) as rounds:
+        judge = _judged(rounds, edits, least)
+
+        def report(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
+            own, rows = judge(blob, answers)
+            texts = pa.array([text for _, text in rows], pa.string())
+            rest = own.texts.rest() if others else None
+            yield (to_ipc(pa.RecordBatch.from_arrays([texts, *(rest.columns if others else ())], names=["text", *(f"c{i}" for i in others)])),)
+
+        shape = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema])
+        arrow = to_arrow_schema(shape)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    got = from_ipc(raw)
+                    columns = [got.column("text" if f.name == "text" else f"c{i}") for i, f in enumerate(arrow)]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        return stored(rounds.rows(report, "rows binary").mapInArrow(spread, shape))
 
 
 def digest(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` for every row of ``docs``."""
-    done = _deduplicated(docs, edits, least, chunk_bytes, keep=False)
-    return done.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    _checked(edits, least)
+    with Rounds(docs, chunk_bytes=chunk_bytes) as rounds:
+        judge = _judged(rounds, edits, least)
+
+        def report(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
+            own, rows = judge(blob, answers)
+            for i, doc, (gone, text) in zip(own.texts.ids.tolist(), own.documents, rows, strict=True):
+                yield i, len(doc or ()), len(gone), text
+
+        done = stored(rounds.rows(report, "doc_id long, n_lines long, n_removed long, text string").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
+    return done

@@ -1,5 +1,10 @@
 """Small tables with every awkward row."""
 
+import contextlib
+from unittest import mock
+
+from pyspark import cloudpickle
+
 NASTY = [None, "", " ", "\n", "\n\n", "a", "Ünï cödé", "\x00\x01 x", "🙂 " * 30, "word " * 40, "x" * 5000, "line one that is long enough\nline one that is long enough\nline one that is long enougt"]
 
 
@@ -12,3 +17,14 @@ def documents(spark, texts, *, ids=None, extra=True):
 
 def empty(spark):
     return documents(spark, ["x"]).limit(0)
+
+
+@contextlib.contextmanager
+def set_in_tasks(module, **values):
+    """Constants of a module replaced, here and in tasks, to which its functions are sent by value."""
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        with mock.patch.multiple(module, **values):
+            yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)

@@ -4,13 +4,16 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
 from attestry.llm import linedup, shingles, simhash, substrings
+from attestry.llm.chunks import Rounds
+from attestry.llm.common import shared_folder
 from attestry.llm.components import components
 
-from .helpers import NASTY, documents, empty
+from .helpers import NASTY, documents, empty, set_in_tasks
 
 
 def union(n, pairs):
@@ -43,7 +46,7 @@ def substrings_brute(rows, length):
     return out
 
 
-def test_substrings(spark):
+def test_substrings(spark, monkeypatch):
     rng = random.Random(2)
     make = lambda n: "".join(rng.choice("ab cé") for _ in range(n))
     common = make(400)
@@ -58,9 +61,29 @@ def test_substrings(spark):
     assert got == {r[0]: r for r in substrings_brute(sorted(rows), 100)}
     short = {r[0]: tuple(r) for r in substrings.digest(substrings.repeated_spans(docs, length=33, chunk_bytes=900)).collect()}
     assert short == {r[0]: r for r in substrings_brute(sorted(rows), 33)}
+    for bits in (9,):  # names that many strings share: places are compared and looked for by their strings
+        weak = {r[0]: tuple(r) for r in substrings.digest(substrings.repeated_spans(docs, chunk_bytes=3000, name_bits=bits)).collect()}
+        assert weak == got
+    monkeypatch.setattr(substrings, "DOUBTS_A_PASS", 3000)  # several passes
+    assert {r[0]: tuple(r) for r in substrings.digest(substrings.repeated_spans(docs, chunk_bytes=9000, name_bits=4)).collect()} == got
     assert substrings.digest(substrings.repeated_spans(empty(spark))).count() == 0
 
 
+def test_chunk_table_has_few_files_in_the_shared_folder_and_goes(spark):
+    docs = documents(spark, [f"text number {i} " * 9 for i in range(60)])
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "4")
+    try:
+        with Rounds(docs, chunk_bytes=200) as rounds:
+            assert rounds.chunks.count() > 40 and rounds.path.startswith(shared_folder(spark))
+        assert spark.sql("SHOW TABLES").filter("tableName like 'attestry_chunks%'").count() == 0
+        assert substrings.repeated_spans(docs, chunk_bytes=200).count() == 60
+        with pytest.raises(ValueError, match="fails"), Rounds(docs) as rounds:
+            raise ValueError("fails")
+        assert spark.sql("SHOW TABLES").filter("tableName like 'attestry_chunks%'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
 def test_substrings_of_rows_without_id_and_repeated_rows(spark):
     t = "".join(random.Random(3).choices("abcd", k=150))
     docs = documents(spark, [t, t, t, t], ids=[None, 5, 5, 6])
@@ -210,7 +233,7 @@ def lines_brute(rows, edits, least):
     return out
 
 
-def test_lines(spark, monkeypatch):
+def test_lines(spark):
     rng = random.Random(9)
     base = ["".join(rng.choice("abé dfg") for _ in range(rng.randint(20, 60))) for _ in range(12)]
     texts = list(NASTY)
@@ -219,9 +242,9 @@ def test_lines(spark, monkeypatch):
     rows = list(enumerate(texts))
     docs = documents(spark, texts).repartition(5)
     want = lines_brute(rows, 2, 24)
-    for block in (4096, 3):
-        monkeypatch.setattr(linedup, "BLOCK", block)
-        done = linedup.without_repeated_lines(docs, chunk_bytes=700)
+    for hot in (1 << 18, 6):  # few pairs under a key make it hot
+        with set_in_tasks(linedup, HOT=hot, BLOCK=3):
+            done = linedup.without_repeated_lines(docs, chunk_bytes=1500)
         assert done.schema == docs.schema
         for r in done.collect():
             t = texts[r.doc_id]
@@ -232,6 +255,27 @@ def test_lines(spark, monkeypatch):
     assert linedup.digest(empty(spark)).count() == 0
 
 
+def test_other_columns_of_line_dedup_stay_as_they_are(spark):
+    line = "a line that is long enough to take part"
+    made = spark.sql(f"""SELECT id AS doc_id, timestamp_ntz'2020-01-01 00:00:00.123456' AS a, map(1, 'x', 2, NULL) AS b, X'00FF' AS c, '{line}' AS text,
+        CAST(1.5 AS DECIMAL(38, 10)) AS chunk, timestamp'2020-01-01 00:00:00.123456' AS rows, named_struct('text', 1, 'q', array(1.5D, NULL)) AS blob,
+        CAST(NULL AS INT) AS c0, IF(id = 1, NULL, 1L) AS line, date'2020-02-02' AS text_ FROM range(3)""")
+    done = linedup.without_repeated_lines(made)
+    assert done.schema.simpleString() == made.schema.simpleString()
+    assert sorted(done.drop("text").collect(), key=lambda r: r.doc_id) == sorted(made.drop("text").collect(), key=lambda r: r.doc_id)
+    assert sorted((r.doc_id, r.text) for r in done.collect()) == [(0, line), (1, ""), (2, "")]
+
+
+def test_many_lines_of_one_template(spark):
+    rng = random.Random(1)
+    line = lambda: "2024-01-01 INFO gateway worker finished the request of a client with the trace id " + rng.randbytes(20).hex() + " after a while"
+    lines = [line() for _ in range(20_000)]
+    near = [x[:90] + ("0" if x[90] != "0" else "1") + x[91:] for x in lines[:50]]
+    docs = documents(spark, ["\n".join(lines[i : i + 100]) for i in range(0, 20_000, 100)] + ["\n".join(near)])
+    got = {r.doc_id: r.n_removed for r in linedup.digest(docs).collect() if r.n_removed}
+    assert got == {200: 50}
+
+
 def test_lines_of_rows_without_id_and_repeated_rows(spark):
     t = "a line that is long enough to take part\nshort"
     docs = documents(spark, [t, t, t, t], ids=[None, 5, 5, 6])
