@@ -7,10 +7,12 @@ where no pattern can end, positions with shift zero look up the bucket of their
 bucket is compared directly, byte by byte.  Many positions of a step jump side by side ("lanes") in numpy.
 
 Items are broadcast only in parts of a checked size (``part_bytes`` of item text each); more items mean more
-passes over the documents, chained in one stage without a shuffle.
+passes over the documents, chained without a shuffle.  After every STAGE_PARTS parts what was found is written and
+read again, so that no task holds the tables of more parts than that.
 
-Edge cases: null or empty text has no words; null items, items without words and null item ids are ignored;
-items that share an id count as one; repeated documents give repeated rows; an empty table gives no rows.
+Edge cases: null or empty text has no words; null items and items without words are ignored; items that share an id
+count as one; an item without an id hits words like any other, but it can't be named and does not count as an item
+found; repeated documents give repeated rows; an empty table gives no rows; columns of any name are passed on.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_steps, text_bytes, utf8
+from .common import free_name, map_steps, stored, text_bytes, utf8
 
 WINDOW = 10
 PART_BYTES = 4 << 20
 #: Pattern lengths at which a new search group starts; block bytes used in the group.
 GROUPS = ((0, 2), (8, 8), (16, 12), (32, 16), (64, 16))
 LANE = 1024
+STAGE_PARTS = 4
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 _FORM = np.full(256, 32, np.uint8)
@@ -133,13 +136,13 @@ class Patterns:
     """The windows of some items, ready to be searched."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        of: dict[bytes, set[str]] = defaultdict(set)
+        of: dict[bytes, set[str | None]] = defaultdict(set)
         for item, text in items:
             words = words_of(text)
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 of[b" " + b" ".join(words[i : i + window]) + b" "].add(item)
         self.patterns = sorted(of)
-        self.items = [sorted(of[p]) for p in self.patterns]
+        self.items = [sorted(x for x in of[p] if x is not None) for p in self.patterns]
         sizes = [len(p) for p in self.patterns]
         self.groups = []
         for k, (least, block) in enumerate(GROUPS):
@@ -156,7 +159,8 @@ class Patterns:
         return np.concatenate(at), np.concatenate(which)
 
 
-def _scan(patterns: Patterns, piece: pa.RecordBatch) -> dict:
+def _scan(patterns: Patterns, piece: pa.RecordBatch, names: tuple[str, str, str]) -> dict:
+    n_words, hits_, items_ = names
     text = Normal(utf8(piece.column("text")))
     at, which = patterns.find(text)
     size = np.array([len(p) for p in patterns.patterns], np.int64)[which] if at.size else at
@@ -172,9 +176,9 @@ def _scan(patterns: Patterns, piece: pa.RecordBatch) -> dict:
         else:
             hits[d].append([a, b])
         items[d].update(patterns.items[which[k]])
-    before_hits, before_items = piece.column(_HITS).to_pylist(), piece.column(_ITEMS).to_pylist()
+    before_hits, before_items = piece.column(hits_).to_pylist(), piece.column(items_).to_pylist()
     out_hits, out_items = [], []
-    for i, (old, names) in enumerate(zip(before_hits, before_items, strict=True)):
+    for i, (old, found) in enumerate(zip(before_hits, before_items, strict=True)):
         merged: list = []
         for a, b in sorted([(x["start"], x["end"]) for x in old] + [tuple(x) for x in hits.get(i, ())]):
             if merged and a <= merged[-1]["end"]:
@@ -182,38 +186,50 @@ def _scan(patterns: Patterns, piece: pa.RecordBatch) -> dict:
             else:
                 merged.append({"start": a, "end": b})
         out_hits.append(merged)
-        out_items.append(sorted({*names, *items.get(i, ())}))
-    return {c: piece.column(c) for c in piece.schema.names} | {_WORDS: np.diff(text.first), _HITS: out_hits, _ITEMS: out_items}
+        out_items.append(sorted({*found, *items.get(i, ())}))
+    return {c: piece.column(c) for c in piece.schema.names} | {n_words: np.diff(text.first), hits_: out_hits, items_: out_items}
 
 
-_WORDS, _HITS, _ITEMS = "__n_words", "__hits", "__items"
 _SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int) -> DataFrame:
-    """All columns of ``docs``, with the number of words, the hit word ranges and the items found."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int) -> tuple[DataFrame, tuple[str, str, str]]:
+    """All columns of ``docs``, with three more: the number of words, the hit word ranges and the items found; and their names."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     parts = max(1, -(-text_bytes(items, "text") // part_bytes))
-    out = docs.withColumns({_WORDS: F.lit(0).cast("long"), _HITS: F.expr(f"cast(array() as {_SPANS})"), _ITEMS: F.expr("cast(array() as array<string>)")})
-    shape = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{_WORDS} bigint, {_HITS} {_SPANS}, {_ITEMS} array<string>")])
+    names: tuple = ()
+    for _ in range(3):
+        names = (*names, free_name(docs, *names))
+    n_words, hits, found = names
+    out = docs.withColumns({n_words: F.lit(0).cast("long"), hits: F.expr(f"cast(array() as {_SPANS})"), found: F.expr("cast(array() as array<string>)")})
+    shape = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{n_words} bigint, {hits} {_SPANS}, {found} array<string>")])
+    alive = []
     for k in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)  # about part_bytes of text each
-        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in own.toLocalIterator()])
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)  # about part_bytes of text each
+        held = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in own.toLocalIterator()])
+        alive.append(held)
         made: list[Patterns] = []
 
         def work(piece: pa.RecordBatch, held=held, made=made) -> dict:
             if not made:
                 made.append(Patterns(held.value, window))
-            return _scan(made[0], piece)
+            return _scan(made[0], piece, names)
 
         out = map_steps(out, "text", shape, work)
-    return out
+        if len(alive) == STAGE_PARTS and k + 1 < parts:
+            out = stored(out)
+            for x in alive:
+                x.destroy()
+            alive = []
+    return out, names
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, n_words, hits, items``: hit word ranges (start, end exclusive) and the ids of items found."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _searched(rows, benchmark, window, part_bytes).select("doc_id", F.col(_WORDS).alias("n_words"), F.col(_HITS).alias("hits"), F.col(_ITEMS).alias("items"))
+    out, (n_words, hits, found) = _searched(rows, benchmark, window, part_bytes)
+    return out.select("doc_id", F.col(n_words).alias("n_words"), F.col(hits).alias("hits"), F.col(found).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -223,4 +239,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, all columns kept."""
-    return _searched(docs, benchmark, window, part_bytes).filter(F.size(_HITS) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, (_, hits, _) = _searched(docs, benchmark, window, part_bytes)
+    return out.filter(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

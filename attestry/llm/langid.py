@@ -28,7 +28,9 @@ from .common import checkpointed, map_steps
 
 SAMPLE_PER_LANGUAGE, AMBIGUOUS, BITS = 2000, 0.1, 14
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What the n-grams of one text sum to.
+UNIT = 10**8
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and some numerals that are none
 _FORM = np.full(256, 32, np.int64)
 for _c in (*range(97, 123), *range(128, 256)):
     _FORM[_c] = _c
@@ -45,6 +47,10 @@ def ngrams(text: str) -> np.ndarray:
     return (codes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def codewords(n: int) -> np.ndarray:
     """A row of +1/-1 for each of ``n`` languages; any two rows differ in many places."""
     if n <= 1:
@@ -98,7 +104,7 @@ class Model:
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNKNOWN, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -124,12 +130,16 @@ def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> M
         total: dict[str, np.ndarray] = {}
         for text, lang in zip(piece.column("text").to_pylist(), piece.column("lang").to_pylist(), strict=True):
             got = np.bincount(ngrams(text), minlength=_SIZE)
-            total[lang] = total.get(lang, 0) + got / max(1, got.sum()) * 100  # a long text counts no more than a short one
-        return {"lang": list(total), "counts": [x.astype("<f8").tobytes() for x in total.values()]}
+            # a long text counts no more than a short one; whole numbers, so that sums do not depend on their order
+            total[lang] = total.get(lang, 0) + np.rint(got * (UNIT / max(1, got.sum()))).astype(np.int64)
+        at = {k: np.flatnonzero(x) for k, x in total.items()}
+        return {"lang": list(at), "cells": list(at.values()), "n": [total[k][x] for k, x in at.items()]}
 
+    rows = map_steps(sample, "text", "lang string, cells array<long>, n array<long>", count).select("lang", F.explode(F.arrays_zip("cells", "n")).alias("x"))
+    summed = rows.groupBy("lang", "x.cells").agg(F.sum("x.n").alias("n")).toArrow()  # 2**BITS rows a language at most
     counts = np.zeros((len(languages), _SIZE))
-    for r in map_steps(sample, "text", "lang string, counts binary", count).toLocalIterator():  # a bounded sample: few rows
-        counts[languages.index(r["lang"])] += np.frombuffer(r["counts"], "<f8")
+    row = np.array([languages.index(x) for x in summed.column("lang").to_pylist()], np.int64)
+    counts[row, summed.column("cells").to_numpy()] = summed.column("n").to_numpy() * (100 / UNIT)
     model = Model(languages, counts)
     if len(languages) > 1:
 
@@ -137,6 +147,7 @@ def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> M
             return {"lang": piece.column("lang"), "bits": [model.bits(x).tolist() for x in piece.column("text").to_pylist()]}
 
         got = map_steps(sample, "text", "lang string, bits array<double>", values).collect()  # a bounded sample
+        got.sort()
         if got:
             model.calibrate(np.array([r["bits"] for r in got]), np.array([languages.index(r["lang"]) for r in got]))
     return model

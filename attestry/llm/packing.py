@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 MAX_TOKENS, BUCKETS, BUDGET, LANE_BATCHES = 2048, 16, 32768, 32
 
 
@@ -29,8 +31,13 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, *, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``doc_id, copy, piece, tokens``: consecutive pieces of at most ``max_tokens``."""
-    n = lengths(docs).withColumn("copy", F.monotonically_increasing_id())
+    """``doc_id, copy, piece, tokens``: consecutive pieces of at most ``max_tokens``.
+
+    Rows of one id and length are alike here; they are counted and then numbered by ``copy`` (from 1), so that the
+    result does not depend on where rows lie.
+    """
+    n = lengths(docs).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("times"))
+    n = stored(n).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     last = F.floor((F.col("n_tokens") - 1) / F.lit(max_tokens)).cast("int")
     cut = n.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     return cut.select("doc_id", "copy", "piece", F.least(F.lit(max_tokens), F.col("n_tokens") - F.col("piece") * F.lit(max_tokens)).cast("int").alias("tokens"))
@@ -89,7 +96,7 @@ def pack(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, buckets: int = BUCKET
         low = top
     places = docs.sparkSession.createDataFrame(plan, T.StructType.fromDDL("tokens int, bucket int, size int, lanes int"))
     dealt = cut.join(F.broadcast(places), "tokens").withColumn("lane", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.col("lanes")).cast("int"))
-    at = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("doc_id", "copy", "piece")) - 1
+    at = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("doc_id", "copy", "piece", "tokens")) - 1
     numbered = dealt.withColumn("at", at)
     number = F.floor(F.col("at") / F.col("size")).cast("int")
     return numbered.select("doc_id", "copy", "piece", "tokens", "bucket", F.concat_ws(":", "bucket", "lane", number).alias("batch"), F.pmod("at", F.col("size")).cast("int").alias("slot"))

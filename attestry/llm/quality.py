@@ -9,7 +9,11 @@ the document's score through a logistic link.
 Labels come by document, not by line.  Learning starts with each line labelled as its document; in bad documents,
 lines that look good to a logistic fit are then relabelled good (never the worst one), and the field is fitted to
 the relabelled lines by gradient steps on the conditional likelihood.  At most about ``sample`` labelled documents,
-chosen by a hash of ``doc_id``, are used, and only their line features come to the driver.
+chosen by a hash of ``doc_id``, are used, and only their line features come to the driver; longer documents than
+LEARN_LINES lines or LEARN_BYTES bytes are scored like any other but not learned from, which bounds the sample.
+
+Sequences lie one behind another in flat arrays, and forward-backward runs over sequences of like length together, so that
+memory grows with the text that a task holds, not with its longest document.
 
 Edge cases: null, empty and blank texts have no lines and are scored as one line without characters; conflicting
 labels of one document count as bad; with no label to learn from, or labels of one kind only, every score is the
@@ -26,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_steps
+from .common import free_name, map_steps
 
 SAMPLE, THRESHOLD = 4000, 0.3
+LEARN_LINES, LEARN_BYTES = 500, 64 << 10
+#: Lines whose features are held at a time when texts are scored.
+LINES = 1 << 14
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _PLAIN = _LETTERS + b"0123456789 .,;:'\"()-?\t\r"
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -59,35 +66,66 @@ def line_features(line: bytes) -> list[float]:
     ]
 
 
+def lines_of(text: bytes) -> list[bytes]:
+    return [x for x in text.split(b"\n") if x.strip()] or [b""]
+
+
+def _around(own: np.ndarray) -> np.ndarray:
+    """Features of lines 1 .. n - 2 with those of their neighbours."""
+    return np.concatenate([np.ones((len(own) - 2, 1)), own[1:-1], own[:-2], own[2:]], axis=1)
+
+
 def sequence(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(nodes x FEATURES, characters of each node)."""
-    lines = [x for x in text.split(b"\n") if x.strip()] or [b""]
-    own = np.array([line_features(x) for x in lines])
-    around = np.zeros((len(lines) + 2, OWN))
-    around[1:-1] = own
-    return np.concatenate([np.ones((len(lines), 1)), own, around[:-2], around[2:]], axis=1), np.array([max(1, len(x)) for x in lines], float)
+    lines = lines_of(text)
+    nothing = np.zeros((1, OWN))
+    return _around(np.concatenate([nothing, [line_features(x) for x in lines], nothing])), np.array([max(1, len(x)) for x in lines], float)
+
+
+def potentials(text: bytes, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-potential of good against bad, characters) of each node, with few features in memory at a time."""
+    lines = lines_of(text)
+    out = np.empty(len(lines))
+    for a in range(0, len(lines), LINES):
+        b = min(len(lines), a + LINES)
+        own = np.zeros((b - a + 2, OWN))
+        lo, hi = max(0, a - 1), min(len(lines), b + 1)
+        own[lo - a + 1 : hi - a + 1] = [line_features(x) for x in lines[lo:hi]]
+        out[a:b] = _around(own) @ node
+    return out, np.array([max(1, len(x)) for x in lines], float)
 
 
 def marginals(unary: list[np.ndarray], step: np.ndarray) -> list[np.ndarray]:
     """P(good) of every node of every sequence; ``unary`` has the log-potential of good against bad."""
+    out: list = [None] * len(unary)
+    classes: dict[int, list[int]] = {}
+    for i, x in enumerate(unary):  # lengths within a factor of two run together
+        classes.setdefault(len(x).bit_length(), []).append(i)
+    for own in classes.values():
+        for i, p in zip(own, _marginals([unary[i] for i in own], step), strict=True):
+            out[i] = p
+    return out
+
+
+def _marginals(unary: list[np.ndarray], step: np.ndarray) -> list[np.ndarray]:
     order = sorted(range(len(unary)), key=lambda i: -len(unary[i]))
     size = np.array([len(unary[i]) for i in order])
-    longest = int(size[0]) if len(size) else 0
+    longest = int(size[0])
     u = np.zeros((len(order), longest, 2))
     for r, i in enumerate(order):
         u[r, : size[r], 1] = unary[i]
-    ahead = np.zeros_like(u)
-    live = [int((size > t).sum()) for t in range(longest)]
+    live = np.searchsorted(-size, -np.arange(longest), "left").tolist()  # sequences with more than t nodes
     forward = u.copy()
     for t in range(1, longest):
         k = live[t]
         forward[:k, t] += np.logaddexp(forward[:k, t - 1, 0, None] + step[0], forward[:k, t - 1, 1, None] + step[1])
+    ahead = np.zeros((len(order), 2))
     for t in range(longest - 2, -1, -1):
         k = live[t + 1]
-        nxt = ahead[:k, t + 1] + u[:k, t + 1]
-        ahead[:k, t] = np.logaddexp(nxt[:, 0, None] + step[:, 0], nxt[:, 1, None] + step[:, 1])
-    both = forward + ahead
-    p = 1 / (1 + np.exp(np.clip(both[..., 0] - both[..., 1], -500, 500)))
+        nxt = ahead[:k] + u[:k, t + 1]
+        ahead[:k] = np.logaddexp(nxt[:, 0, None] + step[:, 0], nxt[:, 1, None] + step[:, 1])
+        forward[:k, t] += ahead[:k]
+    p = 1 / (1 + np.exp(np.clip(forward[..., 0] - forward[..., 1], -500, 500)))
     out: list = [None] * len(order)
     for r, i in enumerate(order):
         out[i] = p[r, : size[r]]
@@ -133,11 +171,12 @@ class Model:
         mean = float((good * size).sum() / size.sum())
         return [1.0, mean, float(np.clip(np.log((mean + 1e-3) / (1 - mean + 1e-3)), -7, 7))]
 
-    def scores(self, sequences: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    def scores(self, texts: list[bytes]) -> list[float]:
         if self.constant is not None:
-            return [self.constant] * len(sequences)
-        good = marginals([x @ self.node for x, _ in sequences], self.step)
-        return [float(1 / (1 + np.exp(-np.clip(np.dot(self.link, self.parts(p, s)), -30, 30)))) for p, (_, s) in zip(good, sequences, strict=True)]
+            return [self.constant] * len(texts)
+        nodes = [potentials(x, self.node) for x in texts]
+        good = marginals([x for x, _ in nodes], self.step)
+        return [float(1 / (1 + np.exp(-np.clip(np.dot(self.link, self.parts(p, s)), -30, 30)))) for p, (_, s) in zip(good, nodes, strict=True)]
 
     def learn(self, sequences: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 3, steps: int = 12) -> None:
         if not len(labels) or len(set(labels.tolist())) < 2:
@@ -176,12 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     n = marks.count()
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # about `sample` rows
+    text = F.coalesce("text", F.lit(""))
+    texts = texts.filter((F.octet_length(text) <= LEARN_BYTES) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < LEARN_LINES))
 
     def work(piece: pa.RecordBatch) -> dict:
         made = [sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()]
         return {"doc_id": piece.column("doc_id"), "y": piece.column("y"), "x": [x.astype("<f4").tobytes() for x, _ in made], "size": [s.tolist() for _, s in made]}
 
-    got = sorted(map_steps(texts, "text", "doc_id long, y int, x binary, size array<double>", work).collect(), key=lambda r: r["doc_id"])  # a bounded sample
+    got = sorted(map_steps(texts, "text", "doc_id long, y int, x binary, size array<double>", work).collect(), key=lambda r: (r["doc_id"], r["x"]))  # a bounded sample
     model = Model()
     model.learn([(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), np.array(r["size"])) for r in got], np.array([r["y"] for r in got], int))
     return model
@@ -192,7 +233,7 @@ def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(piece: pa.RecordBatch) -> dict:
-        made = held.value.scores([sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()])
+        made = held.value.scores([x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()])
         return {c: piece.column(c) for c in piece.schema.names} | {name: made}
 
     shape = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
@@ -207,4 +248,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns kept."""
-    return _scored(docs, model, "__score").filter(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs)
+    return _scored(docs, model, name).filter(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

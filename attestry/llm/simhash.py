@@ -33,7 +33,7 @@ WORDS, SEED, DISTANCE = 3, 42, 2
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _signed = lambda bits: bits - (1 << 64) if bits >> 63 else bits
 MASKS = [_signed(sum(((1 << n) - 1) << at for at, n in chosen)) for chosen in combinations(BLOCKS, len(BLOCKS) - DISTANCE)]
-_CHUNK = 1 << 15
+_CHUNK, _PAIRS = 1 << 15, 1 << 21
 
 
 def fingerprint(text: bytes) -> int:
@@ -98,12 +98,12 @@ class _Shared:
 
 
 def linked_pairs(values: np.ndarray, group_lo: np.ndarray, group_hi: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of linked pairs inside each group of an array that is sorted by group and Gray rank."""
+    """Indexes of linked pairs inside each group of an array that is sorted by group and Gray rank; of very many, a spanning part."""
     if not group_lo.size:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     shared = _Shared(values, int((group_hi - group_lo).max()))
     pairs = [np.stack([group_lo, group_hi, group_lo, group_hi])]
-    left, right = [], []
+    left, right, held = [], [], 0
     while pairs:
         now = pairs.pop()
         if now.shape[1] > 1 << 20:  # depth first in slices: the frontier stays bounded
@@ -116,6 +116,11 @@ def linked_pairs(values: np.ndarray, group_lo: np.ndarray, group_hi: np.ndarray,
         hit = leaf & (alo != blo)
         left.append(alo[hit])
         right.append(blo[hit])
+        held += int(hit.sum())
+        if held > _PAIRS:  # links that connect the same come in place of all pairs so far
+            root = least_linked(values.size, np.concatenate(left), np.concatenate(right))
+            on = np.flatnonzero(root != np.arange(values.size))
+            left, right, held = [on], [root[on]], 0
         alo, ahi, blo, bhi = now[:, ~leaf]
         if not alo.size:
             continue

@@ -53,9 +53,10 @@ _STEP = 1 << 18
 
 def _union(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     """True at the places below n that lie in one of the ranges."""
-    edge = np.bincount(lo, minlength=n + 1).astype(np.int64)
-    edge -= np.bincount(hi, minlength=n + 1)
-    return np.cumsum(edge[:n]) > 0
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi, -1)
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def _runs(mask: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +255,16 @@ class Search:
             runs = _sources(layout, chunk, places, names, asked, answers.get("pairs", {}), buckets)
             shared = answers["state"][0][2].astype(np.int64)
             if len(shared):
-                mask = _union(np.maximum(shared - layout.v + 1, layout.begin[layout.doc(shared)]), shared + 1, layout.n)
+                mask = np.zeros(layout.n, bool)
+                mask[shared] = True
+                reach = 1
+                while reach < layout.v:  # places before a sample, as far as v; those of another document have no room
+                    step = min(reach, layout.v - reach)
+                    mask[:-step] |= mask[step:]
+                    reach += step
+                for b, e in zip(np.maximum(layout.end - length + 1, layout.begin).tolist(), layout.end.tolist(), strict=True):
+                    mask[b:e] = False
                 mask &= ~_union(runs[0].astype(np.int64), runs[1].astype(np.int64) + 1, layout.n)
-                room = np.maximum(layout.end - length + 1, layout.begin)
-                mask &= ~_union(room, layout.end, layout.n)
                 lo, hi = _runs(mask, layout.begin[layout.sizes > 0])
             else:
                 lo = hi = shared

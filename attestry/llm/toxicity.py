@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a stretch of words up to a sentence mark or a line end.  Its words become classes: insult, threat,
-target, negation, reporting verb, other.  Four small transducers rewrite the class sequence one after another and
-are composed into one machine (the product of their reachable states):
+A clause is a stretch of words up to a sentence mark or a line end.  Its words become classes: insult, violent verb,
+linking verb, intent, target, negation, reporting verb, other.  Six small transducers rewrite the class sequence one after
+another and are composed into one machine (the product of their reachable states):
 
+* insult: an insult within four words after a linking verb ("you are such an ...") is marked as stated;
+* threat: a violent verb within three words after an intent ("will", "going to") is marked as a threat, a bare one stays a
+  mention;
 * reported speech: after a reporting verb, insults and threats of the clause are marked as quoted;
 * negation: an insult or threat within three words after a negation is marked as denied;
 * target: an insult or threat in a clause that names a target (before it) is marked as aimed;
@@ -13,7 +16,8 @@ A document's value combines its clause weights (their bounded sum and their larg
 the labels turns it into a score.  The classes' word lists are fixed but for the insults, which also hold word
 stems learned from the labels: prefixes of 4 to 8 characters that occur in toxic documents of the sample and hardly
 ever in others, with a log-likelihood ratio that stays convincing among a million prefixes, shortest first.  Near
-copies (same least hash of the five-word shingles, same label) count once, so that no stem comes from copies.
+copies (same least hash of the five-word shingles, same label) count once, so that no stem comes from copies.  All stems
+that pass are kept: how many there can be is bounded by the sample of about SAMPLE labelled documents.
 
 Edge cases: null, empty and wordless texts have no clause and get the link's value at zero; conflicting labels of
 a document count as toxic; with no label, or labels of one kind, the score is the share of toxic labels (0 without
@@ -35,21 +39,24 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, map_steps
 
-SAMPLE, LEAST, LEAST_LOG_ODDS, LEAST_EVIDENCE, MOST_STEMS, THRESHOLD = 40_000, 5, 3.0, 14.0, 5000, 0.5
+SAMPLE, LEAST, LEAST_LOG_ODDS, LEAST_EVIDENCE, THRESHOLD = 40_000, 5, 3.0, 14.0, 0.5
 PREFIXES = range(4, 9)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]+")
 
 # Fixed word lists (English, German, French, Spanish).
 INSULTS = frozenset("idiot idiots moron morons imbecile scum loser losers trash worthless pathetic disgusting stupid dumb clown vermin idiotin dumm dumme trottel abschaum wertlos crétin imbécile ordure minable débile estúpido estúpida idiota imbécil basura inútil".split())
-THREATS = frozenset("kill hurt destroy beat stab shoot attack burn strangle töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
+VIOLENCE = frozenset("kill hurt destroy beat stab shoot attack burn strangle töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 TARGETS = frozenset("you your yours he she they them him her his their people immigrants women men du dich dir sie ihr euch tu te toi vous il elle ils elles tú usted ustedes él ella ellos ellas".split())
 NEGATIONS = frozenset("not no never neither nor without isnt arent wasnt nicht kein keine nie niemals ne pas jamais sans nunca jamás sin".split())
 REPORTING = frozenset("said says say wrote writes claimed claims quoted reported told called alleged sagte schrieb behauptete dit écrit affirme dijo escribió afirmó".split())
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTED, DENIED, AIMED, END = "o", "i", "t", "g", "n", "r", "q", "d", "a", "$"
-WEIGHTS = {INSULT: 1.0, THREAT: 0.25, QUOTED: 0.6, DENIED: 0.6, AIMED: 1.5}
-THREAT_AIMED = "A"
-WEIGHTS[THREAT_AIMED] = 1.5
+LINKING = frozenset("are is am was were be being youre bist ist sind bin seid es eres sois sommes sont est suis soy somos son era".split())
+INTENT = frozenset("will shall gonna going must should want ill lets werde werden wird soll muss vais va allons vont doit voy va vamos van debe".split())
+
+OTHER, INSULT, VIOLENT, LINK, INTEND, TARGET, NEGATION, REPORT, END = "o", "i", "v", "l", "w", "g", "n", "r", "$"
+STATED, THREAT, QUOTED, DENIED, AIMED, THREAT_AIMED, VIOLENT_AIMED = "s", "t", "q", "d", "a", "T", "V"
+WEIGHTS = {INSULT: 1.0, STATED: 1.1, VIOLENT: 0.25, THREAT: 0.5, QUOTED: 0.6, DENIED: 0.6, AIMED: 1.5, VIOLENT_AIMED: 1.5, THREAT_AIMED: 1.75}
+HARM = (INSULT, STATED, VIOLENT, THREAT)
 
 
 class Transducer:
@@ -76,38 +83,43 @@ class Transducer:
         return Transducer((self.start, after.start), rule, self.symbols)
 
 
-_SYMBOLS = "oitgnr$"
+_SYMBOLS = OTHER + INSULT + VIOLENT + LINK + INTEND + TARGET + NEGATION + REPORT + END
+
+
+def _after(trigger: str, reach: int, change: dict[str, str]):
+    """Within ``reach`` symbols after the trigger, which becomes an other word, symbols change."""
 
+    def rule(left: int, s: str):
+        if s == END:
+            return 0, s, 0.0
+        if s == trigger:
+            return reach, OTHER, 0.0
+        return max(0, left - 1), change.get(s, s) if left else s, 0.0
 
-def _reported(inside: bool, s: str):
-    if s == END:
-        return False, s, 0.0
-    if s == REPORT:
-        return True, OTHER, 0.0
-    return inside, QUOTED if inside and s in (INSULT, THREAT) else s, 0.0
+    return rule
 
 
-def _negated(left: int, s: str):
-    if s == END:
-        return 0, s, 0.0
-    if s == NEGATION:
-        return 3, OTHER, 0.0
-    return max(0, left - 1), DENIED if left and s in (INSULT, THREAT) else s, 0.0
+def _from(trigger: str, change: dict[str, str]):
+    """From the trigger, which becomes an other word, to the clause's end, symbols change."""
 
+    def rule(on: bool, s: str):
+        if s == END:
+            return False, s, 0.0
+        if s == trigger:
+            return True, OTHER, 0.0
+        return on, change.get(s, s) if on else s, 0.0
 
-def _aimed(named: bool, s: str):
-    if s == END:
-        return False, s, 0.0
-    if s == TARGET:
-        return True, OTHER, 0.0
-    return named, {INSULT: AIMED, THREAT: THREAT_AIMED}.get(s, s) if named else s, 0.0
+    return rule
 
 
 def grammar() -> Transducer:
-    scoring = Transducer(0, lambda state, s: (0, s, WEIGHTS.get(s, 0.0)), "oit$qdaA")
-    aimed = Transducer(False, _aimed, "oitg$qd")
-    negated = Transducer(0, _negated, "oitgn$q")
-    return Transducer(False, _reported, _SYMBOLS).compose(negated).compose(aimed).compose(scoring)
+    insult = Transducer(0, _after(LINK, 4, {INSULT: STATED}), _SYMBOLS)
+    threat = Transducer(0, _after(INTEND, 3, {VIOLENT: THREAT}), "oisvwgnr$")
+    reported = Transducer(False, _from(REPORT, dict.fromkeys(HARM, QUOTED)), "oisvtgnr$")
+    negated = Transducer(0, _after(NEGATION, 3, dict.fromkeys(HARM, DENIED)), "oisvtgnq$")
+    aimed = Transducer(False, _from(TARGET, {INSULT: AIMED, STATED: AIMED, VIOLENT: VIOLENT_AIMED, THREAT: THREAT_AIMED}), "oisvtgqd$")
+    scoring = Transducer(0, lambda state, s: (0, s, WEIGHTS.get(s, 0.0)), "oisvtqdaTV$")
+    return insult.compose(threat).compose(reported).compose(negated).compose(aimed).compose(scoring)
 
 
 class Lexicon:
@@ -116,7 +128,8 @@ class Lexicon:
     def __init__(self, stems: frozenset[str] = frozenset()):
         self.stems = stems
         self.heads = frozenset(s[:4] for s in stems)
-        self.fixed = {w: c for c, words in ((REPORT, REPORTING), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
+        classes = ((LINK, LINKING), (INTEND, INTENT), (REPORT, REPORTING), (NEGATION, NEGATIONS), (TARGET, TARGETS), (VIOLENT, VIOLENCE), (INSULT, INSULTS))
+        self.fixed = {w: c for c, words in classes for w in words}
 
     def insult(self, word: str) -> bool:
         return word[:4] in self.heads and any(word[:k] in self.stems for k in PREFIXES)
@@ -140,7 +153,7 @@ class Scorer:
         """(first word, end word, weight) of the clauses that match; words are counted over the text."""
         words = _TOKEN.findall(text.lower())
         heads, fixed = self.lexicon.heads, self.lexicon.fixed
-        if not any(w[:4] in heads or fixed.get(w) in (INSULT, THREAT) for w in words):
+        if not any(w[:4] in heads or fixed.get(w) in (INSULT, VIOLENT) for w in words):
             return []  # no path has weight
         out, state, weight, first = [], self.machine.start, 0.0, 0
         of, table = self.lexicon.of, self.machine.table
@@ -154,12 +167,13 @@ class Scorer:
                 weight, first = 0.0, i + 1
         return out
 
-    def parts(self, text: str | None) -> list[float]:
-        weights = [w for _, _, w in self.clauses(text)] if text else []
+    @staticmethod
+    def parts(clauses: list[tuple[int, int, float]]) -> list[float]:
+        weights = [w for _, _, w in clauses]
         return [1.0, math.tanh(sum(weights) / 2), min(max(weights, default=0.0), 3.0)]
 
-    def score(self, text: str | None) -> float:
-        parts = self.parts(text)
+    def score(self, clauses: list[tuple[int, int, float]]) -> float:
+        parts = self.parts(clauses)
         if self.constant is not None and parts[1] == 0:
             return self.constant
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.link, parts)))))))
@@ -206,14 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int
         evidence = F.col("toxic") * F.log(share / base) + F.col("clean") * F.log((1 - share) / (1 - base))
         found = map_steps(texts, "text", "stem string, clean long, toxic long", prefixes).groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) & (odds >= LEAST_LOG_ODDS) & (evidence >= LEAST_EVIDENCE) & (F.col("clean") * 10 <= F.col("toxic")))
         kept: set[str] = set()
-        for r in sorted(found.orderBy(F.desc("toxic"), "stem").limit(MOST_STEMS).collect(), key=lambda r: (len(r["stem"]), r["stem"])):
+        for r in sorted(found.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
             if not any(r["stem"][:k] in kept for k in PREFIXES):
                 kept.add(r["stem"])
         stems = sorted(kept)
         scorer = Scorer(Lexicon(frozenset(stems)))
 
         def values(piece: pa.RecordBatch) -> dict:
-            count = Counter((int(y), *scorer.parts(x)[1:]) for x, y in zip(piece.column("text").to_pylist(), piece.column("y").to_pylist(), strict=True))
+            count = Counter((int(y), *scorer.parts(scorer.clauses(x or ""))[1:]) for x, y in zip(piece.column("text").to_pylist(), piece.column("y").to_pylist(), strict=True))
             return {"y": [k[0] for k in count], "a": [k[1] for k in count], "b": [k[2] for k in count], "n": list(count.values())}
 
         got = map_steps(texts, "text", "y int, a double, b double, n long", values).groupBy("y", "a", "b").agg(F.sum("n").alias("n")).collect()  # few distinct values
@@ -235,8 +249,8 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def work(piece: pa.RecordBatch) -> dict:
-        texts = piece.column("text").to_pylist()
-        return {"doc_id": piece.column("doc_id"), "score": [held.value.score(x) for x in texts], "clauses": [[{"start": a, "end": b, "weight": w} for a, b, w in held.value.clauses(x or "")] for x in texts]}
+        clauses = [held.value.clauses(x or "") for x in piece.column("text").to_pylist()]
+        return {"doc_id": piece.column("doc_id"), "score": [held.value.score(x) for x in clauses], "clauses": [[{"start": a, "end": b, "weight": w} for a, b, w in x] for x in clauses]}
 
     shape = T.StructType.fromDDL("doc_id long, score double, clauses array<struct<start: int, end: int, weight: double>>")
     return map_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", shape, work)

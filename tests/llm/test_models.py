@@ -1,5 +1,7 @@
 import itertools
 import random
+import tracemalloc
+from unittest import mock
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,15 +15,12 @@ SF = "/root/testdata/sf0.01"
 
 # --- top-k ---------------------------------------------------------------------------------------------------------
 def topk_brute(rows, k, is_query):
-    best = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            best[i] = min(best.get(i, w), w)
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in filter(is_query, best):
-        s = sorted(((-sum(a * b for a, b in zip(best[q], best[c], strict=True)), c) for c in best if c != q and len(best[c]) == len(best[q])))
-        out += [(q, r, c, -x) for r, (x, c) in enumerate(s[:k], 1)]
+    for n, (q, v) in enumerate(whole):
+        if is_query(q):
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for m, (c, w) in enumerate(whole) if m != n and len(w) == len(v))
+            out += [(q, r, c, -x) for r, (x, c) in enumerate(s[:k], 1)]
     return sorted(out)
 
 
@@ -29,6 +28,8 @@ def test_topk(spark):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(120)] + [(i, [0.5] * 6) for i in range(120, 140)]
     rows += [(200, None), (250, []), (300, [1.0, None]), (350, [float("nan")] * 6), (400, [float("inf")] * 6), (None, [1.0] * 6), (450, [1.0, 2.0]), (451, [2.0, 2.0]), (50, [rng.uniform(-1, 1) for _ in range(6)])]
+    rows += [(130, [0.5] * 6), (130, [0.25] * 6), (7, [5.0] * 6), (7, [1.0] * 6), (463, [2.0**40, 1.0]), (461, [2.0**40, 2.0]), (462, [0.0, 3.0])]
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1)).withColumn("v", F.lit("x"))
     want = topk_brute(rows, 5, lambda i: i % 10 == 0)
     for shard, block in ((8192, 1024), (16, 3)):
@@ -73,6 +74,57 @@ def test_language_edges(spark):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def test_letters_and_numerals(spark):
+    docs = documents(spark, ["½ ² ①", "Ⅷ ٣ _ 7", "ª", "中", "x²"])
+    model = langid.fit(documents(spark, ["one fine day", "ein guter Tag"]))
+    assert [r.lang_pred == "und" for r in sorted(langid.identify(docs, model).collect(), key=lambda r: r.doc_id)] == [True, True, False, False, False]
+
+
+def ngrams_brute(text):
+    raw = (" " + text.lower() + " ").encode("utf-8", "replace")
+    form = [c if 97 <= c <= 122 or c >= 128 and c != 0xC2 else 32 for c in raw]
+    codes = [c + 1 for c in form if c != 32]
+    codes += [(a << 8 | b) + (1 << 20) for a, b in itertools.pairwise(form) if (a, b) != (32, 32)]
+    codes += [(form[i] << 16 | form[i + 1] << 8 | form[i + 2]) + (1 << 30) for i in range(len(form) - 2) if form[i : i + 3] != [32] * 3]
+    return [(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - langid.BITS for c in codes]
+
+
+def test_language_against_brute_force(spark):
+    """The whole operator once more in plain Python: counts, bits, calibration's results as given, weighted decoding."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    model = langid.fit(docs)
+    langs = sorted({x for _, t, x in rows if t is not None and x is not None})
+    assert model.languages == langs
+    size = 1 << langid.BITS
+    counts = {x: [0.5] * size for x in langs}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            grams = ngrams_brute(text)
+            got = {}
+            for g in grams:
+                got[g] = got.get(g, 0) + 1
+            for g, n in got.items():
+                counts[lang][g] += round(n * (langid.UNIT / len(grams))) * (100 / langid.UNIT)
+    share = {x: [c / sum(counts[x]) for c in counts[x]] for x in langs}
+    bits = []
+    for bit in range(model.code.shape[1]):
+        on, off = ([x for k, x in enumerate(langs) if (model.code[k, bit] > 0) == side] for side in (True, False))
+        bits.append([np.log(sum(share[x][g] for x in on) / len(on)) - np.log(sum(share[x][g] for x in off) / len(off)) for g in range(size)])
+    found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            assert found[i].lang_pred == "und" and found[i].score == 0
+            continue
+        grams = ngrams_brute(text)
+        loss = []
+        for k in range(len(langs)):
+            loss.append(sum(model.trust[b] * np.log1p(np.exp(-model.code[k, b] * (model.scale[b] * sum(bits[b][g] for g in grams) / len(grams) + model.offset[b]))) for b in range(len(bits))))
+        p = np.exp(min(loss) - np.array(loss))
+        assert found[i].lang_pred == langs[int(np.argmin(loss))] and abs(found[i].score - 1 / p.sum()) < 1e-6
+        assert found[i].ambiguous == (sorted(p / p.sum())[-2] > langid.AMBIGUOUS)
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(2)
@@ -87,6 +139,20 @@ def test_marginals_against_enumeration():
         assert np.allclose(got, good / total)
 
 
+def test_quality_memory_grows_with_text_alone():
+    texts = [b"a b\n"] * 999 + [b"x\n" * 60_000]
+    model = quality.Model()
+    tracemalloc.start()
+    scores = model.scores(texts)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20 and len(scores) == 1000
+    tracemalloc.stop()
+    for text in (b"", b"one", b"one\n\ntwo words\n" * 40):
+        x, n = quality.sequence(text)
+        with mock.patch.object(quality, "LINES", 7):
+            u, m = quality.potentials(text, np.arange(quality.FEATURES, dtype=float))
+        assert np.allclose(u, x @ np.arange(quality.FEATURES)) and (n == m).all()
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = langid.held_out(5, 0)
@@ -101,8 +167,9 @@ def test_quality_edges(spark):
     model = quality.fit(docs, labels)
     got = quality.score(docs, model)
     assert got.count() == len(NASTY) and got.filter("score between 0 and 1").count() == len(NASTY)
+    docs = docs.withColumns({"__score": F.lit("x"), "attestry_0": F.lit("y")})
     kept = quality.accepted(docs, model, threshold=0.0)
-    assert kept.schema == docs.schema and kept.count() == len(NASTY)
+    assert kept.columns == docs.columns and kept.count() == len(NASTY)
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.score(empty(spark), model).count() == 0
 
@@ -117,16 +184,23 @@ def test_grammar():
     assert weight("you are not an idiot") == W[toxicity.DENIED]
     assert weight("she said you idiot") == W[toxicity.QUOTED]
     assert weight("she said so. what an idiot") == W[toxicity.INSULT]
-    assert weight("they kill time") == W[toxicity.THREAT_AIMED] and weight("to kill time") == W[toxicity.THREAT]
+    assert weight("they kill time") == W[toxicity.VIOLENT_AIMED] and weight("to kill time") == W[toxicity.VIOLENT]
+    assert weight("that was really an idiot") == W[toxicity.STATED] and weight("that was the day of some other idiot") == W[toxicity.INSULT]
+    assert weight("we will soon burn it") == W[toxicity.THREAT] and weight("he will burn it") == W[toxicity.THREAT_AIMED]
+    assert weight("i will never hurt you") == W[toxicity.DENIED] and weight("he wrote that he will burn it") == W[toxicity.QUOTED]
     assert weight("a quiet day\nidiot") == W[toxicity.INSULT] and weight("") == 0
 
 
 def test_composition_equals_one_after_another():
     rng = random.Random(5)
-    stages = [toxicity.Transducer(False, toxicity._reported, "oitgnr$"), toxicity.Transducer(0, toxicity._negated, "oitgn$q"), toxicity.Transducer(False, toxicity._aimed, "oitg$qd")]
+    T = toxicity
+    symbols = "oivlwgnrstqd$"
+    stages = [T.Transducer(0, T._after(T.LINK, 4, {T.INSULT: T.STATED}), symbols), T.Transducer(0, T._after(T.INTEND, 3, {T.VIOLENT: T.THREAT}), symbols)]
+    stages += [T.Transducer(False, T._from(T.REPORT, dict.fromkeys(T.HARM, T.QUOTED)), symbols), T.Transducer(0, T._after(T.NEGATION, 3, dict.fromkeys(T.HARM, T.DENIED)), symbols)]
+    stages += [T.Transducer(False, T._from(T.TARGET, {T.INSULT: T.AIMED, T.STATED: T.AIMED, T.VIOLENT: T.VIOLENT_AIMED, T.THREAT: T.THREAT_AIMED}), symbols)]
     whole = toxicity.grammar()
     for _ in range(200):
-        word = [rng.choice("oitgnr$") for _ in range(20)]
+        word = [rng.choice("oivlwgnr$") for _ in range(20)]
         now = word
         for m in stages:
             state, out = m.start, []
@@ -189,5 +263,7 @@ def test_packing_places_everything_once(spark):
         own = [r for r in got if r.batch == batch]
         assert len({r.bucket for r in own}) == 1 and len(own) * own[0].bucket <= max(256, own[0].bucket)
         assert sorted(r.slot for r in own) == list(range(len(own)))
+    again = packing.pack(docs.repartition(7), max_tokens=64, buckets=4, budget=256, lane_batches=2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))  # whatever the layout
     assert packing.summary(packing.pack(docs)).agg(F.sum("pieces")).first()[0] >= len(texts)
     assert packing.pack(empty(spark)).count() == 0

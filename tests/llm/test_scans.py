@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from attestry.llm import decontaminate, secrets
 
 from .helpers import NASTY, documents, empty
@@ -83,8 +85,8 @@ def contamination_brute(docs, items):
     windows = {}
     for i, x in items:
         w = word.findall(lower(x))
-        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).update([] if i is None else [str(i)])
     out = {}
     for i, x in docs:
         w, hit, ids = word.findall(lower(x)), set(), set()
@@ -102,15 +104,15 @@ def test_contamination(spark, part_bytes):
     rng = random.Random(8)
     vocabulary = ["the", "of", "a", "in", "É", "z9", "longer", "ß"]
     make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(0, make(25)), (1, "One"), (2, "of a"), (3, None), (4, "!?"), (None, "the of"), (5, make(10)), (5, make(9)), (7, make(14)), (8, make(14).upper())]
+    items = [(0, make(25)), (1, "One"), (2, "of a"), (3, None), (4, "!?"), (None, "the z9"), (None, "É longer a"), (5, make(10)), (5, make(9)), (7, make(14)), (8, make(14).upper())]
     texts = [*NASTY, *[make(rng.randint(0, 200)) for _ in range(40)]]
-    for k in (0, 6, 8, 9):
+    for k in (0, 7, 9, 10):
         texts += [f"{make(5)}; {items[k][1]}? {make(5)}", f"{items[k][1]}", f"x{items[k][1]}y", ", ".join((items[k][1] + " " + items[k][1]).split())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.digest(decontaminate.find_contamination(documents(spark, texts), bench, part_bytes=part_bytes))
     want = contamination_brute(list(enumerate(texts)), items)
     assert {r[0]: tuple(r[1:]) for r in found.collect()} == want
-    docs = documents(spark, texts)
+    docs = documents(spark, texts).withColumns({"__hits": F.lit("x"), "attestry_1": F.lit("y")})
     kept = decontaminate.without_contaminated(docs, bench, part_bytes=part_bytes)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
     none = decontaminate.find_contamination(docs, bench.limit(0))
