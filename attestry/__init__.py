@@ -1 +1,3 @@
 """Attestry: exact, verifiable analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

@@ -18,6 +18,18 @@ def tagged(domain: str, payload: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f"attestry-{domain}/{VERSION}\n"), payload), 256))
 
 
+def length_prefixed(*parts: Column) -> Column:
+    """Byte strings one after another, each behind its length in eight bytes: no two lists give the same bytes."""
+    return F.concat(*[x for p in parts for x in (F.unhex(F.lpad(F.hex(F.octet_length(p).cast("long")), 16, "0")), p.cast("binary"))])
+
+
+def strict_base64(text: Column) -> Column:
+    """The bytes of a text in canonical base64 (padded, no blanks, no spare bits); null for any other text."""
+    shape = text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    raw = F.when(shape, F.try_to_binary(text, F.lit("base64")))
+    return F.when(F.replace(F.replace(F.base64(raw), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")) == text, raw)
+
+
 def json_string(c: Column) -> Column:
     """A text as a JSON string token."""
     token = F.to_json(F.array(c))
@@ -55,18 +67,21 @@ def multiset_digest(df: DataFrame, schema: TableSchema, by: Sequence[str] = ())
     return hashed.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.coalesce(lane(k), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"lane{k}") for k in range(4)])
 
 
-def table_digest(lines: DataFrame, schema: TableSchema, *, rows_at_most: int = 100_000) -> DataFrame:
-    """One row with the digest of header and lines in position order, from ``pos, line``.
+#: Lines of a block, and blocks of a group, in a table's digest.
+BLOCK = 4096
 
-    Up to ``rows_at_most`` rows the digest is that of the whole text; a larger table has the digest of its blocks'
-    digests, each of so many rows, and says so in ``mode``.
+
+def table_digest(lines: DataFrame, schema: TableSchema) -> DataFrame:
+    """``n_rows, digest``: one row with the digest of header and lines in position order, from ``pos, line``.
+
+    One definition for every size: blocks of BLOCK lines are digested, then groups of BLOCK blocks, and the digest of
+    the table is that of its header and its groups' digests, so that no task holds more than one of these lists.
     """
-    block = F.floor((F.col("pos") - 1) / rows_at_most)
-    head = F.lit(header_line(schema) + "\n")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    blocks = lines.groupBy(block.alias("block")).agg(body.alias("body"), F.count("*").alias("n"))
-    hashed = blocks.select("block", "n", "body", F.sha2("body", 256).alias("h"))
-    got = hashed.agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), F.max(F.when(F.col("block") == 0, F.col("body"))).alias("body"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n").alias("hs"))
-    whole = F.col("k") <= 1
-    payload = F.concat(head, F.when(whole, F.coalesce("body", F.lit(""))).otherwise(F.col("hs")))
-    return got.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(whole, "whole").otherwise("blocks").alias("mode"), tagged("table", payload).alias("digest"))
+
+    def joined(order: str, text: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[text], F.lit("\n"))), ""), 256)
+
+    blocks = lines.groupBy(F.floor((F.col("pos") - 1) / BLOCK).alias("block")).agg(F.count("*").alias("n"), joined("pos", "line").alias("h"))
+    groups = blocks.groupBy(F.floor(F.col("block") / BLOCK).alias("group")).agg(F.sum("n").alias("n"), joined("block", "h").alias("h"))
+    hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "h"))), lambda x: x["h"]), "\n")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), tagged("table", F.concat(F.lit(header_line(schema) + "\n"), hashes)).alias("digest"))

@@ -61,51 +61,38 @@ def half_even(c: Column, scale: int) -> Column:
 _SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _judged(text: Column, scale: int) -> Column:
-    """A cell as a struct: ``status``, and ``body``, its text without outer blanks and inner underscores."""
-
-    def parts(body: Column) -> Column:
-        low = F.lower(body)
-        mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
-        frac = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-        exp = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
-        figures = F.concat(F.substring_index(mantissa, ".", 1), frac)
-        digits = F.when(exp == "", F.lit(0).cast("long")).when(F.length(exp) > 12, F.when(exp.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long")).otherwise(exp.try_cast("long"))
-        return F.struct(figures.alias("figures"), F.length(frac).alias("places"), digits.alias("exp"))
-
-    def judged(body: Column) -> Column:
-        def status(p: Column) -> Column:
-            significant = F.ltrim(p["figures"], F.lit("0"))
-            trailing = F.length(p["figures"]) - F.length(F.rtrim(p["figures"], F.lit("0")))
-            return (
-                F.when(significant == "", "zero")
-                .when(F.length(significant) - 1 - p["places"] + p["exp"] > 37 - scale, "magnitude")
-                .when(p["places"] - p["exp"] - trailing > scale, "precision")
-                .otherwise("ok")
-            )
-
-        shaped = F.when(body.rlike(_SHAPE), _let(parts(body), status)).otherwise("syntax")
-        return F.struct(shaped.alias("status"), body.alias("body"))
+def numeric_cell(text: Column, scale: int) -> Column:
+    """A cell for DECIMAL(38, scale) as a struct: ``status`` (``ok``, ``syntax``, ``magnitude``, ``precision``; null for the
+    empty cell) and ``value``, its decimal where the status is ``ok``.
 
+    Blanks around and underscores between digits are accepted.  Exponents are handled by digit counts, never by
+    writing the digits out; magnitude is tested before precision; negative zero is zero.
+    """
     trimmed = F.trim(text)
     body = F.when(trimmed.contains("_"), F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")).otherwise(trimmed)
-    return F.when(text.isNotNull() & (text != ""), _let(body, judged))
+    low = F.lower(body)
+    mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
+    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+    exponent = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
+    figures = F.concat(F.substring_index(mantissa, ".", 1), fraction)
+    places = F.length(fraction)
+    ten = F.when(exponent == "", F.lit(0).cast("long")).when(F.length(exponent) > 12, F.when(exponent.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long")).otherwise(exponent.try_cast("long"))
+    significant = F.ltrim(figures, F.lit("0"))
+    trailing = F.length(figures) - F.length(F.rtrim(figures, F.lit("0")))
+    kind = f"decimal(38,{scale})"
+    zero, small = significant == "", F.length(significant) - 1 - places + ten <= 37 - scale
+    fine = places - ten - trailing <= scale
+    status = F.when(~body.rlike(_SHAPE), "syntax").when(zero, "ok").when(~small, "magnitude").when(~fine, "precision").otherwise("ok")
+    value = F.when(body.rlike(_SHAPE), F.when(zero, F.lit(0).cast(kind)).when(small & fine, body.try_cast(kind)))
+    return F.when(text.isNotNull() & (text != ""), F.struct(status.alias("status"), value.alias("value")))
 
 
 def numeric_status(text: Column, scale: int) -> Column:
-    """``ok``, ``syntax``, ``magnitude`` or ``precision`` of a cell for DECIMAL(38, scale); null for the empty cell.
-
-    Blanks around and underscores between digits are accepted.  Exponents are handled by digit counts, never by
-    writing the digits out; magnitude is tested before precision.
-    """
-    status = _judged(text, scale)["status"]
-    return _let(status, lambda s: F.when(s == "zero", "ok").otherwise(s))
+    return numeric_cell(text, scale)["status"]
 
 
 def numeric_value(text: Column, scale: int) -> Column:
-    """The cell's decimal where its status is ``ok``; negative zero is zero."""
-    kind = f"decimal(38,{scale})"
-    return _let(_judged(text, scale), lambda j: F.when(j["status"] == "zero", F.lit(0).cast(kind)).when(j["status"] == "ok", j["body"].try_cast(kind)))
+    return numeric_cell(text, scale)["value"]
 
 
 _DATE, _TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?$"

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import domain_difference, inversions
+
 # Fixed names of the checks that can be reported, by method.
 METHODS = {
-    "schema_validation": "spec.decode dataset.manifest_available formula.grammar_allowed formula.functions_allowed formula.names_allowed formula.exponents_bounded".split(),
-    "resource_policy": "resource.file_bytes resource.manifest_columns resource.source_rows resource.source_cells resource.formula_bytes resource.formula_tokens resource.formula_ast_nodes resource.formula_ast_depth resource.formula_paren_depth resource.formula_digits resource.formula_identifier_bytes resource.formula_samples resource.formula_intermediate_bits resource.plotted_cells resource.render_rows".split(),
-    "deterministic_recompute": "dataset.hash_matches_source formula.domain_ordered formula.domain_bounded formula.sample_points_strictly_increasing formula.values_defined formula.values_bounded formula.hash_matches_source render.float64_fidelity data.charset data.csv_syntax data.header data.row_width data.numeric_value data.temporal_value transform.group_by_placement group_by.keys_distinct select.fields_distinct schema.fields_exist filter.value_type sort.fields_distinct aggregate.output_unique schema.field_types_match sort.field_in_plotted_table encoding.fields_exist_in_plotted_table encoding.axis_types_match_fields label.quantitative_units_present sort.canonical_order encoding.legend_domain_exact".split(),
-    "construction": "security.no_arbitrary_code formula.points_from_recomputation formula.rounding_unambiguous transform.ops_allowed transform.filters_declared transform.aggregates_match_recomputation scale.bar_zero".split(),
+    "schema_validation": (
+        "spec.decode dataset.manifest_available formula.grammar_allowed formula.functions_allowed formula.names_allowed "
+        "formula.exponents_bounded"
+    ).split(),
+    "resource_policy": (
+        "resource.file_bytes resource.manifest_columns resource.source_rows resource.source_cells resource.formula_bytes "
+        "resource.formula_tokens resource.formula_ast_nodes resource.formula_ast_depth resource.formula_paren_depth "
+        "resource.formula_digits resource.formula_identifier_bytes resource.formula_samples resource.formula_intermediate_bits "
+        "resource.plotted_cells resource.render_rows"
+    ).split(),
+    "deterministic_recompute": (
+        "dataset.hash_matches_source formula.domain_ordered formula.domain_bounded formula.sample_points_strictly_increasing "
+        "formula.values_defined formula.values_bounded formula.hash_matches_source render.float64_fidelity data.charset "
+        "data.csv_syntax data.header data.row_width data.numeric_value data.temporal_value transform.group_by_placement "
+        "group_by.keys_distinct select.fields_distinct schema.fields_exist filter.value_type sort.fields_distinct "
+        "aggregate.output_unique schema.field_types_match sort.field_in_plotted_table encoding.fields_exist_in_plotted_table "
+        "encoding.axis_types_match_fields label.quantitative_units_present sort.canonical_order encoding.legend_domain_exact"
+    ).split(),
+    "construction": (
+        "security.no_arbitrary_code formula.points_from_recomputation formula.rounding_unambiguous transform.ops_allowed "
+        "transform.filters_declared transform.aggregates_match_recomputation scale.bar_zero"
+    ).split(),
 }
 METHOD_OF = {c: m for m, cs in METHODS.items() for c in cs}
 #: Affirmations that hold by how a result is made.
 BY_CONSTRUCTION = ("security.no_arbitrary_code", "transform.ops_allowed", "transform.filters_declared", "transform.aggregates_match_recomputation")
 SHAPE = "check string, method string, status string, severity string, message string"
-LIMITS = {"file_bytes": 8 << 20, "manifest_columns": 256, "source_rows": 100_000, "source_cells": 1_000_000, "plotted_cells": 100_000, "render_rows": 10_000}
+# The default ceilings, inclusive.
+LIMITS = {"file_bytes": 8 << 20, "manifest_bytes": 256 << 10, "manifest_columns": 1000, "source_rows": 100_000, "source_cells": 1_000_000, "plotted_cells": 1_000_000, "render_rows": 10_000}
 
 
 def result(check: str, status: str, message: str) -> tuple:
@@ -37,6 +59,65 @@ def counted(df: DataFrame, check: str, bad) -> DataFrame:
     return n.select(F.lit(check).alias("check"), F.lit(METHOD_OF[check]).alias("method"), F.when(F.col("n") > 0, "fail").otherwise("pass").alias("status"), F.when(F.col("n") > 0, "error").otherwise("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"))
 
 
+def measured(df: DataFrame, check: str, value: Column, most: int) -> DataFrame:
+    """One result row of a ceiling: ``value``, an aggregate over ``df``, is at most ``most``."""
+    n = df.agg(F.coalesce(value.cast("long"), F.lit(0)).alias("n"))
+    over = F.col("n") > most
+    message = F.concat(F.col("n").cast("string"), F.lit(f", limit {most}"))
+    return n.select(F.lit(check).alias("check"), F.lit(METHOD_OF[check]).alias("method"), F.when(over, "fail").otherwise("pass").alias("status"), F.when(over, "error").otherwise("info").alias("severity"), message.alias("message"))
+
+
+def ceilings(source: DataFrame, n_columns: int, plotted: DataFrame, limits: Mapping[str, int] = LIMITS) -> DataFrame:
+    """The ceilings on rows, cells and columns of a source and of a plotted result."""
+    width = len(plotted.columns)
+    of_source = source.agg(F.count("*").alias("n"))
+    of_result = plotted.agg(F.count("*").alias("n"))
+    n = F.max("n")
+    out = [measured(of_source, "resource.manifest_columns", F.max(F.lit(n_columns)), limits["manifest_columns"]), measured(of_source, "resource.source_rows", n, limits["source_rows"])]
+    out += [measured(of_source, "resource.source_cells", n * n_columns, limits["source_cells"]), measured(of_result, "resource.plotted_cells", n * width, limits["plotted_cells"])]
+    return reduce(DataFrame.unionByName, [*out, measured(of_result, "resource.render_rows", n, limits["render_rows"])])
+
+
+def canonical_order(positioned: DataFrame, sort: Sequence[tuple[str, bool]]) -> DataFrame:
+    """``sort.canonical_order``: no row of a positioned result stands behind one that it should precede."""
+    return counted(inversions(positioned, "pos", sort), "sort.canonical_order", F.lit(True))
+
+
+def legend_domain(shown: DataFrame, declared: DataFrame) -> DataFrame:
+    """``encoding.legend_domain_exact``: the values shown are the values declared."""
+    return counted(domain_difference(shown, declared), "encoding.legend_domain_exact", F.lit(True))
+
+
+def zero_baseline(values: DataFrame, column: str, low: Column) -> DataFrame:
+    """``scale.bar_zero``: the axis of bars, which begins at ``low``, holds zero or begins below every value that is less."""
+    return counted(values, "scale.bar_zero", F.col(column).isNotNull() & (low > F.least(F.lit(0), F.col(column))))
+
+
+def formula_results(evaluated: DataFrame, y_limit: str = "1e26") -> DataFrame:
+    """The checks of sampled formulas: points rise strictly, as decimals and as doubles, and values are defined, bounded and
+    faithful as doubles.  ``evaluated`` has ``formula_id, i, x, y, status``."""
+    w = Window.partitionBy("formula_id").orderBy("i")
+    rows = evaluated.withColumn("before", F.lag("x").over(w))
+    bound = F.lit(y_limit).cast("double")
+    lossless = lambda c: (F.abs(F.col(c).cast("double")) < float("inf")) & (F.col(c).cast("double").try_cast("decimal(38,12)") == F.col(c))
+    tests = {
+        "formula.sample_points_strictly_increasing": F.col("before").isNotNull() & (F.col("x") <= F.col("before")),
+        "formula.values_defined": F.col("status") == "formula.values_defined",
+        "formula.values_bounded": F.col("y").isNotNull() & (F.abs(F.col("y").cast("double")) > bound),
+        "render.float64_fidelity": (F.col("before").isNotNull() & (F.col("x").cast("double") <= F.col("before").cast("double"))) | ~F.coalesce(lossless("x") & F.coalesce(lossless("y"), F.lit(True)), F.lit(False)),
+    }
+    counts = rows.agg(*[F.count_if(bad).alias(check) for check, bad in tests.items()])
+    long = counts.unpivot([], [F.col(f"`{c}`") for c in tests], "check", "n")
+    methods = F.create_map(*[F.lit(x) for c in tests for x in (c, METHOD_OF[c])])
+    failed = F.col("n") > 0
+    return long.select("check", methods[F.col("check")].alias("method"), F.when(failed, "fail").otherwise("pass").alias("status"), F.when(failed, "error").otherwise("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"))
+
+
+def affirmations(spark: SparkSession) -> DataFrame:
+    """What holds by how a result is made, as result rows."""
+    return frame(spark, [result(c, "pass", "holds by construction") for c in BY_CONSTRUCTION])
+
+
 def union_of(frames: list[DataFrame]) -> DataFrame:
     """Results of several stages, with the stage's number."""
     out = None

@@ -5,20 +5,21 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import multiset_digest
+from ..sources.store import stored
 from ..types import CheckError, TableSchema
-from .pipeline import Channel, Pipeline
+from .pipeline import Channel, Pipeline, checked_literal, literal_condition
 
 DATASET = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\.csv")
 HASH = re.compile(r"sha256:[0-9a-f]{64}")
 MARKS = ("bar", "line", "scatter")
-#: Plans that one bulk verification unites at most; a larger corpus goes in several calls.
-MOST_PLANS = 256
 
 
 def _refuse(message: str):
@@ -128,20 +129,69 @@ def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[st
     return specs.select("spec_id", "raw").mapInPandas(work, "spec_id string, stage string, check string, canonical string")
 
 
-def verified_results(admitted: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame]) -> DataFrame:
+def _shape(canonical_text: str, schemas: dict[str, TableSchema]) -> tuple[str, list[str]]:
+    """A spec without what its result does not depend on, and with the literals of its first filters taken out."""
+    doc = json.loads(canonical_text)
+    schema, literals, steps = schemas[doc["dataset"]["name"]], [], []
+    for k, op in enumerate(doc["transform"]):
+        if op["op"] == "filter" and not any(x["op"] == "aggregate" for x in doc["transform"][:k]):
+            known = checked_literal(schema.column(op["field"]), op["cmp"], op["value"])
+            if not isinstance(known, bool):  # a literal that no cell can hold stays where it is
+                literals.append(known)
+                op = {**op, "value": None}
+        steps.append(op)
+    return json.dumps({"name": doc["dataset"]["name"], "transform": steps}, sort_keys=True), literals
+
+
+def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame]) -> DataFrame:
+    """``plan, n_rows, lane0..3`` of all specs of one shape, in one job over its dataset."""
+    doc = json.loads(shape)
+    values = iter(example)
+    open_ = [k for k, op in enumerate(doc["transform"]) if op["op"] == "filter" and op["value"] is None]
+    for k in open_:
+        doc["transform"][k]["value"] = next(values)
+    plan = planned(doc, schemas[doc["name"]])
+    data = tables(doc["name"]).select(*schemas[doc["name"]].names)
+    if not open_:
+        return _every(multiset_digest(plan.to_df(data), plan.schema), specs)
+    given = {k: F.col(f"__l{i}") for i, k in enumerate(open_)}
+    literals = specs.select(F.col("plan").alias("__plan"), *[F.col("literals")[i].alias(f"__l{i}") for i in range(len(open_))])
+    meets = reduce(Column.__and__, [literal_condition(plan.steps[k][2], *plan.steps[k][1][1:], c) for k, c in given.items()])
+    first = next((step for step in plan.steps if step[0] == "aggregate"), None)
+    # an aggregate over no rows at all is a row too
+    joined = literals.join(data, meets, "left" if first is not None and not first[1] else "inner")
+    rest = replace(plan, steps=tuple(step for k, step in enumerate(plan.steps) if k not in given))
+    got = multiset_digest(rest.to_df(joined, carry=["__plan"]), plan.schema, by=["__plan"]).withColumnRenamed("__plan", "plan")
+    lanes = [F.coalesce(f"lane{k}", F.lit("0")).alias(f"lane{k}") for k in range(4)]
+    return specs.select("plan").join(got, "plan", "left").select("plan", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *lanes)
+
+
+def _every(one: DataFrame, specs: DataFrame) -> DataFrame:
+    """The single row of ``one`` for each of the specs."""
+    return specs.select("plan", F.lit(1).alias("__k")).join(F.broadcast(one.withColumn("__k", F.lit(1))), "__k").drop("__k")
+
+
+def verified_results(admitted: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame], *, shapes_at_once: int = 16) -> DataFrame:
     """``spec_id, n_rows, lane0..3``: the recomputed result's identity for each admitted spec.
 
-    One plan per spec over its dataset's scan, united; at most MOST_PLANS specs (their plans, not their data, are on
-    the driver).
+    Specs that differ in spelling, mark or encoding only are computed once.  Specs that differ in the literals of their
+    first filters have one shape: their literals are a table, joined to the dataset's rows by the filters (an equality
+    makes it a hash join), so that a shape costs one scan however many specs have it.  Only the distinct shapes are on
+    the driver, where their plans are made, ``shapes_at_once`` of them in one job.
     """
-    good = admitted.filter("check is null").select("spec_id", "canonical").orderBy("spec_id").limit(MOST_PLANS + 1).collect()
-    if len(good) > MOST_PLANS:
-        raise ValueError(f"more than {MOST_PLANS} specs in one call")
-    out = None
-    for r in good:
-        doc = json.loads(r["canonical"])
-        name = doc["dataset"]["name"]
-        plan = planned(doc, schemas[name])
-        own = multiset_digest(plan.to_df(tables(name)), plan.schema).select(F.lit(r["spec_id"]).alias("spec_id"), "*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    good = admitted.filter("check is null").select("spec_id", "canonical")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [_shape(x, schemas) for x in pdf["canonical"]]
+            yield pd.DataFrame({"spec_id": pdf["spec_id"], "shape": [x for x, _ in made], "literals": [x for _, x in made]})
+
+    specs = good.mapInPandas(work, "spec_id string, shape string, literals array<string>")
+    specs = stored(specs.withColumn("plan", F.sha2(F.to_json(F.struct("shape", "literals")), 256)))
+    plans = stored(specs.groupBy("plan").agg(F.first("shape").alias("shape"), F.first("literals").alias("literals")))
+    shapes = plans.groupBy("shape").agg(F.min("literals").alias("example")).orderBy("shape").collect()
+    done = [specs.sparkSession.createDataFrame([], "plan string, n_rows long, lane0 string, lane1 string, lane2 string, lane3 string")]
+    for at in range(0, len(shapes), shapes_at_once):
+        own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables) for r in shapes[at : at + shapes_at_once]]
+        done.append(stored(reduce(DataFrame.unionByName, own)) if len(shapes) > shapes_at_once else reduce(DataFrame.unionByName, own))
+    return specs.select("spec_id", "plan").join(reduce(DataFrame.unionByName, done), "plan").drop("plan")

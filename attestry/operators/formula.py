@@ -1,65 +1,82 @@
-"""Tables of formulas sampled over uniform grids, exactly.
+"""Tables of formulas sampled over uniform grids, exactly; formulas over the columns of a table.
 
 A formula has ``+ - * /``, ``**`` with one signed integer exponent, ``abs``, decimal literals and the allowed names.
 Admission and evaluation are jobs over a table of formulas: admission turns each row into its canonical form or the
 first check that fails; evaluation spreads (formula, range of grid points) over tasks and computes with rationals,
-rounding once, ties to even.
+rounding once, ties to even.  Ceilings are a parameter of every entry point, ``LIMITS`` by default.  A formula over
+decimal columns becomes one expression of Spark's own where every step fits 38 digits, and goes through rationals only
+where it does not.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digests import tagged
 from ..functions.exact import _unshifted, half_even_quotient
 
-LIMITS = {"formula_bytes": 1024, "formula_tokens": 512, "formula_ast_nodes": 256, "formula_ast_depth": 32, "formula_paren_depth": 32, "formula_digits": 64, "formula_identifier_bytes": 64, "exponent": 64, "formula_samples": 100_000, "formula_intermediate_bits": 4096}
-#: Grid points that one evaluation row covers.
-RANGE = 4096
+# The default ceilings, inclusive.
+LIMITS = {
+    "formula_bytes": 512,
+    "formula_tokens": 256,
+    "formula_ast_nodes": 256,
+    "formula_ast_depth": 32,
+    "formula_paren_depth": 32,
+    "formula_digits": 32,
+    "exponent": 64,
+    "formula_identifier_bytes": 32,
+    "formula_samples": 10_000,
+    "formula_intermediate_bits": 4096,
+}
 _TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(\*\*|[-+*/()]))", re.ASCII)
 
 
+Limits = Mapping[str, int]
+
+
 class Refused(ValueError):
     def __init__(self, check: str, message: str):
         super().__init__(message)
         self.check = check
 
 
-def _tokens(text: str) -> list[str]:
+def _tokens(text: str, limits: Limits) -> list[str]:
     out, at = [], 0
     body = text.rstrip()
     while at < len(body):
         m = _TOKEN.match(body, at)
         if m is None or (m[1] and re.match(r"[.\w]", body[m.end() : m.end() + 1], re.ASCII)):
             raise Refused("formula.grammar_allowed", f"unexpected text at {at}")
-        if m[1] and len(m[1].replace(".", "")) > LIMITS["formula_digits"]:
+        if m[1] and len(m[1].replace(".", "")) > limits["formula_digits"]:
             raise Refused("resource.formula_digits", "too many digits")
-        if m[2] and len(m[2]) > LIMITS["formula_identifier_bytes"]:
+        if m[2] and len(m[2]) > limits["formula_identifier_bytes"]:
             raise Refused("resource.formula_identifier_bytes", "name too long")
         out.append(m[1] or m[2] or m[3])
         at = m.end()
     return out
 
 
-def parse(text: str, names: frozenset[str] = frozenset({"x"})) -> tuple:
+def parse(text: str, names: frozenset[str] = frozenset({"x"}), limits: Limits = LIMITS) -> tuple:
     """A formula as nested tuples: numbers, names, ``('neg' | 'abs', a)``, ``('pow', a, n)``, ``(op, a, b)``."""
-    if len(text.encode()) > LIMITS["formula_bytes"]:
+    if len(text.encode()) > limits["formula_bytes"]:
         raise Refused("resource.formula_bytes", "formula too long")
-    tokens = _tokens(text)
-    if len(tokens) > LIMITS["formula_tokens"]:
+    tokens = _tokens(text, limits)
+    if len(tokens) > limits["formula_tokens"]:
         raise Refused("resource.formula_tokens", "too many tokens")
     depth = most = 0
     for t in tokens:
         depth += (t == "(") - (t == ")")
         most = max(most, depth)
-    if most > LIMITS["formula_paren_depth"]:
+    if most > limits["formula_paren_depth"]:
         raise Refused("resource.formula_paren_depth", "nested too deep")
     # leading zeros are numbers here but not in Python's grammar
     source = " ".join(re.sub(r"^0+(?=\d)", "", t) for t in tokens)
@@ -73,9 +90,9 @@ def parse(text: str, names: frozenset[str] = frozenset({"x"})) -> tuple:
     def walk(node: ast.AST, level: int) -> tuple | Fraction | str:
         nonlocal nodes
         nodes += 1
-        if level > LIMITS["formula_ast_depth"]:
+        if level > limits["formula_ast_depth"]:
             raise Refused("resource.formula_ast_depth", "tree too deep")
-        if nodes > LIMITS["formula_ast_nodes"]:
+        if nodes > limits["formula_ast_nodes"]:
             raise Refused("resource.formula_ast_nodes", "tree too large")
         match node:
             case ast.Constant(value=int() | float()):
@@ -104,7 +121,7 @@ def parse(text: str, names: frozenset[str] = frozenset({"x"})) -> tuple:
                 if not isinstance(b, ast.Constant) or not isinstance(b.value, int):
                     raise Refused("formula.grammar_allowed", "the exponent is one signed integer")
                 exponent = int(next(literals))
-                if exponent > LIMITS["exponent"]:
+                if exponent > limits["exponent"]:
                     raise Refused("formula.exponents_bounded", f"exponent {exponent}")
                 return ("pow", base, sign * exponent)
             case ast.BinOp(left=a, op=op, right=b):
@@ -124,14 +141,15 @@ def printed(tree) -> str:
     return str(tree)
 
 
-def value(tree, binding: dict[str, Fraction]) -> Fraction:
+def value(tree, binding: dict[str, Fraction], limits: Limits = LIMITS) -> Fraction:
     """Exact value; undefined and oversized values are refused."""
     if isinstance(tree, Fraction):
         return tree
     if isinstance(tree, str):
         return binding[tree]
+    bits = limits["formula_intermediate_bits"]
     op, a, *rest = tree
-    x = value(a, binding)
+    x = value(a, binding, limits)
     if op == "neg":
         out = -x
     elif op == "abs":
@@ -140,25 +158,89 @@ def value(tree, binding: dict[str, Fraction]) -> Fraction:
         n = rest[0]
         if x == 0 and n < 0:
             raise Refused("formula.values_defined", "zero to a negative power")
-        if abs(n) * max(x.numerator.bit_length(), x.denominator.bit_length()) > 2 * LIMITS["formula_intermediate_bits"]:
+        if abs(n) * max(x.numerator.bit_length(), x.denominator.bit_length()) > 2 * bits:
             raise Refused("resource.formula_intermediate_bits", "power too large")
         out = x**n
     else:
-        y = value(rest[0], binding)
+        y = value(rest[0], binding, limits)
         if op == "/" and y == 0:
             raise Refused("formula.values_defined", "division by zero")
         out = x + y if op == "+" else x - y if op == "-" else x * y if op == "*" else x / y
-    if max(out.numerator.bit_length(), out.denominator.bit_length()) > LIMITS["formula_intermediate_bits"]:
+    if max(out.numerator.bit_length(), out.denominator.bit_length()) > bits:
         raise Refused("resource.formula_intermediate_bits", "value too large")
     return out
 
 
+#: Bits of a scaled integer up to which a value without division is certain to be within any ceiling of more bits.
+_SMALL = 256
+
+
+def scaled(tree, binding: dict[str, tuple[int, int]]) -> tuple[int, int] | None:
+    """The value as (n, s) for n / 10**s where no step divides or grows large; otherwise None."""
+    if isinstance(tree, Fraction):
+        d, s = tree.denominator, 0
+        while d > 1 and s < 40:
+            s += 1
+            d = (tree * 10**s).denominator
+        return ((tree * 10**s).numerator, s) if d == 1 else None
+    if isinstance(tree, str):
+        return binding[tree]
+    op, a, *rest = tree
+    if op == "/" or (x := scaled(a, binding)) is None:
+        return None
+    n, s = x
+    if op == "neg":
+        n = -n
+    elif op == "abs":
+        n = abs(n)
+    elif op == "pow":
+        if rest[0] < 0 or rest[0] * (n.bit_length() + 4 * s) > _SMALL:
+            return None
+        n, s = n ** rest[0], s * rest[0]
+    else:
+        y = scaled(rest[0], binding)
+        if y is None:
+            return None
+        m, t = y
+        if op == "*":
+            n, s = n * m, s + t
+        else:
+            if s < t:
+                n, s = n * 10 ** (t - s), t
+            m *= 10 ** (s - t)
+            n = n + m if op == "+" else n - m
+    return None if n.bit_length() + 4 * s > _SMALL else (n, s)
+
+
 def quantised(x: Fraction, scale: int) -> int:
     """``x`` in units of ``10**-scale``, ties to even."""
     return round(x * 10**scale)
 
 
-def admission(formulas: DataFrame, names: frozenset[str] = frozenset({"x"})) -> DataFrame:
+def _rounded(tree, cells: dict[str, Decimal], scale: int, limits: Limits) -> int:
+    """The value in units of ``10**-scale``, ties to even; small integers first, rationals where these can't tell."""
+    if limits["formula_intermediate_bits"] >= _SMALL:
+        whole = {}
+        for k, v in cells.items():
+            sign, digits, exponent = v.as_tuple()
+            n = int("".join(map(str, digits))) * (-1 if sign else 1)
+            whole[k] = (n * 10**exponent, 0) if exponent > 0 else (n, -exponent)
+        if (got := scaled(tree, whole)) is not None:
+            n, s = got
+            if s <= scale:
+                return n * 10 ** (scale - s)
+            q, r = divmod(n, 10 ** (s - scale))
+            twice = 2 * r
+            return q + (twice > 10 ** (s - scale) or (twice == 10 ** (s - scale) and q & 1))
+    return quantised(value(tree, {k: Fraction(v) for k, v in cells.items()}, limits), scale)
+
+
+def _digits(units: int, scale: int) -> str:
+    digits = str(abs(units)).rjust(scale + 1, "0")
+    return ("-" if units < 0 else "") + (f"{digits[:-scale]}.{digits[-scale:]}" if scale else digits)
+
+
+def admission(formulas: DataFrame, names: frozenset[str] = frozenset({"x"}), limits: Limits = LIMITS) -> DataFrame:
     """``formula_id, check, ast``: the canonical form, or the check that refuses it (domain before grammar)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,14 +248,14 @@ def admission(formulas: DataFrame, names: frozenset[str] = frozenset({"x"})) ->
             out = []
             for text in pdf["formula"]:
                 try:
-                    out.append((None, printed(parse(text, names))))
+                    out.append((None, printed(parse(text, names, limits))))
                 except Refused as e:
                     out.append((e.check, None))
             yield pd.DataFrame({"formula_id": pdf["formula_id"], "grammar": [x[0] for x in out], "ast": [x[1] for x in out]})
 
     parsed = formulas.select("formula_id", "formula").mapInPandas(work, "formula_id long, grammar string, ast string")
     ends = lambda c: F.pmod(F.col(c) * F.pow(F.lit(10), F.col("x_scale")).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)")) != 0
-    domain = F.when(F.col("start") >= F.col("stop"), "formula.domain_ordered").when((F.col("samples") > LIMITS["formula_samples"]) | (F.col("samples") < 2), "resource.formula_samples")
+    domain = F.when(F.col("start") >= F.col("stop"), "formula.domain_ordered").when((F.col("samples") > limits["formula_samples"]) | (F.col("samples") < 2), "resource.formula_samples")
     late = F.when(ends("start") | ends("stop"), "formula.domain_bounded")
     j = formulas.join(parsed, "formula_id")
     return j.select("formula_id", F.coalesce(domain, "grammar", late).alias("check"), "ast")
@@ -208,9 +290,9 @@ def collisions(points: DataFrame) -> DataFrame:
     return points.withColumn("before", F.lag("x").over(w)).filter("x <= before").select("formula_id", "i")
 
 
-def evaluated(points: DataFrame, formulas: DataFrame) -> DataFrame:
+def evaluated(points: DataFrame, formulas: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """``formula_id, i, x, y, status``: y at ``y_scale`` from the canonical x; undefined points have a status instead."""
-    need = points.join(formulas.select("formula_id", "formula", "y_scale"), "formula_id").repartition("formula_id", F.floor(F.col("i") / RANGE))
+    need = points.join(formulas.select("formula_id", "formula", "y_scale"), "formula_id")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: dict[str, object] = {}
@@ -221,16 +303,14 @@ def evaluated(points: DataFrame, formulas: DataFrame) -> DataFrame:
                     if len(trees) > 1000:
                         trees.clear()
                     try:
-                        trees[text] = parse(text)
+                        trees[text] = parse(text, limits=limits)
                     except Refused as e:
                         trees[text] = e
                 tree = trees[text]
                 try:
                     if isinstance(tree, Refused):
                         raise tree
-                    units = quantised(value(tree, {"x": Fraction(x)}), int(scale))
-                    digits = str(abs(units)).rjust(int(scale) + 1, "0")
-                    ys.append(("-" if units < 0 else "") + (digits if not scale else f"{digits[: -int(scale)]}.{digits[-int(scale) :]}"))
+                    ys.append(_digits(_rounded(tree, {"x": x}, int(scale), limits), int(scale)))
                     status.append("ok")
                 except Refused as e:
                     ys.append(None)
@@ -241,13 +321,64 @@ def evaluated(points: DataFrame, formulas: DataFrame) -> DataFrame:
     return got.withColumn("y", F.col("y").try_cast("decimal(38,12)"))
 
 
-def formula_column(df: DataFrame, formula: str, columns: dict[str, str], scale: int, name: str = "value") -> DataFrame:
-    """``df`` with a formula over its decimal columns (``columns``: name in the formula -> column), as text at ``scale``."""
-    parse(formula, frozenset(columns))
-    shape = df.select("*", F.lit("").alias(name), F.lit("").alias("status")).schema
+def compiled(tree, columns: dict[str, tuple[Column, int, int]]) -> tuple[Column, int, int] | None:
+    """(expression, precision, scale) of a formula over decimal columns of known precision and scale; None where it
+    divides or a step may take more than 38 digits."""
+    if isinstance(tree, Fraction):
+        got = scaled(tree, {})
+        if got is None:
+            return None
+        n, s = got
+        precision = max(len(str(abs(n))), s, 1)
+        return None if precision > 38 else (F.lit(Decimal(n).scaleb(-s)).cast(f"decimal({precision},{s})"), precision, s)
+    if isinstance(tree, str):
+        return columns[tree]
+    op, a, *rest = tree
+    if op == "/" or (x := compiled(a, columns)) is None:
+        return None
+    if op in ("neg", "abs"):
+        return (-x[0] if op == "neg" else F.abs(x[0])), x[1], x[2]
+    if op == "pow":
+        if rest[0] < 0:
+            return None
+        one = (F.when(x[0].isNotNull(), F.lit(1)).cast("decimal(1,0)"), 1, 0)
+        out = one if rest[0] == 0 else x
+        for _ in range(rest[0] - 1):
+            out = _product(out, x) if out is not None else None
+        return out
+    y = compiled(rest[0], columns)
+    if y is None:
+        return None
+    if op == "*":
+        return _product(x, y)
+    scale = max(x[2], y[2])
+    precision = max(x[1] - x[2], y[1] - y[2]) + scale + 1
+    return None if precision > 38 else (x[0] + y[0] if op == "+" else x[0] - y[0], precision, scale)
+
+
+def _product(x: tuple[Column, int, int], y: tuple[Column, int, int]) -> tuple[Column, int, int] | None:
+    precision = x[1] + y[1] + 1
+    return None if precision > 38 else (x[0] * y[0], precision, x[2] + y[2])
+
+
+def formula_column(df: DataFrame, formula: str, columns: dict[str, str], scale: int, name: str = "value", limits: Limits = LIMITS) -> DataFrame:
+    """``df`` with a formula over its decimal columns (``columns``: name in the formula -> column), as text at ``scale``, and
+    its ``status``."""
+    tree = parse(formula, frozenset(columns), limits)
+    types = {k: df.schema[c].dataType for k, c in columns.items()}
+    fit = None
+    if all(isinstance(t, T.DecimalType) for t in types.values()):
+        fit = compiled(tree, {k: (F.col(f"`{c}`"), types[k].precision, types[k].scale) for k, c in columns.items()})
+    if fit is not None and fit[1] - fit[2] + max(scale, fit[2]) < 38:
+        made, _, own = fit
+        given = F.lit(True)
+        for c in columns.values():
+            given &= F.col(f"`{c}`").isNotNull()
+        made = F.bround(made, scale) if scale < own else made
+        return df.withColumns({name: F.when(given, made.cast(f"decimal(38,{scale})").cast("string")), "status": F.when(given, "ok").otherwise("null")})
+    shape = T.StructType([*df.schema, T.StructField(name, T.StringType()), T.StructField("status", T.StringType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = parse(formula, frozenset(columns))
         for pdf in batches:
             ys, status = [], []
             for row in zip(*[pdf[c] for c in columns.values()], strict=True):
@@ -256,9 +387,7 @@ def formula_column(df: DataFrame, formula: str, columns: dict[str, str], scale:
                     status.append("null")
                     continue
                 try:
-                    units = quantised(value(tree, {k: Fraction(v) for k, v in zip(columns, row, strict=True)}), scale)
-                    digits = str(abs(units)).rjust(scale + 1, "0")
-                    ys.append(("-" if units < 0 else "") + (digits if not scale else f"{digits[:-scale]}.{digits[-scale:]}"))
+                    ys.append(_digits(_rounded(tree, {k: Decimal(v) for k, v in zip(columns, row, strict=True)}, scale, limits), scale))
                     status.append("ok")
                 except Refused as e:
                     ys.append(None)

@@ -7,6 +7,7 @@ refers to.  Audits are joins that return one row per mismatch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import ADDRESS
 from ..functions.text import safe_bytes
+from ..types import TableSchema
 
 SHAPES = {
     "blobs": "digest string, kind string, size bigint, content binary",
@@ -23,7 +25,7 @@ SHAPES = {
     "specs": "spec_id string, canonical_spec_digest string, canonical_spec_kind string",
     "plot_references": "plot_id string, role string, blob_digest string, blob_kind string",
     "attempt_references": "attempt_id string, role string, blob_digest string, blob_kind string",
-    "attempts": "attempt_id string, envelope_digest string, envelope_kind string, keyid string, plot_id string",
+    "attempts": "attempt_id string, envelope_digest string, envelope_kind string, keyid string, plot_id string, nonce string, occurred_at string, route string, http_status int, outcome string",
 }
 KEYS = {"blobs": ["digest", "kind"], "keys": ["keyid"], "plots": ["plot_id"], "specs": ["spec_id"], "plot_references": ["plot_id", "role"], "attempt_references": ["attempt_id", "role"], "attempts": ["attempt_id"]}
 #: (table, columns) -> (table, columns); a reference whose columns are null refers to nothing.
@@ -188,12 +190,31 @@ def replay_status(archived: DataFrame, fresh: DataFrame, trusted: DataFrame, has
     """
     known = trusted.select("keyid").distinct().withColumn("__known", F.lit(True))
     new = fresh.select("id", F.lit(True).alias("__made"), *[F.col(h).alias(f"__{h}") for h in hashes])
-    j = archived.join(F.broadcast(known), "keyid", "left").join(new, "id", "left")
+    j = archived.join(known, "keyid", "left").join(new, "id", "left")
     drifted = F.array_compact(F.array(*[F.when(~F.col(h).eqNullSafe(F.col(f"__{h}")), F.lit(h)) for h in hashes]))
     status = F.when(F.col("__known").isNull(), "untrusted_key").when(~F.col("intact"), "integrity_failed").when(F.col("__made").isNull(), "recomputation_failed").when(F.size(drifted) > 0, "drift").otherwise("exact")
     return j.select("id", status.alias("status"), F.when(status == "drift", F.concat_ws(",", drifted)).otherwise("").alias("drifted"))
 
 
+def replay(archived: DataFrame, trusted: DataFrame, schemas: dict[str, TableSchema], hashes: dict[str, str], tables: Callable[[str], DataFrame]) -> DataFrame:
+    """``id, status, drifted``: archived results against results that are computed again from their archived specs.
+
+    ``archived`` has ``id, keyid, raw`` (the spec), ``canonical_hash`` and ``result_hash`` as certified, and ``intact``.  A spec is admitted
+    again by today's rules against today's datasets; one that is refused can't be recomputed.
+    """
+    from . import corpus
+
+    again = corpus.admission(archived.select(F.col("id").alias("spec_id"), "raw"), schemas, hashes)
+    made = corpus.verified_results(again, schemas, tables)
+    fresh = again.filter("check is null").join(made, "spec_id").select(F.col("spec_id").alias("id"), F.sha2("canonical", 256).alias("canonical_hash"), result_hash().alias("result_hash"))
+    return replay_status(archived, fresh, trusted, ["canonical_hash", "result_hash"])
+
+
+def result_hash() -> Column:
+    """A digest of a result's order-free identity (``n_rows, lane0..3``)."""
+    return F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), "lane0", "lane1", "lane2", "lane3"), 256)
+
+
 def hash_drift(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
     """``key, state``: ``only_left``, ``only_right`` or ``differs``."""
     a, b = left.select(key, F.col(column).alias("__a"), F.lit(True).alias("__l")), right.select(key, F.col(column).alias("__b"), F.lit(True).alias("__r"))
@@ -256,5 +277,20 @@ class Ledger:
         tables = self.tables()
         return orphans(tables), blob_integrity(tables["blobs"])
 
+    def attempt_violations(self) -> DataFrame:
+        """The rules of stored attempts, with the roles of their stored references."""
+        roles = self.table("attempt_references").groupBy("attempt_id").agg(F.collect_list("role").alias("roles"))
+        a = self.table("attempts").join(roles, "attempt_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+        return attempt_violations(a)
+
+    def blob(self, digest: str, kind: str) -> DataFrame:
+        """The stored bytes under an address."""
+        return self.table("blobs").filter((F.col("kind") == kind) & (F.col("digest") == digest))
+
+    def roles(self, plot_id: str, *roles: str) -> DataFrame:
+        """A plot's blobs of some roles, or all."""
+        refs = self.table("plot_references").filter(F.col("plot_id") == plot_id)
+        return with_blobs(refs.filter(F.col("role").isin(*roles)) if roles else refs, self.table("blobs"))
+
     def stats(self) -> DataFrame:
         return stats(self.tables())

@@ -23,12 +23,14 @@ def total_order(columns: Sequence[str], sort: Sequence[tuple[str, bool]] = ()) -
 def positions(df: DataFrame, order: Sequence[Column], *, name: str = "pos", rows_at_most: int | None = None) -> DataFrame:
     """``df`` with its place (from 1) in the order.
 
-    With ``rows_at_most`` (a bound the caller has, such as a number of groups) one window does it.  Otherwise rows are
+    With ``rows_at_most`` (a bound the caller has, such as a number of groups) one window does it, and a row beyond the bound
+    is an error.  Otherwise rows are
     sorted over range partitions, and each partition's offset is the number of rows before it: only one count per
     partition meets in one place.
     """
     if rows_at_most is not None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+        at = F.row_number().over(Window.orderBy(*order)).cast("long")
+        return df.withColumn(name, at).withColumn(name, F.when(F.col(name) <= rows_at_most, F.col(name)).otherwise(F.raise_error(F.lit(f"more than {rows_at_most} rows"))))
     from ..sources.store import stored
 
     ranked = stored(df.sort(*order).withColumn("__at", F.monotonically_increasing_id()))
@@ -68,10 +70,22 @@ def inversions(df: DataFrame, position: str, sort: Sequence[tuple[str, bool]], *
 def category_domain(df: DataFrame, column: str, position: str) -> DataFrame:
     """``value, rank``: distinct non-null values by first appearance."""
     got = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(position).alias("first"))
-    return got.withColumn("rank", F.row_number().over(Window.orderBy("first")).cast("long")).select("value", "rank")
+    return positions(got, [order_key("first"), order_key("value")], name="rank").select("value", "rank")
 
 
 def domain_difference(shown: DataFrame, declared: DataFrame) -> DataFrame:
     """``value, side`` for values on one side only (``missing`` from or ``extra`` to the declared domain)."""
     a, b = shown.select("value").distinct().withColumn("s", F.lit(True)), declared.select("value").distinct().withColumn("d", F.lit(True))
     return a.join(b, "value", "full_outer").filter("s is null or d is null").select("value", F.when(F.col("s").isNull(), "extra").otherwise("missing").alias("side"))
+
+
+def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``side, n``: how many rows (with repeats) only the ``left`` and only the ``right`` frame has; both have the same columns.
+
+    Copies are counted against each other in one grouping, so that each side is computed once.
+    """
+    columns = [F.col(f"`{c}`") for c in left.columns]
+    both = left.select(F.struct(*columns).alias("row"), F.lit(1).alias("n")).unionByName(right.select(F.struct(*columns).alias("row"), F.lit(-1).alias("n")))
+    net = both.groupBy("row").agg(F.sum("n").alias("n"))
+    sides = net.filter("n <> 0").groupBy(F.when(F.col("n") > 0, "left").otherwise("right").alias("side"))
+    return sides.agg(F.abs(F.sum("n")).alias("n"))

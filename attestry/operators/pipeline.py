@@ -6,13 +6,14 @@ with the check's name.  Nothing runs until ``to_df``, which composes one DataFra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
 from ..functions.exact import mean_half_even
 from ..types import NAME, CheckError, Numeric, TableSchema, Temporal
@@ -85,14 +86,41 @@ def checked_literal(column, cmp: str, value) -> bool | str:
     return value
 
 
-def literal_condition(column, cmp: str, value) -> Column:
-    """``column cmp value`` by exact value; NULL cells drop under every comparison."""
+def raw_range(column, cmp: str, value, raw: DataType) -> Column | None:
+    """What ``column cmp value`` implies for the float column that the decimal is cast from: a range that Parquet can test.
+
+    A value and its decimal differ by less than one unit of the scale.
+    """
+    known = checked_literal(column, cmp, value)
+    if not isinstance(column, Numeric) or not isinstance(raw, DoubleType | FloatType) or isinstance(known, bool) or cmp == "ne":
+        return None
+    number = float(known)
+    slack = 10.0**-column.scale + abs(number) * 1e-6
+    c, out = F.col(f"`{column.name}`"), []
+    if cmp in ("eq", "gt", "ge"):
+        out.append(c >= number - slack)
+    if cmp in ("eq", "lt", "le"):
+        out.append(c <= number + slack)
+    return out[0] & out[-1]
+
+
+def literal_condition(column, cmp: str, value, given: Column | None = None) -> Column:
+    """``column cmp value`` by exact value; NULL cells drop under every comparison.  ``given`` stands in for the literal."""
     c, known = F.col(column.name), checked_literal(column, cmp, value)
+    if given is not None and not isinstance(known, bool):
+        return getattr(c, COMPARISONS[cmp])(given.cast(column.spark))
     if isinstance(known, bool):
         return c.isNotNull() & F.lit(known)
     return getattr(c, COMPARISONS[cmp])(F.lit(known).cast(column.spark))
 
 
+def _measured(m: Measure, i: int, scale: dict[str, int]) -> Column:
+    """A measure from the sums, counts and extremes that were aggregated for it."""
+    if m.fn == "mean":
+        return mean_half_even(F.col(f"__s{i}"), F.col(f"__n{i}"), scale[m.output])
+    return {"sum": F.col(f"__s{i}"), "count": F.col(f"__n{i}").cast("decimal(38,0)")}.get(m.fn, F.col(f"__m{i}"))
+
+
 @dataclass(frozen=True)
 class Pipeline:
     source: TableSchema
@@ -181,19 +209,33 @@ class Pipeline:
         """The result's total order: active sort, then every other column."""
         return total_order(self.schema.names, self.sorting)
 
-    def to_df(self, df: DataFrame) -> DataFrame:
-        """The result's rows (unordered; see ``positions``) over a frame that has the source's columns and types."""
+    def scanned(self, raw: DataFrame) -> DataFrame:
+        """``to_df`` over a table whose columns still have their own types: filters on float columns reach its scan as ranges."""
+        for step in self.steps:
+            if step[0] == "aggregate":
+                break
+            if step[0] == "filter":
+                implied = raw_range(step[2], *step[1][1:], raw.schema[step[2].name].dataType)
+                raw = raw if implied is None else raw.filter(implied)
+        return self.to_df(self.source.typed(raw))
+
+    def to_df(self, df: DataFrame, *, carry: Sequence[str] = (), given: Mapping[int, Column] | None = None) -> DataFrame:
+        """The result's rows (unordered; see ``positions``) over a frame that has the source's columns and types.
+
+        ``carry`` names further columns of ``df`` that all steps keep and group by; ``given`` has columns that stand in for
+        the literals of filters, by step.
+        """
         self.closed()
         schema = self.source
-        for step in self.steps:
+        for at, step in enumerate(self.steps):
             if step[0] == "select":
-                df = df.select(*step[1])
+                df = df.select(*carry, *step[1])
             elif step[0] == "filter":
-                df = df.filter(literal_condition(step[2], *step[1][1:]))
+                df = df.filter(literal_condition(step[2], *step[1][1:], (given or {}).get(at)))
             elif step[0] == "aggregate":
                 _, keys, measures = step
                 scale = {m.output: schema.column(m.field).scale for m in measures if isinstance(schema.column(m.field), Numeric)}
-                aggs, outs = [], [F.col(k) for k in keys]
+                aggs, outs = [], [*[F.col(c) for c in carry], *[F.col(k) for k in keys]]
                 for i, m in enumerate(measures):
                     c = F.col(m.field)
                     if m.fn in ("sum", "mean"):
@@ -202,9 +244,9 @@ class Pipeline:
                         aggs.append(F.count(c).alias(f"__n{i}"))
                     if m.fn in ("min", "max"):
                         aggs.append(getattr(F, m.fn)(c).alias(f"__m{i}"))
-                    out = {"sum": lambda i=i: F.col(f"__s{i}"), "count": lambda i=i: F.col(f"__n{i}").cast("decimal(38,0)"), "min": lambda i=i: F.col(f"__m{i}"), "max": lambda i=i: F.col(f"__m{i}"), "mean": lambda i=i, m=m: mean_half_even(F.col(f"__s{i}"), F.col(f"__n{i}"), scale[m.output])}[m.fn]()
-                    outs.append(out.alias(m.output))
-                df = (df.groupBy(*keys) if keys else df).agg(*aggs).select(*outs)
+                    outs.append(_measured(m, i, scale).alias(m.output))
+                by = [*carry, *keys]
+                df = (df.groupBy(*by) if by else df).agg(*aggs).select(*outs)
             schema = self._after(schema, step)
         return df
 

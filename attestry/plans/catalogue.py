@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digests, exact
-from ..operators import checks, corpus, formula, ledger, order, replies
+from ..operators import checks, corpus, formula, ledger, order, replies, verify
 from ..operators.pipeline import Channel, Pipeline
 from ..sources import canonical, scan
 from ..sources.store import fresh_path
@@ -93,7 +93,9 @@ def select_projection(spark, sf_dir):
 
 
 def _filter(name: str, schema: TableSchema, source, field: str, cmp: str, value, keep: tuple[str, ...], sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: Pipeline(schema).filter(field, cmp, value).select(*keep).to_df(source(spark, sf_dir)))
+    p = Pipeline(schema).filter(field, cmp, value).select(*keep)
+    raw = {orders: "orders", lineitem: "lineitem", events: "events"}.get(source)
+    query(name, sql)(lambda spark, sf_dir: p.scanned(t(spark, sf_dir, raw)) if raw else p.to_df(source(spark, sf_dir)))
 
 
 _filter("filter_eq", ORDERS, orders, "o_orderstatus", "eq", "F", ("o_orderkey", "o_orderstatus"), "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
@@ -108,7 +110,7 @@ _filter("filter_literal_out_of_domain", LINEITEM, lineitem_nulls, "l_discount",
 
 @query("filter_conjunction", f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_returnflag, l_quantity FROM ({_L}) WHERE l_returnflag = 'R' AND l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02")
 def filter_conjunction(spark, sf_dir):
-    return Pipeline(LINEITEM).filter("l_returnflag", "eq", "R").filter("l_quantity", "ge", 10).filter("l_quantity", "lt", 20).filter("l_discount", "gt", "0.02").select("l_orderkey", "l_returnflag", "l_quantity").to_df(lineitem(spark, sf_dir))
+    return Pipeline(LINEITEM).filter("l_returnflag", "eq", "R").filter("l_quantity", "ge", 10).filter("l_quantity", "lt", 20).filter("l_discount", "gt", "0.02").select("l_orderkey", "l_returnflag", "l_quantity").scanned(t(spark, sf_dir, "lineitem"))
 
 
 # --- aggregation ---------------------------------------------------------------------------------------------------
@@ -186,7 +188,8 @@ def multiset_digest(spark, sf_dir):
 
 
 @query("table_digest", f"""WITH a AS ({_BY_STATUS}), l AS (SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, {_STATUS_LINE} AS line FROM a)
-    SELECT count(*) AS n_rows, 'whole' AS mode, 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderstatus:string","o_orderpriority:string","total:numeric:2","n:numeric:0"]' || chr(10) || string_agg(line || chr(10), '' ORDER BY pos)) AS digest FROM l""")
+    SELECT count(*) AS n_rows, 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderstatus:string","o_orderpriority:string","total:numeric:2","n:numeric:0"]' || chr(10)
+        || sha256(sha256(string_agg(line || chr(10), '' ORDER BY pos)) || chr(10))) AS digest FROM l""")
 def table_digest(spark, sf_dir):
     return digests.table_digest(_status_lines(spark, sf_dir), BY_STATUS.schema)
 
@@ -196,13 +199,23 @@ def canonical_round_trip(spark, sf_dir):
     return canonical.parse(_status_lines(spark, sf_dir), BY_STATUS.schema).drop("pos", "line")
 
 
-@query("result_parity", "SELECT 'nothing' AS side, 0 AS n WHERE false")
+@query("table_digest_large", f"""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, '[' || CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_totalprice AS VARCHAR) || ']' AS line FROM ({_O})),
+    b AS (SELECT (pos - 1) // 4096 AS block, count(*) AS n, sha256(string_agg(line || chr(10), '' ORDER BY pos)) AS h FROM l GROUP BY 1),
+    g AS (SELECT block // 4096 AS g, sum(n) AS n, sha256(string_agg(h || chr(10), '' ORDER BY block)) AS h FROM b GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS n_rows, 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderkey:numeric:0","o_totalprice:numeric:2"]' || chr(10) || string_agg(h, chr(10) ORDER BY g)) AS digest FROM g""")
+def table_digest_large(spark, sf_dir):
+    """The same digest over a table of many blocks."""
+    p = Pipeline(ORDERS).select("o_orderkey", "o_totalprice")
+    return digests.table_digest(canonical.lines(p.positioned(orders(spark, sf_dir)), p.schema), p.schema)
+
+
+@query("result_parity", f"""WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 97 = 0) SELECT side, count(*) AS n FROM a, (SELECT unnest(['left', 'right']) AS side) GROUP BY 1""")
 def result_parity(spark, sf_dir):
+    """A result against itself, with the quantities of some orders changed on one side."""
     p = Pipeline(LINEITEM).group_by("l_orderkey").aggregate(("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"))
     a = p.to_df(lineitem(spark, sf_dir))
-    b = p.to_df(lineitem(spark, sf_dir).repartition("l_shipdate"))
-    side = lambda df, name: df.select(F.lit(name).alias("side")).groupBy("side").agg(F.count("*").cast("int").alias("n"))
-    return side(a.exceptAll(b), "left").unionByName(side(b.exceptAll(a), "right"))
+    qty = F.col("qty") + F.when(F.col("l_orderkey") % 97 == 0, F.lit(1)).otherwise(0).cast("decimal(38,2)")
+    return order.multiset_difference(a, a.withColumn("qty", qty.cast("decimal(38,2)")))
 
 
 # --- order and domain checks ---------------------------------------------------------------------------------------
@@ -232,7 +245,7 @@ def legend_symmetric_difference(spark, sf_dir):
 @query("category_ranks", "SELECT DISTINCT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) AS rank FROM part")
 def category_ranks(spark, sf_dir):
     brands = t(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.select("p_brand", F.dense_rank().over(Window.orderBy("p_brand")).alias("rank"))
+    return order.positions(brands, [order.order_key("p_brand")], name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- cell coercion -------------------------------------------------------------------------------------------------
@@ -244,7 +257,8 @@ def numeric_coercion(spark, sf_dir):
     df = t(spark, sf_dir, "lineitem")
     price, qty, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 6
     cell = F.when(k == 0, price).when(k == 1, F.concat(F.lit(" "), qty, F.lit(" "))).when(k == 2, F.concat(price, F.lit("5"))).when(k == 3, "n/a").when(k == 4, F.concat(qty, F.lit("e40"))).otherwise("")
-    return df.select("l_orderkey", "l_linenumber", exact.numeric_status(cell, 2).alias("status"), exact.numeric_value(cell, 2).alias("value"))
+    judged = df.select("l_orderkey", "l_linenumber", cell.alias("cell")).select("l_orderkey", "l_linenumber", exact.numeric_cell(F.col("cell"), 2).alias("judged"))
+    return judged.select("l_orderkey", "l_linenumber", "judged.status", "judged.value")
 
 
 @query("temporal_coercion", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderkey % 5 = 0 END AS ok, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END AS value FROM orders""")
@@ -254,9 +268,12 @@ def temporal_coercion(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", exact.temporal_ok(cell, "date").alias("ok"), exact.temporal_value(cell, "date").alias("value"))
 
 
-@query("float64_fidelity", f"SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS lost FROM ({_L}) GROUP BY 1")
+@query("float64_fidelity", f"SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_orderkey % 5 = 0) AS lost FROM ({_L}) GROUP BY 1")
 def float64_fidelity(spark, sf_dir):
-    return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(F.col("l_extendedprice"), 2)).alias("lost"))
+    """Every fifth order's prices are moved to where doubles have no hundredths."""
+    price = F.col("l_extendedprice")
+    far = F.when(F.col("l_orderkey") % 5 == 0, F.lit("1000000000000000000.01").cast("decimal(38,2)") + F.floor(price).cast("decimal(15,0)")).otherwise(price).cast("decimal(38,2)")
+    return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(far, 2)).alias("lost"))
 
 
 # --- reply evaluation ----------------------------------------------------------------------------------------------
@@ -320,9 +337,9 @@ def verdict_buckets(spark, sf_dir):
     return e.select(replies.verdict_bucket(k % 4 == 0, F.when(k % 9 == 0, "decode").otherwise("verify"), results).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def _messages(spark, sf_dir):
+def _messages(spark, sf_dir, stream: bool = False):
     """Conversations in which assistants' messages of some conversations carry chart code."""
-    c = t(spark, sf_dir, "conversations")
+    c = _stream(spark, sf_dir, "conversations") if stream else t(spark, sf_dir, "conversations")
     k = F.col("conv_id") % 8
     tail = F.when(k == 0, "\n```python\nimport matplotlib.pyplot as plt\n```").when(k == 1, "\n```\nsns.barplot(x)\n```\n").when(k == 2, "\nplt.plot outside a fence").when(k == 3, "\n```mermaid\npie\n```\n<svg >").when(k == 4, " data:image/png;base64,AAAA").otherwise("")
     return c.select("conv_id", "turn", "role", F.concat("text", F.when(F.col("role") == "assistant", tail).otherwise("")).alias("text"))
@@ -497,10 +514,10 @@ def replay_status(spark, sf_dir):
     return ledger.replay_status(base.drop("o_orderkey"), fresh, trusted, ["spec_hash", "table_hash"])
 
 
-@query("version_drift", "SELECT n_nationkey AS id, 'engine' AS field, CAST(n_regionkey AS VARCHAR) AS archived, '2' AS current FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT n_nationkey, 'form', NULL, '1' FROM nation")
+@query("version_drift", "SELECT c_custkey AS id, 'engine' AS field, CAST(c_nationkey % 5 AS VARCHAR) AS archived, '2' AS current FROM customer WHERE c_nationkey % 5 <> 2 UNION ALL SELECT c_custkey, 'form', NULL, '1' FROM customer")
 def version_drift(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("engine"), F.col("n_regionkey").cast("string")).alias("versions"))
-    return ledger.version_drift(n, {"engine": "2", "form": "1"}, "id")
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("engine"), (F.col("c_nationkey") % 5).cast("string")).alias("versions"))
+    return ledger.version_drift(c, {"engine": "2", "form": "1"}, "id")
 
 
 @query("audit_documents", f"""SELECT r.attempt_id, d.lang AS outcome, r.role || '|' || r.blob_digest || '|' || CAST(b.size AS VARCHAR) || '|' AS artifacts
@@ -609,11 +626,16 @@ def check_report(spark, sf_dir):
     return got.groupBy(F.coalesce("check", F.lit("none")).alias("check")).agg(F.count("*").alias("n"))
 
 
-@query("spec_guarantee", """SELECT c_mktsegment AS corpus, count(*) AS n, CAST(0 AS BIGINT) AS false_accepts, CAST(0 AS BIGINT) AS false_rejects, CAST(0 AS BIGINT) AS errors FROM customer GROUP BY 1""")
+@query("spec_guarantee", """SELECT c_mktsegment AS corpus, count(*) AS n, count(*) FILTER (WHERE k NOT BETWEEN 2 AND 8 AND flipped AND NOT lost) AS false_accepts, count(*) FILTER (WHERE k BETWEEN 2 AND 8 AND flipped AND NOT lost) AS false_rejects,
+    count(*) FILTER (WHERE lost) AS errors FROM (SELECT c_mktsegment, c_custkey % 10 AS k, c_custkey % 13 = 0 AS flipped, c_custkey % 17 = 0 AS lost FROM customer) GROUP BY 1""")
 def spec_guarantee(spark, sf_dir):
+    """Verdicts against expectations; some expectations are turned round, and some verdicts are lost."""
+    k = F.col("spec_id").cast("long")
+    turned = F.when(k % 13 == 0, F.when(F.col("expected") == "accept", "reject").otherwise("accept")).otherwise(F.col("expected"))
     specs = _specs(spark, sf_dir)
     got = corpus.admission(specs, _SCHEMAS, _HASHES).select("spec_id", F.when(F.col("check").isNull(), "accept").otherwise("reject").alias("verdict"))
-    return replies.guarantee(specs.join(got, "spec_id"))
+    judged = specs.withColumn("expected", turned).join(got, "spec_id").withColumn("verdict", F.when(k % 17 != 0, F.col("verdict")))
+    return replies.guarantee(judged)
 
 
 @query("spec_pairing", """SELECT CAST(c_custkey AS VARCHAR) AS spec_id, c_custkey % 10 <> 6 AS has_manifest, c_custkey % 10 NOT IN (5, 6) AS bound FROM customer""")
@@ -634,6 +656,115 @@ def bulk_verify(spark, sf_dir):
     return corpus.verified_results(admitted, _SCHEMAS, lambda name: orders(spark, sf_dir))
 
 
+def _filtered_specs(spark, sf_dir):
+    """A spec for every customer: the mean price by status of the orders of one priority that are placed from a day on."""
+    c = t(spark, sf_dir, "customer")
+    names = t(spark, sf_dir, "orders").groupBy().agg(F.array_sort(F.collect_set("o_orderpriority")).alias("names"))
+    k = F.col("c_custkey")
+    priority = F.element_at("names", (k % 5 + 1).cast("int"))
+    day = F.concat(F.lit("199"), (F.lit(5) + k % 3).cast("string"), F.lit("-01-01T00:00:00"))
+    start = F.lit('{"version":"1","dataset":{"name":"orders.csv","hash":"' + _HASH + '"},"transform":[{"op":"filter","field":"o_orderpriority","cmp":"eq","value":"')
+    middle = F.lit('"},{"op":"filter","field":"o_orderdate","cmp":"ge","value":"')
+    end = F.lit('"},{"op":"group_by","keys":["o_orderstatus"]},{"op":"aggregate","measures":[{"field":"o_totalprice","fn":"mean","as":"mean_price"}]}],"mark":"bar","encoding":{"x":{"field":"o_orderstatus","type":"nominal"},"y":{"field":"mean_price","type":"quantitative"}}}')
+    return c.join(F.broadcast(names)).select(k.cast("string").alias("spec_id"), F.concat(start, priority, middle, day, end).alias("raw"))
+
+
+_LANES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR) AS lane{k}" for k in range(4))
+_FILTERED = f"""p AS (SELECT o_orderpriority AS priority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+    a AS (SELECT i, y, o_orderstatus, {_mean("sum(o_totalprice)", "count(o_totalprice)")} AS m FROM ({_O}) JOIN p ON priority = o_orderpriority, (SELECT unnest([0, 1, 2]) AS y) WHERE o_orderdate >= make_timestamp(1995 + y, 1, 1, 0, 0, 0) GROUP BY ALL),
+    h AS (SELECT i, y, sha256('["' || o_orderstatus || '",' || CAST(m AS VARCHAR) || ']') AS h FROM a), d AS (SELECT i, y, count(*) AS n_rows, {_LANES} FROM h GROUP BY ALL),
+    v AS (SELECT c_custkey, coalesce(n_rows, 0) AS n_rows, {", ".join(f"coalesce(lane{k}, '0') AS lane{k}" for k in range(4))} FROM customer LEFT JOIN d ON i = c_custkey % 5 AND y = c_custkey % 3)"""
+
+
+@query("bulk_verify_corpus", f"WITH {_FILTERED} SELECT CAST(c_custkey AS VARCHAR) AS spec_id, n_rows, lane0, lane1, lane2, lane3 FROM v")
+def bulk_verify_corpus(spark, sf_dir):
+    admitted = corpus.admission(_filtered_specs(spark, sf_dir), _SCHEMAS, _HASHES)
+    return corpus.verified_results(admitted, _SCHEMAS, lambda name: orders(spark, sf_dir))
+
+
+@query("replay_recomputed", f"""WITH {_FILTERED} SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 1 THEN 'integrity_failed' WHEN c_custkey % 11 = 2 THEN 'recomputation_failed' WHEN c_custkey % 13 = 3 THEN 'drift' ELSE 'exact' END AS status,
+    CASE WHEN c_custkey % 7 <> 1 AND c_custkey % 11 <> 2 AND c_custkey % 13 = 3 THEN 'result_hash' ELSE '' END AS drifted FROM v""")
+def replay_recomputed(spark, sf_dir):
+    """Archived specs computed again: some records are damaged, some specs are refused today, some results have drifted."""
+    specs = _filtered_specs(spark, sf_dir)
+    admitted = corpus.admission(specs, _SCHEMAS, _HASHES)
+    made = corpus.verified_results(admitted, _SCHEMAS, lambda name: orders(spark, sf_dir))
+    k = F.col("spec_id").cast("long")
+    stored = specs.join(admitted.select("spec_id", "canonical"), "spec_id").join(made, "spec_id").select(
+        F.col("spec_id").alias("id"),
+        F.lit("k").alias("keyid"),
+        F.when(k % 11 == 2, F.replace("raw", F.lit('"bar"'), F.lit('"pie"'))).otherwise(F.col("raw")).alias("raw"),
+        F.sha2("canonical", 256).alias("canonical_hash"),
+        F.when(k % 13 == 3, "drifted").otherwise(ledger.result_hash()).alias("result_hash"),
+        (k % 7 != 1).alias("intact"),
+    )
+    trusted = spark.createDataFrame([("k",)], "keyid string")
+    return ledger.replay(stored, trusted, _SCHEMAS, _HASHES, lambda name: orders(spark, sf_dir))
+
+
+def _run(spark, sf_dir, limits=checks.LIMITS, declared=_HASH):
+    return verify.verify(FLAGSHIP, [Channel("o_orderpriority", "nominal"), Channel("total", "quantitative")], orders(spark, sf_dir), spec="{}", declared=declared, actual=_HASH, limits=limits)
+
+
+_FLAG_LINES = f"WITH a AS ({_FLAG}), p AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_orderpriority) AS pos FROM a)"
+
+
+@query("verify_certificate", f"""{_FLAG_LINES} SELECT 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderpriority:string","total:numeric:2","mean_price:numeric:2","n:numeric:0"]' || chr(10)
+        || sha256(sha256(string_agg({_LINE} || chr(10), '' ORDER BY pos)) || chr(10))) AS plotted_table_hash, 'sha256:' || sha256('attestry-spec/1' || chr(10) || '{{}}') AS spec_hash, '{_HASH}' AS dataset_hash,
+    'o_orderstatus eq F' AS filters, 'total descending' AS sorts, CAST(14 AS INTEGER) AS n_checks FROM p""")
+def verify_certificate(spark, sf_dir):
+    c = _run(spark, sf_dir, checks.LIMITS | {"source_rows": 10**12, "source_cells": 10**13}).certificate
+    text = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), ";")
+    return c.select("plotted_table_hash", "spec_hash", "dataset_hash", text("filters", "field", "cmp", "value").alias("filters"), text("sorts", "field", "order").alias("sorts"), F.size("checks").alias("n_checks"))
+
+
+@query("verify_refused", """WITH n AS (SELECT count(*) AS n, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus = 'F') AS k FROM orders)
+    SELECT * FROM (SELECT 'resource.source_rows' AS "check", CASE WHEN n > 1000 THEN 'fail' ELSE 'pass' END AS status FROM n UNION ALL SELECT 'resource.source_cells', CASE WHEN n * 6 > 6000 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT 'resource.plotted_cells', CASE WHEN k * 4 > 19 THEN 'fail' ELSE 'pass' END FROM n UNION ALL SELECT 'resource.render_rows', CASE WHEN k > 5 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT 'resource.manifest_columns', 'pass' UNION ALL SELECT 'dataset.hash_matches_source', 'fail')""")
+def verify_refused(spark, sf_dir):
+    """The same under low ceilings and with another digest declared: which gates fail, and no certificate."""
+    run = _run(spark, sf_dir, {**checks.LIMITS, "source_rows": 1000, "source_cells": 6000, "plotted_cells": 19, "render_rows": 5, "manifest_columns": 6}, "sha256:" + "b" * 64)
+    gates = run.checks.filter("check like 'resource.%' or check like 'dataset.%'").select("check", "status")
+    return gates.join(run.certificate.select(F.lit("certified").alias("check")), "check", "left_anti")
+
+
+@query("formula_certificates", f"""WITH g AS ({_GRID}), y AS (SELECT *, CAST(round_even(CAST((k % 7) * x * x - (k % 11) * x + (k % 5) AS DECIMAL(18,4)), 2) AS DECIMAL(38,12)) AS y FROM g),
+    l AS (SELECT formula_id, string_agg('[' || CAST(CAST(x AS DECIMAL(38,12)) AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ']' || chr(10), '' ORDER BY i) AS body FROM y GROUP BY 1)
+    SELECT p_partkey AS formula_id, c."check", CASE WHEN c."check" IS NULL THEN 'sha256:' || sha256('attestry-table/1' || chr(10) || body) END AS table_hash, CASE WHEN c."check" IS NULL THEN 9 END AS n_samples
+    FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'formula.names_allowed' WHEN 1 THEN 'formula.functions_allowed' WHEN 2 THEN 'formula.grammar_allowed' WHEN 3 THEN 'formula.grammar_allowed' WHEN 4 THEN 'formula.exponents_bounded' WHEN 5 THEN 'formula.domain_ordered' END AS "check" FROM part) c
+    JOIN l ON formula_id = p_partkey""")
+def formula_certificates(spark, sf_dir):
+    return verify.certified_formulas(_odd_formulas(spark, sf_dir)).select("formula_id", "check", "table_hash", "n_samples")
+
+
+@query("formula_ceilings", """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 1 THEN 'resource.formula_bytes' WHEN 3 THEN 'resource.formula_digits' WHEN 5 THEN 'resource.formula_identifier_bytes' WHEN 7 THEN 'resource.formula_samples' END AS "check" FROM part""")
+def formula_ceilings(spark, sf_dir):
+    """Each ceiling at its boundary and one beyond: bytes, digits of a literal, bytes of a name, samples."""
+    fs = _formulas(spark, sf_dir)
+    k = F.col("formula_id") % 8
+    padded = lambda n: F.concat(F.lit("x+"), F.lpad(F.lit("1"), n - 2, " "))
+    text = F.when(k == 0, padded(512)).when(k == 1, padded(513)).when(k == 2, F.concat(F.lit("x*"), F.repeat(F.lit("9"), 32))).when(k == 3, F.concat(F.lit("x*"), F.repeat(F.lit("9"), 33))).when(k == 5, F.concat(F.lit("x+"), F.repeat(F.lit("a"), 33))).otherwise("x")
+    samples = F.when(k == 6, 10_000).when(k == 7, 10_001).otherwise(F.col("samples"))
+    return formula.admission(fs.withColumn("formula", text).withColumn("samples", samples)).select("formula_id", "check")
+
+
+@query("strict_base64", """SELECT doc_id, doc_id % 4 = 0 AS accepted, CASE WHEN doc_id % 4 = 0 THEN sha256(text) END AS digest FROM documents WHERE text IS NOT NULL""")
+def strict_base64(spark, sf_dir):
+    """Texts in base64: canonical, with a blank, without its padding or too long, and with a spare sign."""
+    d, k = t(spark, sf_dir, "documents").filter("text is not null"), F.col("doc_id") % 4
+    plain = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]", "")
+    spoilt = F.when(k == 0, plain).when(k == 1, F.concat(plain, F.lit(" "))).when(k == 2, F.concat(plain, F.lit("="))).otherwise(F.concat(F.lit("-"), plain))
+    raw = digests.strict_base64(spoilt)
+    return d.select("doc_id", raw.isNotNull().alias("accepted"), F.sha2(raw, 256).alias("digest"))
+
+
+@query("length_prefixed", """SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(to_hex(strlen(source)), 16, '0')) || encode(source)) AS digest FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+def length_prefixed(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").filter("text is not null and source is not null")
+    return d.select("doc_id", F.sha2(digests.length_prefixed(F.col("text"), F.col("source")), 256).alias("digest"))
+
+
 @query("axis_titles", """SELECT n_nationkey, 'Total price (USD)' AS title, 'o_totalprice' AS source FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'Count of records', NULL FROM nation WHERE n_nationkey % 2 = 1""")
 def axis_titles(spark, sf_dir):
     """Titles of a plotted column per nation: a quantity's for even keys, a count's for odd ones."""
@@ -660,14 +791,19 @@ def _csv(spark, sf_dir, *, broken: bool) -> str:
     return path
 
 
-@query("scan_gates", """SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS nation, sum(CASE WHEN s_nationkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_numbers, sum(CASE WHEN s_nationkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_dates, CAST(0 AS BIGINT) AS bad_files FROM supplier GROUP BY 1""")
+@query("scan_gates", """WITH n AS (SELECT s_nationkey AS k, sum(CASE WHEN s_nationkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_numbers, sum(CASE WHEN s_nationkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_dates FROM supplier GROUP BY 1)
+    SELECT 'n' || CAST(k AS VARCHAR) AS nation, bad_numbers, bad_dates, CASE k % 8 WHEN 1 THEN 'data.charset' WHEN 2 THEN 'data.charset' WHEN 3 THEN 'data.header' WHEN 4 THEN 'data.row_width' WHEN 5 THEN 'data.row_width' WHEN 6 THEN 'data.csv_syntax' ELSE '' END AS failed FROM n""")
 def scan_gates(spark, sf_dir):
+    """Bad cells, and files made bad: a byte order mark, bytes that are not UTF-8, another header, a short row, a blank line, an open quote."""
     path = _csv(spark, sf_dir, broken=True)
     nation = lambda c: F.regexp_extract(c, "nation=([^/]+)", 1)
     raw = scan.raw_csv(spark, f"{path}/*/*.csv", REGION_CSV).withColumn("nation", nation(F.input_file_name()))
     cells = scan.cell_failures(raw, REGION_CSV, by="nation").groupBy("nation").pivot("check", ["data.numeric_value", "data.temporal_value"]).agg(F.sum("n")).toDF("nation", "bad_numbers", "bad_dates")
     found = spark.read.format("binaryFile").load(f"{path}/*/*.csv").select(F.col("path").alias("name"), "length", "content")
-    gates = scan.gates(found, REGION_CSV).groupBy(nation(F.col("name")).alias("nation")).agg(F.count_if(F.col("status") == "fail").alias("bad_files"))
+    k, b, text = nation(F.col("name")).substr(2, 9).cast("int") % 8, F.col("content"), F.col("content").cast("string")
+    spoilt = F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), b)).when(k == 2, F.concat(b, F.unhex(F.lit("FF")))).when(k == 3, F.regexp_replace(text, "^key,name", '"key,name"').cast("binary"))
+    spoilt = spoilt.when(k == 4, F.concat(b, F.lit("1,x\n").cast("binary"))).when(k == 5, F.concat(b, F.lit("\n\n").cast("binary"))).when(k == 6, F.concat(b, F.lit('1,"x,1.00,2024-01-31\n').cast("binary"))).otherwise(b)
+    gates = scan.gates(found.withColumn("content", spoilt), REGION_CSV).groupBy(nation(F.col("name")).alias("nation")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("check"))))).alias("failed"))
     return cells.join(gates, "nation", "left")
 
 
@@ -677,10 +813,12 @@ def typed_scan(spark, sf_dir):
     return scan.typed_csv(scan.raw_csv(spark, f"{path}/*/*.csv", REGION_CSV), REGION_CSV)
 
 
-@query("dataset_profile", "SELECT * FROM (VALUES (1, 'key (numeric:0)'), (2, 'name (string)'), (3, 'balance (numeric:2, unit USD)'), (4, 'day (temporal:date)')) v(position, description), (SELECT count(*) AS n_rows FROM supplier)")
+@query("dataset_profile", """SELECT 'sha256:' || sha256('attestry-manifest/1' || chr(10) || '["key:numeric:0","name:string","balance:numeric:2","day:temporal:date"]') AS identity,
+    'key (numeric:0); name (string); balance (numeric:2, unit USD); day (temporal:date)' AS descriptions, (SELECT count(*) FROM supplier) AS n_rows,
+    (SELECT string_agg('[' || CAST(s_suppkey AS VARCHAR) || ',"' || s_name || '",' || CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ',"2024-01-31"]', ';' ORDER BY s_suppkey) FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 3)) AS first""")
 def dataset_profile(spark, sf_dir):
     raw = scan.raw_csv(spark, f"{_csv(spark, sf_dir, broken=False)}/*/*.csv", REGION_CSV)
-    return scan.profile(raw, REGION_CSV).join(F.broadcast(raw.agg(F.count("*").alias("n_rows"))))
+    return scan.profile(raw, REGION_CSV).select("identity", F.array_join("descriptions", "; ").alias("descriptions"), "n_rows", F.array_join("first", ";").alias("first"))
 
 
 @query("chart_rows", f"""WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, '{{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","total":' || CAST(total AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}}' AS row FROM a""")
@@ -716,14 +854,18 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(pattern)
 
 
-@query("token_bucket")
+@query("token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, event_id, k, us AS last, CAST(60000000 AS BIGINT) AS credit, true AS admitted FROM e WHERE k = 1
+        UNION ALL SELECT user_id, event_id, k, last, CASE WHEN c >= 60000000 THEN c - 60000000 ELSE c END, c >= 60000000
+        FROM (SELECT e.user_id, e.event_id, e.k, greatest(r.last, e.us) AS last, least(120000000, r.credit + greatest(0, e.us - r.last)) AS c FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+    SELECT user_id AS key, event_id AS event, admitted FROM r""")
 def token_bucket(spark, sf_dir):
     return streams.token_bucket(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", rate=1, burst=2)
 
 
-@query("stream_guard", "SELECT conv_id, turn, '' AS signals FROM conversations")
+@query("stream_guard", f"SELECT conv_id, turn, {_SIGNALS} AS signals FROM conversations")
 def stream_guard(spark, sf_dir):
-    got = streams.drained(streams.guarded(_stream(spark, sf_dir, "conversations"), "text"))
+    got = streams.drained(streams.guarded(_messages(spark, sf_dir, stream=True), "text"))
     return got.select("conv_id", "turn", F.concat_ws(",", "signals").alias("signals"))
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digests import header_line, row_line, tagged
 from ..functions.exact import numeric_status, numeric_value, temporal_ok, temporal_value
 from ..operators.checks import LIMITS
+from ..operators.order import total_order
 from ..types import Numeric, TableSchema, Temporal
 
 CORRUPT = "_corrupt"
@@ -38,24 +40,58 @@ def identity_by_blocks(pairs: DataFrame, by: str) -> DataFrame:
     return blocks.groupBy(by).agg(F.sum("n").alias("n_files"), joined(F.struct("block", "h"), lambda x: F.concat(x["block"], x["h"], F.lit("\n"))).alias("sha256"))
 
 
-def gates(found: DataFrame, schema: TableSchema, *, most_bytes: int = LIMITS["file_bytes"]) -> DataFrame:
-    """``name, check, status`` of what the bytes alone decide: size, charset, header, blank lines."""
-    text = F.col("content").cast("string")
-    valid = F.is_valid_utf8("content") & (F.hex(F.substring("content", 1, 3)) != "EFBBBF")
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
-    header = F.regexp_replace(lines[0], '"', "")
+def gates(found: DataFrame, schema: TableSchema, *, most_bytes: int = LIMITS["file_bytes"], most_rows: int = LIMITS["source_rows"], most_cells: int = LIMITS["source_cells"]) -> DataFrame:
+    """``name, check, status`` of every gate that a file's bytes decide.
+
+    Size, charset, header (its parsed first record), syntax (a quoted field that does not end where its field ends), row
+    widths (blank lines too), rows and cells.  Gates behind a charset or syntax failure are not judged on what can't be
+    read: they pass.
+    """
+    text = F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n")
+    valid = F.is_valid_utf8("content") & (F.coalesce(F.hex(F.substring("content", 1, 3)), F.lit("")) != "EFBBBF")
+    # each whole quoted field becomes one sign, so that what is left has neither commas nor line ends in a field
+    plain = F.regexp_replace(text, r'(^|[,\n])"(?:[^"]|"")*+"(?=[,\n]|$)', "$1q")
+    broken = plain.rlike(r'(^|[,\n])"')
+    lines = F.split(plain, "\n", -1)
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    last = F.size(body)
-    blank = F.exists(F.transform(body, lambda x, i: (x == "") & (i < last - 1)), lambda b: b)
-    results = F.array(
-        F.struct(F.lit("resource.file_bytes").alias("check"), (F.col("length") <= most_bytes).alias("ok")),
-        F.struct(F.lit("data.charset").alias("check"), valid.alias("ok")),
-        F.struct(F.lit("data.header").alias("check"), (valid & (header == ",".join(schema.names))).alias("ok")),
-        F.struct(F.lit("data.row_width").alias("check"), (valid & ~blank).alias("ok")),
-    )
+    records = F.when((F.size(body) > 0) & (F.element_at(body, -1) == ""), F.slice(body, 1, F.size(body) - 1)).otherwise(body)
+    widths = F.transform(records, lambda x: F.when(x == "", 0).otherwise(F.regexp_count(x, F.lit(",")) + 1))
+    n = len(schema.names)
+    cells = F.aggregate(widths, F.lit(0).cast("long"), lambda total, x: total + x)
+    first = F.from_csv(F.substring_index(text, "\n", 1), ", ".join(f"c{i} string" for i in range(n + 1)), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    header = first[f"c{n}"].isNull()
+    for i, name in enumerate(schema.names):
+        header &= F.coalesce(first[f"c{i}"] == name, F.lit(False))
+    readable = valid & ~broken
+    tests = {
+        "resource.file_bytes": F.col("length") <= most_bytes,
+        "data.charset": valid,
+        "data.header": ~valid | header,
+        "data.csv_syntax": ~valid | ~broken,
+        "data.row_width": ~readable | ~F.exists(widths, lambda x: x != n),
+        "resource.source_rows": ~readable | (F.size(records) <= most_rows),
+        "resource.source_cells": ~readable | (cells <= most_cells),
+    }
+    results = F.array(*[F.struct(F.lit(check).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for check, ok in tests.items()])
     return found.select("name", F.explode(results).alias("r")).select("name", "r.check", F.when(F.col("r.ok"), "pass").otherwise("fail").alias("status"))
 
 
+def admitted(spark: SparkSession, path: str, *, most_bytes: int = LIMITS["file_bytes"]) -> DataFrame:
+    """``files`` of at most ``most_bytes``: larger ones are left out by their listed length, before any of their bytes is read."""
+    return files(spark, path).filter(F.col("length") <= most_bytes)
+
+
+def spec_corpus(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """``spec_id, corpus, expected, raw, problem``: spec files joined to their index (``name, spec_id, corpus, expected``).
+
+    ``problem`` is ``unindexed`` for a file without an entry and ``missing`` for an entry without a file.
+    """
+    found = files(spark, path).select("name", F.col("content").cast("string").alias("raw"), F.lit(True).alias("there"))
+    joined = index.withColumn("listed", F.lit(True)).join(found, "name", "full_outer")
+    problem = F.when(F.col("listed").isNull(), "unindexed").when(F.col("there").isNull(), "missing")
+    return joined.select(F.coalesce("spec_id", "name").alias("spec_id"), "corpus", "expected", "raw", problem.alias("problem"))
+
+
 def raw_csv(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
     """All cells as text, with the file's name and the corrupt record of rows that are too short or too long."""
     fields = [T.StructField(n, T.StringType()) for n in schema.names]
@@ -66,7 +102,7 @@ def raw_csv(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
 
 def cell_failures(raw: DataFrame, schema: TableSchema, by: str = "__file") -> DataFrame:
     """``by, check, n``: failing cells and rows, over all columns, whatever a query would read."""
-    tests = [F.count_if(F.col(CORRUPT).isNotNull()).alias("data.csv_syntax")] if CORRUPT in raw.columns else []
+    tests = [F.count_if(F.col(CORRUPT).isNotNull()).alias("data.row_width")] if CORRUPT in raw.columns else []
     numeric = [F.coalesce(numeric_status(F.col(c.name), c.scale), F.lit("ok")) != "ok" for c in schema.columns if isinstance(c, Numeric)]
     temporal = [~F.coalesce(temporal_ok(F.col(c.name), c.granularity), F.lit(True)) for c in schema.columns if isinstance(c, Temporal)]
     for name, bad in (("data.numeric_value", numeric), ("data.temporal_value", temporal)):
@@ -76,17 +112,36 @@ def cell_failures(raw: DataFrame, schema: TableSchema, by: str = "__file") -> Da
     return counted.unpivot([by], [F.col(f"`{c}`") for c in counted.columns if c != by], "check", "n")
 
 
-def typed_csv(raw: DataFrame, schema: TableSchema) -> DataFrame:
-    """The declared columns, typed; the empty cell is NULL.  Cells that fail their check become NULL: run ``cell_failures`` first."""
+def typed_csv(raw: DataFrame, schema: TableSchema, *, refuse: bool = True) -> DataFrame:
+    """The declared columns, typed; the empty cell is NULL.
+
+    A cell that fails its check, or a row of another width, is an error with the check's name wherever it is read;
+    ``cell_failures`` counts them all, whatever a query reads.  Without ``refuse`` they become NULL.
+    """
     out = []
+    width = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
     for c in schema.columns:
-        text = F.nullif(F.col(c.name), F.lit(""))
-        value = numeric_value(text, c.scale) if isinstance(c, Numeric) else temporal_value(text, c.granularity) if isinstance(c, Temporal) else text
+        text = F.nullif(F.col(f"`{c.name}`"), F.lit(""))
+        numeric, temporal = isinstance(c, Numeric), isinstance(c, Temporal)
+        value = numeric_value(text, c.scale) if numeric else temporal_value(text, c.granularity) if temporal else text
+        if refuse:
+            if numeric or temporal:
+                message = F.concat(F.lit(f"data.{'numeric' if numeric else 'temporal'}_value: {c.name} "), text)
+                value = F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(message).cast(c.spark))
+            value = F.when(~width, value).otherwise(F.raise_error(F.lit(f"data.row_width: expected {len(schema.names)} fields")).cast(c.spark))
         out.append(value.alias(c.name))
     return raw.select(*out)
 
 
-def profile(raw: DataFrame, schema: TableSchema) -> DataFrame:
-    """``position, description`` of each column."""
-    text = [(i, f"{c.name} ({c.descriptor.split(':', 1)[1]}" + (f", unit {c.unit}" if c.unit else "") + ")") for i, c in enumerate(schema.columns, 1)]
-    return raw.sparkSession.createDataFrame(text, "position int, description string")
+def profile(raw: DataFrame, schema: TableSchema, *, first_rows: int = 3) -> DataFrame:
+    """One row: ``identity`` of the declared columns, their ``descriptions``, ``n_rows``, and the ``first`` rows as canonical lines.
+
+    "First" is by canonical order of the rows, as files have none.
+    """
+    text = [f"{c.name} ({c.descriptor.split(':', 1)[1]}" + (f", unit {c.unit}" if c.unit else "") + ")" for c in schema.columns]
+    typed = typed_csv(raw, schema)
+    total = typed.agg(F.count("*").alias("n_rows"))
+    first = typed.orderBy(*total_order(schema.names)).limit(first_rows).select(row_line(schema).alias("line"), F.monotonically_increasing_id().alias("at"))
+    told = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("first"))
+    identity = tagged("manifest", F.lit(header_line(schema)))
+    return total.join(told).select(identity.alias("identity"), F.array(*[F.lit(x) for x in text]).alias("descriptions"), "n_rows", "first")  # one row each

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """``spark.checkpoint.dir``; in local mode, where none is set, a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attestry-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="attestry-"))
     return context.getCheckpointDir()
 
 

@@ -1,5 +1,6 @@
 """Rules of types, exact functions, pipelines, canonical form and checks on small frames."""
 
+import hashlib
 import random
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
@@ -137,11 +138,28 @@ def test_canonical_file_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.select(*S.names).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
-def test_block_digest_of_larger_tables(spark):
-    lines = spark.range(10).select((F.col("id") + 1).alias("pos"), F.col("id").cast("string").alias("line"))
-    schema = TableSchema((Numeric("x"),))
-    whole, blocks = digests.table_digest(lines, schema).first(), digests.table_digest(lines.repartition(3), schema, rows_at_most=4).first()
-    assert whole.mode == "whole" and blocks.mode == "blocks" and blocks.n_rows == 10 and whole.digest != blocks.digest
+def test_digest_has_one_definition(spark):
+    lines = spark.range(9000).select((F.col("id") + 1).alias("pos"), F.col("id").cast("string").alias("line"))
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for n in (0, 1, 4096, 4097, 9000):
+        blocks = [h("".join(f"{i}\n" for i in range(a, min(n, a + 4096)))) for a in range(0, n, 4096)]
+        groups = [h("".join(f"{x}\n" for x in blocks))] if blocks else []
+        got = digests.table_digest(lines.filter(F.col("pos") <= n).repartition(3), TableSchema((Numeric("x"),))).first()
+        assert (got.n_rows, got.digest) == (n, "sha256:" + h('attestry-table/1\n["x:numeric:0"]\n' + "\n".join(groups)))
+
+
+def test_positions_hold_their_bound(spark):
+    with pytest.raises(Exception, match="more than 3 rows"):
+        order.positions(spark.range(4), [order.order_key("id")], rows_at_most=3).collect()
+
+
+def test_raw_ranges_keep_exact_answers(spark):
+    schema = TableSchema((Numeric("v", 2),))
+    df = spark.createDataFrame([(x,) for x in (0.994, 0.995, 0.9949999, 1.0, 1.004, 1.005, 1.0051, -1.005, 1e15 + 0.3, None)], "v double")
+    for cmp in ("eq", "ne", "lt", "le", "gt", "ge"):
+        for value in ("1", "-1", "1.01", "1e15", "1e40"):
+            p = Pipeline(schema).filter("v", cmp, value)
+            assert sorted(p.scanned(df).collect()) == sorted(p.to_df(schema.typed(df)).collect()), (cmp, value)
 
 
 def test_inversions_and_domains(spark):
@@ -163,15 +181,24 @@ def test_manifest_is_strict():
 
 def test_csv_gates(spark, tmp_path):
     schema = TableSchema((Text("a"), Numeric("b", 1)))
-    files = {"good": b'a,b\nx,1.5\n"q,""r\n",\n', "bom": b"\xef\xbb\xbfa,b\nx,1\n", "bad_utf8": b"a,b\n\xff,1\n", "header": b"b,a\nx,1\n", "blank": b"a,b\nx,1\n\ny,2\n"}
+    files = {"good": b'a,b\nx,1.5\n"q,""r\n",\n', "bom": b"\xef\xbb\xbfa,b\nx,1\n", "bad_utf8": b"a,b\n\xff,1\n", "header": b"b,a\nx,1\n", "one_field": b'"a,b"\nx,1\n', "quoted": b'"a","b"\n"x\n1",1\n', "short": b"a,b\nx\n", "long": b"a,b\nx,1,2\n", "open": b'a,b\n"x,1\n', "after": b'a,b\n"x"y,1\n', "blank": b"a,b\nx,1\n\ny,2\n"}
     for name, content in files.items():
         (tmp_path / f"{name}.csv").write_bytes(content)
     got = {(r.name, r.check) for r in scan.gates(scan.files(spark, str(tmp_path)), schema).filter("status = 'fail'").collect()}
-    assert {n for n, _ in got} == {"bom.csv", "bad_utf8.csv", "header.csv", "blank.csv"}
+    want = {"bom": "charset", "bad_utf8": "charset", "header": "header", "one_field": "header", "short": "row_width", "long": "row_width", "open": "csv_syntax", "after": "csv_syntax", "blank": "row_width"}
+    # a record of one field, "a,b", is another header, and its rows are then wider than it: only the schema counts
+    assert got == {(f"{n}.csv", f"data.{c}") for n, c in want.items()}
+    few = scan.gates(scan.files(spark, str(tmp_path)), schema, most_bytes=4, most_rows=0, most_cells=1).filter("name = 'good.csv' and status = 'fail'")
+    assert {r.check for r in few.collect()} == {"resource.file_bytes", "resource.source_rows", "resource.source_cells"}
+    assert scan.admitted(spark, str(tmp_path), most_bytes=10).count() < len(files)
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "x.csv").write_bytes(b"a,b\nx,1.55\ny\nz,1,2\nk,abc\n,\n")
     raw = scan.raw_csv(spark, str(tmp_path / "w"), schema)
-    assert {r["check"]: r["n"] for r in scan.cell_failures(raw, schema).collect()} == {"data.csv_syntax": 2, "data.numeric_value": 2}
+    assert {r["check"]: r["n"] for r in scan.cell_failures(raw, schema).collect()} == {"data.row_width": 2, "data.numeric_value": 2}
+    for bad in ("numeric_value", "row_width"):
+        with pytest.raises(Exception, match=f"data.{bad}"):
+            scan.typed_csv(raw.filter(F.col(scan.CORRUPT).isNull() if bad == "numeric_value" else F.col(scan.CORRUPT).isNotNull()), schema).collect()
+    assert scan.typed_csv(raw, schema, refuse=False).count() == 5
     ok = scan.typed_csv(scan.raw_csv(spark, str(tmp_path / "good.csv"), schema), schema).collect()
     assert sorted(map(tuple, ok), key=str) == sorted([("x", Decimal("1.5")), ('q,"r\n', None)], key=str)
     assert scan.identity(scan.files(spark, str(tmp_path / "w"))).first().sha256.startswith("sha256:")

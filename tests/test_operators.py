@@ -1,12 +1,15 @@
 """Ledger, replies, formulas, spec corpora and streams on small frames."""
 
+import json
 from decimal import Decimal
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import corpus, formula, ledger, replies
+from attestry.functions import digests
+from attestry.operators import checks, corpus, formula, ledger, replies
+from attestry.sources import scan
 from attestry.streaming import streams
 from attestry.types import CheckError, Numeric, TableSchema, Text
 
@@ -20,7 +23,7 @@ def test_ledger_publishes_once_and_refuses_changes(spark, tmp_path):
     b = blob(spark, "one", "two", "one")
     digest = {r.content.decode(): r.digest for r in b.collect()}
     keys = spark.createDataFrame([("k1", digest["one"], "raw")], ledger.SHAPES["keys"])
-    attempts = spark.createDataFrame([("a1", digest["two"], "raw", "k1", None)], ledger.SHAPES["attempts"])
+    attempts = spark.createDataFrame([("a1", digest["two"], "raw", "k1", None, "0" * 32, "2024-02-03T04:05:06.000007Z", "propose_spec", 404, "dataset_not_found")], ledger.SHAPES["attempts"])
     for _ in range(2):
         book.publish({"blobs": b, "keys": keys, "attempts": attempts})
     assert {r.table: r.n_rows for r in book.stats().collect()} == {"blobs": 2, "keys": 1, "plots": 0, "specs": 0, "plot_references": 0, "attempt_references": 0, "attempts": 1}
@@ -30,7 +33,9 @@ def test_ledger_publishes_once_and_refuses_changes(spark, tmp_path):
         book.publish({"keys": keys.withColumn("public_key_kind", F.lit("other"))})
     with pytest.raises(ValueError, match="quota"):
         book.publish({"blobs": blob(spark, "x" * 100)}, quota=50)
-    book.publish({"attempts": spark.createDataFrame([("a2", "sha256:none", "raw", "k9", "p9")], ledger.SHAPES["attempts"])})
+    book.publish({"attempts": spark.createDataFrame([("a2", "sha256:none", "raw", "k9", "p9", "x", "y", "propose_spec", 200, "verified")], ledger.SHAPES["attempts"])})
+    assert {(r.attempt_id, r.rule) for r in book.attempt_violations().collect()} == {("a2", "nonce_format"), ("a2", "time_format"), ("a2", "roles_match_outcome")}
+    assert book.blob(digest["one"], "raw").first().content == b"one" and book.roles("p9").count() == 0
     assert sorted(r.source for r in book.audit()[0].collect()) == ["attempts.envelope_digest", "attempts.keyid", "attempts.plot_id"]
 
 
@@ -106,6 +111,89 @@ def test_bulk_verification(spark):
     assert [(r.spec_id, r.n_rows) for r in corpus.verified_results(admitted, {"d.csv": SCHEMA}, lambda n: data).collect()] == [("good", 2)]
 
 
+def test_bulk_verification_of_shapes(spark):
+    """Each spec by the shared job equals the spec on its own, for filters of every kind, empty results and no keys."""
+    data = SCHEMA.typed(spark.createDataFrame([(k, float(v)) for v, k in enumerate("abcabcabz")] + [("n", None)], "k string, v double"))
+    plain = json.loads(SPEC)
+    specs = []
+    for where in ([], [("k", "eq", "a")], [("k", "eq", "b")], [("k", "eq", "none")], [("v", "ge", 3)], [("v", "ge", 100)], [("k", "ne", "a"), ("v", "lt", "7.5")], [("v", "lt", "1e40")], [("k", "eq", "c"), ("v", "le", 5)]):
+        for keys in (True, False):
+            ops = [{"op": "filter", "field": f, "cmp": c, "value": v} for f, c, v in where]
+            tail = plain["transform"] if keys else [{"op": "aggregate", "measures": [{"field": "v", "fn": "sum", "as": "s"}, {"field": "k", "fn": "count", "as": "k"}]}]
+            doc = {**plain, "transform": ops + tail}
+            specs.append((f"s{len(specs)}", json.dumps(doc)))
+    schemas, hashes = {"d.csv": SCHEMA}, {"d.csv": "sha256:" + "a" * 64}
+    admitted = corpus.admission(spark.createDataFrame(specs, "spec_id string, raw string"), schemas, hashes).withColumn("check", F.lit(None).cast("string"))
+    for at_once in (16, 2):
+        got = {r.spec_id: tuple(r)[1:] for r in corpus.verified_results(admitted, schemas, lambda n: data, shapes_at_once=at_once).collect()}
+        for name, raw in specs:
+            plan = corpus.planned(corpus.decode(raw), SCHEMA)
+            assert got[name] == tuple(digests.multiset_digest(plan.to_df(data), plan.schema).first()), raw
+
+
+def test_formula_columns_compile_where_they_fit(spark):
+    rows = [(Decimal("1.25"), Decimal("0.50")), (Decimal("-3.10"), None), (Decimal("99.99"), Decimal("0.05")), (Decimal("0.00"), Decimal("-0.01"))]
+    df = spark.createDataFrame(rows, "p decimal(6,2), d decimal(4,2)")
+    for text, scale in {"p*(1 - d)": 4, "-p**2 + abs(d)*0.125": 2, "(p + d)**0": 1, "p*d + 1": 0, "p**9": 3, "1/(p + 1)": 5, "p**-1": 2}.items():
+        plan = formula.formula_column(df, text, {"p": "p", "d": "d"}, scale)
+        tree = formula.parse(text, frozenset("pd"))
+        for r in plan.collect():
+            if r.d is None:
+                assert (r.value, r.status) == (None, "null")
+                continue
+            try:
+                want = formula.quantised(formula.value(tree, {"p": Fraction(r.p), "d": Fraction(r.d)}), scale)
+            except formula.Refused as e:
+                assert (r.value, r.status) == (None, e.check)
+                continue
+            assert r.status == "ok" and Fraction(r.value) == Fraction(want, 10**scale), text
+
+
+def test_formula_limits_are_a_parameter():
+    for text, key in {"1+1": "formula_bytes", "x+1": "formula_tokens", "((x))": "formula_paren_depth", "123": "formula_digits", "-x": "formula_ast_nodes", "--x": "formula_ast_depth"}.items():
+        low = {**formula.LIMITS, key: 1}
+        with pytest.raises(formula.Refused) as e:
+            formula.parse(text, limits=low)
+        assert e.value.check == f"resource.{key}"
+    assert formula.parse("x+" + " " * 509 + "1") and formula.parse("1" * 32)
+    for text in ("x+" + " " * 510 + "1", "1" * 33):
+        with pytest.raises(formula.Refused):
+            formula.parse(text)
+
+
+def test_spec_corpus_and_index(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text(name)
+    index = spark.createDataFrame([("a.json", "a", "good", "accept"), ("c.json", "c", "bad", "reject")], "name string, spec_id string, corpus string, expected string")
+    got = {(r.spec_id, r.raw, r.problem) for r in scan.spec_corpus(spark, str(tmp_path), index).collect()}
+    assert got == {("a", "a.json", None), ("b.json", "b.json", "unindexed"), ("c", None, "missing")}
+
+
+def test_check_rows_of_order_domain_and_formulas(spark):
+    placed = spark.createDataFrame([(1, 5), (2, 4)], "pos long, v int")
+    status = lambda df: [r.status for r in df.collect()]
+    assert status(checks.canonical_order(placed, [("v", False)])) == ["fail"] and status(checks.canonical_order(placed, [("v", True)])) == ["pass"]
+    a, b = (spark.createDataFrame([(x,) for x in xs], "value string") for xs in ("ab", "abc"))
+    assert status(checks.legend_domain(a, b)) == ["fail"] and status(checks.legend_domain(a, a)) == ["pass"]
+    assert status(checks.zero_baseline(placed, "v", F.lit(0))) == ["pass"] and status(checks.zero_baseline(placed, "v", F.lit(3))) == ["fail"]
+    rows = [(1, 0, Decimal(0), Decimal(1), "ok"), (1, 1, Decimal("0.000000000001"), Decimal(2), "ok"), (1, 2, Decimal("0.000000000001"), None, "formula.values_defined"), (1, 3, Decimal(9), Decimal("10000000000000000000000000.000000000001"), "ok")]
+    df = spark.createDataFrame(rows, "formula_id long, i int, x decimal(38,12), y decimal(38,12), status string")
+    got = {r.check: (r.status, r.message) for r in checks.formula_results(df, "1e24").collect()}
+    assert got == {"formula.sample_points_strictly_increasing": ("fail", "1 failing"), "formula.values_defined": ("fail", "1 failing"), "formula.values_bounded": ("fail", "1 failing"), "render.float64_fidelity": ("fail", "2 failing")}
+
+
+def bucket_brute(rows, rate, burst):
+    """Admission with fractions of a token, one event after another."""
+    held, out = {}, []
+    for user, us, event in sorted(rows):
+        tokens, last = held.get(user, (Fraction(burst), us))
+        tokens = min(Fraction(burst), tokens + Fraction(max(0, us - last) * rate, 60_000_000))
+        ok = tokens >= 1
+        held[user] = (tokens - ok, max(last, us))
+        out.append((user, event, ok))
+    return sorted(out)
+
+
 def test_token_bucket_stream_agrees_with_batch(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:00:{i % 60:02d}", i % 3) for i in range(120)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz")).orderBy("ts", "event_id").coalesce(1)
@@ -115,3 +203,5 @@ def test_token_bucket_stream_agrees_with_batch(spark, tmp_path):
     streamed = streams.drained(streams.token_bucket_stream(stream, "user_id", "ts", "event_id", rate=30, burst=3))
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, streamed.collect()))
     assert 0 < batch.filter("admitted").count() < 120
+    plain = [(r.user_id, int(r.us), r.event_id) for r in df.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").collect()]
+    assert sorted(map(tuple, batch.collect())) == bucket_brute(plain, 30, 3)
