@@ -75,5 +75,11 @@ def chart_signals(c: Column) -> Column:
 
 
 def safe_bytes(c: Column) -> Column:
-    """Bytes as text where they are UTF-8, as base64 otherwise."""
-    return F.when(F.is_valid_utf8(c), c.cast("string")).otherwise(F.base64(c))
+    """Bytes as a JSON string token where they are UTF-8, with every control sign escaped so that no terminal acts on it; as
+    base64 otherwise."""
+    token = F.to_json(F.array(c.cast("string")))
+    text = token.substr(F.lit(2), F.length(token) - 2)
+    text = F.replace(text, F.lit("\u007f"), F.lit("\\u007f"))
+    for sign in range(0x80, 0xA0):
+        text = F.replace(text, F.lit(chr(sign)), F.lit(f"\\u{sign:04x}"))
+    return F.when(F.is_valid_utf8(c), text).otherwise(F.base64(c))

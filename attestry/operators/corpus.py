@@ -9,13 +9,13 @@ from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import multiset_digest
 from ..sources.store import stored
 from ..types import CheckError, TableSchema
-from .pipeline import Channel, Pipeline, checked_literal, literal_condition
+from .pipeline import Channel, Pipeline, checked_literal, kind_of, literal_condition
 
 DATASET = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\.csv")
 HASH = re.compile(r"sha256:[0-9a-f]{64}")
@@ -195,3 +195,36 @@ def verified_results(admitted: DataFrame, schemas: dict[str, TableSchema], table
         own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables) for r in shapes[at : at + shapes_at_once]]
         done.append(stored(reduce(DataFrame.unionByName, own)) if len(shapes) > shapes_at_once else reduce(DataFrame.unionByName, own))
     return specs.select("spec_id", "plan").join(reduce(DataFrame.unionByName, done), "plan").drop("plan")
+
+
+def lineage(admitted: DataFrame, schemas: dict[str, TableSchema]) -> DataFrame:
+    """``spec_id, dataset, field, source, kind`` of every column that an admitted spec plots; ``source`` is null for counts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for spec_id, text in zip(pdf["spec_id"], pdf["canonical"], strict=True):
+                doc = json.loads(text)
+                name = doc["dataset"]["name"]
+                plan = planned(doc, schemas[name])
+                rows += [(spec_id, name, field, source, kind_of(plan.schema.column(field))) for field, source in plan.lineage_rows()]
+            yield pd.DataFrame(rows, columns=["spec_id", "dataset", "field", "source", "kind"])
+
+    good = admitted.filter("check is null").select("spec_id", "canonical")
+    return good.mapInPandas(work, "spec_id string, dataset string, field string, source string, kind string")
+
+
+def manifests(spark: SparkSession, schemas: dict[str, TableSchema]) -> DataFrame:
+    """``dataset, source, unit, label``: a row for each column of the declared data sets."""
+    rows = [(name, c.name, c.unit, c.label) for name, schema in schemas.items() for c in schema.columns]
+    return spark.createDataFrame(rows, "dataset string, source string, unit string, label string")
+
+
+def titles(plotted: DataFrame, declared: DataFrame) -> DataFrame:
+    """``lineage`` rows with ``title`` (label or name of the source column with its unit; counts have a title of their own) and
+    ``unit_missing``, by a join to the manifests."""
+    joined = plotted.join(declared, ["dataset", "source"], "left")
+    base = F.coalesce("label", "source")
+    title = F.when(F.col("source").isNull(), "Count of records").when(F.col("unit").isNotNull(), F.concat(base, F.lit(" ("), F.col("unit"), F.lit(")"))).otherwise(base)
+    missing = F.col("source").isNotNull() & (F.col("kind") == "numeric") & F.col("unit").isNull()
+    return joined.select("spec_id", "dataset", "field", "source", title.alias("title"), missing.alias("unit_missing"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, exact
 from ..operators import checks, corpus, formula, ledger, order, replies, verify
 from ..operators.pipeline import Channel, Pipeline
-from ..sources import canonical, scan
+from ..sources import canonical, reports, scan
 from ..sources.store import fresh_path
 from ..streaming import streams
 from ..types import Numeric, TableSchema, Temporal, Text
@@ -765,14 +765,23 @@ def length_prefixed(spark, sf_dir):
     return d.select("doc_id", F.sha2(digests.length_prefixed(F.col("text"), F.col("source")), 256).alias("digest"))
 
 
-@query("axis_titles", """SELECT n_nationkey, 'Total price (USD)' AS title, 'o_totalprice' AS source FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'Count of records', NULL FROM nation WHERE n_nationkey % 2 = 1""")
+@query("axis_titles", """SELECT CAST(c_custkey AS VARCHAR) AS spec_id, field, source, title, unit_missing FROM customer, (VALUES ('o_orderpriority', 'o_orderpriority', 'o_orderpriority', false), ('total', 'o_totalprice', 'Total price (USD)', false)) v(field, source, title, unit_missing)
+    WHERE c_custkey % 10 IN (0, 1, 9)""")
 def axis_titles(spark, sf_dir):
-    """Titles of a plotted column per nation: a quantity's for even keys, a count's for odd ones."""
-    p = Pipeline(ORDERS).group_by("o_orderstatus").aggregate(("o_totalprice", "max", "top"), ("o_orderkey", "count", "n")).group_by("o_orderstatus").aggregate(("top", "max", "top"), ("n", "max", "n"))
-    rows = [(f, p.axis_title(f), p.lineage[f]) for f in ("top", "n")]
-    titles = spark.createDataFrame(rows, "field string, title string, source string")
-    n = t(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "top").otherwise("n").alias("field"))
-    return n.join(F.broadcast(titles), "field").select("n_nationkey", "title", "source")
+    """Titles of the columns that each customer's spec plots, from the data sets' manifests."""
+    admitted = corpus.admission(_specs(spark, sf_dir), _SCHEMAS, _HASHES)
+    plotted = corpus.lineage(admitted, _SCHEMAS)
+    return corpus.titles(plotted, corpus.manifests(spark, _SCHEMAS)).drop("dataset")
+
+
+@query("evaluation_report", f"""WITH d AS ({_DETAILS}) SELECT 'abc' AS commit, false AS dirty, count(*) AS prompt_count, count(DISTINCT category) AS n_categories, count(DISTINCT category) + 1 AS n_tallies,
+    CAST(sum(event_id) AS BIGINT) AS written FROM d""")
+def evaluation_report(spark, sf_dir):
+    """Report and details written and read again."""
+    d, path = _details(spark, sf_dir), fresh_path(spark)
+    reports.write(d, reports.Provenance(commit="abc", probed="nowhere"), path, verify.tools())
+    r = spark.read.json(f"{path}/report").select("provenance.commit", "provenance.dirty", "prompt_count", F.size("categories").cast("long").alias("n_categories"), F.size("tallies").cast("long").alias("n_tallies"))
+    return r.join(reports.read(spark, path, d).agg(F.sum("event_id").alias("written")))  # one row each
 
 
 # --- scan ----------------------------------------------------------------------------------------------------------

@@ -81,6 +81,19 @@ def admitted(spark: SparkSession, path: str, *, most_bytes: int = LIMITS["file_b
     return files(spark, path).filter(F.col("length") <= most_bytes)
 
 
+def datasets(spark: SparkSession, root: str) -> DataFrame:
+    """``name, length, sha256`` of the data sets right below one folder: names that a spec may use, and nothing from elsewhere."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root)
+    named = found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"))
+    return named.filter(F.col("name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*\.csv$"))
+
+
+def binding(requested: DataFrame, present: DataFrame) -> DataFrame:
+    """``id, check`` for every request (``id, name, declared``): null where the data set is there and has the declared digest."""
+    joined = requested.join(present.select("name", "sha256"), "name", "left")
+    return joined.select("id", F.when(~F.col("sha256").eqNullSafe(F.col("declared")) | F.col("sha256").isNull(), "dataset.hash_matches_source").alias("check"))
+
+
 def spec_corpus(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """``spec_id, corpus, expected, raw, problem``: spec files joined to their index (``name, spec_id, corpus, expected``).
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions import digests
+from attestry.functions import digests, text
 from attestry.operators import checks, corpus, formula, ledger, replies
 from attestry.sources import scan
 from attestry.streaming import streams
@@ -50,7 +50,9 @@ def test_audit_documents_hide_content(spark):
     a = spark.createDataFrame([("a",), ("b",)], "attempt_id string")
     hidden = {r.attempt_id: r.artifacts for r in ledger.audit_documents(a, refs, b).collect()}
     assert hidden["a"][0].content is None and hidden["b"] is None
-    assert ledger.audit_documents(a, refs, b, reveal=True).filter("attempt_id = 'a'").first().artifacts[0].content == "one"
+    assert ledger.audit_documents(a, refs, b, reveal=True).filter("attempt_id = 'a'").first().artifacts[0].content == '"one"'
+    odd = spark.createDataFrame([(b"a\x1b[2J\n\x7f\xc2\x9b\"",), (b"\xff\x00",)], "c binary").select(text.safe_bytes(F.col("c")).alias("t"))
+    assert [r.t for r in odd.collect()] == ['"a\\u001B[2J\\n\\u007f\\u009b\\""', "/wA="]
 
 
 def test_rates_and_buckets(spark):
@@ -161,6 +163,18 @@ def test_formula_limits_are_a_parameter():
             formula.parse(text)
 
 
+def test_datasets_of_one_folder(spark, tmp_path):
+    for name, content in {"a.csv": "x", "b.txt": "y", ".h.csv": "z", "c d.csv": "w"}.items():
+        (tmp_path / name).write_text(content)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.csv").write_text("v")
+    present = scan.datasets(spark, str(tmp_path))
+    assert [r.name for r in present.collect()] == ["a.csv"]
+    digest = present.first().sha256
+    asked = spark.createDataFrame([(1, "a.csv", digest), (2, "a.csv", "sha256:0"), (3, "../a.csv", digest), (4, "e.csv", digest), (5, "a.csv", None)], "id long, name string, declared string")
+    assert {r.id: r.check is None for r in scan.binding(asked, present).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
 def test_spec_corpus_and_index(spark, tmp_path):
     for name in ("a.json", "b.json"):
         (tmp_path / name).write_text(name)
