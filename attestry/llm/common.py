@@ -45,10 +45,11 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows with texts go to Python in batches of a thousand at most, not ten thousand."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")
+    """Rows with texts go to Python in batches of a thousand and of STEP_BYTES at most."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", STEP_BYTES)):
+        held = spark.conf.get(key)
+        if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], limit: int = STEP_BYTES) -> DataFrame:

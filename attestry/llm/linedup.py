@@ -50,8 +50,8 @@ CHUNK_BYTES = 4 << 20
 HOT, BLOCK = 1 << 18, 4096
 #: Lengths of the rarer segments, in the order in which they are tried; bits of a cell in the table of their counts.
 GRAMS, CELL_BITS = (4, 2), 18
-#: Pairs that are compared side by side.
-PAIRS = 1 << 20
+#: Pairs that are compared side by side; code points that are spread out at a time.
+PAIRS, PLACES = 1 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -135,10 +135,18 @@ class Lines:
         self.own_size = self.size[own]
         self.end = np.cumsum(self.own_size)
         self.begin = self.end - self.own_size
-        code = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-        power, self.back = _power(len(code))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-        self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), self.begin) if len(own) else np.empty(0, np.uint64)
+        n = int(self.end[-1]) if len(own) else 0
+        power, self.back = _power(n)
+        self.sums, self.sketch = np.zeros(n + 1, np.uint64), np.zeros(len(own), np.uint64)
+        at = 0
+        while at < len(own):  # some lines at a time: codes take eight bytes each
+            to = max(at + 1, int(np.searchsorted(self.end, self.begin[at] + PLACES, "right")))
+            lo, hi = int(self.begin[at]), int(self.end[to - 1])
+            code = np.frombuffer("".join(lines[at:to]).encode("utf-32-le"), "<u4").astype(np.uint64)
+            part = (code + np.uint64(1)) * power[lo:hi]
+            self.sums[lo + 1 : hi + 1] = np.cumsum(part, dtype=np.uint64) + self.sums[lo]
+            self.sketch[at:to] = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), self.begin[at:to] - lo)
+            at = to
 
     def content(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """A hash of the ``n`` code points at each place."""

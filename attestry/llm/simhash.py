@@ -16,7 +16,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,12 +46,19 @@ def fingerprint(text: bytes) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(WORDS, len(words))
     n = len(words) - k + 1
-    counts = np.zeros(64, np.int64)
     hashed = xxhash.xxh64_intdigest
-    for at in range(0, n, _CHUNK):
-        to = min(n, at + _CHUNK)
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist(), strict=True)], "<u8")
+    return majority(
+        np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + _CHUNK)].tolist(), ends[at + k - 1 : min(n, at + _CHUNK) + k - 1].tolist(), strict=True)], "<u8")
+        for at in range(0, n, _CHUNK)
+    )
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += h.size
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
