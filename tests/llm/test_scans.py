@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, secrets
@@ -64,6 +63,31 @@ def test_battery_finds_values_after_names_and_in_paths():
     assert not any(secrets.random_spans(w, []) for w in prose)
 
 
+def test_battery_recall_and_false_discoveries():
+    """Planted random values in every encoding are found; ordinary names, paths and numbers are not."""
+    rng = random.Random(4)
+    words = "server request handler customer account payment report total index value update create delete session cache buffer stream window metric result".split()
+    for name, symbols in secrets.ENCODINGS:
+        for length in (32, 40, 64):
+            found = 0
+            for _ in range(50):
+                token = "".join(rng.choice(symbols) for _ in range(length))
+                text = f"the {rng.choice(words)} is {token} and so on"
+                spans = secrets.base_spans(text)
+                spans += secrets.random_spans(text, spans)
+                at = text.index(token)
+                found += any((a, b) == (at, at + length) for a, _, b in spans)
+            assert found >= 45, (name, length, found)
+    ordinary = []
+    for _ in range(4000):
+        parts = rng.choices(words, k=rng.randint(3, 6))
+        kind = rng.randrange(5)
+        number = str(rng.randrange(10**rng.randint(1, 4)))
+        ordinary.append(["_".join([*parts, number]), "/".join([*parts, number]), "-".join([number, *parts]), "".join(x.title() for x in parts) + number, f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}_" + "-".join(parts)][kind])
+    false = sum(len(secrets.random_spans(f"see {x} there", [])) for x in ordinary)
+    assert false <= 4
+
+
 def test_test_statistics_have_their_levels():
     rng = np.random.default_rng(1)
     p = np.array([[secrets.chi_squared_p(x, 64), secrets.runs_p(x, 64), secrets.serial_p(x)] for x in rng.integers(0, 64, (3000, 60))])
