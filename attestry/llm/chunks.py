@@ -140,7 +140,13 @@ def _pack(rows: list[pa.RecordBatch]) -> bytes:
     texts = batch.column(1).cast(pa.binary()).to_pylist()
     others = batch.select(batch.schema.names[2:])
     rest = np.frombuffer(to_ipc(others), np.uint8) if others.num_columns else np.empty(0, np.uint8)
-    return packed(key[order], np.array([len(x or b"") for x in texts], "<i8"), np.array([x is None for x in texts], np.uint8), np.frombuffer(b"".join(x or b"" for x in texts), np.uint8), rest)
+    return packed(
+        key[order],
+        np.array([len(x or b"") for x in texts], "<i8"),
+        np.array([x is None for x in texts], np.uint8),
+        np.frombuffer(b"".join(x or b"" for x in texts), np.uint8),
+        rest,
+    )
 
 
 def _chunked(limit: int):

@@ -52,7 +52,13 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], limit: int = STEP_BYTES) -> DataFrame:
+def map_steps(
+    df: DataFrame,
+    text: str,
+    schema: str | T.StructType,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None],
+    limit: int = STEP_BYTES,
+) -> DataFrame:
     """``work`` on every slice of ``df`` with bounded text; it returns columns by name (or nothing)."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     shape = to_arrow_schema(kind)
@@ -63,7 +69,10 @@ def map_steps(df: DataFrame, text: str, schema: str | T.StructType, work: Callab
             out = work(piece)
             if out is None:
                 continue
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in shape)], schema=shape)
+            yield pa.RecordBatch.from_arrays(
+                [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in shape)],
+                schema=shape,
+            )
 
     return df.mapInArrow(run, kind)
 

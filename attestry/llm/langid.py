@@ -118,7 +118,11 @@ class Model:
 
 def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from ``doc_id, text, lang`` of rows with a language."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    rows = docs.select(
+        "doc_id",
+        F.col("text").cast("string").alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    ).filter("lang is not null and text is not null")
     held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not held:
         return Model([], np.zeros((0, _SIZE)))
@@ -161,7 +165,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         got = [held.value.decode(x) for x in piece.column("text").to_pylist()]
         return {"doc_id": piece.column("doc_id"), "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "ambiguous": [x[2] for x in got]}
 
-    return map_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "doc_id long, lang_pred string, score double, ambiguous boolean", work)
+    return map_steps(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+        "text",
+        "doc_id long, lang_pred string, score double, ambiguous boolean",
+        work,
+    )
 
 
 def held_out(modulus: int, remainder: int) -> Column:

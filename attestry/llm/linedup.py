@@ -332,7 +332,10 @@ def _possible(edits: int):
                     on[first[like]] = on[second[like]] = True
                 lo = hi
             if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[on], type=f.type) for x, f in zip((key, block, chunk, line, 1 - other), shape, strict=True)], schema=shape)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[on], type=f.type) for x, f in zip((key, block, chunk, line, 1 - other), shape, strict=True)],
+                    schema=shape,
+                )
 
     return run
 
@@ -404,7 +407,16 @@ def _judged(rounds: Rounds, edits: int, least: int):
             work = Work(blob, answers, edits, least, buckets)
             for key, block, line, owns in work.meeting(tables):
                 own = work.all
-                yield from zip(key.view(np.int64).tolist(), block.tolist(), [chunk] * len(key), own.own[line].tolist(), own.own_size[line].tolist(), own.sketch[line].view(np.int64).tolist(), (~owns).astype(np.int32).tolist(), strict=True)
+                yield from zip(
+                    key.view(np.int64).tolist(),
+                    block.tolist(),
+                    [chunk] * len(key),
+                    own.own[line].tolist(),
+                    own.own_size[line].tolist(),
+                    own.sketch[line].view(np.int64).tolist(),
+                    (~owns).astype(np.int32).tolist(),
+                    strict=True,
+                )
 
         return send
 
@@ -430,7 +442,10 @@ def _judged(rounds: Rounds, edits: int, least: int):
         tables.append(table)
         rounds.ask(f"keys{level + 1}", keys(tables), _held, short=True)
     met = rounds.rows(sketches(tables), "key long, block long, chunk long, line int, size int, sketch long, other int")
-    possible = met.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(_possible(edits), "key long, block long, chunk long, line int, own int")
+    possible = met.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(
+        _possible(edits),
+        "key long, block long, chunk long, line int, own int",
+    )
     rounds.add(_by_chunk(possible, "possible", "key", "block", "line", "own"))
     told = rounds.rows(texts, "key long, block long, chunk long, line int, doc_id long, number int, size int, sketch long, own int, text string")
     near = told.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "number").mapInArrow(_confirmed(edits), "chunk long, line int").distinct()
@@ -504,5 +519,10 @@ def digest(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_byt
             for i, doc, (gone, text) in zip(own.texts.ids.tolist(), own.documents, rows, strict=True):
                 yield i, len(doc or ()), len(gone), text
 
-        done = stored(rounds.rows(report, "doc_id long, n_lines long, n_removed long, text string").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
+        done = stored(rounds.rows(report, "doc_id long, n_lines long, n_removed long, text string").select(
+            F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+            "n_lines",
+            "n_removed",
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        ))
     return done

@@ -99,10 +99,23 @@ def pack(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, buckets: int = BUCKET
     at = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("doc_id", "copy", "piece", "tokens")) - 1
     numbered = dealt.withColumn("at", at)
     number = F.floor(F.col("at") / F.col("size")).cast("int")
-    return numbered.select("doc_id", "copy", "piece", "tokens", "bucket", F.concat_ws(":", "bucket", "lane", number).alias("batch"), F.pmod("at", F.col("size")).cast("int").alias("slot"))
+    return numbered.select(
+        "doc_id",
+        "copy",
+        "piece",
+        "tokens",
+        "bucket",
+        F.concat_ws(":", "bucket", "lane", number).alias("batch"),
+        F.pmod("at", F.col("size")).cast("int").alias("slot"),
+    )
 
 
 def summary(packed: DataFrame) -> DataFrame:
     """One row per bucket: pieces, batches, tokens, padding and the share of padding."""
-    got = packed.groupBy("bucket").agg(F.count("*").alias("pieces"), F.count_distinct("batch").alias("batches"), F.sum("tokens").alias("tokens"), F.sum(F.col("bucket") - F.col("tokens")).alias("padding"))
+    got = packed.groupBy("bucket").agg(
+        F.count("*").alias("pieces"),
+        F.count_distinct("batch").alias("batches"),
+        F.sum("tokens").alias("tokens"),
+        F.sum(F.col("bucket") - F.col("tokens")).alias("padding"),
+    )
     return got.withColumn("padding_share", F.col("padding") / (F.col("tokens") + F.col("padding")))

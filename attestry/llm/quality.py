@@ -206,23 +206,42 @@ class Model:
             self.node = self.node + rate * (x.T @ (y - p) / nodes - 1e-4 * self.node)
             self.step = self.step + rate * ((seen - _pairs(unary, self.step)) / nodes - 1e-4 * self.step)
         good = marginals([s[0] @ self.node for s in sequences], self.step)
-        self.link = _logistic(np.array([self.parts(p, s[1]) for p, s in zip(good, sequences, strict=True)]), labels.astype(float), np.ones(len(labels)), ridge=0.1)
+        self.link = _logistic(
+            np.array([self.parts(p, s[1]) for p, s in zip(good, sequences, strict=True)]),
+            labels.astype(float),
+            np.ones(len(labels)),
+            ridge=0.1,
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """Learn from the texts of ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; rows without a label are left out."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    marks = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("quality").cast("int").alias("y"),
+    ).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     n = marks.count()
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # about `sample` rows
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).join(F.broadcast(chosen), "doc_id")  # about `sample` rows
     text = F.coalesce("text", F.lit(""))
     texts = texts.filter((F.octet_length(text) <= LEARN_BYTES) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < LEARN_LINES))
 
     def work(piece: pa.RecordBatch) -> dict:
         made = [sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()]
-        return {"doc_id": piece.column("doc_id"), "y": piece.column("y"), "x": [x.astype("<f4").tobytes() for x, _ in made], "size": [s.tolist() for _, s in made]}
-
-    got = sorted(map_steps(texts, "text", "doc_id long, y int, x binary, size array<double>", work).collect(), key=lambda r: (r["doc_id"], r["x"]))  # a bounded sample
+        return {
+            "doc_id": piece.column("doc_id"),
+            "y": piece.column("y"),
+            "x": [x.astype("<f4").tobytes() for x, _ in made],
+            "size": [s.tolist() for _, s in made],
+        }
+
+    got = sorted(
+        map_steps(texts, "text", "doc_id long, y int, x binary, size array<double>", work).collect(),
+        key=lambda r: (r["doc_id"], r["x"]),
+    )  # a bounded sample
     model = Model()
     model.learn([(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), np.array(r["size"])) for r in got], np.array([r["y"] for r in got], int))
     return model

@@ -55,7 +55,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(5, 0)
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~out))
-    return toxicity.score(docs, scorer).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("clauses").cast("long").alias("n_clauses"))
+    return toxicity.score(docs, scorer).select(
+        "doc_id",
+        out.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("clauses").cast("long").alias("n_clauses"),
+    )
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

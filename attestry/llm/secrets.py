@@ -165,7 +165,12 @@ def find_secrets(docs: DataFrame, *, fdr: float = FDR) -> DataFrame:
             out.append([{"kind": KINDS[k], "start": a, "end": b, "text": text[a:b]} for a, k, b in sorted(base + random_spans(text, base, fdr))])
         return {"doc_id": piece.column("doc_id"), "secrets": out}
 
-    return map_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "doc_id long, secrets array<struct<kind: string, start: long, end: long, text: string>>", work)
+    return map_steps(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+        "text",
+        "doc_id long, secrets array<struct<kind: string, start: long, end: long, text: string>>",
+        work,
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -173,4 +178,12 @@ def digest(found: DataFrame) -> DataFrame:
     of = lambda *kinds: F.filter("secrets", lambda x: x["kind"].isin(*kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda kind: F.size(of(kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(of(*KINDS[:3])), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), n("random"))
+    return found.select(
+        "doc_id",
+        n("assign"),
+        n("access"),
+        n("hex"),
+        F.sha2(joined(of(*KINDS[:3])), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        n("random"),
+    )

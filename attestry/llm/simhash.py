@@ -48,7 +48,10 @@ def fingerprint(text: bytes) -> int:
     n = len(words) - k + 1
     hashed = xxhash.xxh64_intdigest
     return majority(
-        np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + _CHUNK)].tolist(), ends[at + k - 1 : min(n, at + _CHUNK) + k - 1].tolist(), strict=True)], "<u8")
+        np.array(
+            [hashed(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + _CHUNK)].tolist(), ends[at + k - 1 : min(n, at + _CHUNK) + k - 1].tolist(), strict=True)],
+            "<u8",
+        )
         for at in range(0, n, _CHUNK)
     )
 
@@ -69,7 +72,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         values = np.array([fingerprint(x) for x in utf8(piece.column("text"))], "<u8")
         return {"doc_id": piece.column("doc_id"), "fp": values.view("<i8")}
 
-    return map_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "doc_id long, fp long", work)
+    return map_steps(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+        "text",
+        "doc_id long, fp long",
+        work,
+    )
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:

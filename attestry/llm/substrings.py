@@ -225,7 +225,11 @@ class Search:
             distinct = Names(names, buckets)
             shared, rank = distinct.answered(answers.get("tuples", {}), "<u4")
             keep = shared | distinct.many
-            name = np.where(shared, distinct.bucket().astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64), _LOCAL | np.arange(len(rank)).astype(np.uint64))[keep]
+            name = np.where(
+                shared,
+                distinct.bucket().astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64),
+                _LOCAL | np.arange(len(rank)).astype(np.uint64),
+            )[keep]
             at = _members(names, distinct.name[keep])
             on = np.flatnonzero(at >= 0)
             return c.ids, c.sizes, places[on].astype("<u4"), name[at[on]]
@@ -344,7 +348,10 @@ class Search:
                 kept = c.data[b:e][~gone[b:e]] if spans else c.data[b:e]
                 yield int(c.ids[i]), e - b, e - b - len(kept), [{"start": x - b, "end": y - b} for x, y in spans], hashlib.sha256(kept.tobytes()).hexdigest(), doubts if i == 0 else []
 
-        return self.rounds.rows(work, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, doubts array<binary>")
+        return self.rounds.rows(
+            work,
+            "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, doubts array<binary>",
+        )
 
     def _by_strings(self, doubts: DataFrame, n: int) -> None:
         """The earliest places of strings in doubt, by the strings themselves; each pass looks for a bounded part of them."""
@@ -365,12 +372,22 @@ class Search:
 
             found = r.rows(look, "string binary, id long, chunk long, number int, at long")
             first = found.groupBy("string").agg(F.min(F.struct("id", "chunk", "number", "at")).alias("first"))
-            told = r.stored(found.select("chunk", "string").join(first, "string").select("chunk", "string", F.col("first.id").alias("id"), F.col("first.chunk").alias("source"), F.col("first.number").alias("number"), F.col("first.at").alias("at")))
+            told = r.stored(found.select("chunk", "string").join(first, "string").select(
+                "chunk",
+                "string",
+                F.col("first.id").alias("id"),
+                F.col("first.chunk").alias("source"),
+                F.col("first.number").alias("number"),
+                F.col("first.at").alias("at"),
+            ))
             earliest = told if earliest is None else earliest.unionByName(told)
 
         def answer(own: pd.DataFrame) -> pd.DataFrame:
             columns = [own[c].to_numpy(kind) for c, kind in (("id", "<i8"), ("source", "<i8"), ("number", "<i8"), ("at", "<i8"))]
-            return pd.DataFrame([(own["chunk"].iloc[0], 0, "exact", packed(np.frombuffer(b"".join(own["string"]), np.uint8), *columns))], columns=["chunk", "bucket", "kind", "payload"])
+            return pd.DataFrame(
+                [(own["chunk"].iloc[0], 0, "exact", packed(np.frombuffer(b"".join(own["string"]), np.uint8), *columns))],
+                columns=["chunk", "bucket", "kind", "payload"],
+            )
 
         r.add(earliest.groupBy("chunk").applyInPandas(answer, r.ANSWER))
 

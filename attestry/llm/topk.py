@@ -163,7 +163,10 @@ def integral(vectors: DataFrame, *, scale: int = SCALE) -> DataFrame:
     """``vec_id, v`` (longs) of the rows that take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter("vec_id is not null and size(embedding) > 0").filter(F.coalesce(ok, F.lit(False)))
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding"),
+    ).filter("vec_id is not null and size(embedding) > 0").filter(F.coalesce(ok, F.lit(False)))
     return rows.select("vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
 
 
@@ -185,7 +188,10 @@ def _in_cells(rows: DataFrame, splits: Splits) -> DataFrame:
             cell = np.zeros(batch.num_rows, np.int64)
             for own, points in _matrices(batch.column("v")):
                 cell[own] = held.value.cells(points)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(np.diff(batch.column("v").offsets.to_numpy()).astype(np.int64)), pa.array(cell)], names=["vec_id", "v", "size", "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("v"), pa.array(np.diff(batch.column("v").offsets.to_numpy()).astype(np.int64)), pa.array(cell)],
+                names=["vec_id", "v", "size", "cell"],
+            )
 
     return rows.mapInArrow(run, "vec_id long, v array<long>, size long, cell long")
 
@@ -207,11 +213,23 @@ def _boxes(rows: DataFrame) -> DataFrame:
                     old = held.get(key)
                     held[key] = [count[i], lo[i], hi[i]] if old is None else [old[0] + count[i], np.minimum(old[1], lo[i]), np.maximum(old[2], hi[i])]
         if held:
-            columns = [[k[0] for k in held], [k[1] for k in held], [int(x[0]) for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["size", "cell", "n", "lo", "hi"])
+            columns = [
+                [k[0] for k in held],
+                [k[1] for k in held],
+                [int(x[0]) for x in held.values()],
+                [x[1] for x in held.values()],
+                [x[2] for x in held.values()],
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
+                names=["size", "cell", "n", "lo", "hi"],
+            )
 
     def whole(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(own["size"].iloc[0], own["cell"].iloc[0], own["n"].sum(), np.stack(own["lo"]).min(axis=0), np.stack(own["hi"]).max(axis=0))], columns=["size", "cell", "n", "lo", "hi"])
+        return pd.DataFrame(
+            [(own["size"].iloc[0], own["cell"].iloc[0], own["n"].sum(), np.stack(own["lo"]).min(axis=0), np.stack(own["hi"]).max(axis=0))],
+            columns=["size", "cell", "n", "lo", "hi"],
+        )
 
     return rows.mapInArrow(partial, shape).groupBy("size", "cell").applyInPandas(whole, shape)
 
@@ -230,14 +248,26 @@ class Cells:
         self.of: dict[int, tuple[np.ndarray, ...]] = {}
         for size in sorted({r["size"] for r in rows}):
             own = sorted((r for r in rows if r["size"] == size), key=lambda r: r["cell"])
-            self.of[size] = (np.array([r["cell"] for r in own]), np.array([-(-r["n"] // shard_rows) for r in own]), np.array([r["lo"] for r in own]), np.array([r["hi"] for r in own]))
+            self.of[size] = (
+                np.array([r["cell"] for r in own]),
+                np.array([-(-r["n"] // shard_rows) for r in own]),
+                np.array([r["lo"] for r in own]),
+                np.array([r["hi"] for r in own]),
+            )
 
 
 def _visits(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
     """``size, cell, part, query_id, v, cut`` of the shards that each query visits: first one of the most promising cell, then
     all others of the cells whose bound reaches the cut."""
     held = queries.sparkSession.sparkContext.broadcast(cells)
-    shape = pa.schema([("size", pa.int64()), ("cell", pa.int64()), ("part", pa.int64()), ("query_id", pa.int64()), ("v", pa.list_(pa.int64())), ("cut", pa.int64())])
+    shape = pa.schema([
+        ("size", pa.int64()),
+        ("cell", pa.int64()),
+        ("part", pa.int64()),
+        ("query_id", pa.int64()),
+        ("v", pa.list_(pa.int64())),
+        ("cut", pa.int64()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
@@ -261,7 +291,15 @@ def _visits(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
                         on = (where != home[row]) | (which != part[row])
                         row, where, which = row[on], where[on], which[on]
                     take = pa.array(own[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), points.shape[1])), pa.array(cell[where]), pa.array(which), *[batch.column(c).take(take) for c in ("query_id", "v", "cut")]], schema=shape)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(row), points.shape[1])),
+                            pa.array(cell[where]),
+                            pa.array(which),
+                            *[batch.column(c).take(take) for c in ("query_id", "v", "cut")],
+                        ],
+                        schema=shape,
+                    )
 
     return queries.mapInArrow(run, "size long, cell long, part long, query_id long, v array<long>, cut long")
 
@@ -279,7 +317,13 @@ def _searched(k: int):
             key = list(zip(*[batch.column(c).to_pylist() for c in ("size", "cell", "part", "block")], strict=True))
             out: list[tuple] = []
             vectors = batch.column("v")
-            for i, (own, asks, who, cut) in enumerate(zip(key, batch.column("asks").to_pylist(), batch.column("id").to_pylist(), batch.column("cut").to_pylist(), strict=True)):
+            for i, (own, asks, who, cut) in enumerate(zip(
+                key,
+                batch.column("asks").to_pylist(),
+                batch.column("id").to_pylist(),
+                batch.column("cut").to_pylist(),
+                strict=True,
+            )):
                 if own != shard:
                     shard, tree, ids, points = own, None, [], []
                 vector = vectors[i].values.to_numpy()
@@ -310,7 +354,10 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE, shard
     sample = [np.array(r["v"]) for r in rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("v").collect()]  # about SAMPLE rows
     base = stored(_in_cells(rows, Splits(sample, min(CELLS, -(-n // shard_rows)))))
     cells = Cells(_boxes(base).collect(), shard_rows)  # CELLS rows, and one for each number of components that the sample lacks
-    parts = rows.sparkSession.createDataFrame([(size, int(c), int(p)) for size, own in cells.of.items() for c, p in zip(own[0], own[1], strict=True)], "size long, cell long, parts long")
+    parts = rows.sparkSession.createDataFrame(
+        [(size, int(c), int(p)) for size, own in cells.of.items() for c, p in zip(own[0], own[1], strict=True)],
+        "size long, cell long, parts long",
+    )
     base = base.join(F.broadcast(parts), ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).drop("parts")
     # rows that are alike are one query, answered as often as there are rows
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.count("*").alias("times"))
@@ -333,4 +380,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE, shard
     rest = visit(_visits(queries.drop("times").join(cuts, ["query_id", "v"], "left").select("query_id", "v", "cut"), cells, first=False))
     order = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
     best = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.join(queries, ["query_id", "v"]).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
+    return best.join(queries, ["query_id", "v"]).withColumn(
+        "time",
+        F.explode(F.sequence(F.lit(1).cast("long"), "times")),
+    ).select("query_id", "rank", "vec_id", "score")

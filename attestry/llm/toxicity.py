@@ -187,7 +187,10 @@ def _least_shingle(text: str | None) -> int:
 
 
 def _marks(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    return labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("toxic").cast("int").alias("y"),
+    ).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int = LEAST) -> Scorer:
@@ -195,7 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int
     marks = _marks(labels)
     n = marks.count()
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")  # about `sample` rows
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).join(F.broadcast(chosen), "doc_id").select("text", "y")  # about `sample` rows
 
     def copies(piece: pa.RecordBatch) -> dict:
         return {"text": piece.column("text"), "y": piece.column("y"), "key": [_least_shingle(x) for x in piece.column("text").to_pylist()]}
@@ -218,7 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int
         base = totals[1] / (totals[0] + totals[1])
         share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
         evidence = F.col("toxic") * F.log(share / base) + F.col("clean") * F.log((1 - share) / (1 - base))
-        found = map_steps(texts, "text", "stem string, clean long, toxic long", prefixes).groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) & (odds >= LEAST_LOG_ODDS) & (evidence >= LEAST_EVIDENCE) & (F.col("clean") * 10 <= F.col("toxic")))
+        found = map_steps(
+            texts,
+            "text",
+            "stem string, clean long, toxic long",
+            prefixes,
+        ).groupBy("stem").agg(
+            F.sum("clean").alias("clean"),
+            F.sum("toxic").alias("toxic"),
+        ).filter((F.col("toxic") >= least) & (odds >= LEAST_LOG_ODDS) & (evidence >= LEAST_EVIDENCE) & (F.col("clean") * 10 <= F.col("toxic")))
         kept: set[str] = set()
         for r in sorted(found.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
             if not any(r["stem"][:k] in kept for k in PREFIXES):
@@ -250,7 +264,11 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def work(piece: pa.RecordBatch) -> dict:
         clauses = [held.value.clauses(x or "") for x in piece.column("text").to_pylist()]
-        return {"doc_id": piece.column("doc_id"), "score": [held.value.score(x) for x in clauses], "clauses": [[{"start": a, "end": b, "weight": w} for a, b, w in x] for x in clauses]}
+        return {
+            "doc_id": piece.column("doc_id"),
+            "score": [held.value.score(x) for x in clauses],
+            "clauses": [[{"start": a, "end": b, "weight": w} for a, b, w in x] for x in clauses],
+        }
 
     shape = T.StructType.fromDDL("doc_id long, score double, clauses array<struct<start: int, end: int, weight: double>>")
     return map_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", shape, work)

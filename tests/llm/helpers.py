@@ -5,7 +5,20 @@ from unittest import mock
 
 from pyspark import cloudpickle
 
-NASTY = [None, "", " ", "\n", "\n\n", "a", "Ünï cödé", "\x00\x01 x", "🙂 " * 30, "word " * 40, "x" * 5000, "line one that is long enough\nline one that is long enough\nline one that is long enougt"]
+NASTY = [
+    None,
+    "",
+    " ",
+    "\n",
+    "\n\n",
+    "a",
+    "Ünï cödé",
+    "\x00\x01 x",
+    "🙂 " * 30,
+    "word " * 40,
+    "x" * 5000,
+    "line one that is long enough\nline one that is long enough\nline one that is long enougt",
+]
 
 
 def documents(spark, texts, *, ids=None, extra=True):

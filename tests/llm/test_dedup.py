@@ -50,7 +50,18 @@ def test_substrings(spark, monkeypatch):
     rng = random.Random(2)
     make = lambda n: "".join(rng.choice("ab cé") for _ in range(n))
     common = make(400)
-    texts = [*NASTY, *[make(rng.randint(0, 300)) for _ in range(12)], common, common, common[50:260], "q" + common[100:200] + "r", common[100:199], make(99), "z" * 400, "ab" * 90]
+    texts = [
+        *NASTY,
+        *[make(rng.randint(0, 300)) for _ in range(12)],
+        common,
+        common,
+        common[50:260],
+        "q" + common[100:200] + "r",
+        common[100:199],
+        make(99),
+        "z" * 400,
+        "ab" * 90,
+    ]
     for _ in range(12):
         a, n = rng.randint(0, 300), rng.randint(60, 300)
         texts.append(make(rng.randint(0, 50)) + common[a : a + n] + make(rng.randint(0, 50)) + common[a // 2 : a // 2 + 120])

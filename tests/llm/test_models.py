@@ -27,7 +27,17 @@ def topk_brute(rows, k, is_query):
 def test_topk(spark):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(120)] + [(i, [0.5] * 6) for i in range(120, 140)]
-    rows += [(200, None), (250, []), (300, [1.0, None]), (350, [float("nan")] * 6), (400, [float("inf")] * 6), (None, [1.0] * 6), (450, [1.0, 2.0]), (451, [2.0, 2.0]), (50, [rng.uniform(-1, 1) for _ in range(6)])]
+    rows += [
+        (200, None),
+        (250, []),
+        (300, [1.0, None]),
+        (350, [float("nan")] * 6),
+        (400, [float("inf")] * 6),
+        (None, [1.0] * 6),
+        (450, [1.0, 2.0]),
+        (451, [2.0, 2.0]),
+        (50, [rng.uniform(-1, 1) for _ in range(6)]),
+    ]
     rows += [(130, [0.5] * 6), (130, [0.25] * 6), (7, [5.0] * 6), (7, [1.0] * 6), (463, [2.0**40, 1.0]), (461, [2.0**40, 2.0]), (462, [0.0, 3.0])]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1)).withColumn("v", F.lit("x"))
@@ -196,7 +206,10 @@ def test_composition_equals_one_after_another():
     T = toxicity
     symbols = "oivlwgnrstqd$"
     stages = [T.Transducer(0, T._after(T.LINK, 4, {T.INSULT: T.STATED}), symbols), T.Transducer(0, T._after(T.INTEND, 3, {T.VIOLENT: T.THREAT}), symbols)]
-    stages += [T.Transducer(False, T._from(T.REPORT, dict.fromkeys(T.HARM, T.QUOTED)), symbols), T.Transducer(0, T._after(T.NEGATION, 3, dict.fromkeys(T.HARM, T.DENIED)), symbols)]
+    stages += [
+        T.Transducer(False, T._from(T.REPORT, dict.fromkeys(T.HARM, T.QUOTED)), symbols),
+        T.Transducer(0, T._after(T.NEGATION, 3, dict.fromkeys(T.HARM, T.DENIED)), symbols),
+    ]
     stages += [T.Transducer(False, T._from(T.TARGET, {T.INSULT: T.AIMED, T.STATED: T.AIMED, T.VIOLENT: T.VIOLENT_AIMED, T.THREAT: T.THREAT_AIMED}), symbols)]
     whole = toxicity.grammar()
     for _ in range(200):

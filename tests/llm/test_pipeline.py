@@ -130,7 +130,10 @@ def packing_brute(rows, pieces_seen):
     count = [sum(v == s for v in want.values()) for s in sizes]
     best = [0.0] + [math.inf] * len(sizes)
     for _ in range(packing.BUCKETS):
-        best = [0.0] + [min(best[j], *(best[i] + sum(c * (sizes[j - 1] - s) for s, c in zip(sizes[i:j], count[i:j], strict=True)) for i in range(j))) for j in range(1, len(sizes) + 1)]
+        best = [0.0] + [min(
+            best[j],
+            *(best[i] + sum(c * (sizes[j - 1] - s) for s, c in zip(sizes[i:j], count[i:j], strict=True)) for i in range(j)),
+        ) for j in range(1, len(sizes) + 1)]
     assert sum(r.bucket - r.tokens for r in pieces_seen) == best[-1]
 
 
