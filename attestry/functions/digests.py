@@ -64,7 +64,10 @@ def multiset_digest(df: DataFrame, schema: TableSchema, by: Sequence[str] = ())
     """Order-free identity of the rows: their count and the sums of four 32-bit lanes of each row's digest."""
     hashed = df.select(*by, F.sha2(row_line(schema), 256).alias("h"))
     lane = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return hashed.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.coalesce(lane(k), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"lane{k}") for k in range(4)])
+    return hashed.groupBy(*by).agg(
+        F.count("*").alias("n_rows"),
+        *[F.coalesce(lane(k), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"lane{k}") for k in range(4)],
+    )
 
 
 #: Lines of a block, and blocks of a group, in a table's digest.

@@ -18,7 +18,12 @@ def half_even_quotient(total: Column, count: Column) -> Column:
         return F.struct(x["t"].alias("t"), x["n"].alias("n"), (x["t"] % x["n"]).cast("decimal(20,0)").alias("r"))
 
     def quotient(x: Column) -> Column:
-        return F.struct(x["t"].alias("t"), x["n"].alias("n"), (F.abs(x["r"]) * 2).cast("decimal(21,0)").alias("twice"), ((x["t"] - x["r"]) / x["n"]).cast("decimal(38,0)").alias("q"))
+        return F.struct(
+            x["t"].alias("t"),
+            x["n"].alias("n"),
+            (F.abs(x["r"]) * 2).cast("decimal(21,0)").alias("twice"),
+            ((x["t"] - x["r"]) / x["n"]).cast("decimal(38,0)").alias("q"),
+        )
 
     def rounded(x: Column) -> Column:
         away = (x["twice"] > x["n"]) | ((x["twice"] == x["n"]) & (F.abs(x["q"] % 2) == 1))
@@ -76,7 +81,10 @@ def numeric_cell(text: Column, scale: int) -> Column:
     exponent = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
     figures = F.concat(F.substring_index(mantissa, ".", 1), fraction)
     places = F.length(fraction)
-    ten = F.when(exponent == "", F.lit(0).cast("long")).when(F.length(exponent) > 12, F.when(exponent.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long")).otherwise(exponent.try_cast("long"))
+    ten = F.when(exponent == "", F.lit(0).cast("long")).when(
+        F.length(exponent) > 12,
+        F.when(exponent.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long"),
+    ).otherwise(exponent.try_cast("long"))
     significant = F.ltrim(figures, F.lit("0"))
     trailing = F.length(figures) - F.length(F.rtrim(figures, F.lit("0")))
     kind = f"decimal(38,{scale})"

@@ -45,7 +45,10 @@ def fences(c: Column) -> Column:
     """``array<struct<info, body>>`` of a text's fenced blocks."""
     pattern = F.lit(OPEN_FENCE)
     infos, bodies = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    return F.transform(F.arrays_zip(infos.alias("info"), bodies.alias("body")), lambda x: F.struct(F.lower(F.trim(x["info"])).alias("info"), x["body"].alias("body")))
+    return F.transform(
+        F.arrays_zip(infos.alias("info"), bodies.alias("body")),
+        lambda x: F.struct(F.lower(F.trim(x["info"])).alias("info"), x["body"].alias("body")),
+    )
 
 
 def _is_chart_json(c: Column) -> Column:

@@ -40,7 +40,15 @@ METHOD_OF = {c: m for m, cs in METHODS.items() for c in cs}
 BY_CONSTRUCTION = ("security.no_arbitrary_code", "transform.ops_allowed", "transform.filters_declared", "transform.aggregates_match_recomputation")
 SHAPE = "check string, method string, status string, severity string, message string"
 # The default ceilings, inclusive.
-LIMITS = {"file_bytes": 8 << 20, "manifest_bytes": 256 << 10, "manifest_columns": 1000, "source_rows": 100_000, "source_cells": 1_000_000, "plotted_cells": 1_000_000, "render_rows": 10_000}
+LIMITS = {
+    "file_bytes": 8 << 20,
+    "manifest_bytes": 256 << 10,
+    "manifest_columns": 1000,
+    "source_rows": 100_000,
+    "source_cells": 1_000_000,
+    "plotted_cells": 1_000_000,
+    "render_rows": 10_000,
+}
 
 
 def result(check: str, status: str, message: str) -> tuple:
@@ -56,7 +64,13 @@ def frame(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
 def counted(df: DataFrame, check: str, bad) -> DataFrame:
     """One result row of a check whose failures are the rows that meet ``bad``."""
     n = df.agg(F.count_if(bad).alias("n"))
-    return n.select(F.lit(check).alias("check"), F.lit(METHOD_OF[check]).alias("method"), F.when(F.col("n") > 0, "fail").otherwise("pass").alias("status"), F.when(F.col("n") > 0, "error").otherwise("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"))
+    return n.select(
+        F.lit(check).alias("check"),
+        F.lit(METHOD_OF[check]).alias("method"),
+        F.when(F.col("n") > 0, "fail").otherwise("pass").alias("status"),
+        F.when(F.col("n") > 0, "error").otherwise("info").alias("severity"),
+        F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"),
+    )
 
 
 def measured(df: DataFrame, check: str, value: Column, most: int) -> DataFrame:
@@ -64,7 +78,13 @@ def measured(df: DataFrame, check: str, value: Column, most: int) -> DataFrame:
     n = df.agg(F.coalesce(value.cast("long"), F.lit(0)).alias("n"))
     over = F.col("n") > most
     message = F.concat(F.col("n").cast("string"), F.lit(f", limit {most}"))
-    return n.select(F.lit(check).alias("check"), F.lit(METHOD_OF[check]).alias("method"), F.when(over, "fail").otherwise("pass").alias("status"), F.when(over, "error").otherwise("info").alias("severity"), message.alias("message"))
+    return n.select(
+        F.lit(check).alias("check"),
+        F.lit(METHOD_OF[check]).alias("method"),
+        F.when(over, "fail").otherwise("pass").alias("status"),
+        F.when(over, "error").otherwise("info").alias("severity"),
+        message.alias("message"),
+    )
 
 
 def ceilings(source: DataFrame, n_columns: int, plotted: DataFrame, limits: Mapping[str, int] = LIMITS) -> DataFrame:
@@ -73,8 +93,14 @@ def ceilings(source: DataFrame, n_columns: int, plotted: DataFrame, limits: Mapp
     of_source = source.agg(F.count("*").alias("n"))
     of_result = plotted.agg(F.count("*").alias("n"))
     n = F.max("n")
-    out = [measured(of_source, "resource.manifest_columns", F.max(F.lit(n_columns)), limits["manifest_columns"]), measured(of_source, "resource.source_rows", n, limits["source_rows"])]
-    out += [measured(of_source, "resource.source_cells", n * n_columns, limits["source_cells"]), measured(of_result, "resource.plotted_cells", n * width, limits["plotted_cells"])]
+    out = [
+        measured(of_source, "resource.manifest_columns", F.max(F.lit(n_columns)), limits["manifest_columns"]),
+        measured(of_source, "resource.source_rows", n, limits["source_rows"]),
+    ]
+    out += [
+        measured(of_source, "resource.source_cells", n * n_columns, limits["source_cells"]),
+        measured(of_result, "resource.plotted_cells", n * width, limits["plotted_cells"]),
+    ]
     return reduce(DataFrame.unionByName, [*out, measured(of_result, "resource.render_rows", n, limits["render_rows"])])
 
 
@@ -104,13 +130,22 @@ def formula_results(evaluated: DataFrame, y_limit: str = "1e26") -> DataFrame:
         "formula.sample_points_strictly_increasing": F.col("before").isNotNull() & (F.col("x") <= F.col("before")),
         "formula.values_defined": F.col("status") == "formula.values_defined",
         "formula.values_bounded": F.col("y").isNotNull() & (F.abs(F.col("y").cast("double")) > bound),
-        "render.float64_fidelity": (F.col("before").isNotNull() & (F.col("x").cast("double") <= F.col("before").cast("double"))) | ~F.coalesce(lossless("x") & F.coalesce(lossless("y"), F.lit(True)), F.lit(False)),
+        "render.float64_fidelity": (F.col("before").isNotNull() & (F.col("x").cast("double") <= F.col("before").cast("double"))) | ~F.coalesce(
+            lossless("x") & F.coalesce(lossless("y"), F.lit(True)),
+            F.lit(False),
+        ),
     }
     counts = rows.agg(*[F.count_if(bad).alias(check) for check, bad in tests.items()])
     long = counts.unpivot([], [F.col(f"`{c}`") for c in tests], "check", "n")
     methods = F.create_map(*[F.lit(x) for c in tests for x in (c, METHOD_OF[c])])
     failed = F.col("n") > 0
-    return long.select("check", methods[F.col("check")].alias("method"), F.when(failed, "fail").otherwise("pass").alias("status"), F.when(failed, "error").otherwise("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"))
+    return long.select(
+        "check",
+        methods[F.col("check")].alias("method"),
+        F.when(failed, "fail").otherwise("pass").alias("status"),
+        F.when(failed, "error").otherwise("info").alias("severity"),
+        F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"),
+    )
 
 
 def affirmations(spark: SparkSession) -> DataFrame:
@@ -130,4 +165,8 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
 def verdict(results: DataFrame, *by: str) -> DataFrame:
     """``verified`` where every result passes, with the first failing check."""
     failed = F.col("status") == "fail"
-    return results.groupBy(*by).agg((F.count_if(failed) == 0).alias("verified"), F.count_if(failed).alias("failed"), F.min_by("check", F.when(failed, F.struct("stage", "check"))).alias("first_failing"))
+    return results.groupBy(*by).agg(
+        (F.count_if(failed) == 0).alias("verified"),
+        F.count_if(failed).alias("failed"),
+        F.min_by("check", F.when(failed, F.struct("stage", "check"))).alias("first_failing"),
+    )

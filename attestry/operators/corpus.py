@@ -40,7 +40,12 @@ def _exact(doc: object, required: tuple[str, ...], optional: tuple[str, ...] = (
 def decode(raw: str) -> dict:
     """A spec, strictly: no unknown or repeated key, no float, no boolean, no null."""
     try:
-        doc = json.loads(raw, object_pairs_hook=_object, parse_float=lambda x: _refuse("floats are not allowed"), parse_constant=lambda x: _refuse("constants are not allowed"))
+        doc = json.loads(
+            raw,
+            object_pairs_hook=_object,
+            parse_float=lambda x: _refuse("floats are not allowed"),
+            parse_constant=lambda x: _refuse("constants are not allowed"),
+        )
     except (json.JSONDecodeError, RecursionError) as e:
         raise CheckError("spec.decode", "not JSON") from e
 
@@ -225,6 +230,9 @@ def titles(plotted: DataFrame, declared: DataFrame) -> DataFrame:
     ``unit_missing``, by a join to the manifests."""
     joined = plotted.join(declared, ["dataset", "source"], "left")
     base = F.coalesce("label", "source")
-    title = F.when(F.col("source").isNull(), "Count of records").when(F.col("unit").isNotNull(), F.concat(base, F.lit(" ("), F.col("unit"), F.lit(")"))).otherwise(base)
+    title = F.when(F.col("source").isNull(), "Count of records").when(
+        F.col("unit").isNotNull(),
+        F.concat(base, F.lit(" ("), F.col("unit"), F.lit(")")),
+    ).otherwise(base)
     missing = F.col("source").isNotNull() & (F.col("kind") == "numeric") & F.col("unit").isNull()
     return joined.select("spec_id", "dataset", "field", "source", title.alias("title"), missing.alias("unit_missing"))

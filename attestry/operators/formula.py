@@ -255,7 +255,10 @@ def admission(formulas: DataFrame, names: frozenset[str] = frozenset({"x"}), lim
 
     parsed = formulas.select("formula_id", "formula").mapInPandas(work, "formula_id long, grammar string, ast string")
     ends = lambda c: F.pmod(F.col(c) * F.pow(F.lit(10), F.col("x_scale")).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)")) != 0
-    domain = F.when(F.col("start") >= F.col("stop"), "formula.domain_ordered").when((F.col("samples") > limits["formula_samples"]) | (F.col("samples") < 2), "resource.formula_samples")
+    domain = F.when(F.col("start") >= F.col("stop"), "formula.domain_ordered").when(
+        (F.col("samples") > limits["formula_samples"]) | (F.col("samples") < 2),
+        "resource.formula_samples",
+    )
     late = F.when(ends("start") | ends("stop"), "formula.domain_bounded")
     j = formulas.join(parsed, "formula_id")
     return j.select("formula_id", F.coalesce(domain, "grammar", late).alias("check"), "ast")
@@ -263,7 +266,16 @@ def admission(formulas: DataFrame, names: frozenset[str] = frozenset({"x"}), lim
 
 def fingerprints(formulas: DataFrame, admitted: DataFrame) -> DataFrame:
     """``formula_id, fingerprint`` of admitted formulas: their canonical form with domain, scales and rounding."""
-    lines = [F.lit("grammar=1"), F.lit("rounding=half_even"), F.concat(F.lit("x_scale="), "x_scale"), F.concat(F.lit("y_scale="), "y_scale"), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("start="), F.col("start").cast("string")), F.concat(F.lit("stop="), F.col("stop").cast("string")), F.concat(F.lit("ast="), "ast")]
+    lines = [
+        F.lit("grammar=1"),
+        F.lit("rounding=half_even"),
+        F.concat(F.lit("x_scale="), "x_scale"),
+        F.concat(F.lit("y_scale="), "y_scale"),
+        F.concat(F.lit("samples="), "samples"),
+        F.concat(F.lit("start="), F.col("start").cast("string")),
+        F.concat(F.lit("stop="), F.col("stop").cast("string")),
+        F.concat(F.lit("ast="), "ast"),
+    ]
     good = admitted.filter("check is null").select("formula_id", "ast")
     return formulas.join(good, "formula_id").select("formula_id", tagged("formula", F.concat_ws("\n", *lines)).alias("fingerprint"))
 

@@ -27,7 +27,15 @@ SHAPES = {
     "attempt_references": "attempt_id string, role string, blob_digest string, blob_kind string",
     "attempts": "attempt_id string, envelope_digest string, envelope_kind string, keyid string, plot_id string, nonce string, occurred_at string, route string, http_status int, outcome string",
 }
-KEYS = {"blobs": ["digest", "kind"], "keys": ["keyid"], "plots": ["plot_id"], "specs": ["spec_id"], "plot_references": ["plot_id", "role"], "attempt_references": ["attempt_id", "role"], "attempts": ["attempt_id"]}
+KEYS = {
+    "blobs": ["digest", "kind"],
+    "keys": ["keyid"],
+    "plots": ["plot_id"],
+    "specs": ["spec_id"],
+    "plot_references": ["plot_id", "role"],
+    "attempt_references": ["attempt_id", "role"],
+    "attempts": ["attempt_id"],
+}
 #: (table, columns) -> (table, columns); a reference whose columns are null refers to nothing.
 FOREIGN = (
     ("keys", ("public_key_digest", "public_key_kind"), "blobs", ("digest", "kind")),
@@ -80,7 +88,12 @@ OUTCOME_ROLES = {
 def blobs_of(df: DataFrame, content: Column, kind: Column) -> DataFrame:
     """Content-addressed blobs, one per (digest, kind)."""
     raw = df.select(content.cast("binary").alias("content"), kind.alias("kind"))
-    return raw.select(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), "kind", F.octet_length("content").cast("long").alias("size"), "content").dropDuplicates(["digest", "kind"])
+    return raw.select(
+        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"),
+        "kind",
+        F.octet_length("content").cast("long").alias("size"),
+        "content",
+    ).dropDuplicates(["digest", "kind"])
 
 
 def with_blobs(refs: DataFrame, blobs: DataFrame, digest: str = "blob_digest", kind: str = "blob_kind") -> DataFrame:
@@ -109,14 +122,22 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
         refs = tables[table].select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)]).dropna()
         there = tables[target].select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]).distinct()
         lost = refs.join(there, [f"__{i}" for i in range(len(keys))], "left_anti")
-        out.append(lost.select(F.lit(f"{table}.{columns[0]}").alias("source"), F.lit(target).alias("target"), F.concat_ws("|", *[f"__{i}" for i in range(len(keys))]).alias("reference")))
+        out.append(lost.select(
+            F.lit(f"{table}.{columns[0]}").alias("source"),
+            F.lit(target).alias("target"),
+            F.concat_ws("|", *[f"__{i}" for i in range(len(keys))]).alias("reference"),
+        ))
     return reduce(DataFrame.unionByName, out)
 
 
 def blob_integrity(blobs: DataFrame) -> DataFrame:
     """``digest, kind, problem`` of blobs whose stored digest or size is not their content's."""
     digest = F.concat(F.lit("sha256:"), F.sha2("content", 256))
-    problems = F.array_compact(F.array(F.when(~F.col("digest").eqNullSafe(digest), "digest"), F.when(~F.col("size").eqNullSafe(F.octet_length("content").cast("long")), "size"), F.when(~F.coalesce(F.col("digest").rlike(ADDRESS), F.lit(False)), "address")))
+    problems = F.array_compact(F.array(
+        F.when(~F.col("digest").eqNullSafe(digest), "digest"),
+        F.when(~F.col("size").eqNullSafe(F.octet_length("content").cast("long")), "size"),
+        F.when(~F.coalesce(F.col("digest").rlike(ADDRESS), F.lit(False)), "address"),
+    ))
     return blobs.select("digest", "kind", F.explode(problems).alias("problem"))
 
 
@@ -174,7 +195,11 @@ def certificate_audit(certificates: DataFrame, blobs: DataFrame) -> DataFrame:
     Certificates are ``certificate_id, record, digests array<struct<field, digest>>``; the id is the record's address.
     """
     own = F.concat(F.lit("sha256:"), F.sha2("record", 256))
-    wrong_id = certificates.filter(~F.col("certificate_id").eqNullSafe(own)).select("certificate_id", F.lit("certificate_id").alias("field"), F.lit("address").alias("problem"))
+    wrong_id = certificates.filter(~F.col("certificate_id").eqNullSafe(own)).select(
+        "certificate_id",
+        F.lit("certificate_id").alias("field"),
+        F.lit("address").alias("problem"),
+    )
     wanted = certificates.select("certificate_id", F.explode("digests").alias("d")).select("certificate_id", "d.field", "d.digest")
     there = blobs.select(F.col("digest"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("actual")).dropDuplicates(["digest"])
     joined = wanted.join(there, "digest", "left")
@@ -206,7 +231,11 @@ def replay(archived: DataFrame, trusted: DataFrame, schemas: dict[str, TableSche
 
     again = corpus.admission(archived.select(F.col("id").alias("spec_id"), "raw"), schemas, hashes)
     made = corpus.verified_results(again, schemas, tables)
-    fresh = again.filter("check is null").join(made, "spec_id").select(F.col("spec_id").alias("id"), F.sha2("canonical", 256).alias("canonical_hash"), result_hash().alias("result_hash"))
+    fresh = again.filter("check is null").join(made, "spec_id").select(
+        F.col("spec_id").alias("id"),
+        F.sha2("canonical", 256).alias("canonical_hash"),
+        result_hash().alias("result_hash"),
+    )
     return replay_status(archived, fresh, trusted, ["canonical_hash", "result_hash"])
 
 
@@ -226,13 +255,23 @@ def version_drift(archived: DataFrame, current: dict[str, str], key: str) -> Dat
     """``key, field, archived, current`` for each version field that differs; versions are a map column."""
     now = F.create_map(*[F.lit(x) for kv in current.items() for x in kv])
     rows = archived.select(key, F.explode(F.array_union(F.map_keys("versions"), F.map_keys(now))).alias("field"), "versions", now.alias("now"))
-    return rows.select(key, "field", F.try_element_at("versions", F.col("field")).alias("archived"), F.try_element_at("now", F.col("field")).alias("current")).filter("not archived <=> current")
+    return rows.select(
+        key,
+        "field",
+        F.try_element_at("versions", F.col("field")).alias("archived"),
+        F.try_element_at("now", F.col("field")).alias("current"),
+    ).filter("not archived <=> current")
 
 
 def audit_documents(attempts: DataFrame, references: DataFrame, blobs: DataFrame, *, reveal: bool = False) -> DataFrame:
     """One document per attempt with its references in role order; contents only on request."""
     joined = with_blobs(references, blobs)
-    entry = F.struct("role", F.col("blob_digest").alias("digest"), "size", (safe_bytes(F.col("content")) if reveal else F.lit(None).cast("string")).alias("content"))
+    entry = F.struct(
+        "role",
+        F.col("blob_digest").alias("digest"),
+        "size",
+        (safe_bytes(F.col("content")) if reveal else F.lit(None).cast("string")).alias("content"),
+    )
     docs = joined.groupBy("attempt_id").agg(F.array_sort(F.collect_list(entry)).alias("artifacts"))
     return attempts.join(docs, "attempt_id", "left")
 

@@ -30,7 +30,10 @@ def positions(df: DataFrame, order: Sequence[Column], *, name: str = "pos", rows
     """
     if rows_at_most is not None:
         at = F.row_number().over(Window.orderBy(*order)).cast("long")
-        return df.withColumn(name, at).withColumn(name, F.when(F.col(name) <= rows_at_most, F.col(name)).otherwise(F.raise_error(F.lit(f"more than {rows_at_most} rows"))))
+        return df.withColumn(name, at).withColumn(
+            name,
+            F.when(F.col(name) <= rows_at_most, F.col(name)).otherwise(F.raise_error(F.lit(f"more than {rows_at_most} rows"))),
+        )
     from ..sources.store import stored
 
     ranked = stored(df.sort(*order).withColumn("__at", F.monotonically_increasing_id()))
@@ -60,7 +63,10 @@ def inversions(df: DataFrame, position: str, sort: Sequence[tuple[str, bool]], *
 
     inner = Window.partitionBy("__block").orderBy(position)
     rows = df.withColumn("__block", block)
-    inside = rows.withColumn("__bad", F.lag(F.lit(True)).over(inner).isNotNull() & worse(F.col, lambda n: F.lag(F.col(n)).over(inner))).filter("__bad").drop("__bad", "__block")
+    inside = rows.withColumn(
+        "__bad",
+        F.lag(F.lit(True)).over(inner).isNotNull() & worse(F.col, lambda n: F.lag(F.col(n)).over(inner)),
+    ).filter("__bad").drop("__bad", "__block")
     ends = rows.groupBy("__block").agg(F.min_by(F.struct(*df.columns), position).alias("first"), F.max_by(F.struct(*names), position).alias("last"))
     between = ends.withColumn("before", F.lag("last").over(Window.orderBy("__block"))).filter("before is not null")  # two rows of each block
     across = between.filter(worse(lambda n: F.col(f"first.{n}"), lambda n: F.col(f"before.{n}"))).select("first.*")
@@ -76,7 +82,10 @@ def category_domain(df: DataFrame, column: str, position: str) -> DataFrame:
 def domain_difference(shown: DataFrame, declared: DataFrame) -> DataFrame:
     """``value, side`` for values on one side only (``missing`` from or ``extra`` to the declared domain)."""
     a, b = shown.select("value").distinct().withColumn("s", F.lit(True)), declared.select("value").distinct().withColumn("d", F.lit(True))
-    return a.join(b, "value", "full_outer").filter("s is null or d is null").select("value", F.when(F.col("s").isNull(), "extra").otherwise("missing").alias("side"))
+    return a.join(b, "value", "full_outer").filter("s is null or d is null").select(
+        "value",
+        F.when(F.col("s").isNull(), "extra").otherwise("missing").alias("side"),
+    )
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -255,7 +255,10 @@ class Pipeline:
         if step[0] == "select":
             return TableSchema(tuple(schema.column(f) for f in step[1]))
         if step[0] == "aggregate":
-            return TableSchema((*(schema.column(k) for k in step[1]), *(Numeric(m.output, 0) if m.fn == "count" else replace(schema.column(m.field), name=m.output) for m in step[2])))
+            return TableSchema((
+                *(schema.column(k) for k in step[1]),
+                *(Numeric(m.output, 0) if m.fn == "count" else replace(schema.column(m.field), name=m.output) for m in step[2]),
+            ))
         return schema
 
     def positioned(self, df: DataFrame, *, rows_at_most: int | None = None) -> DataFrame:

@@ -39,8 +39,21 @@ def tallies(details: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(ok & c)
     counters = {b: count(F.col("bucket") == b) for b in BUCKETS} | {f: F.count_if(~ok & (F.col("bucket") == f)) for f in FAULTS} | {s: count(F.col("shape") == s) for s in SHAPES} | {k: count(F.col(k)) for k in ("json_object", "json_valid", "defenced_valid")}
     got = details.rollup("category").agg(F.grouping_id().alias("__g"), F.count_if(ok).alias("n"), *[v.alias(k) for k, v in counters.items()])
-    rates = {"json_object_rate": "json_object", "json_validity_rate": "json_valid", "schema_failure_rate": "schema", "semantic_failure_rate": "semantic", "policy_failure_rate": "policy", "verified_rate": "verified"}
-    return got.select(F.when(F.col("__g") == 1, "all").otherwise("category").alias("scope"), "category", "n", *counters, *[rate(F.col(c), F.col("n")).alias(r) for r, c in rates.items()])
+    rates = {
+        "json_object_rate": "json_object",
+        "json_validity_rate": "json_valid",
+        "schema_failure_rate": "schema",
+        "semantic_failure_rate": "semantic",
+        "policy_failure_rate": "policy",
+        "verified_rate": "verified",
+    }
+    return got.select(
+        F.when(F.col("__g") == 1, "all").otherwise("category").alias("scope"),
+        "category",
+        "n",
+        *counters,
+        *[rate(F.col(c), F.col("n")).alias(r) for r, c in rates.items()],
+    )
 
 
 def top_failing(results: DataFrame, n: int = 5) -> DataFrame:
@@ -61,10 +74,18 @@ def guard_last(messages: DataFrame, conversation: str = "conv_id", turn: str = "
     columns = messages.columns
     messages = messages.join(ends, conversation)
     blocked = (F.col("__last") == F.col(turn)) & (F.col(role) == "assistant") & (F.size(chart_signals(F.col(text))) > 0)
-    return messages.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn(text, F.when(F.col("blocked"), NOTICE).otherwise(F.col(text))).select(*columns, "blocked")
+    return messages.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn(
+        text,
+        F.when(F.col("blocked"), NOTICE).otherwise(F.col(text)),
+    ).select(*columns, "blocked")
 
 
 def guarantee(verdicts: DataFrame) -> DataFrame:
     """``corpus, n, false_accepts, false_rejects, errors`` of ``corpus, expected, verdict`` ('accept', 'reject', NULL for an error)."""
     got, want = F.col("verdict"), F.col("expected")
-    return verdicts.groupBy("corpus").agg(F.count("*").alias("n"), F.count_if((want == "reject") & (got == "accept")).alias("false_accepts"), F.count_if((want == "accept") & (got == "reject")).alias("false_rejects"), F.count_if(got.isNull()).alias("errors"))
+    return verdicts.groupBy("corpus").agg(
+        F.count("*").alias("n"),
+        F.count_if((want == "reject") & (got == "accept")).alias("false_accepts"),
+        F.count_if((want == "accept") & (got == "reject")).alias("false_rejects"),
+        F.count_if(got.isNull()).alias("errors"),
+    )

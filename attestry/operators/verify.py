@@ -26,7 +26,13 @@ from .pipeline import Channel, Pipeline
 
 def tools() -> dict[str, str]:
     """The versions that a result depends on."""
-    return {"attestry": __version__, "canonical_form": VERSION, "pyspark": pyspark.__version__, "python": platform.python_version(), "unicode": unicodedata.unidata_version}
+    return {
+        "attestry": __version__,
+        "canonical_form": VERSION,
+        "pyspark": pyspark.__version__,
+        "python": platform.python_version(),
+        "unicode": unicodedata.unidata_version,
+    }
 
 
 def manifest_hash(schema: TableSchema) -> Column:
@@ -119,7 +125,10 @@ def certified_formulas(formulas: DataFrame, limits: formula.Limits = formula.LIM
     digested = values.groupBy("formula_id").agg(
         F.count("*").alias("n_samples"),
         F.min(F.when(F.col("status") != "ok", F.col("status"))).alias("undefined"),
-        tagged("table", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "")).alias("table_hash"),
+        tagged(
+            "table",
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), ""),
+        ).alias("table_hash"),
     )
     passed = [c for c in checks.METHOD_OF if c.startswith("formula.")] + ["render.float64_fidelity"]
     listed = F.array(*[F.struct(F.lit(c).alias("id"), F.lit(checks.METHOD_OF[c]).alias("method"), F.lit("pass").alias("status")) for c in passed])
@@ -129,4 +138,9 @@ def certified_formulas(formulas: DataFrame, limits: formula.Limits = formula.LIM
     record = F.struct("formula_hash", "table_hash", "n_samples", listed.alias("checks"), _tools().alias("tools"))
     out = joined.select("formula_id", check.alias("check"), record.alias("r"))
     fine = F.col("check").isNull()
-    return out.select("formula_id", "check", F.when(fine, tagged("certificate", F.to_json("r"))).alias("certificate_id"), *[F.when(fine, F.col(f"r.{c}")).alias(c) for c in ("formula_hash", "table_hash", "n_samples", "checks", "tools")])
+    return out.select(
+        "formula_id",
+        "check",
+        F.when(fine, tagged("certificate", F.to_json("r"))).alias("certificate_id"),
+        *[F.when(fine, F.col(f"r.{c}")).alias(c) for c in ("formula_hash", "table_hash", "n_samples", "checks", "tools")],
+    )

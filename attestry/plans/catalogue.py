@@ -22,8 +22,24 @@ from ..types import Numeric, TableSchema, Temporal, Text
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-LINEITEM = TableSchema((Numeric("l_orderkey"), Numeric("l_quantity", 2, "units"), Numeric("l_extendedprice", 2, "USD", "Extended price"), Numeric("l_discount", 2), Numeric("l_tax", 2), Text("l_returnflag"), Text("l_linestatus"), Temporal("l_shipdate", "datetime")))
-ORDERS = TableSchema((Numeric("o_orderkey"), Numeric("o_custkey"), Text("o_orderstatus"), Numeric("o_totalprice", 2, "USD", "Total price"), Temporal("o_orderdate", "datetime"), Text("o_orderpriority")))
+LINEITEM = TableSchema((
+    Numeric("l_orderkey"),
+    Numeric("l_quantity", 2, "units"),
+    Numeric("l_extendedprice", 2, "USD", "Extended price"),
+    Numeric("l_discount", 2),
+    Numeric("l_tax", 2),
+    Text("l_returnflag"),
+    Text("l_linestatus"),
+    Temporal("l_shipdate", "datetime"),
+))
+ORDERS = TableSchema((
+    Numeric("o_orderkey"),
+    Numeric("o_custkey"),
+    Text("o_orderstatus"),
+    Numeric("o_totalprice", 2, "USD", "Total price"),
+    Temporal("o_orderdate", "datetime"),
+    Text("o_orderpriority"),
+))
 EVENTS = TableSchema((Numeric("event_id"), Temporal("ts", "datetime"), Numeric("user_id"), Text("event_type"), Numeric("value", 4)))
 
 
@@ -73,7 +89,11 @@ def _mean(total: str, n: str) -> str:
 
 
 # --- flagship ----------------------------------------------------------------------------------------------------
-FLAGSHIP = Pipeline(ORDERS).filter("o_orderstatus", "eq", "F").group_by("o_orderpriority").aggregate(("o_totalprice", "sum", "total"), ("o_totalprice", "mean", "mean_price"), ("o_totalprice", "count", "n")).sort(("total", "descending"))
+FLAGSHIP = Pipeline(ORDERS).filter("o_orderstatus", "eq", "F").group_by("o_orderpriority").aggregate(
+    ("o_totalprice", "sum", "total"),
+    ("o_totalprice", "mean", "mean_price"),
+    ("o_totalprice", "count", "n"),
+).sort(("total", "descending"))
 _FLAG = f"""SELECT o_orderpriority, sum(o_totalprice) AS total, {_mean("sum(o_totalprice)", "count(o_totalprice)")} AS mean_price, count(o_totalprice) AS n
     FROM ({_O}) WHERE o_orderstatus = 'F' GROUP BY o_orderpriority"""
 _LINE = """'["' || o_orderpriority || '",' || CAST(total AS VARCHAR) || ',' || CAST(mean_price AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']'"""
@@ -98,17 +118,92 @@ def _filter(name: str, schema: TableSchema, source, field: str, cmp: str, value,
     query(name, sql)(lambda spark, sf_dir: p.scanned(t(spark, sf_dir, raw)) if raw else p.to_df(source(spark, sf_dir)))
 
 
-_filter("filter_eq", ORDERS, orders, "o_orderstatus", "eq", "F", ("o_orderkey", "o_orderstatus"), "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
-_filter("filter_ne", ORDERS, orders, "o_orderpriority", "ne", "1-URGENT", ("o_orderkey", "o_orderpriority"), "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'")
-_filter("filter_lt", LINEITEM, lineitem, "l_quantity", "lt", "1e1", ("l_orderkey", "l_quantity"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_quantity FROM ({_L}) WHERE l_quantity < 10")
-_filter("filter_le", LINEITEM, lineitem, "l_discount", "le", "0.03", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_L}) WHERE l_discount <= 0.03")
-_filter("filter_gt", LINEITEM, lineitem, "l_extendedprice", "gt", 50000, ("l_orderkey", "l_extendedprice"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_extendedprice FROM ({_L}) WHERE l_extendedprice > 50000")
-_filter("filter_ge", EVENTS, events, "ts", "ge", "2024-01-15T00:00:00", ("event_id", "ts"), "SELECT CAST(event_id AS DECIMAL(38,0)) AS event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
-_filter("filter_null_drop", LINEITEM, lineitem_nulls, "l_discount", "ne", "0.05", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount <> 0.05")
-_filter("filter_literal_out_of_domain", LINEITEM, lineitem_nulls, "l_discount", "lt", "1e37", ("l_orderkey", "l_discount"), f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount IS NOT NULL")
-
-
-@query("filter_conjunction", f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_returnflag, l_quantity FROM ({_L}) WHERE l_returnflag = 'R' AND l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02")
+_filter(
+    "filter_eq",
+    ORDERS,
+    orders,
+    "o_orderstatus",
+    "eq",
+    "F",
+    ("o_orderkey", "o_orderstatus"),
+    "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
+)
+_filter(
+    "filter_ne",
+    ORDERS,
+    orders,
+    "o_orderpriority",
+    "ne",
+    "1-URGENT",
+    ("o_orderkey", "o_orderpriority"),
+    "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'",
+)
+_filter(
+    "filter_lt",
+    LINEITEM,
+    lineitem,
+    "l_quantity",
+    "lt",
+    "1e1",
+    ("l_orderkey", "l_quantity"),
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_quantity FROM ({_L}) WHERE l_quantity < 10",
+)
+_filter(
+    "filter_le",
+    LINEITEM,
+    lineitem,
+    "l_discount",
+    "le",
+    "0.03",
+    ("l_orderkey", "l_discount"),
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_L}) WHERE l_discount <= 0.03",
+)
+_filter(
+    "filter_gt",
+    LINEITEM,
+    lineitem,
+    "l_extendedprice",
+    "gt",
+    50000,
+    ("l_orderkey", "l_extendedprice"),
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_extendedprice FROM ({_L}) WHERE l_extendedprice > 50000",
+)
+_filter(
+    "filter_ge",
+    EVENTS,
+    events,
+    "ts",
+    "ge",
+    "2024-01-15T00:00:00",
+    ("event_id", "ts"),
+    "SELECT CAST(event_id AS DECIMAL(38,0)) AS event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'",
+)
+_filter(
+    "filter_null_drop",
+    LINEITEM,
+    lineitem_nulls,
+    "l_discount",
+    "ne",
+    "0.05",
+    ("l_orderkey", "l_discount"),
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount <> 0.05",
+)
+_filter(
+    "filter_literal_out_of_domain",
+    LINEITEM,
+    lineitem_nulls,
+    "l_discount",
+    "lt",
+    "1e37",
+    ("l_orderkey", "l_discount"),
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount FROM ({_LN}) WHERE l_discount IS NOT NULL",
+)
+
+
+@query(
+    "filter_conjunction",
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_returnflag, l_quantity FROM ({_L}) WHERE l_returnflag = 'R' AND l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02",
+)
 def filter_conjunction(spark, sf_dir):
     return Pipeline(LINEITEM).filter("l_returnflag", "eq", "R").filter("l_quantity", "ge", 10).filter("l_quantity", "lt", 20).filter("l_discount", "gt", "0.02").select("l_orderkey", "l_returnflag", "l_quantity").scanned(t(spark, sf_dir, "lineitem"))
 
@@ -120,37 +215,115 @@ def _grouped(name: str, schema, source, keys: tuple[str, ...], measures: tuple,
     query(name, sql)(lambda spark, sf_dir: p.to_df(source(spark, sf_dir)))
 
 
-_grouped("agg_sum", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "sum", "total"),), f"SELECT l_returnflag, sum(l_extendedprice) AS total FROM ({_L}) GROUP BY 1")
-_grouped("agg_count", LINEITEM, lineitem_nulls, ("l_linestatus",), (("l_discount", "count", "n"),), f"SELECT l_linestatus, CAST(count(l_discount) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1")
-_grouped("agg_min", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "min", "lowest"),), f"SELECT l_returnflag, min(l_extendedprice) AS lowest FROM ({_L}) GROUP BY 1")
-_grouped("agg_max", LINEITEM, lineitem, ("l_returnflag",), (("l_extendedprice", "max", "highest"),), f"SELECT l_returnflag, max(l_extendedprice) AS highest FROM ({_L}) GROUP BY 1")
-_grouped("agg_mean_half_even", LINEITEM, lineitem_nulls, ("l_linestatus",), (("l_extendedprice", "mean", "mean_price"), ("l_discount", "mean", "mean_discount")), f"SELECT l_linestatus, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS mean_price, {_mean('sum(l_discount)', 'count(l_discount)')} AS mean_discount FROM ({_LN}) GROUP BY 1")
-_grouped("agg_minmax_temporal", EVENTS, events, ("event_type",), (("ts", "min", "first_ts"), ("ts", "max", "last_ts")), "SELECT event_type, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
-_grouped("agg_null_group", LINEITEM, lineitem_nulls, ("l_returnflag",), (("l_quantity", "sum", "total"), ("l_quantity", "count", "n")), f"SELECT l_returnflag, sum(l_quantity) AS total, CAST(count(l_quantity) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1")
-_grouped("agg_whole_table", ORDERS, orders, (), (("o_totalprice", "sum", "total"), ("o_orderkey", "count", "n"), ("o_totalprice", "min", "lowest")), f"SELECT sum(o_totalprice) AS total, CAST(count(o_orderkey) AS DECIMAL(38,0)) AS n, min(o_totalprice) AS lowest FROM ({_O})")
-_grouped("agg_multi", LINEITEM, lineitem_nulls, ("l_returnflag", "l_linestatus"), (("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"), ("l_discount", "count", "discounted"), ("l_shipdate", "max", "last_ship")), f"SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS price, CAST(count(l_discount) AS DECIMAL(38,0)) AS discounted, max(l_shipdate) AS last_ship FROM ({_LN}) GROUP BY 1, 2")
+_grouped(
+    "agg_sum",
+    LINEITEM,
+    lineitem,
+    ("l_returnflag",),
+    (("l_extendedprice", "sum", "total"),),
+    f"SELECT l_returnflag, sum(l_extendedprice) AS total FROM ({_L}) GROUP BY 1",
+)
+_grouped(
+    "agg_count",
+    LINEITEM,
+    lineitem_nulls,
+    ("l_linestatus",),
+    (("l_discount", "count", "n"),),
+    f"SELECT l_linestatus, CAST(count(l_discount) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1",
+)
+_grouped(
+    "agg_min",
+    LINEITEM,
+    lineitem,
+    ("l_returnflag",),
+    (("l_extendedprice", "min", "lowest"),),
+    f"SELECT l_returnflag, min(l_extendedprice) AS lowest FROM ({_L}) GROUP BY 1",
+)
+_grouped(
+    "agg_max",
+    LINEITEM,
+    lineitem,
+    ("l_returnflag",),
+    (("l_extendedprice", "max", "highest"),),
+    f"SELECT l_returnflag, max(l_extendedprice) AS highest FROM ({_L}) GROUP BY 1",
+)
+_grouped(
+    "agg_mean_half_even",
+    LINEITEM,
+    lineitem_nulls,
+    ("l_linestatus",),
+    (("l_extendedprice", "mean", "mean_price"), ("l_discount", "mean", "mean_discount")),
+    f"SELECT l_linestatus, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS mean_price, {_mean('sum(l_discount)', 'count(l_discount)')} AS mean_discount FROM ({_LN}) GROUP BY 1",
+)
+_grouped(
+    "agg_minmax_temporal",
+    EVENTS,
+    events,
+    ("event_type",),
+    (("ts", "min", "first_ts"), ("ts", "max", "last_ts")),
+    "SELECT event_type, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1",
+)
+_grouped(
+    "agg_null_group",
+    LINEITEM,
+    lineitem_nulls,
+    ("l_returnflag",),
+    (("l_quantity", "sum", "total"), ("l_quantity", "count", "n")),
+    f"SELECT l_returnflag, sum(l_quantity) AS total, CAST(count(l_quantity) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1",
+)
+_grouped(
+    "agg_whole_table",
+    ORDERS,
+    orders,
+    (),
+    (("o_totalprice", "sum", "total"), ("o_orderkey", "count", "n"), ("o_totalprice", "min", "lowest")),
+    f"SELECT sum(o_totalprice) AS total, CAST(count(o_orderkey) AS DECIMAL(38,0)) AS n, min(o_totalprice) AS lowest FROM ({_O})",
+)
+_grouped(
+    "agg_multi",
+    LINEITEM,
+    lineitem_nulls,
+    ("l_returnflag", "l_linestatus"),
+    (("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"), ("l_discount", "count", "discounted"), ("l_shipdate", "max", "last_ship")),
+    f"SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, {_mean('sum(l_extendedprice)', 'count(l_extendedprice)')} AS price, CAST(count(l_discount) AS DECIMAL(38,0)) AS discounted, max(l_shipdate) AS last_ship FROM ({_LN}) GROUP BY 1, 2",
+)
 
 CUSTOMER = TableSchema((Numeric("c_custkey"), Text("c_name"), Numeric("c_nationkey"), Numeric("c_acctbal", 2, "USD"), Text("c_mktsegment")))
 
 
 @query("agg_minmax_string", "SELECT c_mktsegment, min(c_name) AS first_name, max(c_name) AS last_name FROM customer GROUP BY 1")
 def agg_minmax_string(spark, sf_dir):
-    return Pipeline(CUSTOMER).group_by("c_mktsegment").aggregate(("c_name", "min", "first_name"), ("c_name", "max", "last_name")).to_df(CUSTOMER.typed(t(spark, sf_dir, "customer")))
+    return Pipeline(CUSTOMER).group_by("c_mktsegment").aggregate(
+        ("c_name", "min", "first_name"),
+        ("c_name", "max", "last_name"),
+    ).to_df(CUSTOMER.typed(t(spark, sf_dir, "customer")))
 
 
-@query("agg_all_null_group", f"SELECT l_linestatus, l_discount AS d, sum(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS total, CAST(count(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1, 2")
+@query(
+    "agg_all_null_group",
+    f"SELECT l_linestatus, l_discount AS d, sum(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS total, CAST(count(CASE WHEN l_discount IS NOT NULL THEN l_quantity END) AS DECIMAL(38,0)) AS n FROM ({_LN}) GROUP BY 1, 2",
+)
 def agg_all_null_group(spark, sf_dir):
-    df = lineitem_nulls(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_discount").isNotNull(), F.col("l_quantity"))).withColumn("d", F.col("l_discount"))
+    df = lineitem_nulls(spark, sf_dir).withColumn(
+        "l_quantity",
+        F.when(F.col("l_discount").isNotNull(), F.col("l_quantity")),
+    ).withColumn("d", F.col("l_discount"))
     schema = TableSchema((*LINEITEM.columns, Numeric("d", 2)))
     return Pipeline(schema).group_by("l_linestatus", "d").aggregate(("l_quantity", "sum", "total"), ("l_quantity", "count", "n")).to_df(df)
 
 
 @query("agg_empty_input", f"SELECT sum(o_totalprice) AS total, CAST(count(o_totalprice) AS DECIMAL(38,0)) AS n FROM ({_O}) WHERE o_totalprice < 0")
 def agg_empty_input(spark, sf_dir):
-    return Pipeline(ORDERS).filter("o_totalprice", "lt", 0).aggregate(("o_totalprice", "sum", "total"), ("o_totalprice", "count", "n")).to_df(orders(spark, sf_dir))
+    return Pipeline(ORDERS).filter("o_totalprice", "lt", 0).aggregate(
+        ("o_totalprice", "sum", "total"),
+        ("o_totalprice", "count", "n"),
+    ).to_df(orders(spark, sf_dir))
 
 
-@query("agg_chained", f"WITH a AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS qty FROM ({_L}) GROUP BY 1, 2) SELECT l_returnflag, max(qty) AS qty, CAST(count(l_orderkey) AS DECIMAL(38,0)) AS n_orders FROM a GROUP BY 1")
+@query(
+    "agg_chained",
+    f"WITH a AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS qty FROM ({_L}) GROUP BY 1, 2) SELECT l_returnflag, max(qty) AS qty, CAST(count(l_orderkey) AS DECIMAL(38,0)) AS n_orders FROM a GROUP BY 1",
+)
 def agg_chained(spark, sf_dir):
     return Pipeline(LINEITEM).group_by("l_orderkey", "l_returnflag").aggregate(("l_quantity", "sum", "qty")).group_by("l_returnflag").aggregate(("qty", "max", "qty"), ("l_orderkey", "count", "n_orders")).to_df(lineitem(spark, sf_dir))
 
@@ -161,7 +334,10 @@ _BY_STATUS = f"SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS total
 _STATUS_LINE = """'["' || o_orderstatus || '","' || o_orderpriority || '",' || CAST(total AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']'"""
 
 
-@query("canonical_position", f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount, row_number() OVER (ORDER BY l_discount DESC NULLS FIRST, l_orderkey NULLS LAST, l_returnflag NULLS LAST, l_shipdate NULLS LAST) AS pos, l_returnflag, l_shipdate FROM ({_LN})")
+@query(
+    "canonical_position",
+    f"SELECT CAST(l_orderkey AS DECIMAL(38,0)) AS l_orderkey, l_discount, row_number() OVER (ORDER BY l_discount DESC NULLS FIRST, l_orderkey NULLS LAST, l_returnflag NULLS LAST, l_shipdate NULLS LAST) AS pos, l_returnflag, l_shipdate FROM ({_LN})",
+)
 def canonical_position(spark, sf_dir):
     p = Pipeline(LINEITEM).select("l_orderkey", "l_discount", "l_returnflag", "l_shipdate").sort(("l_discount", "descending"))
     return p.positioned(lineitem_nulls(spark, sf_dir))
@@ -209,7 +385,10 @@ def table_digest_large(spark, sf_dir):
     return digests.table_digest(canonical.lines(p.positioned(orders(spark, sf_dir)), p.schema), p.schema)
 
 
-@query("result_parity", f"""WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 97 = 0) SELECT side, count(*) AS n FROM a, (SELECT unnest(['left', 'right']) AS side) GROUP BY 1""")
+@query(
+    "result_parity",
+    f"""WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 97 = 0) SELECT side, count(*) AS n FROM a, (SELECT unnest(['left', 'right']) AS side) GROUP BY 1""",
+)
 def result_parity(spark, sf_dir):
     """A result against itself, with the quantities of some orders changed on one side."""
     p = Pipeline(LINEITEM).group_by("l_orderkey").aggregate(("l_quantity", "sum", "qty"), ("l_extendedprice", "mean", "price"))
@@ -257,14 +436,24 @@ def numeric_coercion(spark, sf_dir):
     df = t(spark, sf_dir, "lineitem")
     price, qty, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 6
     cell = F.when(k == 0, price).when(k == 1, F.concat(F.lit(" "), qty, F.lit(" "))).when(k == 2, F.concat(price, F.lit("5"))).when(k == 3, "n/a").when(k == 4, F.concat(qty, F.lit("e40"))).otherwise("")
-    judged = df.select("l_orderkey", "l_linenumber", cell.alias("cell")).select("l_orderkey", "l_linenumber", exact.numeric_cell(F.col("cell"), 2).alias("judged"))
+    judged = df.select("l_orderkey", "l_linenumber", cell.alias("cell")).select(
+        "l_orderkey",
+        "l_linenumber",
+        exact.numeric_cell(F.col("cell"), 2).alias("judged"),
+    )
     return judged.select("l_orderkey", "l_linenumber", "judged.status", "judged.value")
 
 
-@query("temporal_coercion", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderkey % 5 = 0 END AS ok, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END AS value FROM orders""")
+@query(
+    "temporal_coercion",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderkey % 5 = 0 END AS ok, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END AS value FROM orders""",
+)
 def temporal_coercion(spark, sf_dir):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    cell = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyyMMdd")).when(k == 2, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00"))).when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit("-02-30"))).otherwise("")
+    cell = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyyMMdd")).when(
+        k == 2,
+        F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00")),
+    ).when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit("-02-30"))).otherwise("")
     return t(spark, sf_dir, "orders").select("o_orderkey", exact.temporal_ok(cell, "date").alias("ok"), exact.temporal_value(cell, "date").alias("value"))
 
 
@@ -272,7 +461,10 @@ def temporal_coercion(spark, sf_dir):
 def float64_fidelity(spark, sf_dir):
     """Every fifth order's prices are moved to where doubles have no hundredths."""
     price = F.col("l_extendedprice")
-    far = F.when(F.col("l_orderkey") % 5 == 0, F.lit("1000000000000000000.01").cast("decimal(38,2)") + F.floor(price).cast("decimal(15,0)")).otherwise(price).cast("decimal(38,2)")
+    far = F.when(
+        F.col("l_orderkey") % 5 == 0,
+        F.lit("1000000000000000000.01").cast("decimal(38,2)") + F.floor(price).cast("decimal(15,0)"),
+    ).otherwise(price).cast("decimal(38,2)")
     return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(far, 2)).alias("lost"))
 
 
@@ -281,10 +473,19 @@ def _details(spark, sf_dir):
     """Events as evaluated replies: the value's size gives the outcome, the user the reply."""
     e = t(spark, sf_dir, "events")
     k = F.col("event_id") % 11
-    reply = F.when(k == 0, '{"a": 1}').when(k == 1, F.concat(F.lit("Here:\n```json\n{\"id\": "), F.col("event_id").cast("string"), F.lit("}\n```"))).when(k == 2, "").when(k == 3, "[1, 2]").when(k == 4, "{broken").otherwise(F.concat(F.lit("no chart for "), F.col("event_type")))
+    reply = F.when(k == 0, '{"a": 1}').when(
+        k == 1,
+        F.concat(F.lit("Here:\n```json\n{\"id\": "), F.col("event_id").cast("string"), F.lit("}\n```")),
+    ).when(k == 2, "").when(k == 3, "[1, 2]").when(k == 4, "{broken").otherwise(F.concat(F.lit("no chart for "), F.col("event_type")))
     ok = F.col("event_id") % 7 != 0
-    bucket = F.when(~ok, F.when(F.col("event_id") % 2 == 0, "upstream_fault").otherwise("off_request")).when(k == 0, "verified").when(k < 5, "schema").when(k < 8, "semantic").otherwise("policy")
-    return replies.with_reply_facts(e.select("event_id", F.col("event_type").alias("category"), ok.alias("ok"), bucket.alias("bucket"), reply.alias("reply")), "reply")
+    bucket = F.when(
+        ~ok,
+        F.when(F.col("event_id") % 2 == 0, "upstream_fault").otherwise("off_request"),
+    ).when(k == 0, "verified").when(k < 5, "schema").when(k < 8, "semantic").otherwise("policy")
+    return replies.with_reply_facts(
+        e.select("event_id", F.col("event_type").alias("category"), ok.alias("ok"), bucket.alias("bucket"), reply.alias("reply")),
+        "reply",
+    )
 
 
 _DETAILS = """SELECT event_id, event_type AS category, event_id % 7 <> 0 AS ok, event_id % 11 AS k,
@@ -311,7 +512,11 @@ def reply_shape(spark, sf_dir):
 def top_failing_checks(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     name = F.concat(F.lit("check_"), ((F.col("event_id") * F.col("event_id") + F.col("user_id")) % 13).cast("string"))
-    return replies.top_failing(e.select(F.col("event_id").alias("position"), name.alias("check"), F.when(F.col("event_id") % 3 != 0, "fail").otherwise("pass").alias("status")))
+    return replies.top_failing(e.select(
+        F.col("event_id").alias("position"),
+        name.alias("check"),
+        F.when(F.col("event_id") % 3 != 0, "fail").otherwise("pass").alias("status"),
+    ))
 
 
 _PIN = "the proposed data set is not the pinned one"
@@ -328,13 +533,23 @@ def fault_buckets(spark, sf_dir):
     return e.join(F.broadcast(first)).select(replies.fault_bucket(status, detail, _PIN).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("verdict_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'verified' WHEN event_id % 9 = 0 THEN 'schema' WHEN event_id % 3 = 0 THEN 'policy' ELSE 'semantic' END AS bucket FROM events) GROUP BY 1""")
+@query(
+    "verdict_buckets",
+    """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'verified' WHEN event_id % 9 = 0 THEN 'schema' WHEN event_id % 3 = 0 THEN 'policy' ELSE 'semantic' END AS bucket FROM events) GROUP BY 1""",
+)
 def verdict_buckets(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     one = lambda check, method, status: F.struct(F.lit(check).alias("check"), F.lit(method).alias("method"), status.alias("status"))
     k = F.col("event_id")
-    results = F.array(one("label.quantitative_units_present", "deterministic_recompute", F.when(k % 3 == 0, "fail").otherwise("pass")), one("schema.fields_exist", "deterministic_recompute", F.when(k % 3 == 1, "fail").otherwise("pass")))
-    return e.select(replies.verdict_bucket(k % 4 == 0, F.when(k % 9 == 0, "decode").otherwise("verify"), results).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    results = F.array(
+        one("label.quantitative_units_present", "deterministic_recompute", F.when(k % 3 == 0, "fail").otherwise("pass")),
+        one("schema.fields_exist", "deterministic_recompute", F.when(k % 3 == 1, "fail").otherwise("pass")),
+    )
+    return e.select(replies.verdict_bucket(
+        k % 4 == 0,
+        F.when(k % 9 == 0, "decode").otherwise("verify"),
+        results,
+    ).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def _messages(spark, sf_dir, stream: bool = False):
@@ -353,7 +568,10 @@ def chart_signals(spark, sf_dir):
     return replies.with_chart_signals(_messages(spark, sf_dir), "text").select("conv_id", "turn", F.concat_ws(",", "signals").alias("signals"))
 
 
-@query("guard_last_message", f"SELECT conv_id, turn, role, role = 'assistant' AND turn = max(turn) OVER (PARTITION BY conv_id) AND {_SIGNALS} <> '' AS blocked FROM conversations")
+@query(
+    "guard_last_message",
+    f"SELECT conv_id, turn, role, role = 'assistant' AND turn = max(turn) OVER (PARTITION BY conv_id) AND {_SIGNALS} <> '' AS blocked FROM conversations",
+)
 def guard_last_message(spark, sf_dir):
     return replies.guard_last(_messages(spark, sf_dir)).select("conv_id", "turn", "role", "blocked")
 
@@ -368,7 +586,12 @@ def _blobs(spark, sf_dir):
 
 
 def _references(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"), F.col("source").alias("role"), _digest(F.col("text")).alias("blob_digest"), F.col("lang").alias("blob_kind"))
+    return t(spark, sf_dir, "documents").select(
+        F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"),
+        F.col("source").alias("role"),
+        _digest(F.col("text")).alias("blob_digest"),
+        F.col("lang").alias("blob_kind"),
+    )
 
 
 _BLOBS = "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents"
@@ -385,7 +608,10 @@ def ledger_blob_join(spark, sf_dir):
     return ledger.with_blobs(_references(spark, sf_dir), _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
 
 
-@query("ledger_new_blobs", "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
+@query(
+    "ledger_new_blobs",
+    "SELECT DISTINCT 'sha256:' || sha256(text) AS digest, lang AS kind FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
+)
 def ledger_new_blobs(spark, sf_dir):
     stored = ledger.blobs_of(t(spark, sf_dir, "documents").filter("lang = 'en'"), F.col("text"), F.col("lang"))
     return ledger.new_blobs(_blobs(spark, sf_dir), stored).select("digest", "kind")
@@ -396,7 +622,11 @@ def _tables(spark, sf_dir):
     o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
     plot = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
     keyid = F.concat(F.lit("k"), F.col("o_custkey").cast("string"))
-    attempts = o.select(F.col("o_orderkey").cast("string").alias("attempt_id"), keyid.alias("keyid"), F.when((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 9 == 0), plot).alias("plot_id"))
+    attempts = o.select(
+        F.col("o_orderkey").cast("string").alias("attempt_id"),
+        keyid.alias("keyid"),
+        F.when((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 9 == 0), plot).alias("plot_id"),
+    )
     plots = o.filter("o_orderstatus = 'F'").select(plot.alias("plot_id"), keyid.alias("keyid"))
     keys = c.filter("c_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("keyid"))
     return {"attempts": attempts, "plots": plots, "keys": keys}
@@ -422,7 +652,10 @@ def ledger_key_join(spark, sf_dir):
 
 @query("ledger_lowest_attempt", "SELECT 'c' || CAST(o_custkey AS VARCHAR) AS plot_id, min(CAST(o_orderkey AS VARCHAR)) AS attempt_id FROM orders GROUP BY 1")
 def ledger_lowest_attempt(spark, sf_dir):
-    return ledger.lowest_attempt(t(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("plot_id"), F.col("o_orderkey").cast("string").alias("attempt_id")))
+    return ledger.lowest_attempt(t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("plot_id"),
+        F.col("o_orderkey").cast("string").alias("attempt_id"),
+    ))
 
 
 @query("ledger_plot_bundle", f"""SELECT r.attempt_id, r.role, b.size FROM ({_REFS}) r JOIN (SELECT 'a' || CAST(doc_id AS VARCHAR) AS plot_id FROM labels WHERE quality = 1) p ON r.attempt_id = p.plot_id
@@ -433,20 +666,35 @@ def ledger_plot_bundle(spark, sf_dir):
     return ledger.with_blobs(refs, _blobs(spark, sf_dir)).select("attempt_id", "role", "size")
 
 
-@query("ledger_envelopes", "SELECT 'a' || CAST(doc_id // 8 AS VARCHAR) AS attempt_id, 'r' || CAST(doc_id % 8 AS VARCHAR) AS role, CAST(row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id % 8, doc_id) AS INTEGER) AS place, CAST(strlen(text) AS BIGINT) AS size FROM documents")
+@query(
+    "ledger_envelopes",
+    "SELECT 'a' || CAST(doc_id // 8 AS VARCHAR) AS attempt_id, 'r' || CAST(doc_id % 8 AS VARCHAR) AS role, CAST(row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id % 8, doc_id) AS INTEGER) AS place, CAST(strlen(text) AS BIGINT) AS size FROM documents",
+)
 def ledger_envelopes(spark, sf_dir):
     """Eight documents are the references of an attempt; they come in role order."""
-    refs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a"), F.floor(F.col("doc_id") / 8).cast("string")).alias("attempt_id"), F.concat(F.lit("r"), (F.col("doc_id") % 8).cast("string")).alias("role"), _digest(F.col("text")).alias("blob_digest"), F.col("lang").alias("blob_kind"))
+    refs = t(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit("a"), F.floor(F.col("doc_id") / 8).cast("string")).alias("attempt_id"),
+        F.concat(F.lit("r"), (F.col("doc_id") % 8).cast("string")).alias("role"),
+        _digest(F.col("text")).alias("blob_digest"),
+        F.col("lang").alias("blob_kind"),
+    )
     joined = ledger.with_blobs(refs, _blobs(spark, sf_dir))
     return joined.select("attempt_id", "role", F.row_number().over(Window.partitionBy("attempt_id").orderBy("role", "doc_id")).alias("place"), "size")
 
 
-@query("ledger_stats", f"SELECT 'blobs' AS \"table\", count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS logical_bytes FROM ({_BLOBS}) UNION ALL SELECT 'attempts', count(*), 0 FROM orders")
+@query(
+    "ledger_stats",
+    f"SELECT 'blobs' AS \"table\", count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS logical_bytes FROM ({_BLOBS}) UNION ALL SELECT 'attempts', count(*), 0 FROM orders",
+)
 def ledger_stats(spark, sf_dir):
     return ledger.stats({"blobs": _blobs(spark, sf_dir), "attempts": _tables(spark, sf_dir)["attempts"]})
 
 
-@query("ledger_collisions", "SELECT CAST(o_custkey AS VARCHAR) AS keyid FROM (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)) a WHERE o_orderstatus <> 'O'")
+@query(
+    "ledger_collisions",
+    "SELECT CAST(o_custkey AS VARCHAR) AS keyid FROM (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)) a WHERE o_orderstatus <> 'O'",
+)
 def ledger_collisions(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     first = o.groupBy("o_custkey").agg(F.min_by("o_orderstatus", "o_orderkey").alias("state"))
@@ -454,16 +702,28 @@ def ledger_collisions(spark, sf_dir):
     return ledger.collisions(batch, batch.withColumn("state", F.lit("O")), ["keyid"])
 
 
-@query("hash_drift", """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'only_left' ELSE 'differs' END AS state FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3""")
+@query(
+    "hash_drift",
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'only_left' ELSE 'differs' END AS state FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3""",
+)
 def hash_drift(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.sha2(F.concat("text", F.lit("!")), 256).alias("h2"))
     other = d.filter("doc_id % 10 <> 0").select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.col("h2")).otherwise(F.col("h")).alias("h"))
     return ledger.hash_drift(d.select("doc_id", "h"), other, "doc_id", "h")
 
 
-@query("running_quota", "SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 50000 AS within FROM documents")
+@query(
+    "running_quota",
+    "SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 50000 AS within FROM documents",
+)
 def running_quota(spark, sf_dir):
-    return ledger.running_quota(t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], "doc_id", "n_chars", 50_000).select("doc_id", "source", "total", "within")
+    return ledger.running_quota(
+        t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"),
+        ["source"],
+        "doc_id",
+        "n_chars",
+        50_000,
+    ).select("doc_id", "source", "total", "within")
 
 
 def _attempts(spark, sf_dir):
@@ -478,7 +738,16 @@ def _attempts(spark, sf_dir):
     plot = F.when((outcome == "verified") != (k % 23 == 0), F.concat(F.lit("p"), k.cast("string")))
     nonce = F.when(k % 29 == 0, "xyz").otherwise(F.md5(k.cast("string")))
     time = F.when(k % 31 == 0, "2024-02-30T00:00:00.000000Z").otherwise("2024-02-03T04:05:06.000007Z")
-    return t(spark, sf_dir, "events").select(k.cast("string").alias("attempt_id"), nonce.alias("nonce"), time.alias("occurred_at"), F.lit("propose_spec").alias("route"), status.cast("int").alias("http_status"), outcome.alias("outcome"), plot.alias("plot_id"), have.alias("roles"))
+    return t(spark, sf_dir, "events").select(
+        k.cast("string").alias("attempt_id"),
+        nonce.alias("nonce"),
+        time.alias("occurred_at"),
+        F.lit("propose_spec").alias("route"),
+        status.cast("int").alias("http_status"),
+        outcome.alias("outcome"),
+        plot.alias("plot_id"),
+        have.alias("roles"),
+    )
 
 
 @query("attempt_shape_violations", """SELECT CAST(event_id AS VARCHAR) AS attempt_id, 'status_matches_outcome' AS rule FROM events WHERE event_id % 17 = 0
@@ -498,9 +767,16 @@ def ledger_certificate_audit(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     record = F.concat(F.lit("record "), F.col("doc_id").cast("string"))
     own = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("sha256:"), F.lit("0" * 64))).otherwise(_digest(record))
-    certificates = d.select(own.alias("certificate_id"), record.alias("record"), F.array(F.struct(F.lit("data").alias("field"), _digest(F.col("text")).alias("digest"))).alias("digests"))
+    certificates = d.select(
+        own.alias("certificate_id"),
+        record.alias("record"),
+        F.array(F.struct(F.lit("data").alias("field"), _digest(F.col("text")).alias("digest"))).alias("digests"),
+    )
     damaged = F.min(F.col("doc_id") % 3 == 0)
-    blobs = d.groupBy(_digest(F.col("text")).alias("digest")).agg(damaged.alias("damaged"), F.first("text").alias("text")).select("digest", F.concat("text", F.when(F.col("damaged"), "!").otherwise("")).cast("binary").alias("content"))
+    blobs = d.groupBy(_digest(F.col("text")).alias("digest")).agg(damaged.alias("damaged"), F.first("text").alias("text")).select(
+        "digest",
+        F.concat("text", F.when(F.col("damaged"), "!").otherwise("")).cast("binary").alias("content"),
+    )
     return ledger.certificate_audit(certificates, blobs)
 
 
@@ -508,15 +784,32 @@ def ledger_certificate_audit(spark, sf_dir):
     CASE WHEN o_custkey % 10 <> 0 AND o_orderkey % 12 <> 5 AND o_orderkey % 14 <> 3 AND o_orderkey % 16 = 7 THEN 'table_hash' ELSE '' END AS drifted FROM orders""")
 def replay_status(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    base = o.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("keyid"), F.sha2(F.col("o_orderstatus"), 256).alias("spec_hash"), F.sha2(F.col("o_totalprice").cast("decimal(38,2)").cast("string"), 256).alias("table_hash"), (F.col("o_orderkey") % 12 != 5).alias("intact"))
-    fresh = base.filter("o_orderkey % 14 <> 3").select("id", "spec_hash", F.when(F.col("o_orderkey") % 16 == 7, F.sha2("table_hash", 256)).otherwise(F.col("table_hash")).alias("table_hash"))
+    base = o.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        "o_orderkey",
+        F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("keyid"),
+        F.sha2(F.col("o_orderstatus"), 256).alias("spec_hash"),
+        F.sha2(F.col("o_totalprice").cast("decimal(38,2)").cast("string"), 256).alias("table_hash"),
+        (F.col("o_orderkey") % 12 != 5).alias("intact"),
+    )
+    fresh = base.filter("o_orderkey % 14 <> 3").select(
+        "id",
+        "spec_hash",
+        F.when(F.col("o_orderkey") % 16 == 7, F.sha2("table_hash", 256)).otherwise(F.col("table_hash")).alias("table_hash"),
+    )
     trusted = t(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("keyid")).unionByName(o.filter("o_custkey % 10 <> 0").select(F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("keyid")))
     return ledger.replay_status(base.drop("o_orderkey"), fresh, trusted, ["spec_hash", "table_hash"])
 
 
-@query("version_drift", "SELECT c_custkey AS id, 'engine' AS field, CAST(c_nationkey % 5 AS VARCHAR) AS archived, '2' AS current FROM customer WHERE c_nationkey % 5 <> 2 UNION ALL SELECT c_custkey, 'form', NULL, '1' FROM customer")
+@query(
+    "version_drift",
+    "SELECT c_custkey AS id, 'engine' AS field, CAST(c_nationkey % 5 AS VARCHAR) AS archived, '2' AS current FROM customer WHERE c_nationkey % 5 <> 2 UNION ALL SELECT c_custkey, 'form', NULL, '1' FROM customer",
+)
 def version_drift(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("engine"), (F.col("c_nationkey") % 5).cast("string")).alias("versions"))
+    c = t(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.create_map(F.lit("engine"), (F.col("c_nationkey") % 5).cast("string")).alias("versions"),
+    )
     return ledger.version_drift(c, {"engine": "2", "form": "1"}, "id")
 
 
@@ -526,7 +819,15 @@ def audit_documents(spark, sf_dir):
     """Each attempt's references with their contents left out."""
     attempts = t(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("attempt_id"), F.col("lang").alias("outcome"))
     docs = ledger.audit_documents(attempts, _references(spark, sf_dir), _blobs(spark, sf_dir))
-    entry = lambda x: F.concat(x["role"], F.lit("|"), x["digest"], F.lit("|"), x["size"].cast("string"), F.lit("|"), F.coalesce(x["content"], F.lit("")))
+    entry = lambda x: F.concat(
+        x["role"],
+        F.lit("|"),
+        x["digest"],
+        F.lit("|"),
+        x["size"].cast("string"),
+        F.lit("|"),
+        F.coalesce(x["content"], F.lit("")),
+    )
     return docs.select("attempt_id", "outcome", F.array_join(F.transform("artifacts", entry), ";").alias("artifacts"))
 
 
@@ -545,7 +846,15 @@ def _formulas(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     text = F.concat((k % 7).cast("string"), F.lit("*x**2 - "), (k % 11).cast("string"), F.lit("*x + "), (k % 5).cast("string"))
-    return p.select(k.alias("formula_id"), text.alias("formula"), (k % 4 - 2).cast("decimal(18,6)").alias("start"), (k % 4 + 2).cast("decimal(18,6)").alias("stop"), F.lit(9).alias("samples"), F.lit(2).alias("x_scale"), F.lit(2).alias("y_scale"))
+    return p.select(
+        k.alias("formula_id"),
+        text.alias("formula"),
+        (k % 4 - 2).cast("decimal(18,6)").alias("start"),
+        (k % 4 + 2).cast("decimal(18,6)").alias("stop"),
+        F.lit(9).alias("samples"),
+        F.lit(2).alias("x_scale"),
+        F.lit(2).alias("y_scale"),
+    )
 
 
 _GRID = "SELECT p_partkey AS formula_id, p_partkey AS k, i, CAST(p_partkey % 4 - 2 AS DECIMAL(18,2)) + CAST(i AS DECIMAL(18,2)) * 0.5 AS x FROM part, (SELECT unnest(range(0, 9)) AS i)"
@@ -562,13 +871,24 @@ def formula_samples(spark, sf_dir):
 def sample_monotone(spark, sf_dir):
     """Every third part's grid is too fine for its scale, so that all its points fall together."""
     fs = _formulas(spark, sf_dir)
-    fine = fs.withColumn("x_scale", F.lit(0)).withColumn("stop", F.when(F.col("formula_id") % 3 == 0, F.col("start") + F.lit("0.1").cast("decimal(18,6)")).otherwise(F.col("start") + 8))
+    fine = fs.withColumn("x_scale", F.lit(0)).withColumn(
+        "stop",
+        F.when(F.col("formula_id") % 3 == 0, F.col("start") + F.lit("0.1").cast("decimal(18,6)")).otherwise(F.col("start") + 8),
+    )
     return formula.collisions(formula.grid(fine)).groupBy("formula_id").agg(F.count("*").alias("n"))
 
 
-@query("formula_column", "SELECT l_orderkey, l_linenumber, CAST(CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS VARCHAR) AS value, 'ok' AS status FROM lineitem")
+@query(
+    "formula_column",
+    "SELECT l_orderkey, l_linenumber, CAST(CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS VARCHAR) AS value, 'ok' AS status FROM lineitem",
+)
 def formula_column(spark, sf_dir):
-    df = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.col("l_discount").cast("decimal(4,2)").alias("d"))
+    df = t(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(15,2)").alias("p"),
+        F.col("l_discount").cast("decimal(4,2)").alias("d"),
+    )
     return formula.formula_column(df, "price*(1 - discount)", {"price": "p", "discount": "d"}, 4).drop("p", "d")
 
 
@@ -579,7 +899,10 @@ def _odd_formulas(spark, sf_dir):
     return fs.withColumn("formula", text).withColumn("stop", F.when(k == 5, F.col("start")).otherwise(F.col("stop")))
 
 
-@query("formula_admission", """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 0 THEN 'formula.names_allowed' WHEN 1 THEN 'formula.functions_allowed' WHEN 2 THEN 'formula.grammar_allowed' WHEN 3 THEN 'formula.grammar_allowed' WHEN 4 THEN 'formula.exponents_bounded' WHEN 5 THEN 'formula.domain_ordered' END AS "check" FROM part""")
+@query(
+    "formula_admission",
+    """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 0 THEN 'formula.names_allowed' WHEN 1 THEN 'formula.functions_allowed' WHEN 2 THEN 'formula.grammar_allowed' WHEN 3 THEN 'formula.grammar_allowed' WHEN 4 THEN 'formula.exponents_bounded' WHEN 5 THEN 'formula.domain_ordered' END AS "check" FROM part""",
+)
 def formula_admission(spark, sf_dir):
     return formula.admission(_odd_formulas(spark, sf_dir)).select("formula_id", "check")
 
@@ -607,15 +930,37 @@ def _specs(spark, sf_dir):
     name = F.when(k == 6, "nowhere.csv").otherwise("orders.csv")
     x = F.when(k == 7, '"o_orderpriority","type":"temporal"').otherwise('"o_orderpriority","type":"nominal"')
     extra = F.when(k == 8, ',"note":1').otherwise("")
-    raw = F.concat(F.lit('{"version":"1","dataset":{"name":"'), name, F.lit('","hash":"'), digest, F.lit('"},"transform":[{"op":"filter","field":"o_orderstatus","cmp":"eq","value":'), value, F.lit('},{"op":"group_by","keys":["o_orderpriority"]},{"op":"aggregate","measures":[{"field":'), fn, F.lit(',"as":"total"}]}],"mark":"bar","encoding":{"x":{"field":'), x, F.lit('},"y":{"field":"total","type":"quantitative"}}'), extra, F.lit("}"))
-    return c.select(F.col("c_custkey").cast("string").alias("spec_id"), F.col("c_mktsegment").alias("corpus"), raw.alias("raw"), F.when((k >= 2) & (k <= 8), "reject").otherwise("accept").alias("expected"))
+    raw = F.concat(
+        F.lit('{"version":"1","dataset":{"name":"'),
+        name,
+        F.lit('","hash":"'),
+        digest,
+        F.lit('"},"transform":[{"op":"filter","field":"o_orderstatus","cmp":"eq","value":'),
+        value,
+        F.lit('},{"op":"group_by","keys":["o_orderpriority"]},{"op":"aggregate","measures":[{"field":'),
+        fn,
+        F.lit(',"as":"total"}]}],"mark":"bar","encoding":{"x":{"field":'),
+        x,
+        F.lit('},"y":{"field":"total","type":"quantitative"}}'),
+        extra,
+        F.lit("}"),
+    )
+    return c.select(
+        F.col("c_custkey").cast("string").alias("spec_id"),
+        F.col("c_mktsegment").alias("corpus"),
+        raw.alias("raw"),
+        F.when((k >= 2) & (k <= 8), "reject").otherwise("accept").alias("expected"),
+    )
 
 
 _SCHEMAS, _HASHES = {"orders.csv": ORDERS}, {"orders.csv": _HASH}
 _SPEC_CHECK = """CASE c_custkey % 10 WHEN 2 THEN 'schema.fields_exist' WHEN 3 THEN 'spec.decode' WHEN 4 THEN 'schema.field_types_match' WHEN 5 THEN 'dataset.hash_matches_source' WHEN 6 THEN 'dataset.manifest_available' WHEN 7 THEN 'encoding.axis_types_match_fields' WHEN 8 THEN 'spec.decode' END"""
 
 
-@query("spec_admission", f"""SELECT CAST(c_custkey AS VARCHAR) AS spec_id, {_SPEC_CHECK} AS "check", CASE WHEN c_custkey % 10 IN (3, 8) THEN 'decode' WHEN c_custkey % 10 IN (5, 6) THEN 'binding' WHEN c_custkey % 10 IN (2, 4) THEN 'plan' WHEN c_custkey % 10 = 7 THEN 'encoding' END AS stage FROM customer""")
+@query(
+    "spec_admission",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS spec_id, {_SPEC_CHECK} AS "check", CASE WHEN c_custkey % 10 IN (3, 8) THEN 'decode' WHEN c_custkey % 10 IN (5, 6) THEN 'binding' WHEN c_custkey % 10 IN (2, 4) THEN 'plan' WHEN c_custkey % 10 = 7 THEN 'encoding' END AS stage FROM customer""",
+)
 def spec_admission(spark, sf_dir):
     return corpus.admission(_specs(spark, sf_dir), _SCHEMAS, _HASHES).select("spec_id", "check", "stage")
 
@@ -638,11 +983,22 @@ def spec_guarantee(spark, sf_dir):
     return replies.guarantee(judged)
 
 
-@query("spec_pairing", """SELECT CAST(c_custkey AS VARCHAR) AS spec_id, c_custkey % 10 <> 6 AS has_manifest, c_custkey % 10 NOT IN (5, 6) AS bound FROM customer""")
+@query(
+    "spec_pairing",
+    """SELECT CAST(c_custkey AS VARCHAR) AS spec_id, c_custkey % 10 <> 6 AS has_manifest, c_custkey % 10 NOT IN (5, 6) AS bound FROM customer""",
+)
 def spec_pairing(spark, sf_dir):
-    specs = _specs(spark, sf_dir).select("spec_id", F.get_json_object("raw", "$.dataset.name").alias("name"), F.get_json_object("raw", "$.dataset.hash").alias("declared"))
+    specs = _specs(spark, sf_dir).select(
+        "spec_id",
+        F.get_json_object("raw", "$.dataset.name").alias("name"),
+        F.get_json_object("raw", "$.dataset.hash").alias("declared"),
+    )
     catalogue = spark.createDataFrame([(n, h) for n, h in _HASHES.items()], "name string, sha256 string")
-    return specs.join(F.broadcast(catalogue), "name", "left").select("spec_id", F.col("sha256").isNotNull().alias("has_manifest"), F.coalesce(F.col("sha256") == F.col("declared"), F.lit(False)).alias("bound"))
+    return specs.join(F.broadcast(catalogue), "name", "left").select(
+        "spec_id",
+        F.col("sha256").isNotNull().alias("has_manifest"),
+        F.coalesce(F.col("sha256") == F.col("declared"), F.lit(False)).alias("bound"),
+    )
 
 
 @query("bulk_verify", f"""WITH a AS (SELECT o_orderpriority, o_orderstatus, {_mean("sum(o_totalprice)", "count(o_totalprice)")} AS m FROM ({_O}) GROUP BY 1, 2),
@@ -651,7 +1007,11 @@ def spec_pairing(spark, sf_dir):
 def bulk_verify(spark, sf_dir):
     """One spec per order priority, recomputed; each spec's result is identified by its digest lanes."""
     o = t(spark, sf_dir, "orders").select("o_orderpriority").distinct()
-    raw = F.concat(F.lit('{"version":"1","dataset":{"name":"orders.csv","hash":"' + _HASH + '"},"transform":[{"op":"filter","field":"o_orderpriority","cmp":"eq","value":"'), "o_orderpriority", F.lit('"},{"op":"group_by","keys":["o_orderstatus"]},{"op":"aggregate","measures":[{"field":"o_totalprice","fn":"mean","as":"mean_price"}]}],"mark":"bar","encoding":{"x":{"field":"o_orderstatus","type":"nominal"},"y":{"field":"mean_price","type":"quantitative"}}}'))
+    raw = F.concat(
+        F.lit('{"version":"1","dataset":{"name":"orders.csv","hash":"' + _HASH + '"},"transform":[{"op":"filter","field":"o_orderpriority","cmp":"eq","value":"'),
+        "o_orderpriority",
+        F.lit('"},{"op":"group_by","keys":["o_orderstatus"]},{"op":"aggregate","measures":[{"field":"o_totalprice","fn":"mean","as":"mean_price"}]}],"mark":"bar","encoding":{"x":{"field":"o_orderstatus","type":"nominal"},"y":{"field":"mean_price","type":"quantitative"}}}'),
+    )
     admitted = corpus.admission(o.select(F.col("o_orderpriority").alias("spec_id"), raw.alias("raw")), _SCHEMAS, _HASHES)
     return corpus.verified_results(admitted, _SCHEMAS, lambda name: orders(spark, sf_dir))
 
@@ -703,7 +1063,15 @@ def replay_recomputed(spark, sf_dir):
 
 
 def _run(spark, sf_dir, limits=checks.LIMITS, declared=_HASH):
-    return verify.verify(FLAGSHIP, [Channel("o_orderpriority", "nominal"), Channel("total", "quantitative")], orders(spark, sf_dir), spec="{}", declared=declared, actual=_HASH, limits=limits)
+    return verify.verify(
+        FLAGSHIP,
+        [Channel("o_orderpriority", "nominal"), Channel("total", "quantitative")],
+        orders(spark, sf_dir),
+        spec="{}",
+        declared=declared,
+        actual=_HASH,
+        limits=limits,
+    )
 
 
 _FLAG_LINES = f"WITH a AS ({_FLAG}), p AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_orderpriority) AS pos FROM a)"
@@ -715,7 +1083,14 @@ _FLAG_LINES = f"WITH a AS ({_FLAG}), p AS (SELECT *, row_number() OVER (ORDER BY
 def verify_certificate(spark, sf_dir):
     c = _run(spark, sf_dir, checks.LIMITS | {"source_rows": 10**12, "source_cells": 10**13}).certificate
     text = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), ";")
-    return c.select("plotted_table_hash", "spec_hash", "dataset_hash", text("filters", "field", "cmp", "value").alias("filters"), text("sorts", "field", "order").alias("sorts"), F.size("checks").alias("n_checks"))
+    return c.select(
+        "plotted_table_hash",
+        "spec_hash",
+        "dataset_hash",
+        text("filters", "field", "cmp", "value").alias("filters"),
+        text("sorts", "field", "order").alias("sorts"),
+        F.size("checks").alias("n_checks"),
+    )
 
 
 @query("verify_refused", """WITH n AS (SELECT count(*) AS n, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus = 'F') AS k FROM orders)
@@ -724,7 +1099,12 @@ def verify_certificate(spark, sf_dir):
     UNION ALL SELECT 'resource.manifest_columns', 'pass' UNION ALL SELECT 'dataset.hash_matches_source', 'fail')""")
 def verify_refused(spark, sf_dir):
     """The same under low ceilings and with another digest declared: which gates fail, and no certificate."""
-    run = _run(spark, sf_dir, {**checks.LIMITS, "source_rows": 1000, "source_cells": 6000, "plotted_cells": 19, "render_rows": 5, "manifest_columns": 6}, "sha256:" + "b" * 64)
+    run = _run(
+        spark,
+        sf_dir,
+        {**checks.LIMITS, "source_rows": 1000, "source_cells": 6000, "plotted_cells": 19, "render_rows": 5, "manifest_columns": 6},
+        "sha256:" + "b" * 64,
+    )
     gates = run.checks.filter("check like 'resource.%' or check like 'dataset.%'").select("check", "status")
     return gates.join(run.certificate.select(F.lit("certified").alias("check")), "check", "left_anti")
 
@@ -738,7 +1118,10 @@ def formula_certificates(spark, sf_dir):
     return verify.certified_formulas(_odd_formulas(spark, sf_dir)).select("formula_id", "check", "table_hash", "n_samples")
 
 
-@query("formula_ceilings", """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 1 THEN 'resource.formula_bytes' WHEN 3 THEN 'resource.formula_digits' WHEN 5 THEN 'resource.formula_identifier_bytes' WHEN 7 THEN 'resource.formula_samples' END AS "check" FROM part""")
+@query(
+    "formula_ceilings",
+    """SELECT p_partkey AS formula_id, CASE p_partkey % 8 WHEN 1 THEN 'resource.formula_bytes' WHEN 3 THEN 'resource.formula_digits' WHEN 5 THEN 'resource.formula_identifier_bytes' WHEN 7 THEN 'resource.formula_samples' END AS "check" FROM part""",
+)
 def formula_ceilings(spark, sf_dir):
     """Each ceiling at its boundary and one beyond: bytes, digits of a literal, bytes of a name, samples."""
     fs = _formulas(spark, sf_dir)
@@ -749,7 +1132,10 @@ def formula_ceilings(spark, sf_dir):
     return formula.admission(fs.withColumn("formula", text).withColumn("samples", samples)).select("formula_id", "check")
 
 
-@query("strict_base64", """SELECT doc_id, doc_id % 4 = 0 AS accepted, CASE WHEN doc_id % 4 = 0 THEN sha256(text) END AS digest FROM documents WHERE text IS NOT NULL""")
+@query(
+    "strict_base64",
+    """SELECT doc_id, doc_id % 4 = 0 AS accepted, CASE WHEN doc_id % 4 = 0 THEN sha256(text) END AS digest FROM documents WHERE text IS NOT NULL""",
+)
 def strict_base64(spark, sf_dir):
     """Texts in base64: canonical, with a blank, without its padding or too long, and with a spare sign."""
     d, k = t(spark, sf_dir, "documents").filter("text is not null"), F.col("doc_id") % 4
@@ -759,7 +1145,10 @@ def strict_base64(spark, sf_dir):
     return d.select("doc_id", raw.isNotNull().alias("accepted"), F.sha2(raw, 256).alias("digest"))
 
 
-@query("length_prefixed", """SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(to_hex(strlen(source)), 16, '0')) || encode(source)) AS digest FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+@query(
+    "length_prefixed",
+    """SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(text)), 16, '0')) || encode(text) || unhex(lpad(to_hex(strlen(source)), 16, '0')) || encode(source)) AS digest FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""",
+)
 def length_prefixed(spark, sf_dir):
     d = t(spark, sf_dir, "documents").filter("text is not null and source is not null")
     return d.select("doc_id", F.sha2(digests.length_prefixed(F.col("text"), F.col("source")), 256).alias("digest"))
@@ -780,7 +1169,13 @@ def evaluation_report(spark, sf_dir):
     """Report and details written and read again."""
     d, path = _details(spark, sf_dir), fresh_path(spark)
     reports.write(d, reports.Provenance(commit="abc", probed="nowhere"), path, verify.tools())
-    r = spark.read.json(f"{path}/report").select("provenance.commit", "provenance.dirty", "prompt_count", F.size("categories").cast("long").alias("n_categories"), F.size("tallies").cast("long").alias("n_tallies"))
+    r = spark.read.json(f"{path}/report").select(
+        "provenance.commit",
+        "provenance.dirty",
+        "prompt_count",
+        F.size("categories").cast("long").alias("n_categories"),
+        F.size("tallies").cast("long").alias("n_tallies"),
+    )
     return r.join(reports.read(spark, path, d).agg(F.sum("event_id").alias("written")))  # one row each
 
 
@@ -794,7 +1189,13 @@ def _csv(spark, sf_dir, *, broken: bool) -> str:
     bal = F.col("s_acctbal").cast("decimal(18,2)").cast("string")
     bad = (F.col("s_nationkey") % 5 == 0) if broken else F.lit(False)
     day = F.when((F.col("s_nationkey") % 7 == 0) if broken else F.lit(False), "2024-1-1").otherwise("2024-01-31")
-    rows = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"), F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.when(bad, F.concat(bal, F.lit("7"))).otherwise(bal).alias("balance"), day.alias("day"))
+    rows = s.select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"),
+        F.col("s_suppkey").cast("string").alias("key"),
+        F.col("s_name").alias("name"),
+        F.when(bad, F.concat(bal, F.lit("7"))).otherwise(bal).alias("balance"),
+        day.alias("day"),
+    )
     path = f"{fresh_path(spark)}"
     rows.repartition("nation").write.partitionBy("nation").option("header", True).option("escape", '"').csv(path)
     return path
@@ -810,13 +1211,25 @@ def scan_gates(spark, sf_dir):
     cells = scan.cell_failures(raw, REGION_CSV, by="nation").groupBy("nation").pivot("check", ["data.numeric_value", "data.temporal_value"]).agg(F.sum("n")).toDF("nation", "bad_numbers", "bad_dates")
     found = spark.read.format("binaryFile").load(f"{path}/*/*.csv").select(F.col("path").alias("name"), "length", "content")
     k, b, text = nation(F.col("name")).substr(2, 9).cast("int") % 8, F.col("content"), F.col("content").cast("string")
-    spoilt = F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), b)).when(k == 2, F.concat(b, F.unhex(F.lit("FF")))).when(k == 3, F.regexp_replace(text, "^key,name", '"key,name"').cast("binary"))
-    spoilt = spoilt.when(k == 4, F.concat(b, F.lit("1,x\n").cast("binary"))).when(k == 5, F.concat(b, F.lit("\n\n").cast("binary"))).when(k == 6, F.concat(b, F.lit('1,"x,1.00,2024-01-31\n').cast("binary"))).otherwise(b)
-    gates = scan.gates(found.withColumn("content", spoilt), REGION_CSV).groupBy(nation(F.col("name")).alias("nation")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("check"))))).alias("failed"))
+    spoilt = F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), b)).when(k == 2, F.concat(b, F.unhex(F.lit("FF")))).when(
+        k == 3,
+        F.regexp_replace(text, "^key,name", '"key,name"').cast("binary"),
+    )
+    spoilt = spoilt.when(k == 4, F.concat(b, F.lit("1,x\n").cast("binary"))).when(k == 5, F.concat(b, F.lit("\n\n").cast("binary"))).when(
+        k == 6,
+        F.concat(b, F.lit('1,"x,1.00,2024-01-31\n').cast("binary")),
+    ).otherwise(b)
+    gates = scan.gates(found.withColumn("content", spoilt), REGION_CSV).groupBy(nation(F.col("name")).alias("nation")).agg(F.concat_ws(
+        ",",
+        F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("check")))),
+    ).alias("failed"))
     return cells.join(gates, "nation", "left")
 
 
-@query("typed_scan", "SELECT CAST(s_suppkey AS DECIMAL(38,0)) AS key, s_name AS name, CAST(s_acctbal AS DECIMAL(38,2)) AS balance, DATE '2024-01-31' AS day FROM supplier")
+@query(
+    "typed_scan",
+    "SELECT CAST(s_suppkey AS DECIMAL(38,0)) AS key, s_name AS name, CAST(s_acctbal AS DECIMAL(38,2)) AS balance, DATE '2024-01-31' AS day FROM supplier",
+)
 def typed_scan(spark, sf_dir):
     path = _csv(spark, sf_dir, broken=False)
     return scan.typed_csv(scan.raw_csv(spark, f"{path}/*/*.csv", REGION_CSV), REGION_CSV)
@@ -827,10 +1240,18 @@ def typed_scan(spark, sf_dir):
     (SELECT string_agg('[' || CAST(s_suppkey AS VARCHAR) || ',"' || s_name || '",' || CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ',"2024-01-31"]', ';' ORDER BY s_suppkey) FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 3)) AS first""")
 def dataset_profile(spark, sf_dir):
     raw = scan.raw_csv(spark, f"{_csv(spark, sf_dir, broken=False)}/*/*.csv", REGION_CSV)
-    return scan.profile(raw, REGION_CSV).select("identity", F.array_join("descriptions", "; ").alias("descriptions"), "n_rows", F.array_join("first", ";").alias("first"))
+    return scan.profile(raw, REGION_CSV).select(
+        "identity",
+        F.array_join("descriptions", "; ").alias("descriptions"),
+        "n_rows",
+        F.array_join("first", ";").alias("first"),
+    )
 
 
-@query("chart_rows", f"""WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, '{{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","total":' || CAST(total AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}}' AS row FROM a""")
+@query(
+    "chart_rows",
+    f"""WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, '{{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","total":' || CAST(total AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}}' AS row FROM a""",
+)
 def chart_rows(spark, sf_dir):
     return canonical.chart_rows(BY_STATUS.positioned(orders(spark, sf_dir), rows_at_most=1000), BY_STATUS.schema)
 
@@ -848,11 +1269,19 @@ def encoding_checks(spark, sf_dir):
     return segments.join(F.broadcast(results), "wrong").select("c_mktsegment", "check", "status")
 
 
-@query("verdicts", """SELECT o_orderpriority, sum(CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) = 0 AND sum(CASE WHEN o_orderkey % 2 = 3 THEN 1 ELSE 0 END) = 0 AS verified FROM orders GROUP BY 1""")
+@query(
+    "verdicts",
+    """SELECT o_orderpriority, sum(CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) = 0 AND sum(CASE WHEN o_orderkey % 2 = 3 THEN 1 ELSE 0 END) = 0 AS verified FROM orders GROUP BY 1""",
+)
 def verdicts(spark, sf_dir):
     """A report per priority over two checks: no price below 1000, no impossible key."""
     o = t(spark, sf_dir, "orders")
-    one = lambda i, check, bad: o.groupBy("o_orderpriority").agg(F.count_if(bad).alias("k")).select("o_orderpriority", F.lit(i).alias("stage"), F.lit(check).alias("check"), F.when(F.col("k") > 0, "fail").otherwise("pass").alias("status"))
+    one = lambda i, check, bad: o.groupBy("o_orderpriority").agg(F.count_if(bad).alias("k")).select(
+        "o_orderpriority",
+        F.lit(i).alias("stage"),
+        F.lit(check).alias("check"),
+        F.when(F.col("k") > 0, "fail").otherwise("pass").alias("status"),
+    )
     results = one(0, "data.numeric_value", F.col("o_totalprice") < 1000).unionByName(one(1, "data.row_width", F.col("o_orderkey") % 2 == 3))
     return checks.verdict(results, "o_orderpriority").select("o_orderpriority", "verified")
 

@@ -29,18 +29,34 @@ def identity(found: DataFrame) -> DataFrame:
 def corpus_identity(found: DataFrame) -> DataFrame:
     """One digest over the sorted (name, content digest) pairs: the identity of a data set in many files."""
     pairs = found.select("name", F.sha2("content", 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))), "")
+    joined = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))),
+        "",
+    )
     return pairs.agg(F.count("*").alias("n_files"), F.sha2(joined, 256).alias("sha256"))
 
 
 def identity_by_blocks(pairs: DataFrame, by: str) -> DataFrame:
     """``by, n_files, sha256`` of many (name, h) pairs: 4096 blocks by the name's hash are digested first, then their digests."""
     joined = lambda c, f: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), f), ""), 256)
-    blocks = pairs.groupBy(by, F.substring(F.sha2("name", 256), 1, 3).alias("block")).agg(F.count("*").alias("n"), joined(F.struct("name", "h"), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))).alias("h"))
-    return blocks.groupBy(by).agg(F.sum("n").alias("n_files"), joined(F.struct("block", "h"), lambda x: F.concat(x["block"], x["h"], F.lit("\n"))).alias("sha256"))
-
-
-def gates(found: DataFrame, schema: TableSchema, *, most_bytes: int = LIMITS["file_bytes"], most_rows: int = LIMITS["source_rows"], most_cells: int = LIMITS["source_cells"]) -> DataFrame:
+    blocks = pairs.groupBy(by, F.substring(F.sha2("name", 256), 1, 3).alias("block")).agg(
+        F.count("*").alias("n"),
+        joined(F.struct("name", "h"), lambda x: F.concat(x["name"], F.lit("\u0000"), x["h"], F.lit("\n"))).alias("h"),
+    )
+    return blocks.groupBy(by).agg(
+        F.sum("n").alias("n_files"),
+        joined(F.struct("block", "h"), lambda x: F.concat(x["block"], x["h"], F.lit("\n"))).alias("sha256"),
+    )
+
+
+def gates(
+    found: DataFrame,
+    schema: TableSchema,
+    *,
+    most_bytes: int = LIMITS["file_bytes"],
+    most_rows: int = LIMITS["source_rows"],
+    most_cells: int = LIMITS["source_cells"],
+) -> DataFrame:
     """``name, check, status`` of every gate that a file's bytes decide.
 
     Size, charset, header (its parsed first record), syntax (a quoted field that does not end where its field ends), row
@@ -58,7 +74,11 @@ def gates(found: DataFrame, schema: TableSchema, *, most_bytes: int = LIMITS["fi
     widths = F.transform(records, lambda x: F.when(x == "", 0).otherwise(F.regexp_count(x, F.lit(",")) + 1))
     n = len(schema.names)
     cells = F.aggregate(widths, F.lit(0).cast("long"), lambda total, x: total + x)
-    first = F.from_csv(F.substring_index(text, "\n", 1), ", ".join(f"c{i} string" for i in range(n + 1)), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    first = F.from_csv(
+        F.substring_index(text, "\n", 1),
+        ", ".join(f"c{i} string" for i in range(n + 1)),
+        {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
+    )
     header = first[f"c{n}"].isNull()
     for i, name in enumerate(schema.names):
         header &= F.coalesce(first[f"c{i}"] == name, F.lit(False))
@@ -109,7 +129,17 @@ def raw_csv(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
     """All cells as text, with the file's name and the corrupt record of rows that are too short or too long."""
     fields = [T.StructField(n, T.StringType()) for n in schema.names]
     shape = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.csv(path, schema=shape, header=True, enforceSchema=False, multiLine=True, escape='"', columnNameOfCorruptRecord=CORRUPT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = spark.read.csv(
+        path,
+        schema=shape,
+        header=True,
+        enforceSchema=False,
+        multiLine=True,
+        escape='"',
+        columnNameOfCorruptRecord=CORRUPT,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
     return df.withColumn("__file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
 
 

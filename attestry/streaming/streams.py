@@ -30,7 +30,11 @@ def token_bucket(events: DataFrame, key: str, ts: str, event: str, *, rate: int
 
     Rows stream through their key's partition in order; a task holds one key's credit, not its rows.
     """
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event).alias("event")).repartition("key").sortWithinPartitions("key", "us", "event")
+    rows = events.select(
+        F.col(key).alias("key"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.col(event).alias("event"),
+    ).repartition("key").sortWithinPartitions("key", "us", "event")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -60,7 +64,13 @@ def token_bucket_stream(events: DataFrame, key: str, ts: str, event: str, *, rat
         state.update(held)
         yield pd.DataFrame({"key": pdf["key"], "event": pdf["event"], "admitted": out})
 
-    return rows.groupBy("key").applyInPandasWithState(work, "key long, event long, admitted boolean", "credit long, last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(
+        work,
+        "key long, event long, admitted boolean",
+        "credit long, last long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def distinct_attempts(stream: DataFrame, key: str, ts: str, *, delay: str = "10 minutes") -> DataFrame:

@@ -42,7 +42,16 @@ def main() -> None:
             catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         took[name] = round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "sum of median query seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}), flush=True)
+    print(
+        json.dumps({
+            "metric": "sum of median query seconds",
+            "value": round(sum(took.values()), 3),
+            "unit": "sec",
+            "queries": took,
+            "sf": os.path.basename(sf_dir.rstrip("/")),
+        }),
+        flush=True,
+    )
     spark.stop()
 
 

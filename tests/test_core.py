@@ -35,7 +35,36 @@ def test_numeric_status_against_decimal(spark):
             return "magnitude"
         return "precision" if v and v != 0 and -v.normalize().as_tuple().exponent > scale else "ok"
 
-    cells = ["", "0", "-0", "1.5", "1.50", ".5", "5.", "+12", " 12 ", "1_000", "1e2", "1.25e1", "125e-2", "1e37", "1e38", "9" * 38, "9" * 39, "abc", "NaN", "Infinity", "1.2.3", "e5", "0e999999999999", "1e-40", "1e99999999999999", "01", "-1e-2", "0.010"]
+    cells = [
+        "",
+        "0",
+        "-0",
+        "1.5",
+        "1.50",
+        ".5",
+        "5.",
+        "+12",
+        " 12 ",
+        "1_000",
+        "1e2",
+        "1.25e1",
+        "125e-2",
+        "1e37",
+        "1e38",
+        "9" * 38,
+        "9" * 39,
+        "abc",
+        "NaN",
+        "Infinity",
+        "1.2.3",
+        "e5",
+        "0e999999999999",
+        "1e-40",
+        "1e99999999999999",
+        "01",
+        "-1e-2",
+        "0.010",
+    ]
     for scale in (0, 1, 2, 5, 38):
         got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", exact.numeric_status(F.col("c"), scale).alias("s")).collect()
         assert {cells[r.i]: r.s for r in got} == {c: want(c, scale) for c in cells}
@@ -43,9 +72,16 @@ def test_numeric_status_against_decimal(spark):
 
 def test_mean_half_even(spark):
     rng = random.Random(5)
-    groups = {g: [Decimal(rng.randint(-(10**rng.randint(1, 12)), 10**12)) / 100 for _ in range(rng.randint(1, 8))] for g in range(60)} | {100: [Decimal("0.01"), Decimal("0.02")], 101: [Decimal("0.03"), Decimal("0.04")], 102: [Decimal("-0.01"), Decimal("-0.02")]}
+    groups = {g: [Decimal(rng.randint(-(10**rng.randint(1, 12)), 10**12)) / 100 for _ in range(rng.randint(1, 8))] for g in range(60)} | {
+        100: [Decimal("0.01"), Decimal("0.02")],
+        101: [Decimal("0.03"), Decimal("0.04")],
+        102: [Decimal("-0.01"), Decimal("-0.02")],
+    }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v decimal(38,2)")
-    out = df.groupBy("g").agg(F.sum("v").cast("decimal(38,2)").alias("s"), F.count("v").alias("n")).select("g", exact.mean_half_even(F.col("s"), F.col("n"), 2).alias("m")).collect()
+    out = df.groupBy("g").agg(
+        F.sum("v").cast("decimal(38,2)").alias("s"),
+        F.count("v").alias("n"),
+    ).select("g", exact.mean_half_even(F.col("s"), F.col("n"), 2).alias("m")).collect()
     for r in out:
         assert r.m == Decimal(round(Fraction(sum(groups[r.g])) / len(groups[r.g]) * 100)) / 100
 
@@ -54,7 +90,14 @@ def test_temporal_cells(spark):
     cells = ["2024-01-31", "2024-1-1", "20240101", "2024-02-30", "0000-01-01", ""]
     got = [r.o for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(exact.temporal_ok(F.col("c"), "date").alias("o")).collect()]
     assert got == [True, False, False, False, False, None]
-    cells = ["2024-01-31T01:02:03", "2024-01-31T01:02:03.000000", "2024-01-31T01:02:03.000001", "2024-01-31T01:02", "2024-01-31T01:02:03Z", "2024-01-31 01:02:03"]
+    cells = [
+        "2024-01-31T01:02:03",
+        "2024-01-31T01:02:03.000000",
+        "2024-01-31T01:02:03.000001",
+        "2024-01-31T01:02",
+        "2024-01-31T01:02:03Z",
+        "2024-01-31 01:02:03",
+    ]
     got = [r.o for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(exact.temporal_ok(F.col("c"), "datetime").alias("o")).collect()]
     assert got == [True, False, True, False, False, False]
 
@@ -174,18 +217,48 @@ def test_inversions_and_domains(spark):
 def test_manifest_is_strict():
     good = '{"columns":[{"name":"a","type":"numeric","scale":2,"unit":"USD"},{"name":"b","type":"string"}]}'
     assert manifest(good).descriptors() == ["a:numeric:2", "b:string"]
-    for bad in ('{"columns":[{"name":"a","type":"float"}]}', '{"columns":[{"name":"a","type":"string"},{"name":"a","type":"string"}]}', '{"columns":[],"x":1}', '{"columns":[{"name":"a","type":"string","size":1}]}', '{"columns":[],"columns":[]}', "[", '{"columns":[{"name":"1a","type":"string"}]}'):
+    for bad in (
+        '{"columns":[{"name":"a","type":"float"}]}',
+        '{"columns":[{"name":"a","type":"string"},{"name":"a","type":"string"}]}',
+        '{"columns":[],"x":1}',
+        '{"columns":[{"name":"a","type":"string","size":1}]}',
+        '{"columns":[],"columns":[]}',
+        "[",
+        '{"columns":[{"name":"1a","type":"string"}]}',
+    ):
         with pytest.raises(CheckError):
             manifest(bad)
 
 
 def test_csv_gates(spark, tmp_path):
     schema = TableSchema((Text("a"), Numeric("b", 1)))
-    files = {"good": b'a,b\nx,1.5\n"q,""r\n",\n', "bom": b"\xef\xbb\xbfa,b\nx,1\n", "bad_utf8": b"a,b\n\xff,1\n", "header": b"b,a\nx,1\n", "one_field": b'"a,b"\nx,1\n', "quoted": b'"a","b"\n"x\n1",1\n', "short": b"a,b\nx\n", "long": b"a,b\nx,1,2\n", "open": b'a,b\n"x,1\n', "after": b'a,b\n"x"y,1\n', "blank": b"a,b\nx,1\n\ny,2\n"}
+    files = {
+        "good": b'a,b\nx,1.5\n"q,""r\n",\n',
+        "bom": b"\xef\xbb\xbfa,b\nx,1\n",
+        "bad_utf8": b"a,b\n\xff,1\n",
+        "header": b"b,a\nx,1\n",
+        "one_field": b'"a,b"\nx,1\n',
+        "quoted": b'"a","b"\n"x\n1",1\n',
+        "short": b"a,b\nx\n",
+        "long": b"a,b\nx,1,2\n",
+        "open": b'a,b\n"x,1\n',
+        "after": b'a,b\n"x"y,1\n',
+        "blank": b"a,b\nx,1\n\ny,2\n",
+    }
     for name, content in files.items():
         (tmp_path / f"{name}.csv").write_bytes(content)
     got = {(r.name, r.check) for r in scan.gates(scan.files(spark, str(tmp_path)), schema).filter("status = 'fail'").collect()}
-    want = {"bom": "charset", "bad_utf8": "charset", "header": "header", "one_field": "header", "short": "row_width", "long": "row_width", "open": "csv_syntax", "after": "csv_syntax", "blank": "row_width"}
+    want = {
+        "bom": "charset",
+        "bad_utf8": "charset",
+        "header": "header",
+        "one_field": "header",
+        "short": "row_width",
+        "long": "row_width",
+        "open": "csv_syntax",
+        "after": "csv_syntax",
+        "blank": "row_width",
+    }
     # a record of one field, "a,b", is another header, and its rows are then wider than it: only the schema counts
     assert got == {(f"{n}.csv", f"data.{c}") for n, c in want.items()}
     few = scan.gates(scan.files(spark, str(tmp_path)), schema, most_bytes=4, most_rows=0, most_cells=1).filter("name = 'good.csv' and status = 'fail'")
@@ -217,11 +290,33 @@ def test_check_rows(spark):
 def test_reply_text(spark):
     rows = ["", "  ", '{"a":1}', "```json\n{\"a\": 1}\n```", "[1]", "x", "{bad"]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string")
-    got = [tuple(r) for r in df.orderBy("i").select(text.reply_shape(F.col("r")), text.is_json_object(F.col("r")), text.is_json(text.defenced(F.col("r")))).collect()]
-    assert got == [("empty", False, False), ("empty", False, False), ("bare_object", True, True), ("fenced", False, True), ("other", False, True), ("other", False, False), ("bare_object", False, False)]
+    got = [tuple(r) for r in df.orderBy("i").select(
+        text.reply_shape(F.col("r")),
+        text.is_json_object(F.col("r")),
+        text.is_json(text.defenced(F.col("r"))),
+    ).collect()]
+    assert got == [
+        ("empty", False, False),
+        ("empty", False, False),
+        ("bare_object", True, True),
+        ("fenced", False, True),
+        ("other", False, True),
+        ("other", False, False),
+        ("bare_object", False, False),
+    ]
 
 
 def test_chart_signals(spark):
-    rows = {"plain matplotlib words": [], "```python\nplt . plot(x)\n```": ["matplotlib"], "```\nimport altair\n": ["altair"], "<SVG >": ["svg"], "```mermaid x\n```": ["mermaid"], '{"mark":"bar","encoding":{},"data":1}': ["vega-lite"], '{"mark":"bar","encoding":{}}': [], "see data:image/png;base64,AA": ["data-image"], "```json\n{\"$schema\":\"https://vega.github.io/schema/vega-lite/v5.json\"}\n```": ["vega-lite"]}
+    rows = {
+        "plain matplotlib words": [],
+        "```python\nplt . plot(x)\n```": ["matplotlib"],
+        "```\nimport altair\n": ["altair"],
+        "<SVG >": ["svg"],
+        "```mermaid x\n```": ["mermaid"],
+        '{"mark":"bar","encoding":{},"data":1}': ["vega-lite"],
+        '{"mark":"bar","encoding":{}}': [],
+        "see data:image/png;base64,AA": ["data-image"],
+        "```json\n{\"$schema\":\"https://vega.github.io/schema/vega-lite/v5.json\"}\n```": ["vega-lite"],
+    }
     df = spark.createDataFrame([(k,) for k in rows], "t string")
     assert {r.t: r.s for r in df.select("t", text.chart_signals(F.col("t")).alias("s")).collect()} == rows

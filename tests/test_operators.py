@@ -23,18 +23,36 @@ def test_ledger_publishes_once_and_refuses_changes(spark, tmp_path):
     b = blob(spark, "one", "two", "one")
     digest = {r.content.decode(): r.digest for r in b.collect()}
     keys = spark.createDataFrame([("k1", digest["one"], "raw")], ledger.SHAPES["keys"])
-    attempts = spark.createDataFrame([("a1", digest["two"], "raw", "k1", None, "0" * 32, "2024-02-03T04:05:06.000007Z", "propose_spec", 404, "dataset_not_found")], ledger.SHAPES["attempts"])
+    attempts = spark.createDataFrame(
+        [("a1", digest["two"], "raw", "k1", None, "0" * 32, "2024-02-03T04:05:06.000007Z", "propose_spec", 404, "dataset_not_found")],
+        ledger.SHAPES["attempts"],
+    )
     for _ in range(2):
         book.publish({"blobs": b, "keys": keys, "attempts": attempts})
-    assert {r.table: r.n_rows for r in book.stats().collect()} == {"blobs": 2, "keys": 1, "plots": 0, "specs": 0, "plot_references": 0, "attempt_references": 0, "attempts": 1}
+    assert {r.table: r.n_rows for r in book.stats().collect()} == {
+        "blobs": 2,
+        "keys": 1,
+        "plots": 0,
+        "specs": 0,
+        "plot_references": 0,
+        "attempt_references": 0,
+        "attempts": 1,
+    }
     lost, damaged = book.audit()
     assert lost.count() == 0 and damaged.count() == 0
     with pytest.raises(ValueError, match="different row"):
         book.publish({"keys": keys.withColumn("public_key_kind", F.lit("other"))})
     with pytest.raises(ValueError, match="quota"):
         book.publish({"blobs": blob(spark, "x" * 100)}, quota=50)
-    book.publish({"attempts": spark.createDataFrame([("a2", "sha256:none", "raw", "k9", "p9", "x", "y", "propose_spec", 200, "verified")], ledger.SHAPES["attempts"])})
-    assert {(r.attempt_id, r.rule) for r in book.attempt_violations().collect()} == {("a2", "nonce_format"), ("a2", "time_format"), ("a2", "roles_match_outcome")}
+    book.publish({"attempts": spark.createDataFrame(
+        [("a2", "sha256:none", "raw", "k9", "p9", "x", "y", "propose_spec", 200, "verified")],
+        ledger.SHAPES["attempts"],
+    )})
+    assert {(r.attempt_id, r.rule) for r in book.attempt_violations().collect()} == {
+        ("a2", "nonce_format"),
+        ("a2", "time_format"),
+        ("a2", "roles_match_outcome"),
+    }
     assert book.blob(digest["one"], "raw").first().content == b"one" and book.roles("p9").count() == 0
     assert sorted(r.source for r in book.audit()[0].collect()) == ["attempts.envelope_digest", "attempts.keyid", "attempts.plot_id"]
 
@@ -56,14 +74,24 @@ def test_audit_documents_hide_content(spark):
 
 
 def test_rates_and_buckets(spark):
-    d = spark.createDataFrame([("a", True, "verified", "other", True, True, True), ("a", True, "schema", "empty", False, False, False), ("b", False, "off_request", None, None, None, None)], "category string, ok boolean, bucket string, shape string, json_valid boolean, json_object boolean, defenced_valid boolean")
+    d = spark.createDataFrame(
+        [
+            ("a", True, "verified", "other", True, True, True),
+            ("a", True, "schema", "empty", False, False, False),
+            ("b", False, "off_request", None, None, None, None),
+        ],
+        "category string, ok boolean, bucket string, shape string, json_valid boolean, json_object boolean, defenced_valid boolean",
+    )
     got = {(r.scope, r.category): r for r in replies.tallies(d).collect()}
     assert got["all", None].n == 2 and got["all", None].off_request == 1 and got["category", "a"].verified_rate == 0.5 and got["category", "b"].verified_rate == 0.0
 
 
 def test_guard_touches_last_assistant_only(spark):
     chart = "```\nimport plotly\n```"
-    m = spark.createDataFrame([(1, 0, "user", chart), (1, 1, "assistant", chart), (2, 0, "assistant", chart), (2, 1, "user", chart), (3, 0, "assistant", "hi")], "conv_id long, turn long, role string, text string")
+    m = spark.createDataFrame(
+        [(1, 0, "user", chart), (1, 1, "assistant", chart), (2, 0, "assistant", chart), (2, 1, "user", chart), (3, 0, "assistant", "hi")],
+        "conv_id long, turn long, role string, text string",
+    )
     got = {(r.conv_id, r.turn): r.text == replies.NOTICE for r in replies.guard_last(m).collect()}
     assert got == {(1, 0): False, (1, 1): True, (2, 0): False, (2, 1): False, (3, 0): False}
 
@@ -72,14 +100,39 @@ def test_formula_grammar():
     p = formula.parse
     assert formula.printed(p("-x**2 + 03*x - .5".replace(".5", "0.5"))) == "(- (+ (neg (pow x 2)) (* 3 x)) 1/2)"
     assert formula.value(p("2 * -x ** -2"), {"x": Fraction(4)}) == Fraction(-1, 8)
-    for bad, check in {"a": "formula.names_allowed", "sin(x)": "formula.functions_allowed", "x**2**3": "formula.grammar_allowed", "1.": "formula.grammar_allowed", ".5": "formula.grammar_allowed", "1e3": "formula.grammar_allowed", "x**x": "formula.grammar_allowed", "x**1.5": "formula.grammar_allowed", "x**--2": "formula.grammar_allowed", "x if x else x": "formula.grammar_allowed", "x//2": "formula.grammar_allowed", "": "formula.grammar_allowed", "abs(x, x)": "formula.grammar_allowed", "x**99": "formula.exponents_bounded", "(" * 40 + "x" + ")" * 40: "resource.formula_paren_depth", "1" * 99: "resource.formula_digits", "x+" * 600 + "x": "resource.formula_bytes"}.items():
+    for bad, check in {
+        "a": "formula.names_allowed",
+        "sin(x)": "formula.functions_allowed",
+        "x**2**3": "formula.grammar_allowed",
+        "1.": "formula.grammar_allowed",
+        ".5": "formula.grammar_allowed",
+        "1e3": "formula.grammar_allowed",
+        "x**x": "formula.grammar_allowed",
+        "x**1.5": "formula.grammar_allowed",
+        "x**--2": "formula.grammar_allowed",
+        "x if x else x": "formula.grammar_allowed",
+        "x//2": "formula.grammar_allowed",
+        "": "formula.grammar_allowed",
+        "abs(x, x)": "formula.grammar_allowed",
+        "x**99": "formula.exponents_bounded",
+        "(" * 40 + "x" + ")" * 40: "resource.formula_paren_depth",
+        "1" * 99: "resource.formula_digits",
+        "x+" * 600 + "x": "resource.formula_bytes",
+    }.items():
         with pytest.raises(formula.Refused) as e:
             p(bad)
         assert e.value.check == check, bad
 
 
 def test_formula_tables(spark):
-    fs = spark.createDataFrame([(1, "1/(1 + x*x)", Decimal("-1"), Decimal("1"), 5, 1, 3), (2, "1/x", Decimal("-1"), Decimal("1"), 3, 0, 2), (3, "abs(x)", Decimal("0"), Decimal("1"), 4, 2, 1)], "formula_id long, formula string, start decimal(18,6), stop decimal(18,6), samples int, x_scale int, y_scale int")
+    fs = spark.createDataFrame(
+        [
+            (1, "1/(1 + x*x)", Decimal("-1"), Decimal("1"), 5, 1, 3),
+            (2, "1/x", Decimal("-1"), Decimal("1"), 3, 0, 2),
+            (3, "abs(x)", Decimal("0"), Decimal("1"), 4, 2, 1),
+        ],
+        "formula_id long, formula string, start decimal(18,6), stop decimal(18,6), samples int, x_scale int, y_scale int",
+    )
     got = {(r.formula_id, r.i): (r.x, r.y, r.status) for r in formula.evaluated(formula.grid(fs), fs).collect()}
     for (f, i), (x, y, s) in got.items():
         _, _, a, b, n, xs, ys = next(r for r in fs.collect() if r.formula_id == f)
@@ -99,14 +152,26 @@ SCHEMA = TableSchema((Text("k"), Numeric("v", 2, "USD")))
 
 def test_spec_decoding():
     assert corpus.canonical(corpus.decode(SPEC)) == corpus.canonical(corpus.decode(SPEC.replace(",", " , ")))
-    for bad in (SPEC[:-1], SPEC.replace('"mark":"bar"', '"mark":"pie"'), SPEC.replace('"op":"group_by"', '"op":"pivot"'), SPEC.replace('"keys":["k"]', '"keys":["k"],"n":1'), SPEC.replace('"keys":["k"]', '"keys":[null]'), SPEC.replace('"keys":["k"]', '"keys":[1.5]'), SPEC.replace('"mark":"bar"', '"mark":"bar","mark":"bar"'), SPEC.replace("d.csv", "../d.csv")):
+    for bad in (
+        SPEC[:-1],
+        SPEC.replace('"mark":"bar"', '"mark":"pie"'),
+        SPEC.replace('"op":"group_by"', '"op":"pivot"'),
+        SPEC.replace('"keys":["k"]', '"keys":["k"],"n":1'),
+        SPEC.replace('"keys":["k"]', '"keys":[null]'),
+        SPEC.replace('"keys":["k"]', '"keys":[1.5]'),
+        SPEC.replace('"mark":"bar"', '"mark":"bar","mark":"bar"'),
+        SPEC.replace("d.csv", "../d.csv"),
+    ):
         with pytest.raises(CheckError) as e:
             corpus.decode(bad)
         assert e.value.check == "spec.decode"
 
 
 def test_bulk_verification(spark):
-    specs = spark.createDataFrame([("good", SPEC), ("hash", SPEC.replace("aaaa", "bbbb")), ("field", SPEC.replace('"field":"v"', '"field":"w"'))], "spec_id string, raw string")
+    specs = spark.createDataFrame(
+        [("good", SPEC), ("hash", SPEC.replace("aaaa", "bbbb")), ("field", SPEC.replace('"field":"v"', '"field":"w"'))],
+        "spec_id string, raw string",
+    )
     admitted = corpus.admission(specs, {"d.csv": SCHEMA}, {"d.csv": "sha256:" + "a" * 64})
     assert {r.spec_id: r.check for r in admitted.collect()} == {"good": None, "hash": "dataset.hash_matches_source", "field": "schema.fields_exist"}
     data = SCHEMA.typed(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double"))
@@ -118,10 +183,23 @@ def test_bulk_verification_of_shapes(spark):
     data = SCHEMA.typed(spark.createDataFrame([(k, float(v)) for v, k in enumerate("abcabcabz")] + [("n", None)], "k string, v double"))
     plain = json.loads(SPEC)
     specs = []
-    for where in ([], [("k", "eq", "a")], [("k", "eq", "b")], [("k", "eq", "none")], [("v", "ge", 3)], [("v", "ge", 100)], [("k", "ne", "a"), ("v", "lt", "7.5")], [("v", "lt", "1e40")], [("k", "eq", "c"), ("v", "le", 5)]):
+    for where in (
+        [],
+        [("k", "eq", "a")],
+        [("k", "eq", "b")],
+        [("k", "eq", "none")],
+        [("v", "ge", 3)],
+        [("v", "ge", 100)],
+        [("k", "ne", "a"), ("v", "lt", "7.5")],
+        [("v", "lt", "1e40")],
+        [("k", "eq", "c"), ("v", "le", 5)],
+    ):
         for keys in (True, False):
             ops = [{"op": "filter", "field": f, "cmp": c, "value": v} for f, c, v in where]
-            tail = plain["transform"] if keys else [{"op": "aggregate", "measures": [{"field": "v", "fn": "sum", "as": "s"}, {"field": "k", "fn": "count", "as": "k"}]}]
+            tail = plain["transform"] if keys else [{
+                "op": "aggregate",
+                "measures": [{"field": "v", "fn": "sum", "as": "s"}, {"field": "k", "fn": "count", "as": "k"}],
+            }]
             doc = {**plain, "transform": ops + tail}
             specs.append((f"s{len(specs)}", json.dumps(doc)))
     schemas, hashes = {"d.csv": SCHEMA}, {"d.csv": "sha256:" + "a" * 64}
@@ -152,7 +230,14 @@ def test_formula_columns_compile_where_they_fit(spark):
 
 
 def test_formula_limits_are_a_parameter():
-    for text, key in {"1+1": "formula_bytes", "x+1": "formula_tokens", "((x))": "formula_paren_depth", "123": "formula_digits", "-x": "formula_ast_nodes", "--x": "formula_ast_depth"}.items():
+    for text, key in {
+        "1+1": "formula_bytes",
+        "x+1": "formula_tokens",
+        "((x))": "formula_paren_depth",
+        "123": "formula_digits",
+        "-x": "formula_ast_nodes",
+        "--x": "formula_ast_depth",
+    }.items():
         low = {**formula.LIMITS, key: 1}
         with pytest.raises(formula.Refused) as e:
             formula.parse(text, limits=low)
@@ -171,14 +256,20 @@ def test_datasets_of_one_folder(spark, tmp_path):
     present = scan.datasets(spark, str(tmp_path))
     assert [r.name for r in present.collect()] == ["a.csv"]
     digest = present.first().sha256
-    asked = spark.createDataFrame([(1, "a.csv", digest), (2, "a.csv", "sha256:0"), (3, "../a.csv", digest), (4, "e.csv", digest), (5, "a.csv", None)], "id long, name string, declared string")
+    asked = spark.createDataFrame(
+        [(1, "a.csv", digest), (2, "a.csv", "sha256:0"), (3, "../a.csv", digest), (4, "e.csv", digest), (5, "a.csv", None)],
+        "id long, name string, declared string",
+    )
     assert {r.id: r.check is None for r in scan.binding(asked, present).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
 def test_spec_corpus_and_index(spark, tmp_path):
     for name in ("a.json", "b.json"):
         (tmp_path / name).write_text(name)
-    index = spark.createDataFrame([("a.json", "a", "good", "accept"), ("c.json", "c", "bad", "reject")], "name string, spec_id string, corpus string, expected string")
+    index = spark.createDataFrame(
+        [("a.json", "a", "good", "accept"), ("c.json", "c", "bad", "reject")],
+        "name string, spec_id string, corpus string, expected string",
+    )
     got = {(r.spec_id, r.raw, r.problem) for r in scan.spec_corpus(spark, str(tmp_path), index).collect()}
     assert got == {("a", "a.json", None), ("b.json", "b.json", "unindexed"), ("c", None, "missing")}
 
@@ -190,10 +281,20 @@ def test_check_rows_of_order_domain_and_formulas(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "value string") for xs in ("ab", "abc"))
     assert status(checks.legend_domain(a, b)) == ["fail"] and status(checks.legend_domain(a, a)) == ["pass"]
     assert status(checks.zero_baseline(placed, "v", F.lit(0))) == ["pass"] and status(checks.zero_baseline(placed, "v", F.lit(3))) == ["fail"]
-    rows = [(1, 0, Decimal(0), Decimal(1), "ok"), (1, 1, Decimal("0.000000000001"), Decimal(2), "ok"), (1, 2, Decimal("0.000000000001"), None, "formula.values_defined"), (1, 3, Decimal(9), Decimal("10000000000000000000000000.000000000001"), "ok")]
+    rows = [
+        (1, 0, Decimal(0), Decimal(1), "ok"),
+        (1, 1, Decimal("0.000000000001"), Decimal(2), "ok"),
+        (1, 2, Decimal("0.000000000001"), None, "formula.values_defined"),
+        (1, 3, Decimal(9), Decimal("10000000000000000000000000.000000000001"), "ok"),
+    ]
     df = spark.createDataFrame(rows, "formula_id long, i int, x decimal(38,12), y decimal(38,12), status string")
     got = {r.check: (r.status, r.message) for r in checks.formula_results(df, "1e24").collect()}
-    assert got == {"formula.sample_points_strictly_increasing": ("fail", "1 failing"), "formula.values_defined": ("fail", "1 failing"), "formula.values_bounded": ("fail", "1 failing"), "render.float64_fidelity": ("fail", "2 failing")}
+    assert got == {
+        "formula.sample_points_strictly_increasing": ("fail", "1 failing"),
+        "formula.values_defined": ("fail", "1 failing"),
+        "formula.values_bounded": ("fail", "1 failing"),
+        "render.float64_fidelity": ("fail", "2 failing"),
+    }
 
 
 def bucket_brute(rows, rate, burst):
