@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from attestry.plans import catalogue
@@ -24,6 +26,16 @@ def test_query(spark, db, name):
     assert got == want
 
 
+def test_ranges_reach_the_scan(spark):
+    """Numeric filters over float columns and text filters are in the Parquet scan, and only the columns asked for are read."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = catalogue.QUERIES["filter_conjunction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan)[1]
+    for part in ("GreaterThanOrEqual(l_quantity,9.9", "LessThanOrEqual(l_quantity,20.0", "EqualTo(l_returnflag,R)", "GreaterThanOrEqual(l_discount,0.00"):
+        assert part in pushed, pushed
+    assert "l_tax" not in re.search(r"ReadSchema: struct<(.*?)>", plan)[1]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
