@@ -35,7 +35,7 @@ from .common import checkpointed, stored
 
 SCALE, SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 256, 8192, 8192, 64
 #: Cells at most, and rows of the sample that their splits come from.
-CELLS, SAMPLE = 4096, 65_536
+CELLS, SAMPLE = 1024, 16_384
 #: Rows of a table of visits by shard up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -117,15 +117,13 @@ def exact_in_double(a: np.ndarray, b: np.ndarray, size: int) -> bool:
 class Splits:
     """Median splits of the widest axis over a sample, for each number of components; a cell is a leaf."""
 
-    def __init__(self, sample: list[np.ndarray], cells: int):
+    def __init__(self, sample: dict[int, np.ndarray], cells: int):
         self.trees: dict[int, list[tuple[int, int, int, int]]] = {}  # (axis, least value on the right, left, right); a leaf has axis -1
-        by_size: dict[int, list[np.ndarray]] = {}
-        for v in sample:
-            by_size.setdefault(len(v), []).append(v)
-        for size, own in by_size.items():
-            points, nodes, made = np.stack(own), [(-1, 0, 0, 0)], 1
-            most = max(1, cells * len(own) // len(sample))
-            todo = [(0, np.arange(len(own)))]
+        rows = sum(map(len, sample.values()))
+        for size, points in sample.items():
+            nodes, made = [(-1, 0, 0, 0)], 1
+            most = max(1, cells * len(points) // rows)
+            todo = [(0, np.arange(len(points)))]
             while todo and made < most:
                 todo.sort(key=lambda x: len(x[1]))
                 node, rows = todo.pop()
@@ -351,7 +349,8 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE, shard
     rows = stored(integral(vectors, scale=scale))
     n = rows.count()
     share = min(1.0, SAMPLE / max(1, n))
-    sample = [np.array(r["v"]) for r in rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("v").collect()]  # about SAMPLE rows
+    chosen = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("v").toArrow()  # about SAMPLE rows
+    sample = {v.shape[1]: v for _, v in _matrices(pa.concat_arrays(chosen.column("v").chunks))} if chosen.num_rows else {}
     base = stored(_in_cells(rows, Splits(sample, min(CELLS, -(-n // shard_rows)))))
     cells = Cells(_boxes(base).collect(), shard_rows)  # CELLS rows, and one for each number of components that the sample lacks
     parts = rows.sparkSession.createDataFrame(
