@@ -33,7 +33,7 @@ WORDS, SEED, DISTANCE = 3, 42, 2
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _signed = lambda bits: bits - (1 << 64) if bits >> 63 else bits
 MASKS = [_signed(sum(((1 << n) - 1) << at for at, n in chosen)) for chosen in combinations(BLOCKS, len(BLOCKS) - DISTANCE)]
-_CHUNK, _PAIRS = 1 << 15, 1 << 21
+_CHUNK, _PAIRS = 1 << 15, 1 << 20
 
 
 def fingerprint(text: bytes) -> int:
@@ -121,7 +121,7 @@ def linked_pairs(values: np.ndarray, group_lo: np.ndarray, group_hi: np.ndarray,
     left, right, held = [], [], 0
     while pairs:
         now = pairs.pop()
-        if now.shape[1] > 1 << 20:  # depth first in slices: the frontier stays bounded
+        if now.shape[1] > 1 << 17:  # depth first in slices: the frontier stays bounded
             pairs += [now[:, : now.shape[1] // 2], now[:, now.shape[1] // 2 :]]
             continue
         (va, ma), (vb, mb) = shared.of(now[0], now[1]), shared.of(now[2], now[3])
