@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linedup, packing, quality, secrets, simhash, substrings, topk, toxicity
+from . import decontaminate, langid, linedup, mixing, packing, quality, secrets, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -68,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("copy")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = F.element_at(F.array(F.lit(3), F.lit(1), F.lit(2)), (F.col("place") % 3 + 1).cast("int"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weight, budget=(3, 2), epochs=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_substrings": op2_substrings,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -119,4 +125,20 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
                sha256(coalesce(items.ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                          md5(concat_ws(':', '20240229', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS digest FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS n FROM d GROUP BY source),
+        p AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS HUGEINT) AS w, sum(n) OVER () AS total FROM s),
+        c AS (SELECT *, 12 * n // w AS r, 3 * total - 2 * (sum(2 * n) OVER o - 2 * n) AS above, 2 * (sum(w) OVER () - sum(w) OVER o + w) AS below
+              FROM p WINDOW o AS (ORDER BY 12 * n // w, source ROWS UNBOUNDED PRECEDING)),
+        l AS (SELECT above AS a, below AS b FROM c WHERE above * w <= below * 2 * n ORDER BY r, c.source LIMIT 1),
+        t AS (SELECT source, n, CASE WHEN a * w < b * 2 * n THEN CAST(a * w AS DOUBLE) / CAST(b AS DOUBLE) ELSE CAST(2 * n AS DOUBLE) END AS target,
+                     CASE WHEN a * w < b * 2 * n THEN CAST(CAST(a * w AS HUGEINT) // CAST(b AS HUGEINT) AS HUGEINT) ELSE CAST(2 * n AS HUGEINT) END AS words FROM c LEFT JOIN l ON true),
+        g AS (SELECT source, digest, CAST(sum(size) AS HUGEINT) AS among FROM d GROUP BY source, digest),
+        f AS (SELECT source, digest, among, CAST(sum(among) OVER (PARTITION BY source ORDER BY digest) AS HUGEINT) - among AS before FROM g)
+        SELECT d.doc_id, d.size, CAST(t.n AS BIGINT) AS source_size, t.target,
+               CAST(CASE WHEN t.n = 0 THEN 0 ELSE words // CAST(t.n AS HUGEINT) * size
+                    + CASE WHEN among = 0 THEN 0 ELSE size * greatest(0, least(among, words % CAST(t.n AS HUGEINT) - before)) // among END END AS BIGINT) AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN f ON d.digest = f.digest AND d.source IS NOT DISTINCT FROM f.source""",
 }
