@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linedup, mixing, packing, quality, secrets, simhash, substrings, topk, toxicity
+from . import collocations, decontaminate, langid, linedup, mixing, packing, quality, secrets, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weight, budget=(3, 2), epochs=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_substrings": op2_substrings,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_mixing": op11_mixing,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -141,4 +146,20 @@ SQL: dict[str, str] = {
                CAST(CASE WHEN t.n = 0 THEN 0 ELSE words // CAST(t.n AS HUGEINT) * size
                     + CASE WHEN among = 0 THEN 0 ELSE size * greatest(0, least(among, words % CAST(t.n AS HUGEINT) - before)) // among END END AS BIGINT) AS taken
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN f ON d.digest = f.digest AND d.source IS NOT DISTINCT FROM f.source""",
+    "op13_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+        t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+        f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM (
+                SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM (
+                  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size)) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        k AS (SELECT lang, phrase, f AS a, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp, k FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+        s AS (SELECT k.lang, k.phrase, a, l.f AS l, r.f AS r, n, k, 1000 * a * n // (l.f * r.f) AS score
+              FROM k JOIN f l ON k.lang = l.lang AND k.lp = l.phrase JOIN f r ON k.lang = r.lang AND k.rp = r.phrase JOIN t ON k.lang = t.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(f) AS over FROM (
+                SELECT lang, f, w, m, unnest(range(1, size - m + 2)) AS j FROM (SELECT *, unnest(range(2, size)) AS m FROM c)) GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase,
+               CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM b LEFT JOIN i USING (lang, phrase) WHERE over IS NULL OR 100 * over < 100 * a QUALIFY rank <= 2000""",
 }
