@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import collocations, decontaminate, langid, linedup, mixing, packing, quality, secrets, simhash, substrings, topk, toxicity
+from . import collocations, conversations, decontaminate, langid, linedup, mixing, packing, quality, secrets, simhash, substrings, topk, toxicity
 from .common import table
 
 
@@ -73,6 +73,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weight, budget=(3, 2), epochs=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(rows, conversations.repair(conversations.damaged(rows)))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -89,12 +94,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_mixing": op11_mixing,
+    "op12_conversations": op12_conversations,
     "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: for SQL: a row inserted after a state, a row kept or changed, a row deleted, and no way at all
+_INSERT = "{{'c': {0}.c + 5, 'a': {0}.a || 'I', 'r': list_append({0}.r, '{1}:')}}"
+_STAY = "{{'c': {0}.c + 5 * truncated + CASE WHEN {2} THEN {1} ELSE 1000000000000 END, 'a': {0}.a || '{4}', 'r': list_append({0}.r, {3} || ':' || text)}}"
+_DELETE = "{{'c': {0}.c + 2, 'a': {0}.a || 'D', 'r': {0}.r}}"
+_NO_WAY = "{'c': 1000000000000, 'a': '', 'r': CAST([] AS VARCHAR[])}"
+
+
+def _keep(state: str, initial: str) -> str:
+    return _STAY.format(state, 0, f"free AND role[1] = '{initial}'", "role", "K")
+
+
+def _rerole(state: str, role: str) -> str:
+    return _STAY.format(state, 1, "free", f"'{role}'", "R")
+
+
 SQL: dict[str, str] = {
     "op3_topk": """
         WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -162,4 +183,30 @@ SQL: dict[str, str] = {
         SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase,
                CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
         FROM b LEFT JOIN i USING (lang, phrase) WHERE over IS NULL OR 100 * over < 100 * a QUALIFY rank <= 2000""",
+    "op12_conversations": rf"""
+        WITH RECURSIVE d AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda e, j: xor(e // 2, 3988292384 * (e % 2))))) % 20 AS fault FROM d),
+        a AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE fault <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS kept FROM a),
+        f AS (SELECT *, kept = '' AS blank, kept <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+                     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+        r AS (SELECT *, NOT blank AND NOT duplicate AS free, CAST(NOT blank AND NOT duplicate AND kept[-1] NOT IN ('.', '!', '?') AS BIGINT) AS truncated FROM f),
+        p AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS s0, {_NO_WAY} AS s1, {_NO_WAY} AS s2, {_NO_WAY} AS s3 FROM (SELECT DISTINCT conv_id FROM r)
+              UNION ALL
+              SELECT conv_id, k + 1, {_DELETE.format("s0")}, list_min([{_DELETE.format("s1")}, {_keep("s0", "s")}]),
+                     list_min([{_DELETE.format("s2")}, {", ".join(x for s in ("s0", "s1", "s3") for x in (_keep(s, "u"), _rerole(s, "user")))}]),
+                     list_min([{_DELETE.format("s3")}, {_keep("s2", "a")}, {_rerole("s2", "assistant")}])
+              FROM (SELECT *, list_min([s3_, {_INSERT.format("s2", "assistant")}]) AS s3 FROM (
+                      SELECT p.conv_id, k, s0, s1, s3 AS s3_, list_min([s2, {", ".join(_INSERT.format(f"p.{s}", "user") for s in ("s0", "s1", "s3"))}]) AS s2, role, text, free, truncated
+                      FROM p JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = k + 1))),
+        e AS (SELECT conv_id, list_min([s0, s3, {_INSERT.format("s2", "assistant")}]) AS s FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+                     sum(truncated) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+        SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+               CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.a, '') AS audit,
+               sha256(coalesce(array_to_string(s.r, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
