@@ -70,12 +70,19 @@ def multiset_digest(df: DataFrame, schema: TableSchema, by: Sequence[str] = ())
     )
 
 
+def identity(df: DataFrame, schema: TableSchema) -> DataFrame:
+    """``sha256``: one row with an address of a table's contents that depends neither on order nor on files."""
+    lanes = multiset_digest(df, schema)
+    text = F.concat_ws("|", F.col("n_rows").cast("string"), *[f"lane{k}" for k in range(4)])
+    return lanes.select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("sha256"))
+
+
 #: Lines of a block, and blocks of a group, in a table's digest.
 BLOCK = 4096
 
 
-def table_digest(lines: DataFrame, schema: TableSchema) -> DataFrame:
-    """``n_rows, digest``: one row with the digest of header and lines in position order, from ``pos, line``.
+def table_digest(lines: DataFrame, schema: TableSchema, by: Sequence[str] = ()) -> DataFrame:
+    """``n_rows, digest`` (behind the columns of ``by``, where given): the digest of header and lines in position order, from ``pos, line``.
 
     One definition for every size: blocks of BLOCK lines are digested, then groups of BLOCK blocks, and the digest of
     the table is that of its header and its groups' digests, so that no task holds more than one of these lists.
@@ -84,7 +91,25 @@ def table_digest(lines: DataFrame, schema: TableSchema) -> DataFrame:
     def joined(order: str, text: str) -> Column:
         return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[text], F.lit("\n"))), ""), 256)
 
-    blocks = lines.groupBy(F.floor((F.col("pos") - 1) / BLOCK).alias("block")).agg(F.count("*").alias("n"), joined("pos", "line").alias("h"))
-    groups = blocks.groupBy(F.floor(F.col("block") / BLOCK).alias("group")).agg(F.sum("n").alias("n"), joined("block", "h").alias("h"))
+    blocks = lines.groupBy(*by, F.floor((F.col("pos") - 1) / BLOCK).alias("block")).agg(F.count("*").alias("n"), joined("pos", "line").alias("h"))
+    groups = blocks.groupBy(*by, F.floor(F.col("block") / BLOCK).alias("group")).agg(F.sum("n").alias("n"), joined("block", "h").alias("h"))
     hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "h"))), lambda x: x["h"]), "\n")
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), tagged("table", F.concat(F.lit(header_line(schema) + "\n"), hashes)).alias("digest"))
+    return groups.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), _of_table(F.lit(header_line(schema)), hashes).alias("digest"))
+
+
+def _of_table(header: Column, groups: Column) -> Column:
+    return tagged("table", F.concat(header, F.lit("\n"), groups))
+
+
+def empty_table_digest(schema: TableSchema) -> Column:
+    return _of_table(F.lit(header_line(schema)), F.lit(""))
+
+
+def stored_table_digest(header: Column, body: Column) -> Column:
+    """``table_digest`` of a table whose lines are one text, each with its end of line."""
+    lines = F.filter(F.split(body, "\n"), lambda x: x != "")
+    digest = lambda xs: F.sha2(F.concat(F.array_join(xs, "\n"), F.lit("\n")), 256)
+    in_blocks = lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: digest(F.slice(xs, b * BLOCK + 1, BLOCK)))
+    )
+    return _of_table(header, F.array_join(in_blocks(in_blocks(lines)), "\n"))

@@ -119,29 +119,52 @@ def zero_baseline(values: DataFrame, column: str, low: Column) -> DataFrame:
     return counted(values, "scale.bar_zero", F.col(column).isNotNull() & (low > F.least(F.lit(0), F.col(column))))
 
 
-def formula_results(evaluated: DataFrame, y_limit: str = "1e26") -> DataFrame:
-    """The checks of sampled formulas: points rise strictly, as decimals and as doubles, and values are defined, bounded and
-    faithful as doubles.  ``evaluated`` has ``formula_id, i, x, y, status``."""
+#: The checks that a formula's sampled points are put to, in the order in which they are reported.
+SAMPLED = (
+    "formula.sample_points_strictly_increasing formula.values_defined resource.formula_intermediate_bits formula.values_bounded formula.rounding_unambiguous "
+    "formula.points_from_recomputation formula.hash_matches_source render.float64_fidelity"
+).split()
+
+
+def formula_results(evaluated: DataFrame, expected: DataFrame, y_limit: str = "1e26") -> DataFrame:
+    """``formula_id, place, check, method, status, severity, message``: the checks of each sampled formula.
+
+    Points rise strictly, as decimals and as doubles; values are defined, within bounds, at their scale and faithful as doubles; there
+    are as many points as the formula has samples, each once; and the formula is the one that was declared.  ``evaluated`` has
+    ``formula_id, i, x, y, status``, ``expected`` ``formula_id, samples, y_scale, own_hash``.
+    """
     w = Window.partitionBy("formula_id").orderBy("i")
-    rows = evaluated.withColumn("before", F.lag("x").over(w))
+    rows = evaluated.withColumn("before", F.lag("x").over(w)).join(expected, "formula_id")
     bound = F.lit(y_limit).cast("double")
     lossless = lambda c: (F.abs(F.col(c).cast("double")) < float("inf")) & (F.col(c).cast("double").try_cast("decimal(38,12)") == F.col(c))
+    unit = F.pow(F.lit(10).cast("double"), (F.lit(12) - F.col("y_scale")).cast("double")).cast("decimal(13,0)")
     tests = {
-        "formula.sample_points_strictly_increasing": F.col("before").isNotNull() & (F.col("x") <= F.col("before")),
-        "formula.values_defined": F.col("status") == "formula.values_defined",
-        "formula.values_bounded": F.col("y").isNotNull() & (F.abs(F.col("y").cast("double")) > bound),
-        "render.float64_fidelity": (F.col("before").isNotNull() & (F.col("x").cast("double") <= F.col("before").cast("double"))) | ~F.coalesce(
+        SAMPLED[0]: F.col("before").isNotNull() & (F.col("x") <= F.col("before")),
+        SAMPLED[1]: F.col("status") == SAMPLED[1],
+        SAMPLED[2]: F.col("status") == SAMPLED[2],
+        # a value beyond what 38 digits hold has a status of ok and no decimal
+        SAMPLED[3]: (F.col("status") == "ok") & (F.col("y").isNull() | (F.abs(F.col("y").cast("double")) > bound)),
+        SAMPLED[4]: F.replace(F.col("y").cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)") % unit != 0,
+        SAMPLED[7]: (F.col("before").isNotNull() & (F.col("x").cast("double") <= F.col("before").cast("double"))) | ~F.coalesce(
             lossless("x") & F.coalesce(lossless("y"), F.lit(True)),
             F.lit(False),
         ),
     }
-    counts = rows.agg(*[F.count_if(bad).alias(check) for check, bad in tests.items()])
-    long = counts.unpivot([], [F.col(f"`{c}`") for c in tests], "check", "n")
-    methods = F.create_map(*[F.lit(x) for c in tests for x in (c, METHOD_OF[c])])
+    n, whole = F.count(F.lit(1)), F.max("samples")
+    once = (n == whole) & (F.min("i") == 0) & (F.max("i") == whole - 1) & (F.count_distinct("i") == n)
+    counts = rows.groupBy("formula_id").agg(
+        *[F.count_if(bad).alias(check) for check, bad in tests.items()],
+        F.when(once, F.lit(0)).otherwise(F.lit(1)).cast("long").alias(SAMPLED[5]),
+        F.count_if(~F.col("own_hash")).alias(SAMPLED[6]),
+    )
+    long = counts.unpivot(["formula_id"], [F.col(f"`{c}`") for c in SAMPLED], "check", "n")
+    table = lambda of: F.create_map(*[F.lit(x) for i, c in enumerate(SAMPLED) for x in (c, of(i, c))])[F.col("check")]
     failed = F.col("n") > 0
     return long.select(
+        "formula_id",
+        table(lambda i, c: i).alias("place"),
         "check",
-        methods[F.col("check")].alias("method"),
+        table(lambda i, c: METHOD_OF[c]).alias("method"),
         F.when(failed, "fail").otherwise("pass").alias("status"),
         F.when(failed, "error").otherwise("info").alias("severity"),
         F.concat(F.col("n").cast("string"), F.lit(" failing")).alias("message"),

@@ -3,110 +3,30 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.digests import multiset_digest
+from ..functions.digests import empty_table_digest, multiset_digest, row_line, table_digest
+from ..sources.canonical import lines
 from ..sources.store import stored
 from ..types import CheckError, TableSchema
+from .order import positions
 from .pipeline import Channel, Pipeline, checked_literal, kind_of, literal_condition
+from .specs import canonical, decode, planned
 
-DATASET = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\.csv")
-HASH = re.compile(r"sha256:[0-9a-f]{64}")
-MARKS = ("bar", "line", "scatter")
-
-
-def _refuse(message: str):
-    raise CheckError("spec.decode", message)
-
-
-def _object(pairs: list[tuple[str, object]]) -> dict:
-    out = dict(pairs)
-    return out if len(out) == len(pairs) else _refuse("a key occurs twice")
-
-
-def _exact(doc: object, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict:
-    if not isinstance(doc, dict) or not set(required) <= set(doc) <= {*required, *optional}:
-        _refuse(f"an object with {required} is needed")
-    return doc
-
-
-def decode(raw: str) -> dict:
-    """A spec, strictly: no unknown or repeated key, no float, no boolean, no null."""
-    try:
-        doc = json.loads(
-            raw,
-            object_pairs_hook=_object,
-            parse_float=lambda x: _refuse("floats are not allowed"),
-            parse_constant=lambda x: _refuse("constants are not allowed"),
-        )
-    except (json.JSONDecodeError, RecursionError) as e:
-        raise CheckError("spec.decode", "not JSON") from e
-
-    def plain(x: object) -> None:
-        if x is None or isinstance(x, bool):
-            _refuse("null and booleans are not allowed")
-        for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-            plain(y)
-
-    plain(doc)
-    _exact(doc, ("version", "dataset", "transform", "mark", "encoding"))
-    _exact(doc["dataset"], ("name", "hash"))
-    if not isinstance(doc["dataset"]["name"], str) or not DATASET.fullmatch(doc["dataset"]["name"]) or not isinstance(doc["dataset"]["hash"], str) or not HASH.fullmatch(doc["dataset"]["hash"]):
-        _refuse("dataset name or hash is malformed")
-    if doc["version"] != "1" or doc["mark"] not in MARKS:
-        _refuse("unknown version or mark")
-    if not isinstance(doc["transform"], list):
-        _refuse("transform is a list")
-    shapes = {"select": ("fields",), "filter": ("field", "cmp", "value"), "group_by": ("keys",), "aggregate": ("measures",), "sort": ("by",)}
-    for op in doc["transform"]:
-        if not isinstance(op, dict) or op.get("op") not in shapes:
-            _refuse("unknown operation")
-        _exact(op, ("op", *shapes[op["op"]]))
-    _exact(doc["encoding"], ("x", "y"), ("color",))
-    for c in doc["encoding"].values():
-        if _exact(c, ("field", "type"))["type"] not in ("quantitative", "temporal", "ordinal", "nominal"):
-            _refuse("unknown channel type")
-    return doc
-
-
-def canonical(doc: dict) -> str:
-    """The spec re-encoded: one text for all spellings of one spec."""
-    return json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def planned(doc: dict, schema: TableSchema) -> Pipeline:
-    """The pipeline of a decoded spec; plan checks raise."""
-    p = Pipeline(schema)
-    for op in doc["transform"]:
-        match op["op"]:
-            case "select":
-                p = p.select(*op["fields"])
-            case "filter":
-                p = p.filter(op["field"], op["cmp"], op["value"])
-            case "group_by":
-                p = p.group_by(*op["keys"])
-            case "aggregate":
-                p = p.aggregate(*[(m["field"], m["fn"], m["as"]) for m in (_exact(m, ("field", "fn", "as")) for m in op["measures"])])
-            case "sort":
-                p = p.sort(*[(b["field"], b["order"]) for b in (_exact(b, ("field", "order")) for b in op["by"])])
-    return p.closed()
-
-
-def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[str, str]) -> DataFrame:
+def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[str, str] | None = None) -> DataFrame:
     """``spec_id, stage, check, canonical`` of every spec: the first check that fails and its stage, or NULL.
 
     Stages: ``decode``, ``binding`` (manifest and declared hash), ``plan``, ``encoding``.  The schemas and hashes are
-    the catalogue of datasets that specs can name.
+    the catalogue of datasets that specs can name; without ``hashes`` the column ``source`` of ``specs`` has each one's own.
     """
 
-    def judge(raw: str) -> tuple:
+    def judge(raw: str | None, source: str | None) -> tuple:
         stage, text = "decode", None
         try:
             doc = decode(raw)
@@ -114,7 +34,7 @@ def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[st
             name = doc["dataset"]["name"]
             if name not in schemas:
                 raise CheckError("dataset.manifest_available", name)
-            if hashes.get(name) != doc["dataset"]["hash"]:
+            if (hashes.get(name) if hashes is not None else source) != doc["dataset"]["hash"]:
                 raise CheckError("dataset.hash_matches_source", name)
             stage = "plan"
             plan = planned(doc, schemas[name])
@@ -128,10 +48,11 @@ def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[st
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(x) for x in pdf["raw"]]
+            got = [judge(x, y) for x, y in zip(pdf["raw"], pdf["source"], strict=True)]
             yield pd.DataFrame({"spec_id": pdf["spec_id"], "stage": [g[0] for g in got], "check": [g[1] for g in got], "canonical": [g[2] for g in got]})
 
-    return specs.select("spec_id", "raw").mapInPandas(work, "spec_id string, stage string, check string, canonical string")
+    own = (F.col("source") if hashes is None else F.lit(None)).cast("string").alias("source")
+    return specs.select("spec_id", "raw", own).mapInPandas(work, "spec_id string, stage string, check string, canonical string")
 
 
 def _shape(canonical_text: str, schemas: dict[str, TableSchema]) -> tuple[str, list[str]]:
@@ -148,27 +69,38 @@ def _shape(canonical_text: str, schemas: dict[str, TableSchema]) -> tuple[str, l
     return json.dumps({"name": doc["dataset"]["name"], "transform": steps}, sort_keys=True), literals
 
 
-def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame]) -> DataFrame:
-    """``plan, n_rows, lane0..3`` of all specs of one shape, in one job over its dataset."""
+def _identified(df: DataFrame, plan: Pipeline, by: list[str], tables: bool) -> DataFrame:
+    """Results' identities by ``by``: multisets, or tables in their order."""
+    if not tables:
+        return multiset_digest(df, plan.schema, by=by)
+    if not by:
+        return table_digest(lines(positions(df, plan.order()), plan.schema), plan.schema)
+    placed = df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*plan.order())).cast("long"))
+    return table_digest(placed.select(*by, "pos", row_line(plan.schema).alias("line")), plan.schema, by=by)
+
+
+def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame], *, keyed: bool, ordered: bool) -> DataFrame:
+    """``plan`` with the identities of all specs of one shape, in one job over its dataset."""
     doc = json.loads(shape)
     values = iter(example)
     open_ = [k for k, op in enumerate(doc["transform"]) if op["op"] == "filter" and op["value"] is None]
     for k in open_:
         doc["transform"][k]["value"] = next(values)
     plan = planned(doc, schemas[doc["name"]])
-    data = tables(doc["name"]).select(*schemas[doc["name"]].names)
-    if not open_:
-        return _every(multiset_digest(plan.to_df(data), plan.schema), specs)
+    data = tables(doc["name"]).select(*schemas[doc["name"]].names, *(["__source"] if keyed else []))
+    if not open_ and not keyed:
+        return _every(_identified(plan.to_df(data), plan, [], ordered), specs)
     given = {k: F.col(f"__l{i}") for i, k in enumerate(open_)}
-    literals = specs.select(F.col("plan").alias("__plan"), *[F.col("literals")[i].alias(f"__l{i}") for i in range(len(open_))])
-    meets = reduce(Column.__and__, [literal_condition(plan.steps[k][2], *plan.steps[k][1][1:], c) for k, c in given.items()])
+    literals = specs.select(F.col("plan").alias("__plan"), *([F.col("key").alias("__key")] if keyed else []), *[F.col("literals")[i].alias(f"__l{i}") for i in range(len(open_))])
+    meets = [literal_condition(plan.steps[k][2], *plan.steps[k][1][1:], c) for k, c in given.items()]
+    meets = reduce(Column.__and__, [*([F.col("__source") == F.col("__key")] if keyed else []), *meets])
     first = next((step for step in plan.steps if step[0] == "aggregate"), None)
     # an aggregate over no rows at all is a row too
     joined = literals.join(data, meets, "left" if first is not None and not first[1] else "inner")
     rest = replace(plan, steps=tuple(step for k, step in enumerate(plan.steps) if k not in given))
-    got = multiset_digest(rest.to_df(joined, carry=["__plan"]), plan.schema, by=["__plan"]).withColumnRenamed("__plan", "plan")
-    lanes = [F.coalesce(f"lane{k}", F.lit("0")).alias(f"lane{k}") for k in range(4)]
-    return specs.select("plan").join(got, "plan", "left").select("plan", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *lanes)
+    got = _identified(rest.to_df(joined, carry=["__plan"]), plan, ["__plan"], ordered).withColumnRenamed("__plan", "plan")
+    none = [F.coalesce(f"lane{k}", F.lit("0")).alias(f"lane{k}") for k in range(4)] if not ordered else [F.coalesce("digest", empty_table_digest(plan.schema)).alias("digest")]
+    return specs.select("plan").join(got, "plan", "left").select("plan", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *none)
 
 
 def _every(one: DataFrame, specs: DataFrame) -> DataFrame:
@@ -176,28 +108,40 @@ def _every(one: DataFrame, specs: DataFrame) -> DataFrame:
     return specs.select("plan", F.lit(1).alias("__k")).join(F.broadcast(one.withColumn("__k", F.lit(1))), "__k").drop("__k")
 
 
-def verified_results(admitted: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame], *, shapes_at_once: int = 16) -> DataFrame:
-    """``spec_id, n_rows, lane0..3``: the recomputed result's identity for each admitted spec.
+def verified_results(
+    admitted: DataFrame,
+    schemas: dict[str, TableSchema],
+    tables: Callable[[str], DataFrame],
+    *,
+    shapes_at_once: int = 16,
+    key: str | None = None,
+    ordered: bool = False,
+) -> DataFrame:
+    """``spec_id, n_rows, lane0..3``: the recomputed result's identity for each admitted spec; with ``ordered`` the ``digest`` of
+    the table in its order in place of the lanes.
 
     Specs that differ in spelling, mark or encoding only are computed once.  Specs that differ in the literals of their
     first filters have one shape: their literals are a table, joined to the dataset's rows by the filters (an equality
     makes it a hash join), so that a shape costs one scan however many specs have it.  Only the distinct shapes are on
     the driver, where their plans are made, ``shapes_at_once`` of them in one job.
+
+    ``key`` names a column of ``admitted`` by which a spec's own rows are told apart: ``tables`` then gives many datasets of one name
+    in one frame, with the key in ``__source``, and all of them are computed in the shape's one job.
     """
-    good = admitted.filter("check is null").select("spec_id", "canonical")
+    good = admitted.filter("check is null").select("spec_id", "canonical", (F.col(key) if key else F.lit(None)).cast("string").alias("key"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [_shape(x, schemas) for x in pdf["canonical"]]
-            yield pd.DataFrame({"spec_id": pdf["spec_id"], "shape": [x for x, _ in made], "literals": [x for _, x in made]})
+            yield pd.DataFrame({"spec_id": pdf["spec_id"], "key": pdf["key"], "shape": [x for x, _ in made], "literals": [x for _, x in made]})
 
-    specs = good.mapInPandas(work, "spec_id string, shape string, literals array<string>")
-    specs = stored(specs.withColumn("plan", F.sha2(F.to_json(F.struct("shape", "literals")), 256)))
-    plans = stored(specs.groupBy("plan").agg(F.first("shape").alias("shape"), F.first("literals").alias("literals")))
+    specs = good.mapInPandas(work, "spec_id string, key string, shape string, literals array<string>")
+    specs = stored(specs.withColumn("plan", F.sha2(F.to_json(F.struct("shape", "literals", "key")), 256)))
+    plans = stored(specs.groupBy("plan").agg(F.first("shape").alias("shape"), F.first("literals").alias("literals"), F.first("key").alias("key")))
     shapes = plans.groupBy("shape").agg(F.min("literals").alias("example")).orderBy("shape").collect()
-    done = [specs.sparkSession.createDataFrame([], "plan string, n_rows long, lane0 string, lane1 string, lane2 string, lane3 string")]
+    done = [specs.sparkSession.createDataFrame([], "plan string, n_rows long, " + ("digest string" if ordered else "lane0 string, lane1 string, lane2 string, lane3 string"))]
     for at in range(0, len(shapes), shapes_at_once):
-        own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables) for r in shapes[at : at + shapes_at_once]]
+        own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables, keyed=key is not None, ordered=ordered) for r in shapes[at : at + shapes_at_once]]
         done.append(stored(reduce(DataFrame.unionByName, own)) if len(shapes) > shapes_at_once else reduce(DataFrame.unionByName, own))
     return specs.select("spec_id", "plan").join(reduce(DataFrame.unionByName, done), "plan").drop("plan")
 

@@ -102,6 +102,21 @@ def with_blobs(refs: DataFrame, blobs: DataFrame, digest: str = "blob_digest", k
     return refs.join(own, [digest, kind])
 
 
+def names_of(name: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in SHAPES[name].split(",")]
+
+
+def prefix_of(keys: list[str], digits: int) -> Column:
+    """The folder of a row: the first digits of its key's digest."""
+    return F.substring(F.sha2(F.concat_ws("\x00", *keys), 256), 1, digits)
+
+
+def row_hash(name: str) -> Column:
+    """A digest of a row's other columns, nulls told from texts."""
+    rest = [F.sha2("content", 256).alias("content") if c == "content" else F.col(c) for c in names_of(name) if c not in KEYS[name]]
+    return F.sha2(F.to_json(F.struct(*rest) if rest else F.struct(F.lit(1))), 256)
+
+
 def new_blobs(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["digest", "kind"]).join(stored.select("digest", "kind"), ["digest", "kind"], "left_anti")
 
@@ -277,39 +292,55 @@ def audit_documents(attempts: DataFrame, references: DataFrame, blobs: DataFrame
 
 
 class Ledger:
-    """The ledger's tables below a path."""
+    """The ledger's tables below a path, each in folders by the first ``digits`` of a digest of its rows' keys (and blobs by kind).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    ``digits`` belongs to a ledger for good: 16 folders a table, or 256 or more for large ones."""
 
-    def table(self, name: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, *, digits: int = 1):
+        self.spark, self.path, self.digits = spark, path, digits
+
+    def _held(self, name: str, prefixes: list[str] | None = None) -> DataFrame:
+        shape = f"{SHAPES[name]}, prefix string"
         try:
-            return self.spark.read.schema(SHAPES[name]).parquet(f"{self.path}/{name}")
+            rows = self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], SHAPES[name])
+            rows = self.spark.createDataFrame([], shape)
+        return rows if prefixes is None else rows.filter(F.col("prefix").isin(prefixes))
+
+    def table(self, name: str) -> DataFrame:
+        return self._held(name).select(*names_of(name))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in SHAPES}
 
     def publish(self, batch: dict[str, DataFrame], *, quota: int | None = None) -> None:
-        """Append what is new, attempts last; nothing is written when a row collides or the quota is exceeded."""
+        """Append what is new, attempts last.  Nothing is written when two rows of the batch, or one of it and a stored one, differ
+        under one key, when a blob is not what its address says, or when the quota is exceeded.  Of what is stored, only
+        the folders that the batch's keys fall into are read."""
         fresh = {}
         for name in SHAPES:
             if name not in batch:
                 continue
-            rows = batch[name].select(*[f.name for f in self.spark.createDataFrame([], SHAPES[name]).schema]).dropDuplicates(KEYS[name])
-            old = self.table(name)
-            if collisions(rows, old, KEYS[name]).limit(1).count():
+            keys = KEYS[name]
+            rows = batch[name].select(*names_of(name)).withColumn("prefix", prefix_of(keys, self.digits)).withColumn("__same", row_hash(name))
+            if name == "blobs" and not blob_integrity(rows).isEmpty():
+                raise ValueError("a blob of this batch is not what its address or size says")
+            differ = rows.groupBy(*keys).agg((F.min("__same") != F.max("__same")).alias("differ")).filter("differ")
+            if not differ.isEmpty():
+                raise ValueError(f"two different rows of {name} have one key in this batch")
+            prefixes = sorted(r["prefix"] for r in rows.select("prefix").distinct().collect())  # one for each folder at most
+            old = self._held(name, prefixes).select(*keys, row_hash(name).alias("__old"))
+            if not rows.join(old, keys).filter("__same <> __old").isEmpty():
                 raise ValueError(f"a different row is stored in {name} under a key of this batch")
-            fresh[name] = rows.join(old.select(*KEYS[name]), KEYS[name], "left_anti")
+            fresh[name] = rows.dropDuplicates(keys).join(old, keys, "left_anti").drop("__same")
         if quota is not None and "blobs" in fresh:
             held = sum(int(x.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) for x in (self.table("blobs"), fresh["blobs"]))
             if held > quota:
                 raise ValueError(f"{held} bytes exceed the quota of {quota}")
         for name in SHAPES:
             if name in fresh:
-                writer = fresh[name].write.mode("append")
-                (writer.partitionBy("kind") if name == "blobs" else writer).parquet(f"{self.path}/{name}")
+                folders = ["kind", "prefix"] if name == "blobs" else ["prefix"]
+                fresh[name].repartition(*folders).write.mode("append").partitionBy(*folders).parquet(f"{self.path}/{name}")
 
     def audit(self) -> tuple[DataFrame, DataFrame]:
         """(orphaned references, damaged blobs)."""

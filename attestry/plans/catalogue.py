@@ -7,15 +7,17 @@ by the same expressions on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digests, exact
-from ..operators import checks, corpus, formula, ledger, order, replies, verify
+from ..operators import audit, checks, corpus, formula, ledger, order, replies, specs, verify
 from ..operators.pipeline import Channel, Pipeline
 from ..sources import canonical, reports, scan
-from ..sources.store import fresh_path
+from ..sources.store import fresh_path, stored
 from ..streaming import streams
 from ..types import Numeric, TableSchema, Temporal, Text
 
@@ -780,6 +782,125 @@ def ledger_certificate_audit(spark, sf_dir):
     return ledger.certificate_audit(certificates, blobs)
 
 
+# --- the ledger as a whole -----------------------------------------------------------------------------------------
+_MANIFEST = '{"columns":[{"name":"o_orderkey","type":"numeric"},{"name":"o_orderstatus","type":"string"},{"name":"o_totalprice","type":"numeric","scale":2,"unit":"USD"}]}'
+_MANIFEST_HEADER = '["o_orderkey:numeric:0","o_orderstatus:string","o_totalprice:numeric:2"]'
+_PLOT_CHECKS = ("spec.decode", "dataset.hash_matches_source", "filter.value_type", "render.float64_fidelity")
+
+
+def _plots(spark, sf_dir, fault):
+    """Two archived plots for each fifty customers' orders (group ``g``; ``j`` 0 and 1): what is stored of each, and of what its record
+    tells.  ``fault(k)`` has by name the faults that are planted where ``k`` (2 g + j) says so."""
+    o = orders(spark, sf_dir).withColumn("g", F.floor(F.col("o_custkey") / 50).cast("long"))
+    bad = fault(F.col("g") * 2)["cell"]
+    price = F.when(bad & (F.col("o_orderkey") % 3 == 0), F.lit("x")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", price)
+    row = F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_totalprice").cast("string"), F.lit("]\n"))
+    entry = F.struct((-F.col("o_totalprice")).alias("by"), "o_orderkey", row.alias("row"), "o_orderstatus")
+    groups = o.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines"), F.array_sort(F.collect_list(entry)).alias("rows"))
+    p = groups.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("g") * 2 + F.col("j"))
+    has = fault(F.col("k"))
+    status = F.when(F.col("j") == 0, "F").otherwise("O")
+    source = F.concat(F.lit("o_orderkey,o_orderstatus,o_totalprice\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""))
+    own = F.filter("rows", lambda x: x["o_orderstatus"] == F.col("status"))
+    body = F.array_join(F.transform(F.when(has["table"], F.slice(F.col("own"), 2, 1 << 30)).otherwise(F.col("own")), lambda x: x["row"]), "")
+    p = p.withColumns({"status": status, "source": source}).withColumn("own", own).withColumn("body", body)
+    digest = F.concat(F.lit("sha256:"), F.sha2("source", 256))
+    other = F.lit(_HASH)
+    named = F.when(has["spec.dataset"], other).otherwise(digest)
+    mark = F.when(has["refused"], "pie").otherwise("scatter")
+    spec = F.concat(F.lit('{"dataset":{"hash":"'), named, F.lit('","name":"orders.csv"},"encoding":{"x":{"field":"o_orderkey","type":"ordinal"},"y":{"field":"o_totalprice","type":"quantitative"}},"mark":"'), mark, F.lit('","transform":[{"cmp":"eq","field":"o_orderstatus","op":"filter","value":"'), status, F.lit('"},{"fields":["o_orderkey","o_totalprice"],"op":"select"},{"by":[{"field":"o_totalprice","order":"descending"}],"op":"sort"}],"version":"1"}'))
+    header = F.lit('["o_orderkey:numeric:0","o_totalprice:numeric:2"]')
+    wrong = lambda check: F.when(has["methods"] & F.lit(check == "spec.decode"), "construction").otherwise(checks.METHOD_OF[check])
+    listed = [F.struct(F.lit(c).alias("id"), wrong(c).alias("method"), F.lit("pass").alias("status")) for c in _PLOT_CHECKS]
+    verdict = F.to_json(F.struct(
+        (~has["verdict"]).alias("verified"),
+        F.lit("verify").alias("layer"),
+        F.array(*[F.struct(F.lit(c).alias("check"), wrong(c).alias("method"), F.lit("pass").alias("status")) for c in _PLOT_CHECKS]).alias("results"),
+    ))
+    tools = lambda given: F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+    archived = F.when(has["drift"], tools(verify.tools() | {"attestry": "0"})).otherwise(tools(verify.tools()))
+    p = p.withColumns({"digest": digest, "spec": spec, "manifest": F.lit(_MANIFEST), "table": F.concat(header, F.lit("\n"), "body"), "verdict": verdict})
+    p = p.withColumn("versions", F.to_json(F.when(has["versions"], tools({"attestry": "?"})).otherwise(archived)))
+    unless = lambda name, c: F.when(has[name], other).otherwise(c)
+    record = audit.record_text({
+        "version": F.lit(digests.VERSION),
+        "dataset_hash": unless("dataset_hash", F.col("digest")),
+        "spec_hash": unless("spec_hash", verify.spec_hash(F.col("spec"))),
+        "manifest_hash": unless("manifest_hash", digests.tagged("manifest", F.lit(_MANIFEST_HEADER))),
+        "plotted_table_hash": unless("plotted_table_hash", digests.stored_table_digest(header, F.col("body"))),
+        "checks": F.when(has["checks"], F.array(*listed[1:])).otherwise(F.array(*listed)),
+        "filters": F.array(F.struct(F.lit("o_orderstatus").alias("field"), F.lit("eq").alias("cmp"), F.when(has["filters"], "?").otherwise(status).alias("value"))),
+        "sorts": F.array(F.struct(F.lit("o_totalprice").alias("field"), F.when(has["sorts"], "ascending").otherwise("descending").alias("order"))),
+        "tools": archived,
+    })
+    p = p.withColumn("record", F.concat(record, F.when(has["record.encoding"], " ").otherwise("")))
+    address = unless("record.address", digests.tagged("certificate", F.col("record")))
+    return p.select("g", "j", "k", address.alias("plot_id"), F.when(has["key"], "other").otherwise("k").alias("keyid"), "record", "source", F.col("digest").alias("source_digest"), *audit.ROLES, (~has["blobs"]).alias("intact"))
+
+
+_AUDITED = "record.encoding record.address dataset_hash manifest_hash spec_hash plotted_table_hash spec.dataset filters sorts verdict checks methods versions blobs".split()
+_REPLAYED = ("key", "filters", "table", "drift", "refused")
+_NO_FAULTS = {*_AUDITED, *_REPLAYED, "cell"}
+
+
+@query("certificate_binding", f"""WITH p AS (SELECT g, j, (2 * g + j) % 17 AS k FROM (SELECT DISTINCT o_custkey // 50 AS g FROM orders), (SELECT unnest([0, 1]) AS j)),
+    f AS (SELECT unnest({_AUDITED}) AS problem, unnest(range(1, 15)) AS k) SELECT g, CAST(j AS INTEGER) AS j, problem FROM p JOIN f USING (k) UNION ALL SELECT g, j, 'spec.dataset' FROM p WHERE k = 3""")
+def certificate_binding(spark, sf_dir):
+    """Bundles with one part each that does not belong to the others: a row for each mismatch (a wrong dataset digest is two)."""
+    plots = _plots(spark, sf_dir, lambda k: {name: F.lit(False) for name in _NO_FAULTS} | {name: k % 17 == i for i, name in enumerate(_AUDITED, 1)})
+    found = plots.withColumn("plot_id", F.concat("plot_id", F.when(F.col("k") % 17 == 2, F.col("k").cast("string")).otherwise("")))
+    found = stored(found)
+    return audit.bundle_audit(found).join(found.select("plot_id", "g", "j"), "plot_id").select("g", "j", "problem")
+
+
+@query("ledger_replay", """WITH p AS (SELECT g, j, (2 * g + j) % 11 AS k, g % 7 = 3 AS cell FROM (SELECT DISTINCT o_custkey // 50 AS g FROM orders), (SELECT unnest([0, 1]) AS j))
+    SELECT g, CAST(j AS INTEGER) AS j, CASE WHEN k = 1 THEN 'untrusted_key' WHEN k = 2 THEN 'integrity_failed' WHEN cell OR k IN (3, 5) THEN 'recomputation_failed' WHEN k = 4 THEN 'drift' ELSE 'exact' END AS status,
+    CASE WHEN k = 3 AND NOT cell THEN 'plotted_table_hash' WHEN k = 4 AND NOT cell THEN 'attestry' ELSE '' END AS drifted FROM p""")
+def ledger_replay(spark, sf_dir):
+    """The bundles published to a ledger and replayed from it: keys that are not trusted, parts that do not belong together, tables
+    that lack a row, other versions, specs that are refused today, and sources with bad cells."""
+    faults = lambda k: {name: F.lit(False) for name in _NO_FAULTS} | {name: k % 11 == i for i, name in enumerate(_REPLAYED, 1)} | {"cell": F.floor(k / 2) % 7 == 3}
+    plots = stored(_plots(spark, sf_dir, faults))
+    book = ledger.Ledger(spark, fresh_path(spark))
+    book.publish(audit.bundle_tables(plots))
+    trusted = spark.createDataFrame([("k",)], "keyid string")
+    return audit.replay(book, trusted).join(plots.select("plot_id", "g", "j"), "plot_id").select("g", "j", "status", "drifted")
+
+
+@query("ledger_publish", """WITH d AS (SELECT *, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT DISTINCT h FROM d)
+    SELECT 'blobs' AS "table", count(*) AS n_rows, 0 AS refused FROM b UNION ALL SELECT 'attempts', count(DISTINCT doc_id), 0 FROM d UNION ALL SELECT 'attempt_references', count(DISTINCT doc_id), 0 FROM d
+    UNION ALL SELECT 'batch', count(*), 1 FROM (SELECT doc_id FROM d WHERE doc_id % 3 = 0 GROUP BY 1) UNION ALL SELECT 'stored', count(*), 1 FROM (SELECT doc_id FROM d WHERE doc_id % 5 = 0 GROUP BY 1)""")
+def ledger_publish(spark, sf_dir):
+    """Documents' attempts in two overlapping batches, then a batch that contradicts itself and one that contradicts what is stored."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    book = ledger.Ledger(spark, fresh_path(spark))
+    attempt = F.concat(F.lit("a"), F.col("doc_id").cast("string"))
+    fixed = {"envelope_kind": "attempt", "keyid": None, "plot_id": None, "nonce": "0" * 32, "occurred_at": "2024-01-01T00:00:00.000000Z", "route": "propose_and_render", "outcome": "rejected"}
+
+    def attempts(rows, at="2024-01-01T00:00:00.000000Z"):
+        given = {**fixed, "occurred_at": at}
+        return rows.select(attempt.alias("attempt_id"), _digest(F.col("text")).alias("envelope_digest"), F.lit(200).alias("http_status"), *[F.lit(v).cast("string").alias(k) for k, v in given.items()]).dropDuplicates(["attempt_id"])
+
+    def batch(rows):
+        refs = rows.select(attempt.alias("attempt_id"), F.lit("model_reply").alias("role"), _digest(F.col("text")).alias("blob_digest"), F.lit("attempt").alias("blob_kind")).dropDuplicates(["attempt_id"])
+        return {"blobs": ledger.blobs_of(rows, F.col("text"), F.lit("attempt")), "attempt_references": refs, "attempts": attempts(rows)}
+
+    book.publish(batch(d.filter("doc_id % 2 = 0")))
+    book.publish(batch(d))
+    out = [book.stats().filter("table in ('blobs', 'attempts', 'attempt_references')").select("table", "n_rows", F.lit(0).alias("refused"))]
+    late = "2025-01-01T00:00:00.000000Z"
+    for name, rows in (("batch", d.filter("doc_id % 3 = 0")), ("stored", d.filter("doc_id % 5 = 0"))):
+        changed = attempts(rows, late).unionByName(attempts(rows)) if name == "batch" else attempts(rows, late)
+        try:
+            book.publish({"attempts": changed})
+            refused = 0
+        except ValueError:
+            refused = 1
+        out.append(rows.agg(F.lit(name).alias("table"), F.count_distinct("doc_id").alias("n_rows"), F.lit(refused).alias("refused")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("replay_status", """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 10 = 0 THEN 'untrusted_key' WHEN o_orderkey % 12 = 5 THEN 'integrity_failed' WHEN o_orderkey % 14 = 3 THEN 'recomputation_failed' WHEN o_orderkey % 16 = 7 THEN 'drift' ELSE 'exact' END AS status,
     CASE WHEN o_custkey % 10 <> 0 AND o_orderkey % 12 <> 5 AND o_orderkey % 14 <> 3 AND o_orderkey % 16 = 7 THEN 'table_hash' ELSE '' END AS drifted FROM orders""")
 def replay_status(spark, sf_dir):
@@ -1062,26 +1183,48 @@ def replay_recomputed(spark, sf_dir):
     return ledger.replay(stored, trusted, _SCHEMAS, _HASHES, lambda name: orders(spark, sf_dir))
 
 
-def _run(spark, sf_dir, limits=checks.LIMITS, declared=_HASH):
-    return verify.verify(
-        FLAGSHIP,
-        [Channel("o_orderpriority", "nominal"), Channel("total", "quantitative")],
-        orders(spark, sf_dir),
-        spec="{}",
-        declared=declared,
-        actual=_HASH,
-        limits=limits,
-    )
+def _flag_spec(digest: str, **changes) -> str:
+    """The flagship as a spec over ``orders.csv``."""
+    measures = [("sum", "total"), ("mean", "mean_price"), ("count", "n")]
+    doc = {
+        "version": "1",
+        "dataset": {"name": "orders.csv", "hash": digest},
+        "transform": [
+            {"op": "filter", "field": "o_orderstatus", "cmp": "eq", "value": "F"},
+            {"op": "group_by", "keys": ["o_orderpriority"]},
+            {"op": "aggregate", "measures": [{"field": "o_totalprice", "fn": fn, "as": name} for fn, name in measures]},
+            {"op": "sort", "by": [{"field": "total", "order": "descending"}]},
+        ],
+        "mark": "bar",
+        "encoding": {"x": {"field": "o_orderpriority", "type": "nominal"}, "y": {"field": "total", "type": "quantitative"}},
+    }
+    return specs.canonical(doc | changes)
 
 
+def _source(spark, sf_dir, table: DataFrame | None = None, failures: DataFrame | None = None) -> verify.Source:
+    table = orders(spark, sf_dir) if table is None else table
+    return verify.Source(ORDERS, table, digests.identity(table, ORDERS).first()["sha256"], failures)
+
+
+_ANY_SIZE = checks.LIMITS | {"source_rows": 10**12, "source_cells": 10**13}
 _FLAG_LINES = f"WITH a AS ({_FLAG}), p AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_orderpriority) AS pos FROM a)"
+_ORDER_LINE = """'[' || CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_custkey AS VARCHAR) || ',"' || o_orderstatus || '",' || CAST(o_totalprice AS VARCHAR) || ',"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","' || o_orderpriority || '"]'"""
+_ORDERS_ID = f"""ids AS (SELECT 'sha256:' || sha256(concat_ws('|', count(*), {", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT))" for k in range(4))})) AS id FROM (SELECT sha256({_ORDER_LINE}) AS h FROM ({_O})))"""
+_CERTIFIED = (
+    "spec.decode dataset.manifest_available resource.manifest_columns dataset.hash_matches_source resource.source_rows resource.source_cells transform.group_by_placement "
+    "group_by.keys_distinct schema.fields_exist filter.value_type sort.fields_distinct aggregate.output_unique schema.field_types_match sort.field_in_plotted_table "
+    "resource.plotted_cells security.no_arbitrary_code transform.ops_allowed transform.filters_declared transform.aggregates_match_recomputation "
+    "encoding.fields_exist_in_plotted_table encoding.axis_types_match_fields label.quantitative_units_present resource.render_rows sort.canonical_order scale.bar_zero render.float64_fidelity"
+)
 
 
-@query("verify_certificate", f"""{_FLAG_LINES} SELECT 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderpriority:string","total:numeric:2","mean_price:numeric:2","n:numeric:0"]' || chr(10)
-        || sha256(sha256(string_agg({_LINE} || chr(10), '' ORDER BY pos)) || chr(10))) AS plotted_table_hash, 'sha256:' || sha256('attestry-spec/1' || chr(10) || '{{}}') AS spec_hash, '{_HASH}' AS dataset_hash,
-    'o_orderstatus eq F' AS filters, 'total descending' AS sorts, CAST(14 AS INTEGER) AS n_checks FROM p""")
+@query("verify_certificate", f"""{_FLAG_LINES}, {_ORDERS_ID} SELECT 'sha256:' || sha256('attestry-table/1' || chr(10) || '["o_orderpriority:string","total:numeric:2","mean_price:numeric:2","n:numeric:0"]' || chr(10)
+        || sha256(sha256(string_agg({_LINE} || chr(10), '' ORDER BY pos)) || chr(10))) AS plotted_table_hash,
+    'sha256:' || sha256('attestry-spec/1' || chr(10) || replace('{_flag_spec("?")}', '?', max(id))) AS spec_hash, max(id) AS dataset_hash,
+    'o_orderstatus eq F' AS filters, 'total descending' AS sorts, '{_CERTIFIED}' AS checks FROM p, ids""")
 def verify_certificate(spark, sf_dir):
-    c = _run(spark, sf_dir, checks.LIMITS | {"source_rows": 10**12, "source_cells": 10**13}).certificate
+    source = _source(spark, sf_dir)
+    c = verify.verify(spark, _flag_spec(source.digest), {"orders.csv": source}, limits=_ANY_SIZE).certificate
     text = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), ";")
     return c.select(
         "plotted_table_hash",
@@ -1089,24 +1232,89 @@ def verify_certificate(spark, sf_dir):
         "dataset_hash",
         text("filters", "field", "cmp", "value").alias("filters"),
         text("sorts", "field", "order").alias("sorts"),
-        F.size("checks").alias("n_checks"),
+        F.array_join(F.transform("checks", lambda x: x["id"]), " ").alias("checks"),
     )
 
 
 @query("verify_refused", """WITH n AS (SELECT count(*) AS n, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus = 'F') AS k FROM orders)
-    SELECT * FROM (SELECT 'resource.source_rows' AS "check", CASE WHEN n > 1000 THEN 'fail' ELSE 'pass' END AS status FROM n UNION ALL SELECT 'resource.source_cells', CASE WHEN n * 6 > 6000 THEN 'fail' ELSE 'pass' END FROM n
-    UNION ALL SELECT 'resource.plotted_cells', CASE WHEN k * 4 > 19 THEN 'fail' ELSE 'pass' END FROM n UNION ALL SELECT 'resource.render_rows', CASE WHEN k > 5 THEN 'fail' ELSE 'pass' END FROM n
-    UNION ALL SELECT 'resource.manifest_columns', 'pass' UNION ALL SELECT 'dataset.hash_matches_source', 'fail')""")
+    SELECT low, "check", status FROM (SELECT 'source' AS low, 'resource.source_rows' AS "check", CASE WHEN n > 1000 THEN 'fail' ELSE 'pass' END AS status FROM n UNION ALL SELECT 'source', 'resource.source_cells', CASE WHEN n * 6 > 6000 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT 'plotted', 'resource.plotted_cells', CASE WHEN k * 4 > 19 THEN 'fail' ELSE 'pass' END FROM n UNION ALL SELECT 'render', 'resource.render_rows', CASE WHEN k > 4 THEN 'fail' ELSE 'pass' END FROM n
+    UNION ALL SELECT 'manifest', 'resource.manifest_columns', 'fail')""")
 def verify_refused(spark, sf_dir):
-    """The same under low ceilings and with another digest declared: which gates fail, and no certificate."""
-    run = _run(
-        spark,
-        sf_dir,
-        {**checks.LIMITS, "source_rows": 1000, "source_cells": 6000, "plotted_cells": 19, "render_rows": 5, "manifest_columns": 6},
-        "sha256:" + "b" * 64,
+    """The same under a low ceiling each time: the stage that it stops, and no certificate."""
+    source, out = _source(spark, sf_dir), []
+    lows = {
+        "source": {"source_rows": 1000, "source_cells": 6000},
+        "plotted": _ANY_SIZE | {"plotted_cells": 19},
+        "render": _ANY_SIZE | {"render_rows": 4},
+        "manifest": {"manifest_columns": 5},
+    }
+    for low, limits in lows.items():
+        run = verify.verify(spark, _flag_spec(source.digest), {"orders.csv": source}, limits={**checks.LIMITS, **limits})
+        rows = run.checks.filter(F.col("check").startswith(f"resource.{low}")).select(F.lit(low).alias("low"), "check", "status")
+        out.append(rows.join(run.certificate.select(F.lit("certified").alias("check")), "check", "left_anti").select("low", "check", "status"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("verify_faults", f"""WITH g AS (SELECT count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT count(DISTINCT (o_orderpriority, o_orderstatus)) AS n FROM orders)
+    SELECT * FROM (SELECT 'sound' AS fault, CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS "check", n AS n_rows, true AS certified FROM g
+    UNION ALL SELECT 'another spec', 'binding', 'dataset.hash_matches_source', 0, false UNION ALL SELECT 'another dataset', 'binding', 'dataset.manifest_available', 0, false UNION ALL SELECT 'no spec', 'decode', 'spec.decode', 0, false
+    UNION ALL SELECT 'bad cells', 'source', 'data.numeric_value', 0, false UNION ALL SELECT 'no such field', 'plan', 'schema.fields_exist', 0, false
+    UNION ALL SELECT 'unfaithful double', 'rendering', 'render.float64_fidelity', n, false FROM g UNION ALL SELECT 'cut bars', 'rendering', 'scale.bar_zero', n, false FROM g
+    UNION ALL SELECT 'wrong legend', 'rendering', 'encoding.legend_domain_exact', n, false FROM s UNION ALL SELECT 'right legend', NULL, NULL, n, true FROM s)""")
+def verify_faults(spark, sf_dir):
+    """One fault at a time, each planted in the orders or in what a spec or a drawing says of them: the first check that fails."""
+    source = _source(spark, sf_dir)
+    spec, named = _flag_spec(source.digest), {"orders.csv": source}
+    far = orders(spark, sf_dir).withColumn("o_totalprice", (F.col("o_totalprice") + F.lit("12345678901234567890.11").cast("decimal(38,2)")).cast("decimal(38,2)"))
+    unfaithful = _source(spark, sf_dir, far)
+    bad = orders(spark, sf_dir).agg(F.lit("data.numeric_value").alias("check"), F.count_if(F.col("o_orderkey") % 97 == 1).alias("n"))
+    coloured = {
+        "transform": [{"op": "group_by", "keys": ["o_orderpriority", "o_orderstatus"]}, {"op": "aggregate", "measures": [{"field": "o_totalprice", "fn": "max", "as": "most"}]}],
+        "mark": "scatter",
+        "encoding": {"x": {"field": "o_orderpriority", "type": "nominal"}, "y": {"field": "most", "type": "quantitative"}, "color": {"field": "o_orderstatus", "type": "nominal"}},
+    }
+    statuses = t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("value")).distinct()
+    cases = {
+        "sound": (spec, named, {}),
+        "another spec": (_flag_spec(_HASH), named, {}),
+        "another dataset": (spec, {"other.csv": source}, {}),
+        "no spec": (spec[:-1], named, {}),
+        "bad cells": (spec, {"orders.csv": replace(source, failures=bad)}, {}),
+        "no such field": (spec.replace('"keys":["o_orderpriority"]', '"keys":["o_nothing"]'), named, {}),
+        "unfaithful double": (_flag_spec(unfaithful.digest), {"orders.csv": unfaithful}, {}),
+        "cut bars": (spec, named, {"baseline": "1"}),
+        "wrong legend": (_flag_spec(source.digest, **coloured), named, {"legend": statuses.filter("value <> 'F'")}),
+        "right legend": (_flag_spec(source.digest, **coloured), named, {"legend": statuses}),
+    }
+    out = []
+    for fault, (text, sources, said) in cases.items():
+        run = verify.verify(spark, text, sources, limits=_ANY_SIZE, **said)
+        failed = run.checks.agg(F.min_by(F.struct("stage", "check"), F.when(F.col("status") == "fail", F.col("place"))).alias("f"))
+        rows = (run.result if run.result is not None else spark.createDataFrame([], "pos long")).agg(F.count("*").alias("n_rows"))
+        certified = run.certificate.agg((F.count("*") == 1).alias("certified"))
+        out.append(failed.join(rows).join(certified).select(F.lit(fault).alias("fault"), "f.stage", "f.check", "n_rows", "certified"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("formula_faults", """SELECT p_partkey AS formula_id, CASE p_partkey % 7 WHEN 1 THEN 'render.float64_fidelity' WHEN 2 THEN 'formula.values_defined' WHEN 3 THEN 'formula.sample_points_strictly_increasing' WHEN 4 THEN 'formula.values_bounded' WHEN 5 THEN 'formula.hash_matches_source' WHEN 6 THEN 'formula.names_allowed' END AS "check",
+    CASE WHEN p_partkey % 7 = 0 THEN 22 END AS n_checks FROM part""")
+def formula_faults(spark, sf_dir):
+    """A formula for every part, with a fault of another kind by the part's key; sound ones have all their checks listed."""
+    k = F.col("p_partkey") % 7
+    size = F.col("p_size").cast("string")
+    text = F.when(k == 1, "x*12345678901234567890.11").when(k == 2, F.concat(size, F.lit("/x"))).when(k == 4, F.concat(F.lit("x*1"), F.repeat(F.lit("0"), 30))).when(k == 6, "y").otherwise(F.concat(size, F.lit("*x")))
+    fs = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("long").alias("formula_id"),
+        text.alias("formula"),
+        F.lit("-1").cast("decimal(18,6)").alias("start"),
+        F.lit("1").cast("decimal(18,6)").alias("stop"),
+        F.lit(5).alias("samples"),
+        F.when(k == 3, 0).otherwise(1).alias("x_scale"),
+        F.lit(2).alias("y_scale"),
+        F.when(k == 5, _HASH).alias("declared"),
     )
-    gates = run.checks.filter("check like 'resource.%' or check like 'dataset.%'").select("check", "status")
-    return gates.join(run.certificate.select(F.lit("certified").alias("check")), "check", "left_anti")
+    return verify.certified_formulas(fs).select("formula_id", "check", F.size("checks").cast("int").alias("n_checks"))
 
 
 @query("formula_certificates", f"""WITH g AS ({_GRID}), y AS (SELECT *, CAST(round_even(CAST((k % 7) * x * x - (k % 11) * x + (k % 5) AS DECIMAL(18,4)), 2) AS DECIMAL(38,12)) AS y FROM g),

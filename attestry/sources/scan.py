@@ -151,13 +151,14 @@ def cell_failures(raw: DataFrame, schema: TableSchema, by: str = "__file") -> Da
     return counted.unpivot([by], [F.col(f"`{c}`") for c in counted.columns if c != by], "check", "n")
 
 
-def typed_csv(raw: DataFrame, schema: TableSchema, *, refuse: bool = True) -> DataFrame:
+def typed_csv(raw: DataFrame, schema: TableSchema, *, refuse: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """The declared columns, typed; the empty cell is NULL.
 
     A cell that fails its check, or a row of another width, is an error with the check's name wherever it is read;
-    ``cell_failures`` counts them all, whatever a query reads.  Without ``refuse`` they become NULL.
+    ``cell_failures`` counts them all, whatever a query reads.  Without ``refuse`` they become NULL.  ``keep`` names further
+    columns of ``raw``.
     """
-    out = []
+    out = [F.col(c) for c in keep]
     width = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
     for c in schema.columns:
         text = F.nullif(F.col(f"`{c.name}`"), F.lit(""))

@@ -287,14 +287,22 @@ def test_check_rows_of_order_domain_and_formulas(spark):
         (1, 2, Decimal("0.000000000001"), None, "formula.values_defined"),
         (1, 3, Decimal(9), Decimal("10000000000000000000000000.000000000001"), "ok"),
     ]
+    rows += [(2, 0, Decimal(0), Decimal("0.5"), "ok"), (2, 1, Decimal(1), None, "ok"), (2, 1, Decimal(2), Decimal(1), "resource.formula_intermediate_bits")]
     df = spark.createDataFrame(rows, "formula_id long, i int, x decimal(38,12), y decimal(38,12), status string")
-    got = {r.check: (r.status, r.message) for r in checks.formula_results(df, "1e24").collect()}
-    assert got == {
-        "formula.sample_points_strictly_increasing": ("fail", "1 failing"),
-        "formula.values_defined": ("fail", "1 failing"),
-        "formula.values_bounded": ("fail", "1 failing"),
-        "render.float64_fidelity": ("fail", "2 failing"),
+    expected = spark.createDataFrame([(1, 4, 12, True), (2, 3, 0, False)], "formula_id long, samples int, y_scale int, own_hash boolean")
+    got = {(r.formula_id, r.check): (r.place, r.status, r.message) for r in checks.formula_results(df, expected, "1e24").collect()}
+    bad = {
+        (1, "formula.sample_points_strictly_increasing"): 1,
+        (1, "formula.values_defined"): 1,
+        (1, "formula.values_bounded"): 1,
+        (1, "render.float64_fidelity"): 2,
+        (2, "resource.formula_intermediate_bits"): 1,
+        (2, "formula.values_bounded"): 1,
+        (2, "formula.rounding_unambiguous"): 1,
+        (2, "formula.points_from_recomputation"): 1,
+        (2, "formula.hash_matches_source"): 3,
     }
+    assert got == {(f, c): (i, "fail" if (f, c) in bad else "pass", f"{bad.get((f, c), 0)} failing") for f in (1, 2) for i, c in enumerate(checks.SAMPLED)}
 
 
 def bucket_brute(rows, rate, burst):
