@@ -7,15 +7,16 @@ its lowest cut counts (ties to the smallest k).  A candidate inside a longer one
 occurrences goes.  Each language's first ``most`` by score, f (both descending) and phrase (UTF-8 order) are reported.
 
 The method is multikey quicksort of suffix pointers.  A suffix begins at each word and is DEPTH words deep at most; it ends with
-its piece, or before a pair of words that itself is rare.  Words and leading pairs are counted first (one aggregate each, added up
-before the shuffle), and suffixes whose leading pair is rare are abandoned where they stand.  The others are routed by their
-leading pair to buckets of a bounded number of pointers; a leading pair with more than HOT occurrences is routed by
-three words, or four, and what it has too much of is counted by an aggregate on the way, so that no bucket depends on one pair.
-A bucket's task sorts its pointers by three-way partitions, word by word: the part that equals the pivot is one phrase and its
-weight the phrase's count, its next word is sorted in turn, and parts lighter than ``least`` are abandoned unsorted.  Pointers to equal
-suffixes of one batch travel as one with a weight.  What is frequent reaches the tasks as a table of 2**BITS marks by
-hash, a bounded size whatever the input: a word or pair marked by chance is only carried in vain.  Counts are by the words
-themselves, and exact; scores are decimals of 38 digits.
+its piece, or before a pair of words that itself is rare.  First leading pairs are counted, by hashes that are sent sorted and
+packed: what they add up to is never less than the pair's count, so that a pair below ``least`` is abandoned where it stands
+and a chance meeting of hashes only carries one in vain.  The others reach the tasks as a table of 2**BITS marks, a bounded
+size whatever the input.  Suffixes of marked pairs are written once, as a table in the shared folder, and routed by their
+leading pair to buckets of a bounded number of pointers; a leading pair with more than HOT occurrences is routed by three words,
+or four, and what all of it has in common is counted by an aggregate instead, so that no bucket depends on one pair.  A
+bucket's task sorts its pointers by three-way partitions, word by word: the part that equals the pivot is one phrase and its
+weight the phrase's count, its next word is sorted in turn, and parts lighter than ``least`` are abandoned unsorted.  Pointers
+to equal suffixes of one batch travel as one with a weight.  Counts are by the words themselves, and exact; scores are
+decimals of 38 digits.
 
 Nulls: a null text is empty, a null ``lang`` is ``und``.  Repeated rows count as often as they occur; ids are not looked at, so
 that they may be null or repeat.  A long text is read in steps that end with a piece.  An empty table gives no rows.  Other columns of ``docs`` are not read.
@@ -23,6 +24,7 @@ that they may be null or repeat.  A long text is read in steps that end with a p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,120 +35,148 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, map_steps, stored, utf8
+from .chunks import packed, unpacked
+from .common import STEP_BYTES, bounded_batches, removed, shared_folder, stored, text_bytes, utf8
 
 DEPTH, LEAST, SHARE, MOST = 5, 100, 100, 2000
 #: occurrences beyond which a leading sequence is routed by one word more; pointers of a bucket, about
 HOT, BUCKET = 1 << 17, 1 << 19
-BITS, SEED = 26, 42
+#: bits of a pair's hash that are sent, bits of the table of marks; pairs of a slice of hashes, about
+SENT, BITS, SLICE = 44, 26, 1 << 23
+#: hot sequences up to which they are broadcast
+FEW = 100_000
 UNKNOWN = "und"
 ENDS = (b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r")
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
 COUNTED = "lang string, phrase string, n long"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def marks(df: DataFrame) -> Broadcast:
-    """A bit for the hash of each ``lang, phrase``; its size does not depend on ``df``."""
-    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = df.select(at.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return df.sparkSession.sparkContext.broadcast(out)
+def _followed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their beginnings and of their last words."""
+    h = (first ^ (first >> np.uint64(29))) * _ODD + then
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(lang: list[str], word: list[bytes]) -> np.ndarray:
+    seed = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(lang)}
+    return np.array([xxhash.xxh64_intdigest(w, seed[x]) for x, w in zip(lang, word, strict=True)], np.uint64)
 
 
 def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64((1 << BITS) - 1)
+    at = hashes >> np.uint64(64 - SENT) & np.uint64((1 << BITS) - 1)
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _slices(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Sent hashes with their counts up to 255, by their leading bits, as differences."""
+    value, count = np.unique(hashes >> np.uint64(64 - SENT), return_counts=True)
+    owner = (value >> np.uint64(SENT - bits)).astype(np.int64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]) if len(owner) else np.zeros(1, np.int64)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        gaps = np.diff(value[lo:hi], prepend=np.uint64(owner[lo]) << np.uint64(SENT - bits))
+        yield int(owner[lo]), packed(gaps, np.minimum(count[lo:hi], 255).astype(np.uint8))
+
+
+def _summed(bits: int, least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        start = np.uint64(rows.column("slice")[0].as_py()) << np.uint64(SENT - bits)
+        parts = [unpacked(x) for x in rows.column("payload").to_pylist()]
+        value = np.concatenate([np.cumsum(x[0], dtype=np.uint64) + start for x in parts])
+        count = np.concatenate([x[1] for x in parts]).astype(np.int64)
+        order = np.argsort(value)
+        value, count = value[order], count[order]
+        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        at = value[at][np.add.reduceat(count, at) >= min(least, 255)] & np.uint64((1 << BITS) - 1)
+        return pa.table({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    return run
+
+
+def frequent_pairs(rows: DataFrame, least: int) -> Broadcast:
+    """Marks of all leading pairs that may occur ``least`` times or more."""
+    spark = rows.sparkSession
+    pairs = text_bytes(rows, "text") // 6
+    bits = (max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // SLICE) - 1).bit_length()
+    shape = "slice long, payload binary"
+
+    def send(w: Words) -> dict:
+        got = list(_slices(w.pair_hashes()[1], bits))
+        return {"slice": pa.array([x[0] for x in got], pa.int64()), "payload": pa.array([x[1] for x in got], pa.binary())}
+
+    found = _mapped(rows, send, shape).groupBy("slice").applyInArrow(_summed(bits, least), "word long, bit long")
+    table = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(out)
+
+
 class Words:
     """The words of a batch in order: ``of`` the place of each among the distinct ones (``lang``, ``word``), ``last`` where a piece ends."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         data = b"\n".join([*texts, b""]).translate(_FOLD)
-        spelling: dict[bytes, int] = {}
-        ids = np.array([spelling.setdefault(w, len(spelling)) for w in data.split()], np.int64)
         raw = np.frombuffer(data, np.uint8)
         end = raw == 10
         gap = end | (raw == 32) | (raw == 9)
         start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(raw) else np.empty(0, np.int64)
+        stop = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]])) if len(raw) else np.empty(0, np.int64)
+        # words one after the other, without what is between them
+        offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+        tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~gap].tobytes())])
+        coded = tokens.dictionary_encode()
         piece = np.searchsorted(np.flatnonzero(end), start)
         doc = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), start, "right")
         names = sorted(set(langs))
         lang = np.array([names.index(x) for x in langs], np.int64)[doc]
-        spelt, seed, many = list(spelling), [xxhash.xxh64_intdigest(x.encode(), SEED) for x in names], max(1, len(spelling))
-        pairs, self.of, self.count = np.unique(lang * many + ids, return_inverse=True, return_counts=True)
-        self.lang = [names[x] for x in (pairs // many).tolist()]
-        self.seed = [seed[x] for x in (pairs // many).tolist()]
-        self.word = [spelt[x] for x in (pairs % many).tolist()]
+        many = max(1, len(coded.dictionary))
+        code, self.of, self.count = np.unique(lang * many + coded.indices.to_numpy().astype(np.int64), return_inverse=True, return_counts=True)
+        self.lang = pa.array(names, pa.string()).take(pa.array(code // many))
+        self.word = coded.dictionary.cast(pa.large_string()).cast(pa.string()).take(pa.array(code % many))
         self.last = np.ones(len(start), bool)
         self.last[:-1] = piece[1:] != piece[:-1]
 
-    def hashes(self, groups: list[tuple[int, ...]]) -> np.ndarray:
-        """Of ``lang, phrase`` as Spark's xxhash64 has them."""
-        word, seed = self.word, self.seed
-        return np.array([xxhash.xxh64_intdigest(b" ".join([word[i] for i in g]), seed[g[0]]) for g in groups], np.uint64)
-
-    def phrases(self, groups: list[tuple[int, ...]]) -> pa.Array:
-        word = self.word
-        return pa.array([b" ".join([word[i] for i in g]) for g in groups], pa.binary()).cast(pa.string())
+    def pair_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all pairs of words of one piece, and their hashes."""
+        at = np.flatnonzero(~self.last[:-1])
+        word = _hashed(self.lang.to_pylist(), utf8(self.word))
+        return at, _followed(word[self.of[at]], word[self.of[at + 1]])
 
-    def langs(self, groups: list[tuple[int, ...]]) -> pa.Array:
-        return pa.array([self.lang[g[0]] for g in groups], pa.string())
+    def counted(self, rows: np.ndarray, weight: np.ndarray) -> dict:
+        """``lang, phrase, n`` of sequences of distinct words' places; -1 behind a sequence's end."""
+        parts = [self.word.take(pa.array(c, mask=c < 0)) for c in rows.T]
+        return {
+            "lang": self.lang.take(pa.array(rows[:, 0])),
+            "phrase": pc.binary_join_element_wise(*parts, " ", null_handling="skip") if len(parts) > 1 else parts[0],
+            "n": pa.array(weight, pa.int64()),
+        }
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First row of each distinct one, each row's place among these, and how many rows each stands for."""
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row of each distinct one, each row's place among these, and how many rows each stands for; columns have numbers from 0."""
     code = columns[0]
-    for c in columns[1:]:
-        _, code = np.unique(code, return_inverse=True)
-        code = code * (int(c.max(initial=0)) + 2) + c
+    for k, c in enumerate(columns[1:], 1):
+        size = int(c.max(initial=0)) + 1
+        if int(code.max(initial=0)) > (1 << 62) // size:
+            _, code = np.unique(code, return_inverse=True)
+        code = code * size + c
     _, first, inverse, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
     return first, inverse, count
 
 
-class Suffixes:
-    """Suffixes of a batch whose leading pair may be frequent: for each distinct one its words and weight."""
-
-    def __init__(self, words: Words, frequent: np.ndarray, pairs: np.ndarray | None = None):
-        """``frequent`` has the marks of words, ``pairs`` those of pairs."""
-        good = marked(frequent, words.hashes([(i,) for i in range(len(words.word))]))[words.of] if len(words.of) else np.empty(0, bool)
-        ok = np.zeros(len(words.of), bool)
-        ok[:-1] = good[:-1] & good[1:] & ~words.last[:-1]
-        self.words, at = words, np.flatnonzero(ok)
-        first, inverse, self.weight = _distinct([words.of[at], words.of[at + 1]])
-        self.group = list(zip(words.of[at[first]].tolist(), words.of[at[first] + 1].tolist(), strict=True))
-        if pairs is None:
-            return
-        ok[at] = marked(pairs, words.hashes(self.group))[inverse]
-        at = np.flatnonzero(ok)
-        columns, run = [words.of[at]], np.ones(len(at), bool)
-        for k in range(1, DEPTH):
-            run = run & ok[np.minimum(at + k - 1, len(ok) - 1)]
-            columns.append(np.where(run, words.of[np.minimum(at + k, len(ok) - 1)], -1))
-        first, _, self.weight = _distinct([c + 1 for c in columns])
-        rows = np.stack([c[first] for c in columns], 1)
-        self.size = (rows >= 0).sum(1)
-        self.group = [tuple(r[:n]) for r, n in zip(rows.tolist(), self.size.tolist(), strict=True)]
-
-    def counted(self, depth: int, keep: np.ndarray | None = None) -> dict:
-        """Counts of what the suffixes (those to ``keep``) begin with."""
-        chosen = range(len(self.group)) if keep is None else np.flatnonzero(keep).tolist()
-        sums: dict[tuple[int, ...], int] = {}
-        for i in chosen:
-            g = self.group[i][:depth]
-            sums[g] = sums.get(g, 0) + int(self.weight[i])
-        groups = list(sums)
-        return {"lang": self.words.langs(groups), "phrase": self.words.phrases(groups), "n": pa.array(sums.values(), pa.int64())}
-
-    def routes(self, hot: list[np.ndarray]) -> np.ndarray:
-        """How many leading words route each suffix: two, and one more for each table in ``hot`` that has all before."""
-        depth, at = np.full(len(self.group), 2), np.arange(len(self.group))
-        for k, table in enumerate(hot):
-            at = at[self.size[at] >= k + 2]
-            at = at[marked(table, self.words.hashes([self.group[i][: k + 2] for i in at.tolist()]))] if len(at) else at
-            depth[at] = k + 3
-        return depth
+def suffixes_of(w: Words, frequent: np.ndarray) -> dict:
+    """Distinct suffixes over frequent pairs, with their weights."""
+    at, hashes = w.pair_hashes()
+    at = at[marked(frequent, hashes)]
+    of, ok = w.of, np.zeros(len(w.of), bool)
+    ok[at] = True
+    far = lambda k: np.minimum(at + k, len(of) - 1)
+    run, words = np.ones(len(at), bool), [of[at] + 1]
+    for k in range(1, DEPTH):
+        run = run & ok[far(k - 1)]
+        words.append(np.where(run, of[far(k)] + 1, 0))
+    first, _, weight = _distinct(*words)
+    return w.counted(np.stack([c[first] - 1 for c in words], 1), weight)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -162,23 +192,34 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _each(work: Callable[[Words], dict]) -> Callable[[pa.RecordBatch], dict]:
-    """``work`` on the words of a slice, or of the parts of a long text."""
+def _mapped(rows: DataFrame, work: Callable[[Words], dict], shape: str = COUNTED) -> DataFrame:
+    """``work`` on the words of STEP_BYTES of texts at a time, a longer text in parts; it gives the columns of ``shape``."""
+    bounded_batches(rows.sparkSession)
 
-    def run(piece: pa.RecordBatch) -> dict:
-        texts, langs = utf8(piece.column("text")), piece.column("lang").to_pylist()
-        if sum(map(len, texts)) <= STEP_BYTES:
-            return work(Words(texts, langs))
-        done = [work(Words([part], [lang])) for text, lang in zip(texts, langs, strict=True) for part in _pieces(text)]
-        return {k: pa.concat_arrays([x[k] for x in done]) for k in done[0]}
+    def out(texts: list[bytes], langs: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(work(Words(texts, langs)))
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, langs, size = [], [], 0
+        for batch in batches:
+            for text, lang in zip(utf8(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
+                for part in _pieces(text):
+                    if size and size + len(part) > STEP_BYTES:
+                        yield out(texts, langs)
+                        texts, langs, size = [], [], 0
+                    texts.append(part)
+                    langs.append(lang)
+                    size += len(part)
+        if texts:
+            yield out(texts, langs)
+
+    return rows.mapInArrow(run, shape)
 
 
 def partitions(words: np.ndarray, weight: np.ndarray, known: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """Multikey three-way quicksort of rows of ``words`` (-1 behind a row's end; the first column is the language): (a row, words,
     weight) for each sequence of more words than ``known`` that weighs ``least`` or more."""
-    chance = np.random.default_rng(SEED)
+    chance = np.random.default_rng(42)
     stack = [(np.arange(len(words)), 0)] if weight.sum() >= least else []
     while stack:
         at, depth = stack.pop()
@@ -227,39 +268,37 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Da
         return df.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
     def one(w: Words) -> dict:
-        total: dict[str, int] = {}
-        for x, n in zip(w.lang, w.count.tolist(), strict=True):
-            total[x] = total.get(x, 0) + n
-        phrase = pa.array([*w.word, *[None] * len(total)], pa.binary()).cast(pa.string())
-        return {"lang": pa.array([*w.lang, *total], pa.string()), "phrase": phrase, "n": pa.array([*w.count.tolist(), *total.values()], pa.int64())}
+        got = w.counted(np.arange(len(w.word))[:, None], w.count)
+        all_ = pa.table({"lang": w.lang, "n": w.count}).group_by("lang").aggregate([("n", "sum")])
+        total = {"lang": all_.column("lang").combine_chunks(), "phrase": pa.nulls(all_.num_rows, pa.string()), "n": all_.column("n_sum").combine_chunks()}
+        return {k: pa.concat_arrays([got[k], total[k].cast(got[k].type)]) for k in got}
 
-    single = stored(summed(map_steps(rows, "text", COUNTED, _each(one))).filter(F.col("phrase").isNull() | (F.col("n") >= least)))
+    single = stored(summed(_mapped(rows, one)).filter(F.col("phrase").isNull() | (F.col("n") >= least)))
     totals, levels = single.filter(F.col("phrase").isNull()).select("lang", "n"), [single.filter(F.col("phrase").isNotNull())]
-    frequent = marks(levels[0])
-    levels.append(stored(summed(map_steps(rows, "text", COUNTED, _each(lambda w: Suffixes(w, frequent.value).counted(2)))).filter(F.col("n") >= least)))
-    pairs, hot = marks(levels[1]), []
-    while len(hot) < DEPTH - 2 and not (above := levels[-1].filter(F.col("n") > HOT)).isEmpty():
-        hot.append(marks(above))
-        depth, tables = len(hot) + 2, list(hot)
-
-        def deeper(w: Words, depth: int = depth, tables: list[Broadcast] = tables) -> dict:
-            s = Suffixes(w, frequent.value, pairs.value)
-            return s.counted(depth, (s.routes([t.value for t in tables]) == depth) & (s.size >= depth))
-
-        levels.append(stored(summed(map_steps(rows, "text", COUNTED, _each(deeper))).filter(F.col("n") >= least)))
+    frequent = frequent_pairs(rows, least)
+    path = f"{shared_folder(spark)}/attestry-{uuid.uuid4().hex}"
+    suffixes = stored(_mapped(rows, lambda w: suffixes_of(w, frequent.value)), path)
+    pairs = suffixes.select("lang", F.substring_index("phrase", " ", 2).alias("phrase"), "n")
+    levels.append(stored(summed(pairs).filter(F.col("n") >= least)))
+    suffixes = suffixes.withColumn("size", F.regexp_count("phrase", F.lit(" ")) + 1).withColumn("known", F.lit(2)).filter("size > 2")
+    for depth in range(2, DEPTH):
+        # what begins with a hot sequence is routed by one word more, and is counted to that depth here
+        hot = levels[-1].filter(F.col("n") > HOT).select(F.col("lang").alias("of"), F.col("phrase").alias("lead"), F.lit(True).alias("hot"))
+        few = hot.count()
+        if not few:
+            break
+        hot = F.broadcast(hot) if few <= FEW else hot
+        lead = F.substring_index("phrase", " ", depth)
+        suffixes = suffixes.join(hot, (F.col("lang") == F.col("of")) & (lead == F.col("lead")) & (F.col("known") == depth), "left")
+        suffixes = suffixes.withColumn("known", F.when(F.col("hot"), depth + 1).otherwise(F.col("known"))).drop("of", "lead", "hot")
+        deeper = suffixes.filter((F.col("known") == depth + 1) & (F.col("size") > depth)).select("lang", F.substring_index("phrase", " ", depth + 1).alias("phrase"), "n")
+        levels.append(stored(summed(deeper).filter(F.col("n") >= least)))
     pointers = levels[1].agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pointers // BUCKET))
-
-    def routed(w: Words) -> dict:
-        s = Suffixes(w, frequent.value, pairs.value)
-        known = s.routes([t.value for t in hot])
-        at = np.flatnonzero(s.size > known)
-        groups = [s.group[i] for i in at.tolist()]
-        bucket = s.words.hashes([g[:k] for g, k in zip(groups, known[at].tolist(), strict=True)]) % np.uint64(buckets)
-        return {"bucket": pa.array(bucket.astype(np.int64)), "lang": s.words.langs(groups), "phrase": s.words.phrases(groups), "n": pa.array(s.weight[at], pa.int64()), "known": pa.array(known[at], pa.int64())}
-
-    sent = map_steps(rows, "text", "bucket long, lang string, phrase string, n long, known long", _each(routed))
+    lead = F.when(F.col("known") == 2, F.substring_index("phrase", " ", 2)).when(F.col("known") == 3, F.substring_index("phrase", " ", 3)).otherwise(F.substring_index("phrase", " ", 4))
+    sent = suffixes.filter("size > known").select(F.pmod(F.xxhash64("lang", lead), F.lit(buckets)).alias("bucket"), "lang", "phrase", "n", "known")
     levels.append(stored(sent.groupBy("bucket").applyInArrow(_bucket(least), COUNTED)))
+    removed(spark, path)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
