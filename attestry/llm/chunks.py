@@ -1,6 +1,7 @@
 """Documents packed in chunks, and rounds of questions about names that chunks share.
 
-A chunk is a bounded run of documents (one longer document is a chunk of its own), packed into one row.  The rows
+A chunk is a run of documents with a bounded number of bytes, of texts and of all else (one longer document is a chunk of its own;
+ROW_BYTES stand for what every row takes), packed into one row.  The rows
 are written once, in the shared folder, as a table bucketed by chunk, so that every round reads them in place; beyond
 MOST_FILES chunks a bucket holds several.  In a round each chunk sends the distinct names that it holds, as packed
 arrays by name bucket; a bucket answers to each chunk what it needs to know; answers go back by chunk.  What a chunk
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, removed, shared_folder, stored, text_bytes
+from .common import bounded_batches, removed, shared_folder, stored
 
 CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8 << 20, 128, 1 << 24
 #: Files of the chunk table at most; messages that one task reads, about.
 MOST_FILES, TASK_BYTES = 8192, 64 << 20
+ROW_BYTES = 64
 #: stands for a missing id: before all others
 NO_ID = -(1 << 63)
 Answers = dict[str, dict[int, list[np.ndarray]]]
@@ -159,7 +161,9 @@ def _chunked(limit: int):
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(held)], type=pa.binary())], schema=shape)
 
         for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            others = batch.select(batch.schema.names[2:])
+            each = ROW_BYTES + (others.nbytes // max(1, batch.num_rows) if others.num_columns else 0)
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False) + each
             start = 0
             for i, n in enumerate(sizes.tolist()):
                 if (held or i > start) and size + n > limit:
@@ -188,7 +192,8 @@ class Rounds:
         bounded_batches(spark)
         others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"] if keep else []
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *others)
-        self.total = text_bytes(docs, "text")
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        self.total = held["b"] + ROW_BYTES * held["n"]
         self.buckets = min(MOST_BUCKETS, 1 << (max(LEAST_BUCKETS, -(-self.total // BUCKET_BYTES)) - 1).bit_length())
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.total // TASK_BYTES))
         files = min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")), MOST_FILES, max(8, -(-self.total // chunk_bytes)))

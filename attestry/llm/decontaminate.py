@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_steps, stored, text_bytes, utf8
+from .common import free_name, map_steps, stored, utf8
 
 WINDOW = 10
 PART_BYTES = 4 << 20
@@ -190,6 +190,26 @@ def _scan(patterns: Patterns, piece: pa.RecordBatch, names: tuple[str, str, str]
     return {c: piece.column(c) for c in piece.schema.names} | {n_words: np.diff(text.first), hits_: out_hits, items_: out_items}
 
 
+def _bin(bins: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(bins))
+
+
+def _parts(items: DataFrame, part_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of hash bins with ``part_bytes`` of ids and texts at most; a bin beyond that (a long item) is a part of its own."""
+    size = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 64
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    bins = 64 * max(1, -(-total // part_bytes))
+    held = {r["bin"]: r["n"] for r in items.groupBy(_bin(bins).alias("bin")).agg(F.sum(size).alias("n")).collect()}  # 64 rows a part
+    out, start, now = [], 0, 0
+    for k in range(bins):
+        n = held.get(k, 0)
+        if now and now + n > part_bytes:
+            out.append((start, k))
+            start, now = k, 0
+        now += n
+    return [*out, (start, bins)]
+
+
 _SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
@@ -197,7 +217,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: in
     """All columns of ``docs``, with three more: the number of words, the hit word ranges and the items found; and their names."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    parts = max(1, -(-text_bytes(items, "text") // part_bytes))
+    items = stored(items.distinct())  # rows that repeat are one
+    parts = _parts(items, part_bytes)
     names: tuple = ()
     for _ in range(3):
         names = (*names, free_name(docs, *names))
@@ -205,8 +226,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: in
     out = docs.withColumns({n_words: F.lit(0).cast("long"), hits: F.expr(f"cast(array() as {_SPANS})"), found: F.expr("cast(array() as array<string>)")})
     shape = T.StructType([*docs.schema, *T.StructType.fromDDL(f"{n_words} bigint, {hits} {_SPANS}, {found} array<string>")])
     alive = []
-    for k in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)  # about part_bytes of text each
+    bins = sum(hi - lo for lo, hi in parts)
+    for k, (lo, hi) in enumerate(parts):
+        own = items.filter(_bin(bins).between(lo, hi - 1))
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in own.toLocalIterator()])
         alive.append(held)
         made: list[Patterns] = []
@@ -217,7 +239,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: in
             return _scan(made[0], piece, names)
 
         out = map_steps(out, "text", shape, work)
-        if len(alive) == STAGE_PARTS and k + 1 < parts:
+        if len(alive) == STAGE_PARTS and k + 1 < len(parts):
             out = stored(out)
             for x in alive:
                 x.destroy()

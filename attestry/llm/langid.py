@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_steps
+from .common import checkpointed, map_steps, sampled
 
 SAMPLE_PER_LANGUAGE, AMBIGUOUS, BITS = 2000, 0.1, 14
+#: languages that can be learned, the most frequent first
+LANGUAGES = 1024
 UNKNOWN = "und"
 #: What the n-grams of one text sum to.
 UNIT = 10**8
@@ -116,19 +118,22 @@ class Model:
         return self.languages[rank[0]], float(1 / p.sum()), second > AMBIGUOUS
 
 
-def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learn from ``doc_id, text, lang`` of rows with a language."""
+def fit(docs: DataFrame, *, sample_per_language: int = SAMPLE_PER_LANGUAGE, languages_at_most: int = LANGUAGES) -> Model:
+    """Learn from ``doc_id, text, lang`` of rows with a language, at most ``sample_per_language`` of each of the most frequent ones."""
     rows = docs.select(
         "doc_id",
         F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     ).filter("lang is not null and text is not null")
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages_at_most).collect()}
     if not held:
         return Model([], np.zeros((0, _SIZE)))
     languages = sorted(held)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_per_language / held[k]))])
-    sample = checkpointed(rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    most = sum(min(n, sample_per_language) for n in held.values())
+    # rows that repeat share one hash: what they add beyond the bound is cut
+    sample = sampled(checkpointed(chosen), most + 4 * int(most**0.5) + 1, "doc_id", "text")
 
     def count(piece: pa.RecordBatch) -> dict:
         total: dict[str, np.ndarray] = {}

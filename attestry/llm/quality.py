@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_steps
+from .common import free_name, map_steps, sampled
 
 SAMPLE, THRESHOLD = 4000, 0.3
 LEARN_LINES, LEARN_BYTES = 500, 64 << 10
@@ -220,14 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("quality").cast("int").alias("y"),
     ).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    n = marks.count()
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
+    chosen = sampled(marks, sample, "doc_id")
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-    ).join(F.broadcast(chosen), "doc_id")  # about `sample` rows
+    ).join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
     text = F.coalesce("text", F.lit(""))
     texts = texts.filter((F.octet_length(text) <= LEARN_BYTES) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < LEARN_LINES))
+    texts = sampled(texts, sample, "doc_id", "text")  # an id may have many rows
 
     def work(piece: pa.RecordBatch) -> dict:
         made = [sequence(x or b"") for x in piece.column("text").cast(pa.binary()).to_pylist()]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, sampled, stored
 
 SCALE, SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 256, 8192, 8192, 64
 #: Cells at most, and rows of the sample that their splits come from.
@@ -348,8 +348,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE, shard
     """``query_id, rank, vec_id, score`` for the rows that meet the condition ``is_query`` (a Column), against all rows."""
     rows = stored(integral(vectors, scale=scale))
     n = rows.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    chosen = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("v").toArrow()  # about SAMPLE rows
+    chosen = sampled(rows, SAMPLE, "vec_id", "v").select("v").toArrow()  # SAMPLE rows at most
     sample = {v.shape[1]: v for _, v in _matrices(pa.concat_arrays(chosen.column("v").chunks))} if chosen.num_rows else {}
     base = stored(_in_cells(rows, Splits(sample, min(CELLS, -(-n // shard_rows)))))
     cells = Cells(_boxes(base).collect(), shard_rows)  # CELLS rows, and one for each number of components that the sample lacks

@@ -1,27 +1,31 @@
-"""Toxicity by a weighted finite-state pattern grammar.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A clause is a stretch of words up to a sentence mark or a line end.  Its words become classes: insult, violent verb,
 linking verb, intent, target, negation, reporting verb, other.  Six small transducers rewrite the class sequence one after
 another and are composed into one machine (the product of their reachable states):
 
 * insult: an insult within four words after a linking verb ("you are such an ...") is marked as stated;
-* threat: a violent verb within three words after an intent ("will", "going to") is marked as a threat, a bare one stays a
-  mention;
+* threat: a violent verb within three words after an intent ("will", "going to") is marked as a threat;
 * reported speech: after a reporting verb, insults and threats of the clause are marked as quoted;
 * negation: an insult or threat within three words after a negation is marked as denied;
-* target: an insult or threat in a clause that names a target (before it) is marked as aimed;
-* scoring: every marked symbol gives its weight; the clause's weight is the path's sum.
-
-A document's value combines its clause weights (their bounded sum and their largest), and a logistic link fitted on
-the labels turns it into a score.  The classes' word lists are fixed but for the insults, which also hold word
-stems learned from the labels: prefixes of 4 to 8 characters that occur in toxic documents of the sample and hardly
-ever in others, with a log-likelihood ratio that stays convincing among a million prefixes, shortest first.  Near
-copies (same least hash of the five-word shingles, same label) count once, so that no stem comes from copies.  All stems
-that pass are kept: how many there can be is bounded by the sample of about SAMPLE labelled documents.
-
-Edge cases: null, empty and wordless texts have no clause and get the link's value at zero; conflicting labels of
+* target: an insult or threat is marked as aimed where its clause names a target before it ("you ... idiot"), or
+  within four words after it ("idiots like you", "kill you");
+* pile: an insult that is none of these is marked as piled where its clause has one already (stated and aimed ones count), and as
+  repeated where an earlier clause of the document has one.
+
+What is marked is a match; an insult or a violent verb alone is none, and adds nothing.  A document's matches are counted by
+their mark (up to MOST of each), and a logistic link gives the score.  Its weights are fitted on the labels, drawn to PRIOR as
+by a few documents each, so that a kind of match that the labels hardly show keeps its sense; denied and quoted ones never
+weigh more than nothing.  The classes' word lists are fixed but for the insults, which also hold word stems learned from the
+labels: prefixes of 4 to 8 characters of words in no list that occur in toxic documents of the sample and hardly ever in
+others, with a log-likelihood ratio that stays convincing among a million prefixes, shortest first.  Near copies (same least
+hash of the five-word shingles, same label) count once, so that no stem comes from copies.  All stems that pass are kept:
+how many there can be is bounded by the sample of SAMPLE labelled documents at most.
+
+Edge cases: null, empty and wordless texts have no clause and get the link's value without matches; conflicting labels of
 a document count as toxic; with no label, or labels of one kind, the score is the share of toxic labels (0 without
-any) wherever no fixed word matches; repeated rows each get a row; an empty table gives no rows.
+any) wherever nothing matches; repeated rows each get a row; ids that repeat stand for all their rows in learning, up to SAMPLE rows;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_steps
+from .common import checkpointed, map_steps, sampled
 
 SAMPLE, LEAST, LEAST_LOG_ODDS, LEAST_EVIDENCE, THRESHOLD = 40_000, 5, 3.0, 14.0, 0.5
 PREFIXES = range(4, 9)
@@ -54,13 +58,17 @@ LINKING = frozenset("are is am was were be being youre bist ist sind bin seid es
 INTENT = frozenset("will shall gonna going must should want ill lets werde werden wird soll muss vais va allons vont doit voy va vamos van debe".split())
 
 OTHER, INSULT, VIOLENT, LINK, INTEND, TARGET, NEGATION, REPORT, END = "o", "i", "v", "l", "w", "g", "n", "r", "$"
-STATED, THREAT, QUOTED, DENIED, AIMED, THREAT_AIMED, VIOLENT_AIMED = "s", "t", "q", "d", "a", "T", "V"
-WEIGHTS = {INSULT: 1.0, STATED: 1.1, VIOLENT: 0.25, THREAT: 0.5, QUOTED: 0.6, DENIED: 0.6, AIMED: 1.5, VIOLENT_AIMED: 1.5, THREAT_AIMED: 1.75}
+STATED, THREAT, QUOTED, DENIED, AIMED, THREAT_AIMED, VIOLENT_AIMED, PILED, REPEATED = "s", "t", "q", "d", "a", "T", "V", "p", "P"
 HARM = (INSULT, STATED, VIOLENT, THREAT)
+AIMS = {INSULT: AIMED, STATED: AIMED, VIOLENT: VIOLENT_AIMED, THREAT: THREAT_AIMED}
+#: What the link holds of each mark before labels are seen, and of a document without any; counts of a mark beyond MOST add nothing.
+PRIOR = {STATED: 2.0, THREAT: 1.0, AIMED: 6.0, THREAT_AIMED: 7.0, VIOLENT_AIMED: 1.0, PILED: 3.0, REPEATED: 3.0, QUOTED: -0.5, DENIED: -0.5}
+BASE, MOST, PULL = -4.0, 3, 2.0
+MARKS = "".join(PRIOR)
 
 
 class Transducer:
-    """A deterministic weighted transducer: ``rule(state, symbol) -> (state, output, weight)``."""
+    """A deterministic transducer: ``rule(state, symbol) -> (state, output)``."""
 
     def __init__(self, start, rule, symbols: str):
         self.start, self.symbols, self.table = start, symbols, {}
@@ -70,15 +78,15 @@ class Transducer:
             if state in self.table:
                 continue
             self.table[state] = {s: rule(state, s) for s in symbols}
-            todo += [to for to, _, _ in self.table[state].values()]
+            todo += [to for to, _ in self.table[state].values()]
 
     def compose(self, after: Transducer) -> Transducer:
-        """The machine that feeds this one's output to ``after``; weights add up."""
+        """The machine that feeds this one's output to ``after``."""
 
         def rule(state, symbol):
-            mine, out, w = self.table[state[0]][symbol]
-            theirs, out2, w2 = after.table[state[1]][out]
-            return (mine, theirs), out2, w + w2
+            mine, out = self.table[state[0]][symbol]
+            theirs, out = after.table[state[1]][out]
+            return (mine, theirs), out
 
         return Transducer((self.start, after.start), rule, self.symbols)
 
@@ -91,10 +99,10 @@ def _after(trigger: str, reach: int, change: dict[str, str]):
 
     def rule(left: int, s: str):
         if s == END:
-            return 0, s, 0.0
+            return 0, s
         if s == trigger:
-            return reach, OTHER, 0.0
-        return max(0, left - 1), change.get(s, s) if left else s, 0.0
+            return reach, OTHER
+        return max(0, left - 1), change.get(s, s) if left else s
 
     return rule
 
@@ -104,22 +112,50 @@ def _from(trigger: str, change: dict[str, str]):
 
     def rule(on: bool, s: str):
         if s == END:
-            return False, s, 0.0
+            return False, s
         if s == trigger:
-            return True, OTHER, 0.0
-        return on, change.get(s, s) if on else s, 0.0
+            return True, OTHER
+        return on, change.get(s, s) if on else s
+
+    return rule
+
+
+def _aimed(reach: int):
+    """A target aims all harm after it in the clause, and the last harm within ``reach`` symbols before it: the target then
+    becomes its mark.  The state is whether a target was named, what harm waits for one, and for how many symbols more."""
+
+    def rule(state: tuple[bool, str, int], s: str):
+        named, waits, left = state
+        if s == END:
+            return (False, "", 0), s
+        if s == TARGET:
+            return (True, "", 0), AIMS[waits] if waits else OTHER
+        if s in AIMS:
+            return ((True, "", 0), AIMS[s]) if named else ((False, s, reach), s)
+        left = max(0, left - 1)
+        return (named, waits if left else "", left), s
 
     return rule
 
 
+def _piled(state: tuple[bool, bool], s: str):
+    """Insults that nothing else marks, behind others of this clause (which may be stated or aimed) or of earlier ones."""
+    here, earlier = state
+    if s == END:
+        return (False, here or earlier), s
+    if s != INSULT:
+        return (here or s in (STATED, AIMED), earlier), s
+    return (True, earlier), PILED if here else REPEATED if earlier else s
+
+
 def grammar() -> Transducer:
     insult = Transducer(0, _after(LINK, 4, {INSULT: STATED}), _SYMBOLS)
     threat = Transducer(0, _after(INTEND, 3, {VIOLENT: THREAT}), "oisvwgnr$")
     reported = Transducer(False, _from(REPORT, dict.fromkeys(HARM, QUOTED)), "oisvtgnr$")
     negated = Transducer(0, _after(NEGATION, 3, dict.fromkeys(HARM, DENIED)), "oisvtgnq$")
-    aimed = Transducer(False, _from(TARGET, {INSULT: AIMED, STATED: AIMED, VIOLENT: VIOLENT_AIMED, THREAT: THREAT_AIMED}), "oisvtgqd$")
-    scoring = Transducer(0, lambda state, s: (0, s, WEIGHTS.get(s, 0.0)), "oisvtqdaTV$")
-    return insult.compose(threat).compose(reported).compose(negated).compose(aimed).compose(scoring)
+    aimed = Transducer((False, "", 0), _aimed(4), "oisvtgqd$")
+    piled = Transducer((False, False), _piled, "oisvtqdaTV$")
+    return insult.compose(threat).compose(reported).compose(negated).compose(aimed).compose(piled)
 
 
 class Lexicon:
@@ -143,40 +179,45 @@ class Lexicon:
 
 
 class Scorer:
-    """Lexicon, machine and link."""
+    """Lexicon, machine and link (a document's base, then a weight for each of MARKS)."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.machine = lexicon, grammar()
-        self.link, self.constant = np.array([-4.0, 4.0, 2.0]), None
+        self.link, self.constant = np.array([BASE, *PRIOR.values()]), None
 
-    def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(first word, end word, weight) of the clauses that match; words are counted over the text."""
+    def clauses(self, text: str) -> list[tuple[int, int, str]]:
+        """(first word, end word, marks) of the clauses that match; words are counted over the text."""
         words = _TOKEN.findall(text.lower())
         heads, fixed = self.lexicon.heads, self.lexicon.fixed
         if not any(w[:4] in heads or fixed.get(w) in (INSULT, VIOLENT) for w in words):
-            return []  # no path has weight
-        out, state, weight, first = [], self.machine.start, 0.0, 0
+            return []  # nothing can be marked
+        out, state, marks, first = [], self.machine.start, "", 0
         of, table = self.lexicon.of, self.machine.table
         for i, w in enumerate([*words, "\n"]):
             symbol = of(w)
-            state, _, add = table[state][symbol]
-            weight += add
+            state, mark = table[state][symbol]
+            if mark in PRIOR:
+                marks += mark
             if symbol == END:
-                if weight:
-                    out.append((first, i, weight))
-                weight, first = 0.0, i + 1
+                if marks:
+                    out.append((first, i, marks))
+                marks, first = "", i + 1
         return out
 
     @staticmethod
-    def parts(clauses: list[tuple[int, int, float]]) -> list[float]:
-        weights = [w for _, _, w in clauses]
-        return [1.0, math.tanh(sum(weights) / 2), min(max(weights, default=0.0), 3.0)]
+    def parts(clauses: list[tuple[int, int, str]]) -> tuple[int, ...]:
+        """How often each mark occurs, up to MOST."""
+        marks = "".join(m for _, _, m in clauses)
+        return tuple(min(MOST, marks.count(m)) for m in MARKS)
+
+    def weight(self, marks: str) -> float:
+        return float(sum(self.link[1 + MARKS.index(m)] for m in marks))
 
-    def score(self, clauses: list[tuple[int, int, float]]) -> float:
+    def score(self, clauses: list[tuple[int, int, str]]) -> float:
         parts = self.parts(clauses)
-        if self.constant is not None and parts[1] == 0:
+        if self.constant is not None and not any(parts):
             return self.constant
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.link, parts)))))))
+        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.link, [1, *parts])))))))
 
 
 def _least_shingle(text: str | None) -> int:
@@ -194,24 +235,25 @@ def _marks(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int = LEAST) -> Scorer:
-    """Learn stems and link from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, at most about ``sample`` documents."""
-    marks = _marks(labels)
-    n = marks.count()
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
+    """Learn stems and link from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, from ``sample`` documents at most."""
+    chosen = sampled(_marks(labels), sample, "doc_id")
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-    ).join(F.broadcast(chosen), "doc_id").select("text", "y")  # about `sample` rows
+    ).join(F.broadcast(chosen), "doc_id").select("text", "y")  # `sample` ids at most
+    texts = sampled(texts, sample, "text")
 
     def copies(piece: pa.RecordBatch) -> dict:
         return {"text": piece.column("text"), "y": piece.column("y"), "key": [_least_shingle(x) for x in piece.column("text").to_pylist()]}
 
     texts = checkpointed(map_steps(texts, "text", "text string, y int, key long", copies).dropDuplicates(["key", "y"]).select("text", "y"))
 
+    fixed = Lexicon().fixed
+
     def prefixes(piece: pa.RecordBatch) -> dict:
         count: tuple[Counter, Counter] = (Counter(), Counter())
         for text, y in zip(piece.column("text").to_pylist(), piece.column("y").to_pylist(), strict=True):
-            words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) >= 4}
+            words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) >= 4 and w not in fixed}
             count[y].update({w[:k] for w in words for k in PREFIXES if len(w) >= k})
         keys = [*count[0], *(k for k in count[1] if k not in count[0])]
         return {"stem": keys, "clean": [count[0][k] for k in keys], "toxic": [count[1][k] for k in keys]}
@@ -241,17 +283,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int
         scorer = Scorer(Lexicon(frozenset(stems)))
 
         def values(piece: pa.RecordBatch) -> dict:
-            count = Counter((int(y), *scorer.parts(scorer.clauses(x or ""))[1:]) for x, y in zip(piece.column("text").to_pylist(), piece.column("y").to_pylist(), strict=True))
-            return {"y": [k[0] for k in count], "a": [k[1] for k in count], "b": [k[2] for k in count], "n": list(count.values())}
+            count = Counter((int(y), scorer.parts(scorer.clauses(x or ""))) for x, y in zip(piece.column("text").to_pylist(), piece.column("y").to_pylist(), strict=True))
+            return {"y": [k[0] for k in count], "parts": [list(k[1]) for k in count], "n": list(count.values())}
 
-        got = map_steps(texts, "text", "y int, a double, b double, n long", values).groupBy("y", "a", "b").agg(F.sum("n").alias("n")).collect()  # few distinct values
-        x = np.array([[1.0, r["a"], r["b"]] for r in got])
+        got = map_steps(texts, "text", "y int, parts array<int>, n long", values).groupBy("y", "parts").agg(F.sum("n").alias("n")).collect()  # kinds of counts, `sample` at most
+        x = np.array([[1.0, *r["parts"]] for r in got])
         y, weight = np.array([r["y"] for r in got], float), np.array([r["n"] for r in got], float)
-        w = np.zeros(3)
-        for _ in range(40):
+        prior = w = scorer.link
+        pull = np.diag([0.01, *[PULL] * len(MARKS)])
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-            w = w - np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.05 * w)
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + pull
+            step = np.linalg.solve(h, x.T @ (weight * (p - y)) + pull @ (w - prior))
+            w = w - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        quiet = [1 + MARKS.index(m) for m in (QUOTED, DENIED)]
+        w[quiet] = np.minimum(w[quiet], 0.0)
         scorer.link = w
     else:
         scorer.constant = 1.0 if totals.get(1) else 0.0
@@ -267,7 +313,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
         return {
             "doc_id": piece.column("doc_id"),
             "score": [held.value.score(x) for x in clauses],
-            "clauses": [[{"start": a, "end": b, "weight": w} for a, b, w in x] for x in clauses],
+            "clauses": [[{"start": a, "end": b, "weight": held.value.weight(m)} for a, b, m in x] for x in clauses],
         }
 
     shape = T.StructType.fromDDL("doc_id long, score double, clauses array<struct<start: int, end: int, weight: double>>")

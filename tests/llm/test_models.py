@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import tracemalloc
 from unittest import mock
 
@@ -187,30 +188,43 @@ def test_quality_edges(spark):
 # --- toxicity ------------------------------------------------------------------------------------------------------
 def test_grammar():
     s = toxicity.Scorer(toxicity.Lexicon())
-    weight = lambda x: sum(w for _, _, w in s.clauses(x))
-    W = toxicity.WEIGHTS
-    assert weight("what an idiot") == W[toxicity.INSULT]
-    assert weight("you are an idiot") == W[toxicity.AIMED]
-    assert weight("you are not an idiot") == W[toxicity.DENIED]
-    assert weight("she said you idiot") == W[toxicity.QUOTED]
-    assert weight("she said so. what an idiot") == W[toxicity.INSULT]
-    assert weight("they kill time") == W[toxicity.VIOLENT_AIMED] and weight("to kill time") == W[toxicity.VIOLENT]
-    assert weight("that was really an idiot") == W[toxicity.STATED] and weight("that was the day of some other idiot") == W[toxicity.INSULT]
-    assert weight("we will soon burn it") == W[toxicity.THREAT] and weight("he will burn it") == W[toxicity.THREAT_AIMED]
-    assert weight("i will never hurt you") == W[toxicity.DENIED] and weight("he wrote that he will burn it") == W[toxicity.QUOTED]
-    assert weight("a quiet day\nidiot") == W[toxicity.INSULT] and weight("") == 0
+    marks = lambda x: "".join(m for _, _, m in s.clauses(x))
+    for text, want in {
+        "what an idiot": "",
+        "you are an idiot": "a",
+        "idiots like you": "a",
+        "an idiot is what some of them call it": "",
+        "you are not an idiot": "d",
+        "she said you idiot": "q",
+        "she said so. what an idiot": "",
+        "they kill time": "V",
+        "to kill time": "",
+        "that was really an idiot": "s",
+        "that was the day of some other idiot": "",
+        "we will soon burn it": "t",
+        "he will burn it": "T",
+        "i will kill you": "tT",
+        "i will never hurt you": "d",
+        "he wrote that he will burn it": "q",
+        "trash, scum and vermin": "pp",
+        "a clown here\nand there\na moron. some scum": "PP",
+        "a quiet day\nidiot": "",
+        "": "",
+    }.items():
+        assert marks(text) == want, text
+    assert s.clauses("fine. you are an idiot. fine") == [(2, 6, "a")]
 
 
 def test_composition_equals_one_after_another():
     rng = random.Random(5)
     T = toxicity
-    symbols = "oivlwgnrstqd$"
+    symbols = "oivlwgnrstqdaTV$"
     stages = [T.Transducer(0, T._after(T.LINK, 4, {T.INSULT: T.STATED}), symbols), T.Transducer(0, T._after(T.INTEND, 3, {T.VIOLENT: T.THREAT}), symbols)]
     stages += [
         T.Transducer(False, T._from(T.REPORT, dict.fromkeys(T.HARM, T.QUOTED)), symbols),
         T.Transducer(0, T._after(T.NEGATION, 3, dict.fromkeys(T.HARM, T.DENIED)), symbols),
     ]
-    stages += [T.Transducer(False, T._from(T.TARGET, {T.INSULT: T.AIMED, T.STATED: T.AIMED, T.VIOLENT: T.VIOLENT_AIMED, T.THREAT: T.THREAT_AIMED}), symbols)]
+    stages += [T.Transducer((False, "", 0), T._aimed(4), symbols), T.Transducer((False, False), T._piled, symbols)]
     whole = toxicity.grammar()
     for _ in range(200):
         word = [rng.choice("oivlwgnr$") for _ in range(20)]
@@ -218,14 +232,48 @@ def test_composition_equals_one_after_another():
         for m in stages:
             state, out = m.start, []
             for c in now:
-                state, o, _ = m.table[state][c]
+                state, o = m.table[state][c]
                 out.append(o)
             now = out
-        state, total = whole.start, 0.0
+        state, got = whole.start, []
         for c in word:
-            state, _, w = whole.table[state][c]
-            total += w
-        assert abs(total - sum(toxicity.WEIGHTS.get(c, 0) for c in now)) < 1e-9
+            state, o = whole.table[state][c]
+            got.append(o)
+        assert got == now
+
+
+PLANTED = {
+    "I will kill you": True,
+    "You are an idiot.": True,
+    "Idiots like you ruin it.": True,
+    "We will hurt those people.": True,
+    "You pathetic loser": True,
+    "Du bist ein Idiot": True,
+    "We will not kill anyone": False,
+    "He said you are an idiot": False,
+    "You are not an idiot.": False,
+    "Nobody said that they will attack us": False,
+    "idiot": False,
+    "Trash goes out on Monday.": False,
+    "How to kill time on trains": False,
+    "They beat the eggs until stiff.": False,
+    "The path of a wort and a clown fish.": False,
+    "": False,
+}
+
+
+def _any_insult(text):
+    return any(w in toxicity.INSULTS for w in re.findall(r"[^\W\d_]+", text.lower()))
+
+
+def test_clauses_decide_and_not_words(spark):
+    """On planted sentences, by the link of a fit on real labels: better than the rule that any insult word is toxic."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scorer = toxicity.fit(docs, labels.filter(~langid.held_out(5, 0)))
+    got = {text: scorer.score(scorer.clauses(text)) for text in PLANTED}
+    assert {text: x >= 0.5 for text, x in got.items()} == PLANTED, got
+    assert sum(_any_insult(text) == toxic for text, toxic in PLANTED.items()) < len(PLANTED) - 4
+    assert not {s for s in scorer.lexicon.stems if any(w.startswith(s) for w in scorer.lexicon.fixed) and s in ("path", "wort", "tras", "clow")}
 
 
 def test_toxicity_held_out_accuracy(spark):
@@ -233,6 +281,7 @@ def test_toxicity_held_out_accuracy(spark):
     out = langid.held_out(5, 0)
     got = toxicity.score(docs, toxicity.fit(docs, labels.filter(~out))).join(labels.filter(out), "doc_id")
     toxic, clean = got.filter("toxic = 1"), got.filter("toxic = 0")
+    print("toxicity held out:", toxic.filter("score >= 0.5").count(), toxic.count(), clean.filter("score >= 0.5").count(), clean.count())
     assert toxic.filter("score >= 0.5").count() >= 0.8 * toxic.count() and clean.filter("score >= 0.5").count() <= 0.02 * clean.count()
 
 
