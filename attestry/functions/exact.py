@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import sys
+import unicodedata
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,43 +68,59 @@ def half_even(c: Column, scale: int) -> Column:
 
 
 _SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# what a number's text may hold beside ASCII: decimal digits of all scripts, and blanks around
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 
-def numeric_cell(text: Column, scale: int) -> Column:
-    """A cell for DECIMAL(38, scale) as a struct: ``status`` (``ok``, ``syntax``, ``magnitude``, ``precision``; null for the
-    empty cell) and ``value``, its decimal where the status is ``ok``.
+def judged(df: DataFrame, cells: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """``df`` with a struct for each of ``cells`` (its name -> a text column and the scale of DECIMAL(38, scale)): ``status`` (``ok``,
+    ``syntax``, ``magnitude``, ``precision``; null for the empty cell) and ``value``, its decimal where the status is ``ok``.
 
-    Blanks around and underscores between digits are accepted.  Exponents are handled by digit counts, never by
-    writing the digits out; magnitude is tested before precision; negative zero is zero.
+    Blanks around a number (of any kind), underscores in it and decimal digits of any script are accepted.  Exponents are handled
+    by digit counts, never by writing the digits out; magnitude is tested before precision; negative zero is zero.
+    The steps are columns of their own that later ones use more than once, so that each is computed once for a cell; most
+    cells are plain and need none of them.
     """
-    trimmed = F.trim(text)
-    body = F.when(trimmed.contains("_"), F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")).otherwise(trimmed)
-    low = F.lower(body)
-    mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
-    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    exponent = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
-    figures = F.concat(F.substring_index(mantissa, ".", 1), fraction)
-    places = F.length(fraction)
-    ten = F.when(exponent == "", F.lit(0).cast("long")).when(
-        F.length(exponent) > 12,
-        F.when(exponent.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long"),
-    ).otherwise(exponent.try_cast("long"))
-    significant = F.ltrim(figures, F.lit("0"))
-    trailing = F.length(figures) - F.length(F.rtrim(figures, F.lit("0")))
-    kind = f"decimal(38,{scale})"
-    zero, small = significant == "", F.length(significant) - 1 - places + ten <= 37 - scale
-    fine = places - ten - trailing <= scale
-    status = F.when(~body.rlike(_SHAPE), "syntax").when(zero, "ok").when(~small, "magnitude").when(~fine, "precision").otherwise("ok")
-    value = F.when(body.rlike(_SHAPE), F.when(zero, F.lit(0).cast(kind)).when(small & fine, body.try_cast(kind)))
-    return F.when(text.isNotNull() & (text != ""), F.struct(status.alias("status"), value.alias("value")))
-
-
-def numeric_status(text: Column, scale: int) -> Column:
-    return numeric_cell(text, scale)["status"]
-
-
-def numeric_value(text: Column, scale: int) -> Column:
-    return numeric_cell(text, scale)["value"]
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    col = lambda o, k: F.col(f"`__{o}_{k}`")
+
+    def cleaned(o: str, c: str, scale: int) -> dict[str, Column]:
+        text, whole = F.col(f"`{c}`"), min(38 - scale, 18)
+        plain = text.rlike(rf"^[+-]?\d{{1,{whole}}}(\.\d{{0,{scale}}})?$") if whole else F.lit(False)
+        ascii_ = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(_DIGITS), "".join(str(unicodedata.decimal(x)) for x in _DIGITS))).otherwise(text)
+        body = F.replace(F.trim(ascii_, F.lit(_BLANKS)), F.lit("_"), F.lit(""))
+        return {"plain": plain, "body": F.when(text.isNotNull() & (text != "") & ~plain, body)}
+
+    def parted(o: str, c: str, scale: int) -> dict[str, Column]:
+        low = F.lower(col(o, "body"))
+        mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("+-"))
+        exponent = F.when(low.contains("e"), F.ltrim(F.substring_index(low, "e", -1), F.lit("+"))).otherwise("")
+        return {"shaped": col(o, "body").rlike(_SHAPE), "mantissa": mantissa, "exponent": exponent}
+
+    def counted(o: str, c: str, scale: int) -> dict[str, Column]:
+        mantissa, exponent = col(o, "mantissa"), col(o, "exponent")
+        dot = F.instr(mantissa, ".")
+        long = F.when(exponent.startswith("-"), F.lit(-(10**9))).otherwise(F.lit(10**9)).cast("long")
+        ten = F.when(exponent == "", F.lit(0).cast("long")).when(F.length(exponent) > 12, long).otherwise(exponent.try_cast("long"))
+        return {"figures": F.replace(mantissa, F.lit("."), F.lit("")), "places": F.when(dot > 0, F.length(mantissa) - dot).otherwise(0) - ten}
+
+    def measured(o: str, c: str, scale: int) -> dict[str, Column]:
+        figures, places = col(o, "figures"), col(o, "places")
+        significant = F.length(F.ltrim(figures, F.lit("0")))
+        trailing = F.length(figures) - F.length(F.rtrim(figures, F.lit("0")))
+        status = F.when(~col(o, "shaped"), "syntax").when(significant == 0, "zero").when(significant - 1 - places > 37 - scale, "magnitude")
+        return {"status": status.when(places - trailing > scale, "precision").when(col(o, "shaped"), "ok")}
+
+    def struct(o: str, c: str, scale: int) -> Column:
+        kind, status = f"decimal(38,{scale})", col(o, "status")
+        value = F.when(col(o, "plain"), F.col(f"`{c}`").try_cast(kind)).when(status == "zero", F.lit(0).cast(kind)).when(status == "ok", col(o, "body").try_cast(kind))
+        told = F.when(col(o, "plain") | (status == "zero"), "ok").otherwise(status)
+        return F.when(F.col(f"`{c}`") != "", F.struct(told.alias("status"), value.alias("value"))).alias(o)
+
+    for stage in (cleaned, parted, counted, measured):
+        df = df.withColumns({f"__{o}_{k}": v for o, (c, scale) in cells.items() for k, v in stage(o, c, scale).items()})
+    return df.select(*keep, *[struct(o, c, scale) for o, (c, scale) in cells.items()])
 
 
 _DATE, _TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?$"
@@ -119,7 +139,8 @@ def temporal_value(text: Column, granularity: str) -> Column:
 
 
 def float64_faithful(c: Column, scale: int) -> Column:
-    """Whether a decimal survives the way to a finite double and back at its scale; null stays null."""
+    """Whether a decimal survives the way to a finite double and back at its scale; null stays null.  ``c`` is used several times:
+    a column that is there already, not an expression."""
     d = c.cast("double")
     finite = F.abs(d) < float("inf")
     return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(finite & (d.try_cast(f"decimal(38,{scale})") == c))

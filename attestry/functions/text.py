@@ -52,9 +52,17 @@ def fences(c: Column) -> Column:
 
 
 def _is_chart_json(c: Column) -> Column:
-    ours = F.lower(F.get_json_object(c, "$['$schema']")).contains("vega.github.io/schema/vega-lite/")
-    shaped = F.get_json_object(c, "$.mark").isNotNull() & F.get_json_object(c, "$.encoding").startswith("{") & F.coalesce(*[F.get_json_object(c, f"$.{k}") for k in CHART_KEYS]).isNotNull()
-    return F.coalesce(is_json_object(c) & (F.coalesce(ours, F.lit(False)) | F.coalesce(shaped, F.lit(False))), F.lit(False))
+    """A JSON object with the library's schema, or with a mark, an encoding that is an object and some source of data; a key counts
+    where it is there, whatever its value."""
+    v = F.try_parse_json(c)
+    of = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    ours = F.lower(F.try_variant_get(v, "$['$schema']", "string")).contains("vega.github.io/schema/vega-lite/")
+    data = F.lit(False)
+    for k in CHART_KEYS:
+        data |= of(f"$.{k}").isNotNull()
+    shaped = of("$.mark").isNotNull() & kind(of("$.encoding")) & data
+    return kind(v) & (F.coalesce(ours, F.lit(False)) | shaped)
 
 
 def chart_signals(c: Column) -> Column:

@@ -438,11 +438,7 @@ def numeric_coercion(spark, sf_dir):
     df = t(spark, sf_dir, "lineitem")
     price, qty, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 6
     cell = F.when(k == 0, price).when(k == 1, F.concat(F.lit(" "), qty, F.lit(" "))).when(k == 2, F.concat(price, F.lit("5"))).when(k == 3, "n/a").when(k == 4, F.concat(qty, F.lit("e40"))).otherwise("")
-    judged = df.select("l_orderkey", "l_linenumber", cell.alias("cell")).select(
-        "l_orderkey",
-        "l_linenumber",
-        exact.numeric_cell(F.col("cell"), 2).alias("judged"),
-    )
+    judged = exact.judged(df.select("l_orderkey", "l_linenumber", cell.alias("cell")), {"judged": ("cell", 2)})
     return judged.select("l_orderkey", "l_linenumber", "judged.status", "judged.value")
 
 
@@ -467,7 +463,7 @@ def float64_fidelity(spark, sf_dir):
         F.col("l_orderkey") % 5 == 0,
         F.lit("1000000000000000000.01").cast("decimal(38,2)") + F.floor(price).cast("decimal(15,0)"),
     ).otherwise(price).cast("decimal(38,2)")
-    return lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(far, 2)).alias("lost"))
+    return lineitem(spark, sf_dir).withColumn("far", far).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(~exact.float64_faithful(F.col("far"), 2)).alias("lost"))
 
 
 # --- reply evaluation ----------------------------------------------------------------------------------------------
@@ -1456,6 +1452,16 @@ def dataset_profile(spark, sf_dir):
     )
 
 
+@query("profile_source_order", """SELECT count(*) AS n_rows, (SELECT string_agg('[' || CAST(s_suppkey AS VARCHAR) || ',"' || s_name || '",' || CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ',"2024-01-31"]', ';' ORDER BY s_suppkey DESC) FROM (SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 3)) AS first FROM supplier""")
+def profile_source_order(spark, sf_dir):
+    """The first rows of files that are written backwards, as the files have them."""
+    s = t(spark, sf_dir, "supplier").orderBy(F.desc("s_suppkey"))
+    path = fresh_path(spark)
+    rows = s.select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("balance"), F.lit("2024-01-31").alias("day"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return scan.profile(scan.in_source_order(spark, path, REGION_CSV), REGION_CSV).select("n_rows", F.array_join("first", ";").alias("first"))
+
+
 @query(
     "chart_rows",
     f"""WITH a AS ({_BY_STATUS}) SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderpriority) AS pos, '{{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","total":' || CAST(total AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}}' AS row FROM a""",
@@ -1525,3 +1531,14 @@ def stream_ledger(spark, sf_dir):
     s = _stream(spark, sf_dir, "events")
     twice = s.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return streams.drained(streams.distinct_attempts(twice, "event_id", "ts")).select("event_id")
+
+
+@query("stream_repeats", "SELECT event_id, 'kept' AS stored, 1 AS n FROM events UNION ALL SELECT event_id, 'repeats', CAST(1 + event_id % 2 AS INTEGER) FROM events")
+def stream_repeats(spark, sf_dir):
+    """Each event comes two or three times: the first is kept, the others are reported."""
+    s = _stream(spark, sf_dir, "events")
+    copies = F.explode(F.sequence(F.lit(1), (F.col("event_id") % 2 + 2).cast("int")))
+    path = fresh_path(spark)
+    streams.attempts_and_repeats(s.select("event_id", "event_type", copies.alias("copy")), "event_id", path)
+    both = [spark.read.parquet(f"{path}/{name}").groupBy("event_id").agg(F.count("*").cast("int").alias("n")).select("event_id", F.lit(name).alias("stored"), "n") for name in ("kept", "repeats")]
+    return both[0].unionByName(both[1])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.digests import header_line, row_line, tagged
-from ..functions.exact import numeric_status, numeric_value, temporal_ok, temporal_value
+from ..functions.exact import judged, temporal_ok, temporal_value
 from ..operators.checks import LIMITS
 from ..operators.order import total_order
 from ..types import Numeric, TableSchema, Temporal
@@ -139,10 +139,15 @@ def raw_csv(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
     return df.withColumn("__file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
 
 
+def _numbers(schema: TableSchema) -> dict[str, tuple[str, int]]:
+    return {f"__judged_{c.name}": (c.name, c.scale) for c in schema.columns if isinstance(c, Numeric)}
+
+
 def cell_failures(raw: DataFrame, schema: TableSchema, by: str = "__file") -> DataFrame:
     """``by, check, n``: failing cells and rows, over all columns, whatever a query would read."""
     tests = [F.count_if(F.col(CORRUPT).isNotNull()).alias("data.row_width")] if CORRUPT in raw.columns else []
-    numeric = [F.coalesce(numeric_status(F.col(c.name), c.scale), F.lit("ok")) != "ok" for c in schema.columns if isinstance(c, Numeric)]
+    raw = judged(raw, _numbers(schema))
+    numeric = [F.coalesce(F.col(f"`__judged_{c.name}`.status"), F.lit("ok")) != "ok" for c in schema.columns if isinstance(c, Numeric)]
     temporal = [~F.coalesce(temporal_ok(F.col(c.name), c.granularity), F.lit(True)) for c in schema.columns if isinstance(c, Temporal)]
     for name, bad in (("data.numeric_value", numeric), ("data.temporal_value", temporal)):
         if bad:
@@ -159,11 +164,12 @@ def typed_csv(raw: DataFrame, schema: TableSchema, *, refuse: bool = True, keep:
     columns of ``raw``.
     """
     out = [F.col(c) for c in keep]
+    raw = judged(raw, _numbers(schema))
     width = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
     for c in schema.columns:
         text = F.nullif(F.col(f"`{c.name}`"), F.lit(""))
         numeric, temporal = isinstance(c, Numeric), isinstance(c, Temporal)
-        value = numeric_value(text, c.scale) if numeric else temporal_value(text, c.granularity) if temporal else text
+        value = F.col(f"`__judged_{c.name}`.value") if numeric else temporal_value(text, c.granularity) if temporal else text
         if refuse:
             if numeric or temporal:
                 message = F.concat(F.lit(f"data.{'numeric' if numeric else 'temporal'}_value: {c.name} "), text)
@@ -173,15 +179,27 @@ def typed_csv(raw: DataFrame, schema: TableSchema, *, refuse: bool = True, keep:
     return raw.select(*out)
 
 
+#: One task reads a CSV file whole, so that a row's place in its partition's run of a file is its place in the file.
+_PLACED = "__at"
+
+
+def in_source_order(spark: SparkSession, path: str, schema: TableSchema) -> DataFrame:
+    """``raw_csv`` with ``__file`` (the path) and ``__at``, which grows with a row's place inside its file."""
+    raw = raw_csv(spark, path, schema)
+    return raw.withColumn("__file", F.col("_metadata.file_path")).withColumn(_PLACED, F.monotonically_increasing_id())
+
+
 def profile(raw: DataFrame, schema: TableSchema, *, first_rows: int = 3) -> DataFrame:
-    """One row: ``identity`` of the declared columns, their ``descriptions``, ``n_rows``, and the ``first`` rows as canonical lines.
+    """One row: ``identity`` of the declared columns, their ``descriptions``, ``n_rows``, and the ``first`` rows as lines.
 
-    "First" is by canonical order of the rows, as files have none.
+    "First" is as the source has them: by file and place (``in_source_order``); rows without places come in canonical order.
     """
     text = [f"{c.name} ({c.descriptor.split(':', 1)[1]}" + (f", unit {c.unit}" if c.unit else "") + ")" for c in schema.columns]
-    typed = typed_csv(raw, schema)
+    placed = _PLACED in raw.columns
+    typed = typed_csv(raw, schema, keep=("__file", _PLACED) if placed else ())
     total = typed.agg(F.count("*").alias("n_rows"))
-    first = typed.orderBy(*total_order(schema.names)).limit(first_rows).select(row_line(schema).alias("line"), F.monotonically_increasing_id().alias("at"))
+    order = [F.col("__file"), F.col(_PLACED)] if placed else total_order(schema.names)
+    first = typed.orderBy(*order).limit(first_rows).select(row_line(schema).alias("line"), F.monotonically_increasing_id().alias("at"))
     told = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("first"))
     identity = tagged("manifest", F.lit(header_line(schema)))
     return total.join(told).select(identity.alias("identity"), F.array(*[F.lit(x) for x in text]).alias("descriptions"), "n_rows", "first")  # one row each
