@@ -13,10 +13,13 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator, Mapping
-from decimal import Decimal
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -283,8 +286,11 @@ def fingerprints(formulas: DataFrame, admitted: DataFrame) -> DataFrame:
 def grid(formulas: DataFrame) -> DataFrame:
     """``formula_id, i, x``: ``start + i / (samples - 1) * span``, rounded at ``x_scale``, for every sample.
 
-    Exact as long as the products fit 38 digits (start and stop have at most 6 decimals and 18 digits).
+    Exact as long as the products fit 38 digits (start and stop have at most 6 decimals and 18 digits).  Formulas are spread
+    over tasks before their points are made, equal ones side by side.
     """
+    tasks = int(formulas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    formulas = formulas.repartition(tasks, "formula_id").sortWithinPartitions("formula", "y_scale") if {"formula", "y_scale"} <= set(formulas.columns) else formulas
     rows = formulas.select("formula_id", "start", "stop", "samples", "x_scale", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)).alias("i"))
     six = lambda c: (F.col(c).cast("decimal(24,6)") * 1_000_000).cast("decimal(24,0)")
     last = (F.col("samples") - 1).cast("decimal(10,0)")
@@ -302,35 +308,189 @@ def collisions(points: DataFrame) -> DataFrame:
     return points.withColumn("before", F.lag("x").over(w)).filter("x <= before").select("formula_id", "i")
 
 
+class _Wide(Exception):
+    """A value that may take more than ``_SMALL`` bits."""
+
+
+class Batch:
+    """A formula over many points at once: every value is n / (d * 10**s), with arrays n and d (None for 1) and one s.
+
+    Bounds on bits are found before anything is computed, from the points' largest one: while they fit 62 bits the
+    arrays are of machine integers, and beyond that of Python's; a formula that may take more than ``_SMALL`` bits is not for this
+    path.  Fractions are not reduced on the way, so that a value's bits are never less than those of the reduced one.
+    """
+
+    def __init__(self, tree, units: np.ndarray, scale: int, y_scale: int):
+        self.tree, self.y_scale = tree, y_scale
+        largest = max([abs(int(x)) for x in (units.max(), units.min())]) if len(units) else 0
+        self.most = 0
+        n, d, s = self._bits(tree, largest.bit_length(), scale)
+        self._seen(n + 4 * max(0, y_scale - s) + 2, d + 4 * max(0, s - y_scale) + 2)
+        self.units = units if self.most <= 62 else units.astype(object)
+        self.scale, self.undefined = scale, np.zeros(len(units), bool)
+
+    def _seen(self, *bits: int) -> None:
+        self.most = max(self.most, *bits)
+        if self.most > _SMALL:
+            raise _Wide
+
+    def _bits(self, tree, x: int, scale: int) -> tuple[int, int, int]:
+        """Bounds on the bits of n and d, and s."""
+        if isinstance(tree, Fraction):
+            got = scaled(tree, {})
+            if got is None:
+                raise _Wide
+            n, d, s = got[0].bit_length(), 0, got[1]
+        elif isinstance(tree, str):
+            n, d, s = x, 0, scale
+        else:
+            op, a, *rest = tree
+            n, d, s = self._bits(a, x, scale)
+            if op == "pow":
+                k = rest[0]
+                if k < 0:
+                    n, d, s, k = d + 4 * s, n, 0, -k
+                n, d, s = n * k + 1, d * k, s * k
+            elif op not in ("neg", "abs"):
+                m, e, t = self._bits(rest[0], x, scale)
+                if op == "*":
+                    n, d, s = n + m, d + e, s + t
+                elif op == "/":
+                    n, d, s = n + e + 4 * max(0, t - s), d + m, max(0, s - t)
+                else:
+                    n, d, s = max(n + e + 4 * max(0, t - s), m + d + 4 * max(0, s - t)) + 1, d + e, max(s, t)
+        self._seen(n, d, 4 * s)
+        return n, d, s
+
+    def _value(self, tree) -> tuple:
+        if isinstance(tree, Fraction):
+            n, s = scaled(tree, {})
+            return np.full(len(self.units), n, self.units.dtype), None, s
+        if isinstance(tree, str):
+            return self.units, None, self.scale
+        op, a, *rest = tree
+        n, d, s = self._value(a)
+        if op in ("neg", "abs"):
+            return (-n if op == "neg" else np.abs(n)), d, s
+        if op == "pow":
+            k = rest[0]
+            if k < 0:
+                n, d, s, k = *self._turned(n, d, s), 0, -k
+            out = (np.ones_like(n), None if d is None else np.ones_like(d))
+            for _ in range(k):
+                out = (out[0] * n, None if d is None else out[1] * d)
+            return *out, s * k
+        m, e, t = self._value(rest[0])
+        if op == "/":
+            turned = self._turned(m, e, 0)
+            # 10**t goes to whichever side has the smaller power
+            n = n * turned[0] * 10 ** max(0, t - s)
+            return n, turned[1] if d is None else d * turned[1], max(0, s - t)
+        if op == "*":
+            return n * m, d if e is None else e if d is None else d * e, s + t
+        n, m, s = n * 10 ** max(0, t - s), m * 10 ** max(0, s - t), max(s, t)
+        n, m = n if e is None else n * e, m if d is None else m * d
+        return (n + m if op == "+" else n - m), d if e is None else e if d is None else d * e, s
+
+    def _turned(self, n: np.ndarray, d: np.ndarray | None, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """One over a value, the sign above."""
+        zero = n == 0
+        self.undefined |= zero.astype(bool)
+        n = np.where(zero, np.ones_like(n), n)
+        above = (np.ones_like(n) if d is None else d) * 10**s
+        return np.where(n < 0, -above, above), np.abs(n)
+
+    def rounded(self) -> np.ndarray:
+        """Values in units of ``10**-y_scale``, ties to even."""
+        n, d, s = self._value(self.tree)
+        n = n * 10 ** max(0, self.y_scale - s)
+        d = (np.ones_like(n) if d is None else d) * 10 ** max(0, s - self.y_scale)
+        q = n // d
+        twice = 2 * (n - q * d)
+        return q + ((twice > d) | ((twice == d) & (q % 2 == 1))).astype(q.dtype)
+
+
+def _decimals(units: np.ndarray, scale: int) -> pa.Array:
+    """Integers as decimals of ``10**-scale`` at (38, 12); null where they do not fit."""
+    if units.dtype == np.int64:
+        raw = np.stack([units, units >> 63], 1)
+        return pa.Array.from_buffers(pa.decimal128(38, scale), len(units), [None, pa.py_buffer(raw.tobytes())]).cast(pa.decimal128(38, 12))
+    limit = 10 ** (38 - 12 + scale)
+    with localcontext(prec=60):
+        return pa.array([Decimal(x).scaleb(-scale) if -limit < x < limit else None for x in units.tolist()], pa.decimal128(38, 12))
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, int]:
+    """Decimals at (38, 12) as integers of one scale, the least that holds them all."""
+    raw = np.frombuffer(column.buffers()[1], np.int64).reshape(-1, 2)[column.offset : column.offset + len(column)]
+    units, scale = raw[:, 0], 12
+    if (raw[:, 1] != units >> 63).any():
+        with localcontext(prec=60):
+            return np.array([int(x.scaleb(12)) for x in column.to_pylist()], object), 12
+    while scale and not (units % 10).any():
+        units, scale = units // 10, scale - 1
+    return units, scale
+
+
 def evaluated(points: DataFrame, formulas: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``formula_id, i, x, y, status``: y at ``y_scale`` from the canonical x; undefined points have a status instead."""
-    need = points.join(formulas.select("formula_id", "formula", "y_scale"), "formula_id")
+    """``formula_id, i, x, y, status``: y at ``y_scale`` from the canonical x; undefined points have a status instead.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A formula's points of one Arrow batch are computed together (``Batch``); formulas that may take many bits go through
+    rationals, point by point.  Points without x, and formulas without a text or a scale, give no rows.
+    """
+    need = points.join(formulas.select("formula_id", "formula", "y_scale"), "formula_id").select("formula_id", "i", F.col("x").cast("decimal(38,12)").alias("x"), "formula", "y_scale")
+    shape = pa.schema([("formula_id", pa.int64()), ("i", pa.int32()), ("x", pa.decimal128(38, 12)), ("y", pa.decimal128(38, 12)), ("status", pa.string())])
+
+    def each(tree, xs: pa.Array, scale: int) -> tuple[pa.Array, list[str]]:
+        ys, status = [], []
+        for x in xs.to_pylist():
+            try:
+                ys.append(_rounded(tree, {"x": x}, scale, limits))
+                status.append("ok")
+            except Refused as e:
+                ys.append(None)
+                status.append(e.check)
+        got = _decimals(np.array([0 if y is None else y for y in ys], object), scale)
+        return pa.compute.if_else(pa.array([y is None for y in ys]), pa.scalar(None, got.type), got), status
+
+    def together(text: str, xs: pa.Array, scale: int, trees: dict) -> tuple[pa.Array, list[str]]:
+        if text not in trees:
+            if len(trees) > 1000:
+                trees.clear()
+            try:
+                trees[text] = parse(text, limits=limits)
+            except Refused as e:
+                trees[text] = e
+        tree = trees[text]
+        if isinstance(tree, Refused):
+            return pa.nulls(len(xs), pa.decimal128(38, 12)), [tree.check] * len(xs)
+        try:
+            if limits["formula_intermediate_bits"] < _SMALL:
+                raise _Wide
+            batch = Batch(tree, *_units(xs), scale)
+            got = _decimals(batch.rounded(), scale)
+        except _Wide:
+            return each(tree, xs, scale)
+        return pa.compute.if_else(pa.array(batch.undefined), pa.scalar(None, got.type), got), np.where(batch.undefined, "formula.values_defined", "ok").tolist()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, object] = {}
-        for pdf in batches:
-            ys, status = [], []
-            for text, x, scale in zip(pdf["formula"], pdf["x"], pdf["y_scale"], strict=True):
-                if text not in trees:
-                    if len(trees) > 1000:
-                        trees.clear()
-                    try:
-                        trees[text] = parse(text, limits=limits)
-                    except Refused as e:
-                        trees[text] = e
-                tree = trees[text]
-                try:
-                    if isinstance(tree, Refused):
-                        raise tree
-                    ys.append(_digits(_rounded(tree, {"x": x}, int(scale), limits), int(scale)))
-                    status.append("ok")
-                except Refused as e:
-                    ys.append(None)
-                    status.append(e.check)
-            yield pd.DataFrame({"formula_id": pdf["formula_id"], "i": pdf["i"], "x": pdf["x"], "y": ys, "status": status})
-
-    got = need.mapInPandas(work, "formula_id long, i int, x decimal(38,12), y string, status string")
-    return got.withColumn("y", F.col("y").try_cast("decimal(38,12)"))
+        for batch in batches:
+            batch = batch.filter(pa.compute.and_(batch.column("x").is_valid(), pa.compute.and_(batch.column("formula").is_valid(), batch.column("y_scale").is_valid())))
+            if not batch.num_rows:
+                continue
+            key = pa.table({"f": batch.column("formula"), "s": batch.column("y_scale"), "k": pa.array(range(batch.num_rows))})
+            groups = key.group_by(["f", "s"]).aggregate([("k", "list")])
+            order, ys, status = [], [], []
+            for text, scale, at in zip(groups.column("f").to_pylist(), groups.column("s").to_pylist(), groups.column("k_list").to_pylist(), strict=True):
+                y, own = together(text, batch.column("x").take(pa.array(at)), int(scale), trees)
+                order += at
+                ys.append(y)
+                status += own
+            rows = batch.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([rows.column("formula_id").cast(pa.int64()), rows.column("i").cast(pa.int32()), rows.column("x"), pa.concat_arrays(ys), pa.array(status, pa.string())], schema=shape)
+
+    return need.mapInArrow(work, "formula_id long, i int, x decimal(38,12), y decimal(38,12), status string")
 
 
 def compiled(tree, columns: dict[str, tuple[Column, int, int]]) -> tuple[Column, int, int] | None:
