@@ -757,6 +757,14 @@ def attempt_shape_violations(spark, sf_dir):
     return ledger.attempt_violations(_attempts(spark, sf_dir))
 
 
+@query("attempt_duplicate_roles", "SELECT CAST(event_id AS VARCHAR) AS attempt_id, 'roles_unique' AS rule FROM events WHERE event_id % 37 = 0 AND event_id % 13 NOT IN (2, 3) AND event_id % 19 <> 0")
+def attempt_duplicate_roles(spark, sf_dir):
+    """Attempts whose trace has its first role twice, by every 37th event (two outcomes have no roles)."""
+    k = F.col("attempt_id").cast("long")
+    twice = F.when((k % 37 == 0) & (k % 19 != 0), F.concat("roles", F.slice("roles", 1, 1))).otherwise(F.col("roles"))
+    return ledger.attempt_violations(_attempts(spark, sf_dir).withColumn("roles", twice)).filter("rule = 'roles_unique'")
+
+
 @query("ledger_certificate_audit", """WITH c AS (SELECT doc_id, sha256('record ' || CAST(doc_id AS VARCHAR)) AS id, sha256(text) AS d FROM documents)
     SELECT 'sha256:' || CASE WHEN doc_id % 20 = 0 THEN repeat('0', 64) ELSE id END AS certificate_id, field, problem FROM (SELECT doc_id, id, 'certificate_id' AS field, 'address' AS problem FROM c WHERE doc_id % 20 = 0
     UNION ALL SELECT doc_id, id, 'data' AS field, CASE WHEN stored IS NULL THEN 'missing' ELSE 'content' END FROM (SELECT c.*, (SELECT count(*) FROM documents x WHERE sha256(x.text) = c.d AND x.doc_id % 3 <> 0) AS whole, (SELECT max(1) FROM documents x WHERE sha256(x.text) = c.d) AS stored FROM c) WHERE whole = 0)""")
