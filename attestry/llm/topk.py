@@ -347,10 +347,13 @@ def _searched(k: int):
 def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows that meet the condition ``is_query`` (a Column), against all rows."""
     rows = stored(integral(vectors, scale=scale))
-    n = rows.count()
-    chosen = sampled(rows, SAMPLE, "vec_id", "v").select("v").toArrow()  # SAMPLE rows at most
+    # of rows that are alike in all, k are as good as any number, and one more where one of them asks
+    alike = rows.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).cast("int").alias("copies"))
+    own = stored(alike.select("vec_id", "v", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy"))
+    n = own.count()
+    chosen = sampled(own, SAMPLE, "vec_id", "v").select("v").toArrow()  # SAMPLE rows at most
     sample = {v.shape[1]: v for _, v in _matrices(pa.concat_arrays(chosen.column("v").chunks))} if chosen.num_rows else {}
-    base = stored(_in_cells(rows, Splits(sample, min(CELLS, -(-n // shard_rows)))))
+    base = stored(_in_cells(own, Splits(sample, min(CELLS, -(-n // shard_rows)))))
     cells = Cells(_boxes(base).collect(), shard_rows)  # CELLS rows, and one for each number of components that the sample lacks
     parts = rows.sparkSession.createDataFrame(
         [(size, int(c), int(p)) for size, own in cells.of.items() for c, p in zip(own[0], own[1], strict=True)],

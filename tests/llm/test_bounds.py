@@ -81,3 +81,22 @@ def test_one_id_on_all_rows(spark, ids, monkeypatch):
     vectors = spark.range(300).select(F.lit(1).cast("long").alias("vec_id"), F.array(*[F.lit(0.5)] * 4).alias("embedding"))
     monkeypatch.setattr(topk, "SAMPLE", 40)
     assert topk.top_k(vectors, F.col("vec_id") == 1, k=2).count() == 600
+
+
+def test_equal_vectors_are_few_candidates(spark, monkeypatch):
+    """Thousands of equal rows answer each other and all else as before, and k + 1 of them reach the shards."""
+    rows = [(1, [0.5, 0.25])] * 3000 + [(2, [0.5, 0.25])] * 2 + [(3, [1.0, -1.0]), (4, None), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    cells = topk._in_cells
+    monkeypatch.setattr(topk, "_in_cells", lambda own, splits: seen.append(own.count()) or cells(own, splits))
+    got = topk.top_k(vectors, F.col("vec_id") != 1, k=3)
+    assert seen == [4 + 2 + 1]
+    answers = {}
+    for r in got.collect():
+        answers.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    both = 128 * 128 + 64 * 64
+    assert sorted(answers[2]) == sorted([(i, 1, both) for i in (1, 2, 3)] * 2)
+    assert sorted(answers[3]) == [(i, 1, 256 * 128 - 256 * 64) for i in (1, 2, 3)]
+    alone = topk.top_k(vectors.filter("vec_id = 1"), F.lit(True), k=3)
+    assert alone.count() == 9000 and {r["vec_id"] for r in alone.select("vec_id").distinct().collect()} == {1}
