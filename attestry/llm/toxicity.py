@@ -10,8 +10,8 @@ another and are composed into one machine (the product of their reachable states
 * negation: an insult or threat within three words after a negation is marked as denied;
 * target: an insult or threat is marked as aimed where its clause names a target before it ("you ... idiot"), or
   within four words after it ("idiots like you", "kill you");
-* pile: an insult that is none of these is marked as piled where its clause has one already (stated and aimed ones count), and as
-  repeated where an earlier clause of the document has one.
+* pile: an insult that is not aimed is marked as piled where its clause has one already (stated and aimed ones count), and, if it
+  is nothing else, as repeated where an earlier clause of the document has one.
 
 What is marked is a match; an insult or a violent verb alone is none, and adds nothing.  A document's matches are counted by
 their mark (up to MOST of each), and a logistic link gives the score.  Its weights are fitted on the labels, drawn to PRIOR as
@@ -61,7 +61,7 @@ OTHER, INSULT, VIOLENT, LINK, INTEND, TARGET, NEGATION, REPORT, END = "o", "i",
 STATED, THREAT, QUOTED, DENIED, AIMED, THREAT_AIMED, VIOLENT_AIMED, PILED, REPEATED = "s", "t", "q", "d", "a", "T", "V", "p", "P"
 HARM = (INSULT, STATED, VIOLENT, THREAT)
 AIMS = {INSULT: AIMED, STATED: AIMED, VIOLENT: VIOLENT_AIMED, THREAT: THREAT_AIMED}
-#: What the link holds of each mark before labels are seen, and of a document without any; counts of a mark beyond MOST add nothing.
+#: What the link holds of each mark before labels are seen, beside BASE of a document without any; counts of a mark beyond MOST add nothing.
 PRIOR = {STATED: 2.0, THREAT: 1.0, AIMED: 6.0, THREAT_AIMED: 7.0, VIOLENT_AIMED: 1.0, PILED: 3.0, REPEATED: 3.0, QUOTED: -0.5, DENIED: -0.5}
 BASE, MOST, PULL = -4.0, 3, 2.0
 MARKS = "".join(PRIOR)
@@ -143,6 +143,8 @@ def _piled(state: tuple[bool, bool], s: str):
     here, earlier = state
     if s == END:
         return (False, here or earlier), s
+    if s == STATED and here:
+        return state, PILED
     if s != INSULT:
         return (here or s in (STATED, AIMED), earlier), s
     return (True, earlier), PILED if here else REPEATED if earlier else s
@@ -289,7 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int
         got = map_steps(texts, "text", "y int, parts array<int>, n long", values).groupBy("y", "parts").agg(F.sum("n").alias("n")).collect()  # kinds of counts, `sample` at most
         x = np.array([[1.0, *r["parts"]] for r in got])
         y, weight = np.array([r["y"] for r in got], float), np.array([r["n"] for r in got], float)
-        prior = w = scorer.link
+        # the prior says what a match alone means: it moves with what documents without a match are
+        none = ~x[:, 1:].any(axis=1)
+        base = min(BASE, math.log(((weight * y)[none].sum() + 0.5) / ((weight * (1 - y))[none].sum() + 0.5)))
+        prior = w = np.array([base, *[v + BASE - base if v > 0 else v for v in PRIOR.values()]])
         pull = np.diag([0.01, *[PULL] * len(MARKS)])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
