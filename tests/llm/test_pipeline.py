@@ -78,26 +78,43 @@ def test_quality_query_against_brute_force(spark):
 def toxicity_brute(text, scorer):
     """(score, clauses) with the rules written out, one pass over a clause for each."""
     lexicon = {w: k for k, words in (("link", toxicity.LINKING), ("intent", toxicity.INTENT), ("report", toxicity.REPORTING), ("not", toxicity.NEGATIONS), ("target", toxicity.TARGETS), ("violent", toxicity.VIOLENCE), ("insult", toxicity.INSULTS)) for w in words}
-    weights, clauses = [], 0
+    found, clauses, earlier = [], 0, False
+    aims = {"i": "a", "s": "a", "v": "V", "t": "T"}
     for clause in re.split(r"[.!?;\n]+", (text or "").lower()):
         words = [lexicon.get(w) or ("insult" if any(w[:k] in scorer.lexicon.stems for k in range(4, 9)) else "") for w in re.findall(r"[^\W\d_]+", clause)]
-        total = 0.0
+        marks, here, open_ = [], False, {}  # open_: harm that a target may still follow
         for i, word in enumerate(words):
+            named = "target" in words[:i]
+            if word == "target" and not named:
+                late = [k for k in open_ if i - k <= 4]
+                if late and late[-1] == max(open_):
+                    marks.append(aims[open_[late[-1]]])
+                    here |= marks[-1] == "a"
             if word not in ("insult", "violent"):
                 continue
             stated = word == "insult" and "link" in words[max(0, i - 4) : i]
             threat = word == "violent" and "intent" in words[max(0, i - 3) : i]
-            if "report" in words[:i] or "not" in words[max(0, i - 3) : i]:
-                total += 0.6
-            elif "target" in words[:i]:
-                total += 1.75 if threat else 1.5
+            kind = ("s" if stated else "i") if word == "insult" else "t" if threat else "v"
+            if "report" in words[:i]:
+                mark = "q"
+            elif "not" in words[max(0, i - 3) : i]:
+                mark = "d"
+            elif named:
+                mark = aims[kind]
             else:
-                total += {("insult", False): 1.1 if stated else 1.0, ("violent", False): 0.25, ("violent", True): 0.5}[word, threat]
-        if total:
-            weights.append(total)
-            clauses += 1
-    z = float(np.dot(scorer.link, [1.0, math.tanh(sum(weights) / 2), min(max(weights, default=0.0), 3.0)]))
-    return (scorer.constant if scorer.constant is not None and not weights else 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))), clauses
+                open_[i] = mark = kind
+            if mark in ("s", "i") and here:
+                mark = "p"
+            elif mark == "i" and earlier:
+                mark = "P"
+            here |= mark in ("i", "s", "a", "p", "P")
+            if mark not in ("i", "v"):
+                marks.append(mark)
+        earlier |= here
+        found += marks
+        clauses += bool(marks)
+    z = scorer.link[0] + sum(scorer.link[1 + toxicity.MARKS.index(m)] * min(3, found.count(m)) for m in set(found))
+    return (scorer.constant if scorer.constant is not None and not found else 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z)))))), clauses
 
 
 def test_toxicity_query_against_brute_force(spark):
