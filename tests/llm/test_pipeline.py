@@ -1,7 +1,6 @@
 import math
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
