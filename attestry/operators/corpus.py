@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import empty_table_digest, multiset_digest, row_line, table_digest
 from ..sources.canonical import lines
-from ..sources.store import stored
+from ..sources.store import spread, stored
 from ..types import CheckError, TableSchema
 from .order import positions
 from .pipeline import Channel, Pipeline, checked_literal, kind_of, literal_condition
@@ -24,6 +24,7 @@ def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[st
 
     Stages: ``decode``, ``binding`` (manifest and declared hash), ``plan``, ``encoding``.  The schemas and hashes are
     the catalogue of datasets that specs can name; without ``hashes`` the column ``source`` of ``specs`` has each one's own.
+    Specs are spread over tasks, and equal texts of one Arrow batch are judged once.
     """
 
     def judge(raw: str | None, source: str | None) -> tuple:
@@ -48,11 +49,13 @@ def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[st
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(x, y) for x, y in zip(pdf["raw"], pdf["source"], strict=True)]
+            pairs = list(zip(pdf["raw"], pdf["source"], strict=True))
+            told = {pair: judge(*pair) for pair in set(pairs)}
+            got = [told[pair] for pair in pairs]
             yield pd.DataFrame({"spec_id": pdf["spec_id"], "stage": [g[0] for g in got], "check": [g[1] for g in got], "canonical": [g[2] for g in got]})
 
     own = (F.col("source") if hashes is None else F.lit(None)).cast("string").alias("source")
-    return specs.select("spec_id", "raw", own).mapInPandas(work, "spec_id string, stage string, check string, canonical string")
+    return spread(specs.select("spec_id", "raw", own), "spec_id").mapInPandas(work, "spec_id string, stage string, check string, canonical string")
 
 
 def _shape(canonical_text: str, schemas: dict[str, TableSchema]) -> tuple[str, list[str]]:

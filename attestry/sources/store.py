@@ -27,3 +27,9 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read again in the order and partitions of its files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has: what comes next costs much for each row, and a scan has no more
+    tasks than its files have row groups."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
