@@ -19,6 +19,10 @@ from .order import positions
 from .pipeline import Channel, Pipeline, checked_literal, kind_of, literal_condition
 from .specs import canonical, decode, planned
 
+#: Plans of one shape whose literals are sent to every task; those of more are shuffled with the rows.
+FEW = 1 << 16
+
+
 def admission(specs: DataFrame, schemas: dict[str, TableSchema], hashes: dict[str, str] | None = None) -> DataFrame:
     """``spec_id, stage, check, canonical`` of every spec: the first check that fails and its stage, or NULL.
 
@@ -82,7 +86,7 @@ def _identified(df: DataFrame, plan: Pipeline, by: list[str], tables: bool) -> D
     return table_digest(placed.select(*by, "pos", row_line(plan.schema).alias("line")), plan.schema, by=by)
 
 
-def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame], *, keyed: bool, ordered: bool) -> DataFrame:
+def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[str, TableSchema], tables: Callable[[str], DataFrame], *, keyed: bool, ordered: bool, few: bool) -> DataFrame:
     """``plan`` with the identities of all specs of one shape, in one job over its dataset."""
     doc = json.loads(shape)
     values = iter(example)
@@ -98,6 +102,8 @@ def _of_shape(shape: str, example: list[str], specs: DataFrame, schemas: dict[st
     meets = [literal_condition(plan.steps[k][2], *plan.steps[k][1][1:], c) for k, c in given.items()]
     meets = reduce(Column.__and__, [*([F.col("__source") == F.col("__key")] if keyed else []), *meets])
     first = next((step for step in plan.steps if step[0] == "aggregate"), None)
+    # few literals go to the rows: a shuffle by an equality would deal the rows over as many tasks as it has values
+    literals = F.broadcast(literals) if few else literals
     # an aggregate over no rows at all is a row too
     joined = literals.join(data, meets, "left" if first is not None and not first[1] else "inner")
     rest = replace(plan, steps=tuple(step for k, step in enumerate(plan.steps) if k not in given))
@@ -135,31 +141,36 @@ def verified_results(
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [_shape(x, schemas) for x in pdf["canonical"]]
+            told = {text: _shape(text, schemas) for text in set(pdf["canonical"])}
+            made = [told[text] for text in pdf["canonical"]]
             yield pd.DataFrame({"spec_id": pdf["spec_id"], "key": pdf["key"], "shape": [x for x, _ in made], "literals": [x for _, x in made]})
 
     specs = good.mapInPandas(work, "spec_id string, key string, shape string, literals array<string>")
     specs = stored(specs.withColumn("plan", F.sha2(F.to_json(F.struct("shape", "literals", "key")), 256)))
     plans = stored(specs.groupBy("plan").agg(F.first("shape").alias("shape"), F.first("literals").alias("literals"), F.first("key").alias("key")))
-    shapes = plans.groupBy("shape").agg(F.min("literals").alias("example")).orderBy("shape").collect()
+    shapes = plans.groupBy("shape").agg(F.min("literals").alias("example"), F.count("*").alias("n")).orderBy("shape").collect()
     done = [specs.sparkSession.createDataFrame([], "plan string, n_rows long, " + ("digest string" if ordered else "lane0 string, lane1 string, lane2 string, lane3 string"))]
     for at in range(0, len(shapes), shapes_at_once):
-        own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables, keyed=key is not None, ordered=ordered) for r in shapes[at : at + shapes_at_once]]
+        own = [_of_shape(r["shape"], r["example"], plans.filter(F.col("shape") == r["shape"]), schemas, tables, keyed=key is not None, ordered=ordered, few=r["n"] <= FEW) for r in shapes[at : at + shapes_at_once]]
         done.append(stored(reduce(DataFrame.unionByName, own)) if len(shapes) > shapes_at_once else reduce(DataFrame.unionByName, own))
-    return specs.select("spec_id", "plan").join(reduce(DataFrame.unionByName, done), "plan").drop("plan")
+    results = reduce(DataFrame.unionByName, done)
+    results = F.broadcast(results) if sum(r["n"] for r in shapes) <= FEW else results
+    return specs.select("spec_id", "plan").join(results, "plan").drop("plan")
 
 
 def lineage(admitted: DataFrame, schemas: dict[str, TableSchema]) -> DataFrame:
     """``spec_id, dataset, field, source, kind`` of every column that an admitted spec plots; ``source`` is null for counts."""
 
+    def plotted(text: str) -> list[tuple]:
+        doc = json.loads(text)
+        name = doc["dataset"]["name"]
+        plan = planned(doc, schemas[name])
+        return [(name, field, source, kind_of(plan.schema.column(field))) for field, source in plan.lineage_rows()]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for spec_id, text in zip(pdf["spec_id"], pdf["canonical"], strict=True):
-                doc = json.loads(text)
-                name = doc["dataset"]["name"]
-                plan = planned(doc, schemas[name])
-                rows += [(spec_id, name, field, source, kind_of(plan.schema.column(field))) for field, source in plan.lineage_rows()]
+            told = {text: plotted(text) for text in set(pdf["canonical"])}
+            rows = [(spec_id, *row) for spec_id, text in zip(pdf["spec_id"], pdf["canonical"], strict=True) for row in told[text]]
             yield pd.DataFrame(rows, columns=["spec_id", "dataset", "field", "source", "kind"])
 
     good = admitted.filter("check is null").select("spec_id", "canonical")
@@ -175,7 +186,7 @@ def manifests(spark: SparkSession, schemas: dict[str, TableSchema]) -> DataFrame
 def titles(plotted: DataFrame, declared: DataFrame) -> DataFrame:
     """``lineage`` rows with ``title`` (label or name of the source column with its unit; counts have a title of their own) and
     ``unit_missing``, by a join to the manifests."""
-    joined = plotted.join(declared, ["dataset", "source"], "left")
+    joined = plotted.join(F.broadcast(declared), ["dataset", "source"], "left")
     base = F.coalesce("label", "source")
     title = F.when(F.col("source").isNull(), "Count of records").when(
         F.col("unit").isNotNull(),

@@ -22,3 +22,48 @@ def test_admission_spreads_one_partition_of_specs(spark):
     rows = corpus.admission(twice, catalogue._SCHEMAS, catalogue._HASHES).groupBy("check").count().collect()
     want = got.groupBy("check").count().collect()
     assert {r["check"]: r["count"] for r in rows} == {r["check"]: 2 * r["count"] + 2 * (r["check"] == "spec.decode") for r in want}
+
+
+def counted(spark, monkeypatch, module, name):
+    """An accumulator of the rows that a function of a module works out, each time that it does."""
+    rows, real = spark.sparkContext.accumulator(0), getattr(module, name)
+
+    def count(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    def wrapped(*args, **kwargs):
+        got = real(*args, **kwargs)
+        return got.mapInArrow(count, got.schema)
+
+    monkeypatch.setattr(module, name, wrapped)
+    return rows
+
+
+def test_replay_admits_each_spec_twice_only(spark, monkeypatch):
+    """Once for what is archived and once for today."""
+    judged = counted(spark, monkeypatch, corpus, "admission")
+    n = catalogue.QUERIES["replay_recomputed"](spark, SF).count()
+    assert judged.value == 2 * n
+
+
+def test_few_literals_go_to_the_rows(spark):
+    """An equality of five values does not deal the orders over five tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["bulk_verify_corpus"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "Join" in x and ("o_orderpriority" in x or "__l0" in x)]
+    assert joins and all("Broadcast" in x for x in joins), plan
+
+
+def test_many_literals_have_the_same_results(spark, monkeypatch):
+    few = {tuple(r) for r in catalogue.QUERIES["bulk_verify_corpus"](spark, SF).collect()}
+    monkeypatch.setattr(corpus, "FEW", 0)
+    assert {tuple(r) for r in catalogue.QUERIES["bulk_verify_corpus"](spark, SF).collect()} == few
+
+
+def test_titles_spread(spark):
+    assert catalogue.QUERIES["axis_titles"](spark, SF).rdd.getNumPartitions() == tasks(spark)
