@@ -253,7 +253,7 @@ def certified_formulas(formulas: DataFrame, limits: formula.Limits = formula.LIM
     column ``declared``, a formula whose own hash differs fails.  A formula's samples (as many as the ceiling admits) are
     digested in order.
     """
-    admitted = formula.admission(formulas, limits=limits)
+    admitted = stored(formula.admission(formulas, limits=limits))
     good = formulas.join(admitted.filter("check is null").select("formula_id"), "formula_id")
     values = stored(formula.evaluated(formula.grid(good), good, limits))
     hashes = formula.fingerprints(formulas, admitted).withColumnRenamed("fingerprint", "formula_hash")
