@@ -39,12 +39,12 @@ def record_text(fields: dict[str, Column]) -> Column:
 
 def bundle_tables(plots: DataFrame) -> dict[str, DataFrame]:
     """A ledger batch from ``plot_id, keyid, record, source`` and a text for each of ROLES."""
-    parts = [plots.select("plot_id", F.lit(role).alias("role"), F.col(role).alias("content")) for role in ("source", *ROLES)]
-    long = reduce(DataFrame.unionByName, parts)
+    # one scan for all roles: plots are as large as what they hold
+    each = lambda *roles: F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col("record" if r == "certificate" else r).alias("content")) for r in roles]))
+    long = plots.select("plot_id", each("source", *ROLES))
     address = F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256))
-    records = plots.select(F.lit("certificate").alias("role"), F.col("record").alias("content"))
     return {
-        "blobs": blobs_of(long.select("role", "content").unionByName(records), F.col("content"), F.col("role")),
+        "blobs": blobs_of(plots.select(each("source", *ROLES, "certificate")), F.col("content"), F.col("role")),
         "plots": plots.select("plot_id", F.concat(F.lit("sha256:"), F.sha2(F.col("record").cast("binary"), 256)).alias("certificate_digest"), F.lit("certificate").alias("certificate_kind"), "keyid"),
         "plot_references": long.select("plot_id", "role", address.alias("blob_digest"), F.col("role").alias("blob_kind")),
     }
@@ -121,14 +121,18 @@ def bundle_audit(found: DataFrame) -> DataFrame:
 
 
 def archived_rows(sources: DataFrame, schema: TableSchema) -> tuple[DataFrame, DataFrame]:
-    """(typed rows with ``__source``, ``__source`` of those with a bad cell, row or header) of stored CSV texts ``__source, content``."""
+    """(typed rows with ``__source``, ``__source`` of those with a bad cell, row or header) of stored CSV texts ``__source, content``.
+
+    Texts are parsed once, for both."""
     records = sources.select("__source", F.posexplode(F.regexp_extract_all(F.col("content").cast("string"), F.lit(_CSV_RECORD), F.lit(0))).alias("at", "text"))
     fields = ", ".join([*(f"`{n}` string" for n in schema.names), f"{scan.CORRUPT} string"])
     options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": scan.CORRUPT}
-    raw = records.filter("at > 0").select("__source", F.from_csv("text", fields, options).alias("c")).select("__source", "c.*")
+    cells = F.when(F.col("at") > 0, F.from_csv("text", fields, options))
+    parsed = stored(records.select("__source", "at", F.when(F.col("at") == 0, F.col("text")).alias("text"), cells.alias("c")))
+    raw = parsed.filter("at > 0").select("__source", "c.*")
     bad = scan.cell_failures(raw, schema, "__source").filter("n > 0").select("__source")
     header = ",".join(schema.names)
-    headed = records.filter("at = 0").filter(F.rtrim("text", F.lit("\r")) != header).select("__source")
+    headed = parsed.filter("at = 0").filter(F.rtrim("text", F.lit("\r")) != header).select("__source")
     return scan.typed_csv(raw, schema, refuse=False, keep=("__source",)), bad.unionByName(headed).distinct()
 
 
@@ -155,9 +159,9 @@ def replay(book: Ledger, trusted: DataFrame, ids: DataFrame | None = None) -> Da
             continue  # nothing is computed again under a manifest that is refused
         rows, bad = archived_rows(blobs.join(own.select(F.col("source_digest").alias("__source")).distinct(), "__source", "left_semi"), schema)
         rows = stored(rows)
-        fine = own.join(bad, own["source_digest"] == bad["__source"], "left_anti")
+        fine = stored(own.join(bad, own["source_digest"] == bad["__source"], "left_anti").select("plot_id", "spec", "source_digest"))
         admitted = corpus.admission(fine.select(F.col("plot_id").alias("spec_id"), F.col("spec").alias("raw"), F.col("source_digest").alias("source")), {group["name"]: schema})
-        admitted = admitted.join(fine.select(F.col("plot_id").alias("spec_id"), "source_digest"), "spec_id")
+        admitted = stored(admitted.join(fine.select(F.col("plot_id").alias("spec_id"), "source_digest"), "spec_id"))
         made = corpus.verified_results(admitted, {group["name"]: schema}, lambda name, rows=rows: rows, key="source_digest", ordered=True)
         fresh.append(made.join(admitted.select("spec_id", "canonical"), "spec_id").select(F.col("spec_id").alias("plot_id"), F.col("digest").alias("again"), "canonical"))
     both = judged.withColumn("r", F.from_json("record", RECORD)).join(reduce(DataFrame.unionByName, fresh), "plot_id", "left")
