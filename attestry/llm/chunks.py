@@ -12,10 +12,9 @@ states are shuffled, copies inside a chunk are combined before, and no task hold
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -23,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, removed, shared_folder, stored
 
@@ -122,6 +122,14 @@ class Texts:
         return from_ipc(self._rest.tobytes())
 
 
+def as_table(rows: Iterable[tuple] | pa.Table, shape: pa.Schema) -> pa.Table:
+    """Tuples as an Arrow table."""
+    if isinstance(rows, pa.Table):
+        return rows
+    columns = list(zip(*rows, strict=True)) or [()] * len(shape)
+    return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, shape, strict=True)], schema=shape)
+
+
 def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -225,29 +233,32 @@ class Rounds:
         return stored(df, path)
 
     @staticmethod
-    def _got(answers: pd.DataFrame) -> Answers:
+    def _got(answers: pa.Table) -> Answers:
         got: Answers = {}
-        for kind, bucket, payload in zip(answers["kind"], answers["bucket"], answers["payload"], strict=True):
-            got.setdefault(kind, {})[int(bucket)] = unpacked(payload)
+        for kind, bucket, payload in zip(*[answers.column(c).to_pylist() for c in ("kind", "bucket", "payload")], strict=True):
+            got.setdefault(kind, {})[bucket] = unpacked(payload)
         return got
 
     def rows(self, work: Callable, schema: str | T.StructType, *, texts: bool = True, answers: DataFrame | None = None) -> DataFrame:
-        """Rows (tuples as in ``schema``) that ``work(chunk, blob, answers)`` yields; without ``texts`` from the answers
-        alone, and the blob is None.  ``answers`` stand in for those kept."""
+        """Rows (tuples as in ``schema``, or one Arrow table of them) that ``work(chunk, blob, answers)`` yields; without
+        ``texts`` from the answers alone, and the blob is None.  ``answers`` stand in for those kept.
+
+        One Python step a stage, without pandas: each further one has workers of its own, which stay in an executor's memory."""
         held = self.answers if answers is None else answers
         kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        names, got = kind.names, self._got
+        shape, got = to_arrow_schema(kind), self._got
 
-        def both(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            rows = list(work(int(chunk["chunk"].iloc[0]), chunk["blob"].iloc[0], got(answers))) if len(chunk) else []
-            return pd.DataFrame(rows, columns=names)
+        def both(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            if not chunk.num_rows:
+                return shape.empty_table()
+            return as_table(work(chunk.column("chunk")[0].as_py(), chunk.column("blob")[0].as_py(), got(answers)), shape)
 
-        def alone(answers: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(list(work(int(answers["chunk"].iloc[0]), None, got(answers))), columns=names)
+        def alone(answers: pa.Table) -> pa.Table:
+            return as_table(work(answers.column("chunk")[0].as_py(), None, got(answers)), shape)
 
         if not texts:
-            return held.groupBy("chunk").applyInPandas(alone, kind)
-        return self.chunks.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(both, kind)
+            return held.groupBy("chunk").applyInArrow(alone, kind)
+        return self.chunks.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(both, kind)
 
     def add(self, answers: DataFrame) -> None:
         """Keep answers (``chunk, bucket, kind, payload``) for the rounds that follow."""
@@ -266,9 +277,11 @@ class Rounds:
         ``answer(owner, columns)`` gives, for all names that a bucket got (their columns and the chunks that sent them),
         a mask and columns for the names in it."""
 
-        def run(sent: pd.DataFrame) -> pd.DataFrame:
-            bucket, chunks = int(sent["bucket"].iloc[0]), sent["chunk"].to_numpy()
-            parts = [unpacked(x) for x in sent["payload"]]
+        shape = to_arrow_schema(T.StructType.fromDDL(self.ANSWER))
+
+        def run(sent: pa.Table) -> pa.Table:
+            bucket, chunks = sent.column("bucket")[0].as_py(), sent.column("chunk").to_numpy()
+            parts = [unpacked(x) for x in sent.column("payload").to_pylist()]
             if short:
                 parts = [[np.cumsum(x[0], dtype=np.uint32), *x[1:]] for x in parts]
             size = np.array([len(x[0]) for x in parts])
@@ -281,10 +294,10 @@ class Rounds:
                 own = flag[cut[i] : cut[i + 1]]
                 if own.any():
                     rows.append((chunk, bucket, kind, packed(np.packbits(own), *[x[cut[i] : cut[i + 1]][own] for x in more])))
-            return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "payload"])
+            return as_table(rows, shape)
 
         sent = self.rows(send, self.SENT, texts=texts)
-        self.add(sent.repartition(self.tasks, "bucket").groupBy("bucket").applyInPandas(run, self.ANSWER))
+        self.add(sent.repartition(self.tasks, "bucket").groupBy("bucket").applyInArrow(run, self.ANSWER))
 
 
 def shared_names(owner: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:

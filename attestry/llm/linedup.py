@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .chunks import NO_ID, Answers, Names, Rounds, Texts, from_ipc, packed, to_ipc, unpacked
+from .chunks import NO_ID, Answers, Names, Rounds, Texts, as_table, packed, unpacked
 from .common import stored
 
 EDITS, LEAST = 2, 24
@@ -369,10 +368,12 @@ def _confirmed(edits: int):
 def _by_chunk(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
     """Rows as one answer to each chunk (it has no more of them than keys of its lines)."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(own["chunk"].iloc[0], 0, kind, packed(*[own[c].to_numpy() for c in columns]))], columns=["chunk", "bucket", "kind", "payload"])
+    shape = to_arrow_schema(T.StructType.fromDDL(Rounds.ANSWER))
 
-    return rows.groupBy("chunk").applyInPandas(run, Rounds.ANSWER)
+    def run(own: pa.Table) -> pa.Table:
+        return as_table([(own.column("chunk")[0].as_py(), 0, kind, packed(*[own.column(c).to_numpy() for c in columns]))], shape)
+
+    return rows.groupBy("chunk").applyInArrow(run, Rounds.ANSWER)
 
 
 def _judged(rounds: Rounds, edits: int, least: int):
@@ -489,23 +490,17 @@ def without_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int =
     with Rounds(docs, chunk_bytes=chunk_bytes, keep=True) as rounds:
         judge = _judged(rounds, edits, least)
 
-        def report(chunk: int, blob: bytes, answers: Answers) -> Iterator[tuple]:
-            own, rows = judge(blob, answers)
-            texts = pa.array([text for _, text in rows], pa.string())
-            rest = own.texts.rest() if others else None
-            yield (to_ipc(pa.RecordBatch.from_arrays([texts, *(rest.columns if others else ())], names=["text", *(f"c{i}" for i in others)])),)
-
         shape = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema])
         arrow = to_arrow_schema(shape)
 
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    got = from_ipc(raw)
-                    columns = [got.column("text" if f.name == "text" else f"c{i}") for i, f in enumerate(arrow)]
-                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+        def report(chunk: int, blob: bytes, answers: Answers) -> pa.Table:
+            own, rows = judge(blob, answers)
+            texts = pa.array([text for _, text in rows], pa.string())
+            rest = own.texts.rest() if others else None
+            columns = [texts if f.name == "text" else rest.column(rest.schema.names.index(f"c{i}")) for i, f in enumerate(arrow)]
+            return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        return stored(rounds.rows(report, "rows binary").mapInArrow(spread, shape))
+        return stored(rounds.rows(report, shape))
 
 
 def digest(docs: DataFrame, *, edits: int = EDITS, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -33,11 +33,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .chunks import CHUNK_BYTES, NO_ID, Answers, Names, Rounds, Texts, packed, shared_names
+from .chunks import CHUNK_BYTES, NO_ID, Answers, Names, Rounds, Texts, as_table, packed, shared_names
 from .common import stored
 
 LENGTH = 100
@@ -382,14 +384,14 @@ class Search:
             ))
             earliest = told if earliest is None else earliest.unionByName(told)
 
-        def answer(own: pd.DataFrame) -> pd.DataFrame:
-            columns = [own[c].to_numpy(kind) for c, kind in (("id", "<i8"), ("source", "<i8"), ("number", "<i8"), ("at", "<i8"))]
-            return pd.DataFrame(
-                [(own["chunk"].iloc[0], 0, "exact", packed(np.frombuffer(b"".join(own["string"]), np.uint8), *columns))],
-                columns=["chunk", "bucket", "kind", "payload"],
-            )
+        shape = to_arrow_schema(T.StructType.fromDDL(r.ANSWER))
 
-        r.add(earliest.groupBy("chunk").applyInPandas(answer, r.ANSWER))
+        def answer(own: pa.Table) -> pa.Table:
+            columns = [own.column(c).to_numpy().astype("<i8") for c in ("id", "source", "number", "at")]
+            strings = np.frombuffer(b"".join(own.column("string").to_pylist()), np.uint8)
+            return as_table([(own.column("chunk")[0].as_py(), 0, "exact", packed(strings, *columns))], shape)
+
+        r.add(earliest.groupBy("chunk").applyInArrow(answer, r.ANSWER))
 
 
 def _sorted_hashes(strings: np.ndarray, length: int) -> np.ndarray:

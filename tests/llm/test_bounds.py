@@ -4,9 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import chunks, common, decontaminate, langid, quality, topk, toxicity
+from attestry.llm import chunks, common, decontaminate, langid, linedup, quality, topk, toxicity
 
-from .helpers import documents
+from .helpers import NASTY, documents
 
 
 class _Partition:
@@ -100,3 +100,14 @@ def test_equal_vectors_are_few_candidates(spark, monkeypatch):
     assert sorted(answers[3]) == [(i, 1, 256 * 128 - 256 * 64) for i in (1, 2, 3)]
     alone = topk.top_k(vectors.filter("vec_id = 1"), F.lit(True), k=3)
     assert alone.count() == 9000 and {r["vec_id"] for r in alone.select("vec_id").distinct().collect()} == {1}
+
+
+def test_rounds_have_one_python_step_a_stage_without_pandas(spark, monkeypatch):
+    """Workers of a second step in a stage, and what they import, stay in an executor's memory."""
+    plans = []
+    for module in (chunks, linedup):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, *path, real=real: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *path))
+    assert linedup.without_repeated_lines(documents(spark, NASTY)).count() == len(NASTY)
+    assert len(plans) > 4 and not [x for x in plans if "InPandas" in x]
+    assert "FlatMapCoGroupsInArrow" in plans[-1] and "MapInArrow" not in plans[-1]
